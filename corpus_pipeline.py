@@ -1,3 +1,65 @@
-"""The document pipeline: quality rules, near-duplicates, decontamination, PII, tokens."""
+"""The document pipeline: quality rules, near-duplicates, decontamination, PII, tokens.
 
-STAGES: list = []
+Every stage takes what its predecessor kept, written as Parquet and read again.  The
+stages judge texts as they then are: quality and copies on raw texts, benchmark
+passages before pseudonyms could hide them, tokens of the texts as they will be trained on.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusloom.llm import bpe, decontam, pii, quality, simhash
+from corpusloom.llm.common import cut, table
+from corpusloom.llm.queries import PSEUDONYM_KEY
+
+#: SQL can't express the stages from the second on; they are tested against brute force.
+ORACLE_SQL = None
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the texts that pass the base rules and the certified cutoffs."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one text of each group of near-duplicates, that of the smallest doc_id."""
+    return simhash.keep_first(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the texts that hold a window of a benchmark item."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal values by format-preserving pseudonyms; n_chars follows the new text."""
+    return pii.pseudonymise(docs, PSEUDONYM_KEY).drop("n_values").select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encode what is left and decode it again: the digests of ids and bytes by doc_id."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("feistel_pii", pseudonyms),
+    ("byte_bpe", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply STAGES to ``documents``; each result but the last goes through the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    cut(spark.range(0))  # makes sure of the shared folder
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

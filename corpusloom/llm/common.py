@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import string
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,8 @@ def split_words(c: Column, separators: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(module: str) -> None:
+    """Send the functions of a module to Python workers by value: they need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

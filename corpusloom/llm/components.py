@@ -11,22 +11,24 @@ from .common import cut
 def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` -> ``(node, root)``, root being the smallest node reachable.
 
-    Each round takes the smallest root among a node and its neighbours and then
-    follows that root's own root, so chains halve instead of shrinking by one.
-    Rounds are joins and a min with map-side combine; no neighbourhood is collected.
+    Each round points every node at the least of itself and its neighbours, follows the
+    pointers once more and contracts the links onto what they point at, so that the
+    links shrink from round to round until none is left.  A round is a min with
+    map-side combine and joins on single nodes; no neighbourhood is collected.
     Nodes without a link do not appear; NULL ends and self-links are ignored.
     """
-    links = links.where("a <> b").select("a", "b")
-    edges = cut(links.union(links.select("b", "a")).distinct())
-    roots = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
-    while True:
-        near = edges.join(roots.select(F.col("node").alias("b"), "root"), "b").select(F.col("a").alias("node"), "root")
-        lower = cut(
-            near.union(roots.select("node", "root")).groupBy("node").agg(F.min("root").alias("root"))
+    edges = cut(links.where("a <> b").select("a", "b").distinct())
+    roots = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        near = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to")))
+        onward = near.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        jumped = cut(near.join(onward, "to").select("node", F.col("next").alias("to")))
+        edges = cut(
+            edges.join(jumped.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a")
+            .join(jumped.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
+            .where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
         )
-        up = lower.select(F.col("node").alias("root"), F.col("root").alias("upper"))
-        new = cut(lower.join(up, "root", "left").select("node", F.least("root", "upper").alias("root")))
-        moved = new.join(roots.withColumnRenamed("root", "old"), "node").where("root <> old")
-        if moved.isEmpty():
-            return new
-        roots = new
+        moves = jumped.where("node <> to").select(F.col("node").alias("root"), "to")
+        roots = cut(roots.join(moves, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    return roots

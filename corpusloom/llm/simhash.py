@@ -139,6 +139,16 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 6, group_bits: i
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def classes(rows: DataFrame, key: str, distance: int, blocks: int) -> DataFrame:
+    """``(fp, component_id)`` for every fingerprint of ``rows(key, fp)``."""
+    firsts = cut(rows.groupBy("fp").agg(F.min(key).alias("first")))
+    roots = components(near_links(firsts.select("fp"), distance, blocks))
+    linked = cut(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")))
+    smallest = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
+    return cut(linked.join(smallest, "root").select("fp", "component_id"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4,
                     distance: int = 4, blocks: int = 6) -> DataFrame:
     """``(key, fingerprint, component_id)`` for every row of ``docs``.
@@ -149,14 +159,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     table gives an empty result; other columns of ``docs`` are not read.
     """
     rows = cut(fingerprints(docs, text, key, shingle))
-    firsts = cut(rows.groupBy("fp").agg(F.min(key).alias("first")))
-    roots = components(near_links(firsts.select("fp"), distance, blocks))
-    linked = cut(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")))
-    smallest = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
-    classes = cut(linked.join(smallest, "root").select("fp", "component_id"))
     return (
-        rows.join(classes, "fp")
+        rows.join(classes(rows, key, distance, blocks), "fp")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     )
+
+
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
+    """One row of ``docs`` per group of near-duplicates, that with the smallest key, all columns kept.
+
+    NULL keys come after all others; of rows that repeat the smallest key one stays
+    (the least by the hash of its text).  The few keys that survive or fall are joined,
+    never the groups.
+    """
+    rows = cut(fingerprints(docs, text, key, shingle))
+    of = classes(rows, key, distance, blocks)
+    # Kept where the row's key is its class's smallest; NULL-only classes keep a NULL key.
+    chosen = cut(
+        rows.join(of, "fp").where(F.col(key).eqNullSafe(F.col("component_id")))
+        .groupBy("component_id").agg(F.min(F.struct("fp", "text_key")).alias("one"), F.min("fp").alias("fp"))
+        .select(F.col("component_id").alias("_k"), F.col("one.text_key").alias("_t"))
+    )
+    own = docs.columns
+    kept = docs.withColumn("_h", F.xxhash64(text)).join(
+        chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_t")), "left_semi"
+    ).drop("_h")
+    return kept.select(*own).dropDuplicates([key]) if _repeats(rows) else kept.select(*own)
+
+
+def _repeats(rows: DataFrame) -> bool:
+    """Whether any row is there more than once."""
+    return not rows.where("copies > 1").isEmpty()
