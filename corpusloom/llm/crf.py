@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -26,9 +27,10 @@ ship(__name__)
 #: among texts of up to TRAIN_CHARS characters.  Scoring has no such bounds.
 TRAIN_TEXTS = 1500
 TRAIN_CHARS = 12_000
-FEATURE_BITS = 18
-MIN_TEXTS = 3
+#: A feature is typical of toxic texts from this likelihood ratio (2 ln) and these odds on.
+MIN_EVIDENCE = 20.0
 MIN_ODDS = 25.0
+MIN_FORMS = 3
 EPOCHS = 12
 GROUP = 256
 CACHE_WORDS = 400_000
@@ -36,27 +38,37 @@ WORD = re.compile(r"\w+")
 
 
 def word_features(word: str) -> list[str]:
-    """The word, its beginnings of 3 to 5 letters and its ending of 3."""
-    return ["w" + word, *(f"{n}" + word[:n] for n in (3, 4, 5) if len(word) > n), "s" + word[-3:]]
+    """The word and its beginnings of 3 to 6 letters."""
+    return ["w" + word, *(f"{n}" + word[:n] for n in (3, 4, 5, 6) if len(word) > n)]
 
 
-def _slot(feature: str) -> int:
-    import zlib
+def typical_features(texts: list[list[str]], toxic: list[int]) -> set[str]:
+    """Words and word beginnings that are typical of toxic texts.
 
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << FEATURE_BITS) - 1)
-
-
-def token_labels(texts: list[list[str]], toxic: list[int]) -> list[np.ndarray]:
-    """For each text's words 1 where a feature typical of toxic texts shows, in toxic texts only."""
-    sides = (Counter(), Counter())
+    A beginning counts only if MIN_FORMS different words of toxic texts share it: one
+    frequent word says nothing about others that begin like it.
+    """
+    sides: tuple[Counter, Counter] = (Counter(), Counter())
+    forms: dict[str, set[str]] = {}
     for words, y in zip(texts, toxic):
-        sides[y].update({f for w in set(words) for f in word_features(w)[:-1]})
+        seen = set(words)
+        sides[y].update({f for w in seen for f in word_features(w)})
+        if y:
+            for w in seen:
+                for f in word_features(w)[1:]:
+                    some = forms.setdefault(f, set())
+                    if len(some) < MIN_FORMS:
+                        some.add(w)
     n = [max(1, toxic.count(y)) for y in (0, 1)]
-    typical = {
-        f for f, c in sides[1].items()
-        if c >= MIN_TEXTS and (c / n[1]) / ((sides[0][f] + 0.2) / n[0]) >= MIN_ODDS
-    }
-    return [np.array([y and any(f in typical for f in word_features(w)[:-1]) for w in words], dtype=np.float64) for words, y in zip(texts, toxic)]
+    typical = set()
+    for f, c in sides[1].items():
+        d = sides[0][f]
+        share, base = c / (c + d), n[1] / (n[0] + n[1])
+        evidence = 2 * (c * math.log(share / base) + (d * math.log((1 - share) / (1 - base)) if d else 0))
+        if share > base and evidence >= MIN_EVIDENCE and (c / n[1]) / ((d + 0.2) / n[0]) >= MIN_ODDS:
+            if f[0] == "w" or len(forms[f]) >= MIN_FORMS:
+                typical.add(f)
+    return typical
 
 
 def marginals(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
@@ -91,16 +103,20 @@ def marginals(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray
 
 
 class Model:
-    """Weights by hashed feature, a bias, moves between the two states and a text-level fit."""
+    """Weights of the features, a bias, moves between the two states and a text-level fit."""
 
-    def __init__(self) -> None:
-        self.weights = np.zeros(1 << FEATURE_BITS, dtype=np.float32)
+    def __init__(self, features: set[str] = frozenset()) -> None:
+        self.index = {f: i for i, f in enumerate(sorted(features))}
+        self.weights = np.zeros(len(self.index))
         self.bias = -3.0
         self.moves = np.zeros((2, 2))
         self.text = np.array([0.0, 1.0, 0.0])
 
+    def features(self, word: str) -> list[int]:
+        return [self.index[f] for f in word_features(word) if f in self.index]
+
     def emission(self, word: str) -> float:
-        return float(self.bias + sum(self.weights[_slot(f)] for f in word_features(word)))
+        return float(self.bias + sum(self.weights[i] for i in self.features(word)))
 
     def text_inputs(self, p: np.ndarray) -> tuple[float, float]:
         top = float(np.clip(p.max(), 1e-6, 1 - 1e-6)) if len(p) else 1e-6
@@ -111,20 +127,36 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _unlike(texts: list[list[str]]) -> list[int]:
+    """Places of texts that share at most one of their 8 least word-triple hashes with any before: copies are no new evidence."""
+    met: set[int] = set()
+    keep = []
+    for i, words in enumerate(texts):
+        triples = {" ".join(words[j : j + 3]) for j in range(max(1, len(words) - 2))}
+        least = sorted(zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in triples)[:8]
+        if sum(h in met for h in least) < min(2, len(least)):
+            keep.append(i)
+        met.update(least)
+    return keep
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
     """Full-batch gradient steps (Adam) on the field's likelihood, then a small logistic fit of texts."""
-    model = Model()
     words = [WORD.findall(t.lower()) for t in texts]
     keep = [i for i, w in enumerate(words) if w]
     words, toxic = [words[i] for i in keep], [toxic[i] for i in keep]
+    keep = _unlike(words)
+    words, toxic = [words[i] for i in keep], [toxic[i] for i in keep]
     if not 0 < sum(toxic) < len(toxic):
-        return model
-    truth = token_labels(words, toxic)
+        return Model()
+    typical = typical_features(words, toxic)
+    model = Model(typical)
+    truth = [np.array([y and not typical.isdisjoint(word_features(w)) for w in ws], dtype=np.float64) for ws, y in zip(words, toxic)]
     vocabulary: dict[str, int] = {}
     rows = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws]) for ws in words]
-    feats = [sorted({_slot(f) for f in word_features(w)}) for w in vocabulary]
+    feats = [model.features(w) for w in vocabulary]
     owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    flat = np.array([s for f in feats for s in f])
+    flat = np.array([s for f in feats for s in f], dtype=np.int64)
     every, y = np.concatenate(rows), np.concatenate(truth)
     ends = np.cumsum([len(r) for r in rows])
     inner = np.ones(len(y), dtype=bool)
@@ -151,16 +183,25 @@ def train(texts: list[str], toxic: list[int]) -> Model:
             m[k] = 0.8 * m[k] + 0.2 * g
             v[k] = 0.9 * v[k] + 0.1 * g * g
             new.append(rate * (m[k] / (1 - 0.8**step)) / (np.sqrt(v[k] / (1 - 0.9**step)) + 1e-8))
-        model.weights += new[0].astype(np.float32)
+        model.weights += new[0]
         model.bias += float(new[1][0]) * 0.5
         model.moves += new[2] * 0.2
     per_word = model.bias + np.bincount(owner, model.weights[flat], len(feats))
     x = np.array([(1.0, *model.text_inputs(p)) for p in marginals([per_word[r] for r in rows], model.moves)])
-    beta, t = np.array([0.0, 1.0, 0.0]), np.array(toxic, dtype=np.float64)
-    for _ in range(25):
+    prior, t = np.array([0.0, 1.0, 0.0]), np.array(toxic, dtype=np.float64)
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(np.logaddexp(0, z).sum() - (t * z).sum() + ((b - prior) ** 2).sum() / 2)
+
+    beta = prior
+    for _ in range(30):
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(3)
-        beta = beta + np.linalg.solve(h, x.T @ (t - q) - 0.05 * (beta - np.array([0.0, 1.0, 0.0])))
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.eye(3), x.T @ (t - q) - (beta - prior))
+        size = 1.0
+        while size > 1e-6 and loss(beta + size * step) > loss(beta):
+            size /= 2
+        beta = beta + size * step
     model.text = beta
     return model
 

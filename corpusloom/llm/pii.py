@@ -172,6 +172,13 @@ def _plain(kind: str):
     return lambda value, key: _refill(value, "[0-9]", permute(_digits(value), 10, key, F.lit(kind)))
 
 
+def _phone(value: Column, key: str) -> Column:
+    """The country code stays."""
+    head = F.regexp_extract(value, r"^\+(?:1|[0-9]{1,3}(?=[ .(-])|)", 0)
+    rest = F.substr(value, F.length(head) + 1, F.length(value))
+    return F.concat(head, _refill(rest, "[0-9]", permute(_digits(rest), 10, key, F.lit("phone"))))
+
+
 def _key(value: Column, key: str) -> Column:
     return F.concat(F.lit("AKIA"), permute(F.substr(value, F.lit(5), F.lit(16)), 36, key, F.lit("key")))
 
@@ -181,7 +188,7 @@ def _secret(value: Column, key: str) -> Column:
     return F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(tail)), permute(tail, 16, key, F.lit("secret")))
 
 
-RULES = {"email": _email, "ip": _ip, "date": _date, "iban": _iban, "card": _card, "phone": _plain("phone"), "ssn": _plain("ssn"), "key": _key, "secret": _secret}
+RULES = {"email": _email, "ip": _ip, "date": _date, "iban": _iban, "card": _card, "phone": _phone, "ssn": _plain("ssn"), "key": _key, "secret": _secret}
 
 
 def pseudonym(value: Column, key: str) -> Column:
