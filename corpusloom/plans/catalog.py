@@ -1,11 +1,461 @@
-"""The catalog of queries over the test tables, each beside its SQL."""
+"""The catalog of queries over the test tables, each beside its SQL.
+
+Terms, codes and templates are parameters of the operators; here they are words that
+the test tables hold.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import config
+from ..functions import maps, vectors
+from ..functions import text as tx
+from ..operators import curate, metrics, model, split, synth, tokens
+from ..sources import sinks
+
+TERMS = ["the", "eau", "schen"]
+URGENT = ["idiot", "tion"]
+PREFIXES = {"pro": ("promo", "urgente"), "eco": ("economy", "no_urgente"), "sta": ("standard", "no_urgente")}
+TEMPLATES = {"a": ["{tiempo} en {ubicacion}", "de {ubicacion} a {ubicacion}"], "b": ["{ubicacion} desde hace {tiempo}"]}
+TIMES = ["dos meses", "un año"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# SQL of the column builders.
+STRIP = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+CLEAN = f"substring(replace({STRIP}, chr(10), ' '), 1, 1500)"
+ANY_TERM = "(contains(lower(text), 'the') OR contains(lower(text), 'eau') OR contains(lower(text), 'schen'))"
+ANY_URGENT = "(contains(lower(text), 'idiot') OR contains(lower(text), 'tion'))"
+WORDS = r"len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))"
+PRETOKENS = r"len(regexp_extract_all(text, '[^\s\p{P}$+<=>^`|~]+|[\p{P}$+<=>^`|~]'))"
+TRUTHS = "SELECT l.doc_id, l.toxic AS truth, CASE WHEN contains(lower(d.text), 'idiot') OR contains(lower(d.text), 'lo') THEN 1 ELSE 0 END AS predicted FROM labels l JOIN documents d USING (doc_id)"
+MATRIX = (f"SELECT count(*) FILTER (truth = 0 AND predicted = 0) AS tn, count(*) FILTER (truth = 0 AND predicted = 1) AS fp, "
+          f"count(*) FILTER (truth = 1 AND predicted = 0) AS fn, count(*) FILTER (truth = 1 AND predicted = 1) AS tp FROM")
+
+
+def _metrics_sql(matrix: str) -> str:
+    return (
+        f"WITH m AS ({matrix}), f AS (SELECT *, CASE WHEN 2*tn+fp+fn > 0 THEN 2*tn / (2*tn+fp+fn)::double END AS f0, "
+        "CASE WHEN 2*tp+fp+fn > 0 THEN 2*tp / (2*tp+fp+fn)::double END AS f1 FROM m) "
+        "SELECT tn, fp, fn, tp, CASE WHEN tn+fp+fn+tp = 0 THEN 0.0::double ELSE (tn+tp) / (tn+fp+fn+tp)::double END AS accuracy, "
+        "CASE WHEN f0 IS NULL AND f1 IS NULL THEN 0.0::double ELSE (coalesce(f0, 0::double) + coalesce(f1, 0::double)) / ((f0 IS NOT NULL)::int + (f1 IS NOT NULL)::int) END AS f1_macro, "
+        "CASE WHEN tp+fn = 0 THEN 0.0::double ELSE tp / (tp+fn)::double END AS recall FROM f"
+    )
+
+
+def _hash(key: str) -> str:
+    return f"md5('42|' || {key}::varchar)"
+
+
+SPLIT_SQL = (
+    "SELECT doc_id, lang, CASE WHEN i < floor(n * 0.7::double) THEN 'train' WHEN i < floor(n * 0.7::double) + floor(n * 0.15::double) THEN 'val' ELSE 'test' END AS split "
+    f"FROM (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY {_hash('doc_id')}, doc_id) - 1 AS i FROM documents)"
+)
+MAJORITY = "SELECT toxic FROM labels l JOIN ({split}) s USING (doc_id) WHERE split = 'train' GROUP BY toxic ORDER BY count(*) DESC, toxic LIMIT 1".format(split=SPLIT_SQL)
+BASELINE = f"SELECT toxic AS truth, ({MAJORITY}) AS predicted FROM labels l JOIN ({SPLIT_SQL}) s USING (doc_id) WHERE split = 'test'"
+
+
+def _guessed(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    return _t(spark, sf, "labels").join(docs, "doc_id").select(
+        "doc_id", F.col("toxic").alias("truth"), tx.contains_any(F.col("text"), ["idiot", "lo"]).cast("int").alias("predicted")
+    )
+
+
+def _labelled_split(spark: SparkSession, sf: str) -> DataFrame:
+    docs = split.stratified_split(_t(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id")
+    return _t(spark, sf, "labels").join(docs, "doc_id")
+
+
+def _baseline(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _labelled_split(spark, sf)
+    return metrics.majority_predictions(rows.where("split = 'train'"), rows.where("split = 'test'"), "toxic")
+
+
+# ---- scans and filters
+
+@query("SELECT doc_id, source FROM documents WHERE source IN ('src1', 'src2')")
+def scan_partition_isin(spark, sf):
+    return _t(spark, sf, "documents").where(F.col("source").isin("src1", "src2")).select("doc_id", "source")
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE lang = 'de'")
+def filter_eq(spark, sf):
+    return _t(spark, sf, "documents").where(F.col("lang") == "de").select("doc_id", "n_chars")
+
+
+@query("SELECT page_id, url FROM pages WHERE suffix(url, '.html')")
+def filter_suffix(spark, sf):
+    return _t(spark, sf, "pages").where(F.col("url").endswith(".html")).select("page_id", "url")
+
+
+@query(f"SELECT doc_id, {CLEAN} AS text FROM documents WHERE {ANY_TERM}")
+def keyword_filter_any(spark, sf):
+    return curate.keyword_candidates(_t(spark, sf, "documents").select("doc_id", "text"), "text", TERMS, URGENT).select("doc_id", "text")
+
+
+@query(f"SELECT doc_id, CASE WHEN {ANY_URGENT} THEN 'urgente' ELSE 'revisar_manual' END AS label FROM documents")
+def keyword_suggested_label(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", curate.suggested_label(F.col("text"), URGENT).alias("label"))
+
+
+@query("SELECT d.doc_id, d.lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def semi_join_exists(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", "lang").join(_t(spark, sf, "labels"), "doc_id", "left_semi")
+
+
+@query("SELECT count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.toxic IS NULL")
+def null_label_count(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id").join(_t(spark, sf, "labels"), "doc_id", "left").agg(F.count_if(F.col("toxic").isNull()).alias("n"))
+
+
+# ---- projections
+
+@query("SELECT doc_id, lang FROM documents")
+def project_columns(spark, sf):
+    return _t(spark, sf, "documents").drop("text").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, 'real' AS tipo_fuente, 'corpus' AS fuente FROM documents")
+def project_constants(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.lit("real").alias("tipo_fuente"), F.lit("corpus").alias("fuente"))
+
+
+@query("SELECT doc_id, lang, " + ", ".join(f"'' AS {c}" for c in config.REVIEW_COLUMNS) + " FROM documents")
+def review_sheet(spark, sf):
+    return curate.review_sheet(_t(spark, sf, "documents"), ["doc_id", "lang"])
+
+
+@query("SELECT doc_id, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 END AS label FROM documents")
+def label_encode(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", maps.lookup(F.col("lang"), {"en": 0, "de": 1, "fr": 2}).alias("label"))
+
+
+@query("SELECT doc_id, CASE toxic WHEN 0 THEN 'no_urgente' WHEN 1 THEN 'urgente' END AS label FROM labels")
+def label_decode(spark, sf):
+    return _t(spark, sf, "labels").select("doc_id", maps.lookup(F.col("toxic"), maps.inverse(config.LABEL_IDS)).alias("label"))
+
+
+@query("SELECT r_regionkey, CASE r_name WHEN 'AFRICA' THEN 'urgente' WHEN 'ASIA' THEN 'urgente' ELSE 'no_urgente' END AS label FROM region")
+def category_to_urgency(spark, sf):
+    table = {n: "urgente" if n in ("AFRICA", "ASIA") else "no_urgente" for n in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")}
+    return _t(spark, sf, "region").select("r_regionkey", maps.lookup_strict(F.col("r_name"), table).alias("label"))
+
+
+@query("SELECT s_name AS name, s_acctbal::varchar AS balance, '' AS segment FROM supplier WHERE false UNION ALL "
+       "SELECT c_name AS name, '' AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, '', '' FROM supplier")
+def align_schema_union(spark, sf):
+    a = _t(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    b = _t(spark, sf, "supplier").select(F.col("s_name").alias("name"))
+    return sinks.align(a.unionByName(b, allowMissingColumns=True), ["name", "balance", "segment"])
+
+
+@query(f"SELECT doc_id, '{'=' * 80}' || chr(10) || 'CASO ' || row_number() OVER (ORDER BY doc_id) || ' de ' || count(*) OVER () || ' — archivo: ' || doc_id || chr(10) "
+       f"|| 'Etiqueta sugerida automática: ' || toxic || chr(10) || '{'=' * 80}' || chr(10) || quality || chr(10) || chr(10) AS block FROM labels")
+def review_report_block(spark, sf):
+    return curate.review_blocks(_t(spark, sf, "labels").withColumn("text", F.col("quality").cast("string")), "doc_id", "toxic", "text")
+
+
+# ---- joins
+
+@query("SELECT p_partkey, CASE lower(substring(p_type, 1, 3)) WHEN 'pro' THEN 'promo' WHEN 'eco' THEN 'economy' ELSE 'standard' END AS category "
+       "FROM part WHERE lower(substring(p_type, 1, 3)) IN ('pro', 'eco', 'sta')")
+def prefix_classify(spark, sf):
+    return curate.prefix_join(_t(spark, sf, "part").select("p_partkey", "p_type"), "p_type", PREFIXES).select("p_partkey", "category")
+
+
+@query("SELECT category, label, count(*) AS n FROM part JOIN (VALUES ('pro', 'promo', 'urgente'), ('eco', 'economy', 'no_urgente'), ('sta', 'standard', 'no_urgente')) "
+       "AS t(prefix, category, label) ON starts_with(replace(lower(p_type), '.', ''), prefix) GROUP BY category, label")
+def prefix_join(spark, sf):
+    rows = curate.prefix_join(_t(spark, sf, "part").select("p_type"), "p_type", PREFIXES)
+    return rows.groupBy("category", "label").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT l.doc_id, l.quality, {CLEAN} AS text FROM labels l JOIN documents d USING (doc_id)")
+def doc_lookup_join(spark, sf):
+    docs = _t(spark, sf, "documents").select("doc_id", tx.clean_truncate(F.col("text"), config.TEXT_CHARS).alias("text"))
+    return curate.document_lookup(_t(spark, sf, "labels").select("doc_id", "quality"), docs, "doc_id")
+
+
+@query("SELECT r_name, n_name, replace(replace('{tiempo} en {ubicacion}', '{ubicacion}', n_name), '{tiempo}', t) AS text FROM region CROSS JOIN nation CROSS JOIN (VALUES ('dos meses'), ('un año')) AS x(t)")
+def cross_product_templates(spark, sf):
+    places = _t(spark, sf, "region").select("r_name").crossJoin(F.broadcast(_t(spark, sf, "nation").select("n_name")))
+    df = places.select("*", F.explode(F.array(*[F.lit(x) for x in TIMES])).alias("t"))
+    return df.select("r_name", "n_name", tx.render(F.lit("{tiempo} en {ubicacion}"), {"ubicacion": F.col("n_name"), "tiempo": F.col("t")}).alias("text"))
+
+
+@query("SELECT n_nationkey, replace(replace('{ubicacion} a {ubicacion} desde hace {tiempo}', '{ubicacion}', n_name), '{tiempo}', 'dos meses') AS text FROM nation")
+def template_render(spark, sf):
+    values = {"tiempo": F.lit("dos meses"), "ubicacion": F.col("n_name")}
+    return _t(spark, sf, "nation").select("n_nationkey", tx.render(F.lit("{ubicacion} a {ubicacion} desde hace {tiempo}"), values).alias("text"))
+
+
+@query("SELECT category, count(*) AS n FROM (VALUES ('a'), ('b')) AS t(category), range(3) GROUP BY category")
+def synth_generate(spark, sf):
+    made = synth.generate(spark, TEMPLATES, {"ubicacion": ["x", "y", "z"], "tiempo": TIMES}, {"a": "urgente", "b": "no_urgente"}, 3)
+    return made.where(~F.contains("text", F.lit("{"))).groupBy("category").agg(F.count("*").alias("n"))
+
+
+# ---- aggregates
+
+@query("SELECT count(*) AS n FROM documents")
+def count_rows(spark, sf):
+    return _t(spark, sf, "documents").agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang")
+def value_counts(spark, sf):
+    return metrics.value_counts(_t(spark, sf, "documents"), "lang").orderBy(F.desc("n"), "lang")
+
+
+@query("SELECT toxic, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY toxic")
+def counter_by_key(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id").join(_t(spark, sf, "labels"), "doc_id", "left")
+    return metrics.value_counts(rows, "toxic", nulls=True)
+
+
+@query("SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' ELSE 'toxic' END AS field, coalesce(lang, source, toxic::varchar) AS value, count(*) AS n "
+       "FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), (source), (toxic))")
+def distribution_grouping_sets(spark, sf):
+    rows = _t(spark, sf, "documents").select("doc_id", "lang", "source").join(_t(spark, sf, "labels"), "doc_id")
+    out = rows.groupingSets([["lang"], ["source"], ["toxic"]], "lang", "source", "toxic").agg(
+        F.count("*").alias("n"), F.grouping("lang").alias("gl"), F.grouping("source").alias("gs"))
+    return out.select(
+        F.when(F.col("gl") == 0, "lang").when(F.col("gs") == 0, "source").otherwise("toxic").alias("field"),
+        F.coalesce("lang", "source", F.col("toxic").cast("string")).alias("value"), "n",
+    )
+
+
+@query("SELECT count(*) AS n, count(*) // 4 AS each FROM labels")
+def review_workload(spark, sf):
+    return _t(spark, sf, "labels").agg(F.count("*").alias("n")).select("n", F.floor(F.col("n") / 4).cast("long").alias("each"))
+
+
+@query("SELECT quality AS majority FROM labels GROUP BY quality ORDER BY count(*) DESC, quality LIMIT 1")
+def majority_class(spark, sf):
+    return metrics.majority_class(_t(spark, sf, "labels"), "quality")
+
+
+@query(f"{MATRIX} ({TRUTHS})")
+def confusion_matrix(spark, sf):
+    return metrics.confusion(_guessed(spark, sf), "truth", "predicted")
+
+
+@query(_metrics_sql(f"{MATRIX} ({TRUTHS})"))
+def metrics_binary(spark, sf):
+    return metrics.metrics(metrics.confusion(_guessed(spark, sf), "truth", "predicted"))
+
+
+@query(f"SELECT fn AS false_negatives, fn + tp AS positives, fp AS false_positives, fp + tn AS negatives FROM ({MATRIX} ({TRUTHS}))")
+def error_summary(spark, sf):
+    return metrics.errors(metrics.confusion(_guessed(spark, sf), "truth", "predicted"))
+
+
+@query(f"SELECT recall >= 0.85 AS recall_met, f1_macro > 0.75 AS f1_met FROM ({_metrics_sql(f'{MATRIX} ({TRUTHS})')})")
+def metric_goal_check(spark, sf):
+    return metrics.goals(metrics_binary(spark, sf))
+
+
+@query(f"SELECT doc_id, toxic, ({MAJORITY}) AS predicted FROM labels l JOIN ({SPLIT_SQL}) s USING (doc_id) WHERE split = 'test'")
+def majority_baseline_predict(spark, sf):
+    return _baseline(spark, sf).select("doc_id", "toxic", "predicted")
+
+
+@query(_metrics_sql(f"{MATRIX} ({BASELINE})"))
+def majority_baseline_metrics(spark, sf):
+    return metrics.metrics(metrics.confusion(_baseline(spark, sf), "toxic", "predicted"))
+
+
+@query("SELECT metric, baseline, model, model - baseline AS delta FROM "
+       f"(SELECT unnest(['accuracy', 'f1_macro', 'recall']) AS metric, unnest([accuracy, f1_macro, recall]) AS baseline FROM ({_metrics_sql(f'{MATRIX} ({BASELINE})')})) FULL JOIN "
+       f"(SELECT unnest(['accuracy', 'f1_macro', 'recall']) AS metric, unnest([accuracy, f1_macro, recall]) AS model FROM ({_metrics_sql(f'{MATRIX} ({TRUTHS})')})) USING (metric)")
+def metric_delta(spark, sf):
+    base = metrics.long_form(majority_baseline_metrics(spark, sf), "baseline")
+    return metrics.delta(base, metrics.long_form(metrics_binary(spark, sf), "model"))
+
+
+# ---- windows, order, samples
+
+@query(SPLIT_SQL)
+def stratified_split(spark, sf):
+    return split.stratified_split(_t(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id")
+
+
+@query(f"SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {_hash('doc_id')}, doc_id) AS r FROM documents) WHERE r <= 18")
+def sample_k_per_category(spark, sf):
+    return split.sample_per_stratum(_t(spark, sf, "documents").select("doc_id", "lang"), "lang", "doc_id", config.PER_CATEGORY)
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 3")
+def top_k_per_group(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("source").orderBy("doc_id")
+    return _t(spark, sf, "documents").select("source", "doc_id").withColumn("r", F.row_number().over(w)).where("r <= 3").drop("r")
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 5")
+def top_k(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(5)
+
+
+@query(f"SELECT doc_id, {_hash('doc_id')} AS place FROM documents ORDER BY place, doc_id")
+def hash_shuffle(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", split.hash_order(F.col("doc_id")).alias("place")).orderBy("place", "doc_id")
+
+
+@query("SELECT c_name AS name FROM customer UNION ALL SELECT s_name FROM supplier")
+def union_all(spark, sf):
+    return _t(spark, sf, "customer").select(F.col("c_name").alias("name")).unionByName(_t(spark, sf, "supplier").select(F.col("s_name").alias("name")))
+
+
+# ---- scalar functions
+
+@query("SELECT p_partkey, replace(lower(regexp_replace(p_type, '^\\s+|\\s+$', '', 'g')), '.', '') AS code FROM part")
+def normalize_code(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", tx.normalize_code(F.col("p_type")).alias("code"))
+
+
+@query(f"SELECT doc_id, {CLEAN} AS text FROM documents")
+def clean_truncate(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", tx.clean_truncate(F.col("text"), config.TEXT_CHARS).alias("text"))
+
+
+@query(f"SELECT doc_id, {WORDS} AS n_words FROM documents")
+def word_count(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", tx.word_count(F.col("text")).alias("n_words"))
+
+
+@query(f"SELECT doc_id, {PRETOKENS} AS n_tokens FROM documents")
+def pretoken_count(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.size(tx.pretokens(F.col("text"))).cast("long").alias("n_tokens"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {WORDS} <> 0 THEN {PRETOKENS} / ({WORDS})::double END AS ratio FROM documents")
+def token_ratio(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", tx.ratio(F.size(tx.pretokens(F.col("text"))), tx.word_count(F.col("text"))).alias("ratio"))
+
+
+@query("SELECT page_id, list_last(string_split(url, '/')) AS name FROM pages")
+def basename(spark, sf):
+    return _t(spark, sf, "pages").select("page_id", tx.basename(F.col("url")).alias("name"))
+
+
+@query("SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::bigint AS class FROM embeddings")
+def embedding_argmax(spark, sf):
+    return _t(spark, sf, "embeddings").select("vec_id", vectors.argmax(F.col("embedding")).alias("class"))
+
+
+@query()
+def embedding_softmax(spark, sf):
+    return _t(spark, sf, "embeddings").select("vec_id", vectors.softmax(F.col("embedding")).alias("probabilities"))
+
+
+# ---- tokens
+
+PROFILE = (f"SELECT doc_id, {WORDS} AS n_words, 'words' AS tokenizer, {WORDS} AS n_tokens FROM documents UNION ALL "
+           f"SELECT doc_id, {WORDS}, 'pretokens', {PRETOKENS} FROM documents")
+
+
+@query(f"SELECT *, CASE WHEN n_words <> 0 THEN n_tokens / n_words::double END AS tokens_per_word FROM ({PROFILE})")
+def token_profile(spark, sf):
+    return tokens.profile(_t(spark, sf, "documents").select("doc_id", "text"), "text").drop("text")
+
+
+@query(f"SELECT tokenizer, round(avg(n_tokens / n_words::double), 9) AS mean_ratio, count(*) AS n FROM ({PROFILE}) GROUP BY tokenizer")
+def tokenizer_compare(spark, sf):
+    out = tokens.compare(tokens.profile(_t(spark, sf, "documents").select("text"), "text"))
+    return out.select("tokenizer", F.round("mean_ratio", 9).alias("mean_ratio"), "n")
+
+
+@query(f"SELECT lang, round(avg(CASE WHEN {WORDS} <> 0 THEN {PRETOKENS} / ({WORDS})::double END), 9) AS mean_ratio FROM documents GROUP BY lang")
+def mean_token_ratio(spark, sf):
+    ratio = tx.ratio(F.size(tx.pretokens(F.col("text"))), tx.word_count(F.col("text")))
+    return _t(spark, sf, "documents").groupBy("lang").agg(F.round(F.avg(ratio), 9).alias("mean_ratio"))
+
+
+@query(r"SELECT doc_id, list_slice(regexp_extract_all(text, '[^\s\p{P}$+<=>^`|~]+|[\p{P}$+<=>^`|~]'), 1, 128) AS tokens FROM documents")
+def token_truncate(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", tokens.truncate(tx.pretokens(F.col("text")), config.MAX_TOKENS).alias("tokens"))
+
+
+# ---- models: results differ by platform, so these have no SQL
+
+def _fitted(spark: SparkSession, sf: str):
+    rows = _labelled_split(spark, sf).join(_t(spark, sf, "documents").select("doc_id", "text"), "doc_id").withColumn("label", F.col("toxic").cast("double"))
+    return model.train(rows.where("split = 'train'"), "text", "label"), rows.where("split = 'test'")
+
+
+@query()
+def ml_train_predict(spark, sf):
+    fitted, test = _fitted(spark, sf)
+    return model.predict(fitted, test, "text").select("doc_id", "toxic", "predicted", "probability")
+
+
+@query()
+def ml_predict(spark, sf):
+    fitted, _ = _fitted(spark, sf)
+    return model.predict(fitted, _t(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "predicted")
+
+
+@query()
+def ml_metrics(spark, sf):
+    fitted, test = _fitted(spark, sf)
+    return model.evaluate(model.predict(fitted, test, "text"), "toxic")
+
+
+@query()
+def ml_reload_equivalence(spark, sf):
+    """Rows for which a model saved and loaded again predicts otherwise: none."""
+    import tempfile
+    import uuid
+
+    fitted, test = _fitted(spark, sf)
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/model-{uuid.uuid4().hex}"
+    model.save(fitted, path)
+    a = model.predict(fitted, test, "text").select("doc_id", F.col("predicted").alias("before"))
+    b = model.predict(model.load(path), test, "text").select("doc_id", F.col("predicted").alias("after"))
+    return a.join(b, "doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("before") != F.col("after")).alias("n_different"))
+
+
+# ---- the whole keyword flow in one query, and the flagship
 
-def queries():
-    return {}
+@query(f"SELECT label, count(*) AS n, sum(length(text))::bigint AS chars FROM (SELECT {CLEAN} AS text, CASE WHEN {ANY_URGENT} THEN 'urgente' ELSE 'revisar_manual' END AS label FROM documents WHERE {ANY_TERM}) GROUP BY label")
+def keyword_flow(spark, sf):
+    found = curate.keyword_candidates(_t(spark, sf, "documents").select("text"), "text", TERMS, URGENT)
+    return found.groupBy(F.col("suggested_label").alias("label")).agg(F.count("*").alias("n"), F.sum(F.char_length("text").cast("long")).alias("chars"))
 
 
-def oracle_sql():
-    return {}
+@query(_metrics_sql(f"{MATRIX} ({BASELINE})"), name="flagship")
+def flagship(spark, sf):
+    """Documents with labels, split by language, scored by the majority baseline."""
+    return majority_baseline_metrics(spark, sf)
