@@ -2,4 +2,78 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from .quality import ALPHA, DELTA, GOOD_WEIGHT, MAX_REPEAT_PERCENT, MIN_WORDS, RULES, WINDOW
+
+_RENDER = "coalesce(array_to_string(list_transform({0}, lambda t: '<|' || coalesce(t.role, '') || '|>' || chr(10) || coalesce(t.text, '') || '<|end|>' || chr(10)), ''), '')"
+_LOSS = "coalesce(list_sum(list_transform(list_filter({0}, lambda t: t.role = 'assistant'), lambda t: length(coalesce(t.text, '')) + 8)), 0)::BIGINT"
+
+OP3 = f"""
+WITH c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+v AS (SELECT * FROM (SELECT conv_id, t, list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].role = 'assistant' THEN i ELSE 0 END)) AS k FROM c) WHERE k > 0),
+p AS (SELECT a.conv_id AS pair_id, a.t AS c, list_concat(a.t[1 : a.k - 1], [b.t[b.k]]) AS r FROM v a JOIN v b ON b.conv_id = xor(a.conv_id, 1)),
+q AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1, least(len(c), len(r)))::BIGINT AS n FROM p),
+s AS (SELECT pair_id, n, c[1 : n] AS same, c[n + 1 : len(c)] AS c, r[n + 1 : len(r)] AS r FROM q)
+SELECT pair_id, n AS n_common, {_RENDER.format('same')} AS prompt, {_RENDER.format('c')} AS chosen, {_RENDER.format('r')} AS rejected,
+       {_LOSS.format('c')} AS chosen_loss_chars, {_LOSS.format('r')} AS rejected_loss_chars
+FROM s
+"""
+
+_WORDS4 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP4 = f"""
+WITH d AS (SELECT doc_id, {_WORDS4} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS4} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS g
+       FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+h AS (SELECT dw.doc_id, dw.i, dw.n, iw.item_id FROM dw JOIN iw USING (n, g)),
+hits AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM (SELECT DISTINCT doc_id, i, n FROM h)) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS s FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(s, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP6 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS first FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM r
+"""
+
+
+def _quality() -> str:
+    rate = ALPHA / len(RULES)
+    cells = " UNION ALL ".join(
+        f"SELECT stratum, '{r}' AS rule, {c}::DOUBLE AS cutoff, count(*) FILTER (y = 1) AS n, count(*) FILTER (y = 1 AND m_{r} > {c}::DOUBLE) AS k, "
+        f"count(*) FILTER (y = 0 AND m_{r} > {c}::DOUBLE) AS bad FROM evidence GROUP BY stratum"
+        for r in RULES for c in RULES[r][2]
+    )
+    ratios = ", ".join(f"CASE WHEN {b} = 0 THEN 0.0::DOUBLE ELSE {a} / {b}::DOUBLE END AS m_{r}" for r, (a, b, _) in RULES.items())
+    grid = sum(len(x[2]) for x in RULES.values())
+    tail = (f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}::DOUBLE) + (n - i) * ln(1 - {rate!r}::DOUBLE))))")
+    kept = " AND ".join(f"NOT coalesce(m_{r} > (SELECT cutoff FROM best WHERE best.stratum = b.lang AND rule = '{r}'), false)" for r in RULES)
+    return rf"""
+WITH t AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+g AS (SELECT doc_id, i, array_to_string(ws[i : i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM w WHERE len(ws) >= {WINDOW})),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS place FROM twice) GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(text, '[^!]+', '', 'g'))::BIGINT AS n_shouts,
+             len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, {ratios} FROM m),
+known AS (SELECT doc_id, min(quality) AS y FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+evidence AS (SELECT lang AS stratum, b.*, y FROM b JOIN known USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL),
+cells AS ({cells}),
+certified AS (SELECT * FROM cells WHERE k < n * {rate!r}::DOUBLE AND {tail} <= {DELTA}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM evidence) * {grid})),
+best AS (SELECT stratum, rule, arg_max(cutoff, (bad - {GOOD_WEIGHT} * k, cutoff)) AS cutoff FROM certified GROUP BY stratum, rule)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {kept} AS kept FROM b
+"""
+
+
+ORACLES: dict[str, str] = {"op3_preference_format": OP3, "op4_winnowing": OP4, "op6_warc": OP6, "op7_quality_rules": _quality()}
