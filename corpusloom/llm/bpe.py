@@ -23,14 +23,32 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def splitter_for(pattern: str):
-    """Text -> matches of a tokenizer's pattern."""
-    def make():
-        import regex
+#: Letters of the Latin blocks up to U+024F; every other character there beyond ASCII is left to the general way.
+LATIN = r"A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\u024F"
+
+
+def finder(pattern: str):
+    """text -> all matches of a tokenizer's pattern.
+
+    Texts of ASCII and Latin letters only take the standard library's engine, with the
+    classes spelled out; all others one that knows Unicode's properties.
+    """
+    import re
+
+    import regex
+
+    general = regex.compile(pattern.replace("[^\\s", "[^" + SPACE).replace("\\s", SPACE).replace("\\S", NO_SPACE)).findall
+    # Bare classes get brackets, those inside brackets don't.
+    plain = re.sub(r"\[\^?[^\]]*\]", lambda m: m[0].replace("\\p{L}", LATIN).replace("\\p{N}", "0-9").replace("\\s", " \\t-\\r"), pattern)
+    plain = plain.replace("\\p{L}", f"[{LATIN}]").replace("\\p{N}", "[0-9]").replace("\\s", "[ \\t-\\r]").replace("\\S", "[^ \\t-\\r]")
+    simple = re.compile(plain).findall
+    other = re.compile(r"[^\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\u024F]").search
+    return lambda t: simple(t) if t.isascii() or not other(t) else general(t)
 
-        return regex.compile(pattern.replace("[^\\s", "[^" + SPACE).replace("\\s", SPACE).replace("\\S", NO_SPACE)).findall
 
-    return make
+def splitter_for(pattern: str):
+    """Text -> matches of a tokenizer's pattern."""
+    return lambda: finder(pattern)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -48,16 +66,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     kind = docs.schema[key].dataType
     arrow_kind = _arrow(kind)
 
-    def assemble(keys, sizes, ends, slots, ids):
-        lengths = np.fromiter((len(x) for x in ids), dtype=np.int64, count=len(ids))
-        starts = np.cumsum(lengths) - lengths
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(lengths.sum()))
+    def assemble(keys, sizes, ends, slots, answers):
+        starts, lengths, flat = answers
         each = lengths[slots]
-        total = np.cumsum(each)
-        shift = np.repeat(starts[slots] - (total - each), each)
-        tokens = flat[shift + np.arange(len(shift))]
-        offsets = np.concatenate([[0], np.concatenate([[0], total])[ends]]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(keys, arrow_kind), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))], [key, "ids"])
+        total = np.concatenate([[0], np.cumsum(each)])
+        tokens = flat[np.repeat(starts[slots] - total[:-1], each) + np.arange(total[-1])]
+        offsets = np.concatenate([[0], total[ends]]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(keys, arrow_kind), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()))], [key, "ids"])
 
     return shuffle_words(docs, key, text, splitter_for(pattern), worker, assemble, f"`{key}` {kind.simpleString()}, ids array<int>")
 

@@ -15,6 +15,7 @@ answer ends the job.
 from __future__ import annotations
 
 import pickle
+import zlib
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -76,21 +77,18 @@ def _row(chunk: int, bucket: int, body: bytes) -> pa.RecordBatch:
     )
 
 
-def _bucket(word: str, buckets: int) -> int:
-    return xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) % buckets
-
-
 def shuffle_words(
     docs: DataFrame, key: str, text: str, splitter: Callable[[], Callable[[str], list[str]]],
-    worker: Callable[[], Callable[[list[str]], list]], assemble: Callable[[list, list, np.ndarray, np.ndarray, list], pa.RecordBatch],
+    worker: Callable[[], Callable[[list[str]], list[list[int]]]], assemble: Callable[..., pa.RecordBatch],
     schema: str, frequencies: bool = False, buckets: int = 256, chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """One row per row of ``docs`` by ``assemble(keys, sizes, ends, slots, answers[, counts])``.
 
     splitter() makes the function text -> pre-tokens, worker() the function from distinct
-    pre-tokens to answers; both run once per Python worker.  sizes are the texts' bytes;
-    ``slots[ends[i-1]:ends[i]]`` belong to text i: its pre-tokens in order, or with
-    ``frequencies`` its distinct ones beside their counts.  ``answers`` is indexed by slot.
+    pre-tokens to answers, lists of ints; both run once per Python worker.  sizes are the
+    texts' bytes; ``slots[ends[i-1]:ends[i]]`` belong to text i: its pre-tokens in order,
+    or with ``frequencies`` its distinct ones beside their counts.  ``answers`` is
+    (starts, lengths, flat): the answer of a slot is ``flat[start:start+length]``.
     A NULL text is empty; repeated keys stay apart; the empty table gives no rows.
     """
     pairs = docs.select(F.col(key), F.col(text))
@@ -111,9 +109,12 @@ def shuffle_words(
     def words(batches):
         split = splitter()
         for chunk, _, texts in _chunks(batches, chunk_bytes):
+            seen: dict[str, None] = {}  # in the order of the slots
+            for t in texts:
+                seen.update(dict.fromkeys(split(t)))
             parts: list[tuple[list[int], list[str]]] = [([], []) for _ in range(buckets)]
-            for word, slot in split_chunk(split, texts)[0].items():
-                at, said = parts[_bucket(word, buckets)]
+            for slot, word in enumerate(seen):
+                at, said = parts[zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets]
                 at.append(slot)
                 said.append(word)
             for b, (at, said) in enumerate(parts):
@@ -124,9 +125,9 @@ def shuffle_words(
         split = splitter()
         for chunk, keys, texts in _chunks(batches, chunk_bytes):
             slots, places, counts, ends = split_chunk(split, texts)
-            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            sizes = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
             planes = np.array(places, dtype=np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()  # byte planes pack better
-            yield _row(chunk, -1, _pack((keys, sizes, np.array(ends, dtype=np.int64), planes, counts, len(slots))))
+            yield _row(chunk, -1, _pack((keys, sizes, np.array(ends, dtype=np.int64), planes, np.array(counts, dtype=np.uint32), len(slots))))
 
     def answers(batches):
         work, known = worker(), {}
@@ -134,36 +135,39 @@ def shuffle_words(
             for chunk, bucket, body in zip(*(batch.column(i) for i in range(3))):
                 at, said = _unpack(body.as_py())
                 new = [w for w in said if w not in known]
-                known.update(zip(new, work(new)))
-                yield _row(chunk.as_py(), bucket.as_py(), _pack((at, [known[w] for w in said])))
+                known.update(zip(new, (array("i", x).tobytes() for x in work(new))))
+                got = [known[w] for w in said]
+                lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
+                yield _row(chunk.as_py(), bucket.as_py(), _pack((at, lengths.astype(np.uint32), b"".join(got))))
 
     def joined(table: pa.Table) -> pa.Table:
-        body, given = None, []
-        for bucket, packed in zip(table.column("bucket").to_pylist(), table.column("body").to_pylist()):
+        texts, parts = [], {}
+        for bucket, packed in zip(table.column("bucket").to_pylist(), table.column("body")):
             if bucket < 0:
-                body = _unpack(packed)  # equal chunks have equal bodies; each is done below
-                given.append((None, body))
+                texts.append(packed)  # equal chunks have one name; each is done below
             else:
-                given.append((bucket, packed))
-        texts = [x for b, x in given if b is None]
+                parts[bucket] = packed
         out = []
-        if texts:
-            n = texts[0][5]
-            replies: list = [None] * n
-            seen = set()
-            for b, packed in given:
-                if b is not None and b not in seen:
-                    seen.add(b)
-                    at, reply = _unpack(packed)
-                    for i, r in zip(at.tolist(), reply):
-                        replies[i] = r
-            if any(r is None for r in replies):
-                raise RuntimeError("a chunk of texts met the pre-tokens of another; the input isn't read in one order")
-            for keys, sizes, ends, planes, counts, _ in texts:
-                places = np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
-                args = (keys, sizes, ends, places, replies)
-                out.append(assemble(*args, np.array(counts, dtype=np.int64)) if frequencies else assemble(*args))
-        elif given:
+        ready = None
+        for packed in texts:
+            keys, sizes, ends, planes, counts, n = _unpack(packed.as_py())
+            if ready is None:
+                starts, lengths = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
+                flat, end = [], 0
+                for part in parts.values():
+                    at, size, said = _unpack(part.as_py())
+                    size = size.astype(np.int64)
+                    lengths[at] = size
+                    starts[at] = end + np.cumsum(size) - size
+                    flat.append(np.frombuffer(said, dtype=np.int32))
+                    end += len(flat[-1])
+                if (starts < 0).any():
+                    raise RuntimeError("a chunk of texts met the pre-tokens of another; the input isn't read in one order")
+                ready = (starts, lengths, np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32))
+            places = np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
+            args = (keys, sizes, ends, places, ready)
+            out.append(assemble(*args, counts.astype(np.int64)) if frequencies else assemble(*args))
+        if parts and not texts:
             raise RuntimeError("pre-tokens came back without their chunk; the input isn't read in one order")
         return pa.Table.from_batches(out)
 

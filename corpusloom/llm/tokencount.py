@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import NO_SPACE, SPACE, _arrow
+from .bpe import _arrow, finder
 from .common import ship
 from .pretokens import shuffle_words
 
@@ -42,8 +42,7 @@ def splitter_for(path: str):
         split = pre[0]
         if not set(normal) <= {"NFC", "Replace", "Lowercase"} or split["type"] != "Split" or split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError(f"{path}: a normalizer or pre-tokenizer that isn't understood here")
-        pattern = split["pattern"]["Regex"].replace("[^\\s", "[^" + SPACE).replace("\\s", SPACE).replace("\\S", NO_SPACE)
-        find = regex.compile(pattern).findall
+        find = finder(split["pattern"]["Regex"])
         specials = sorted((a["content"] for a in spec["added_tokens"]), key=len, reverse=True)
         cutter = regex.compile("|".join(map(regex.escape, specials))) if specials else None
 
@@ -84,13 +83,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", key:
             "normalizer": None, "added_tokens": [], "post_processor": None, "truncation": None, "padding": None,
             "pre_tokenizer": _parts(spec["pre_tokenizer"], "pretokenizers")[-1],
         }))
-        return lambda words: [1 if w[0] == " " else len(e) for w, e in zip(words, own.encode_batch(words, add_special_tokens=False))]
+        return lambda words: [[1 if w[0] == " " else len(e)] for w, e in zip(words, own.encode_batch(words, add_special_tokens=False))]
 
     kind = docs.schema[key].dataType
     arrow_kind = _arrow(kind)
 
-    def assemble(keys, sizes, ends, slots, pieces, counts):
-        total = np.concatenate([[0], np.cumsum(np.array(pieces, dtype=np.int64)[slots] * counts)]).astype(np.int64)
+    def assemble(keys, sizes, ends, slots, answers, counts):
+        starts, _, pieces = answers
+        total = np.concatenate([[0], np.cumsum(pieces[starts[slots]].astype(np.int64) * counts)])
         tokens = np.diff(np.concatenate([[0], total[ends]]))
         return pa.RecordBatch.from_arrays(
             [pa.array(keys, arrow_kind), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(tokens > limit)],
