@@ -12,8 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """``links(a, b)`` -> ``(node, root)``, root being the smallest node reachable.
 
     Each round points every node at the least of itself and its neighbours, follows the
-    pointers once more and contracts the links onto what they point at, so that the
-    links shrink from round to round until none is left.  A round is a min with
+    pointers to their ends (each step doubles their reach, so that chains take few) and
+    contracts the links onto those ends, until no link is left.  A round is a min with
     map-side combine and joins on single nodes; no neighbourhood is collected.
     Nodes without a link do not appear; NULL ends and self-links are ignored.
     """
@@ -21,9 +21,13 @@ def components(links: DataFrame) -> DataFrame:
     roots = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        near = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to")))
-        onward = near.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        jumped = cut(near.join(onward, "to").select("node", F.col("next").alias("to")))
+        jumped = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("to")))
+        moved = True
+        while moved:
+            onward = jumped.select(F.col("node").alias("to"), F.col("to").alias("next"))
+            step = cut(jumped.join(onward, "to").select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            moved = not step.where("moved").isEmpty()
+            jumped = step.drop("moved")
         edges = cut(
             edges.join(jumped.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a")
             .join(jumped.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
