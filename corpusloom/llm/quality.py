@@ -171,4 +171,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
     measured = cut(features(docs.select(key, text, stratum), text).drop(text))
     cutoffs = cut(fit(measured, labels, key, stratum))
     own = docs.columns
-    return judge(features(docs.withColumn("_row", F.struct(*own)), text), cutoffs, stratum).where("kept").select("_row.*")
+    # The row number keeps the filter above the measures: pushed below them, it would
+    # repeat their nested expressions over and over.
+    again = features(docs.withColumn("_row", F.struct(*own)), text).withColumn("_id", F.monotonically_increasing_id())
+    return judge(again, cutoffs, stratum).where("kept and _id >= 0").select("_row.*")
