@@ -220,7 +220,7 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     spark = pages.sparkSession
     cut(spark.range(0))  # makes sure of the folder
     path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
-    write_warc(pages, path, key, url, html)
+    write_warc(pages, path, key, url, html, compression="gzip")
     rows = reassemble(read_records(spark, path))
     kind = pages.schema[key].dataType
     number = lambda c, pattern: F.regexp_extract(c, pattern, 1).cast(kind)
