@@ -3,9 +3,10 @@
 Every text node has a root-to-leaf tag path.  Text length and punctuation are summed
 per path and divided by its nodes, smoothed over neighbouring paths in page order,
 multiplied, and the paths above a threshold are content.  Parts that markup itself
-names as menus, adverts, forms, comments and the like take no part.  The content node
-is the deepest element that holds most of the content paths' text (an article or main
-element where there is one); all its blocks are the main text, short ones included.
+names as menus, adverts, forms, comments and the like take no part.  All blocks of the
+content paths are main text, and with them all blocks, short ones included, of the
+content nodes: the article (or main) elements, and where there are none the deepest
+element that holds most of the content with the prose and title around it.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ CLOSES = {
 }
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»\"“”]")
 SPACES = re.compile(r"\s+")
+FLOW = set("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
 #: A path is content from this share of the largest fused ratio on; a content node holds this share of the content text.
 SHARE = 0.25
 HOLD = 0.6
@@ -161,27 +163,94 @@ def main_blocks(page: str) -> list[str]:
     fused = {path: smooth(0, i) * (1 + smooth(1, i)) for i, path in enumerate(sums)}
     least = SHARE * max(fused.values())
     chosen = [b for b in blocks if fused[b["path"]] >= least] or blocks
+    picked = {id(b) for b in chosen}
+    if not (nodes := _named_nodes(chosen, elements)):
+        nodes, loose = _grown_nodes(blocks, chosen, elements)
+        picked |= loose
+
+    def inside(e: int) -> bool:
+        while e >= 0:
+            if e in nodes:
+                return True
+            e = elements[e][0]
+        return False
+
+    return [
+        b["text"] for b in blocks
+        if id(b) in picked or inside(b["element"]) and not (b["links"] > 0.8 * len(b["text"]) and fused[b["path"]] < least)
+    ]
+
+
+def _held(blocks: list[dict], elements: list[tuple[int, str]]) -> dict[int, int]:
+    """The length of the blocks' texts in each element that holds any."""
     held: dict[int, int] = {}
-    total = 0
-    for b in chosen:
-        total += len(b["text"])
+    for b in blocks:
         e = b["element"]
         while e >= 0:
             held[e] = held.get(e, 0) + len(b["text"])
             e = elements[e][0]
-    named = [e for e in held if elements[e][1] in HEADER_SCOPES and held[e] >= NAMED_HOLD * total]
-    if named:
-        root = max(named, key=lambda e: (held[e], e))
-    else:
-        wide = [e for e in held if held[e] >= HOLD * total and elements[e][1] not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "td")]
-        root = max(wide, default=0)  # elements are numbered from the outside in
+    return held
 
-    def inside(e: int) -> bool:
-        while e > root:
+
+def _named_nodes(chosen: list[dict], elements: list[tuple[int, str]]) -> set[int]:
+    """All outermost article (else main) elements with content blocks; none where they hold too little of it."""
+    held = _held(chosen, elements)
+    for name in ("article", "main"):
+        nodes: set[int] = set()
+        for e in sorted(x for x in held if elements[x][1] == name):  # elements are numbered from the outside in
+            up = elements[e][0]
+            while up >= 0 and up not in nodes:
+                up = elements[up][0]
+            if up < 0:
+                nodes.add(e)
+        if nodes and sum(held[e] for e in nodes) >= NAMED_HOLD * held[0]:
+            return nodes
+    return set()
+
+
+def _grown_nodes(blocks: list[dict], chosen: list[dict], elements: list[tuple[int, str]]) -> tuple[set[int], set[int]]:
+    """The deepest element with most of the content and the elements around it that belong to it; blocks of bare text between them.
+
+    A level above is part of the text, all but its parts of links, where it has content
+    blocks or prose that stands in it as paragraphs, lists and the like do; of other
+    levels the first top heading is.
+    """
+    held = _held(chosen, elements)
+    core = max(e for e in held if held[e] >= HOLD * held[0])
+    nodes, loose = {core}, set()
+    picked = {id(b) for b in chosen}
+
+    def above(e: int, top: int) -> list[int]:
+        """The elements from ``e`` to below ``top``; [] for ``top`` itself."""
+        out = []
+        while e > top:
+            out.append(e)
             e = elements[e][0]
-        return e == root
+        return out if e == top else [-1]
 
-    return [b["text"] for b in blocks if inside(b["element"]) and not (b["links"] > 0.8 * len(b["text"]) and fused[b["path"]] < least)]
+    titled = any(x[1] == "h1" and core in above(i, -1) for i, x in enumerate(elements))
+    below, level = core, elements[core][0]
+    while level >= 0:
+        parts: dict[int, list[dict]] = {}
+        for b in blocks:
+            way = above(b["element"], level)
+            if way != [-1] and below not in way:
+                parts.setdefault(way[-1] if way else level, []).append(b)
+        prose = {
+            e: any(PUNCTUATION.search(b["text"]) for b in part) and 2 * sum(b["links"] for b in part) < sum(len(b["text"]) for b in part)
+            for e, part in parts.items()
+        }
+        titles = set() if titled else {e for e, part in parts.items() if any(elements[b["element"]][1] == "h1" for b in part)}
+        titled = titled or bool(titles)
+        whole = any(prose[e] and (e == level or elements[e][1] in FLOW) or any(id(b) in picked for b in part) for e, part in parts.items())
+        for e, part in parts.items():
+            if e in titles or whole and 2 * sum(b["links"] for b in part) < sum(len(b["text"]) for b in part):
+                if e == level:
+                    loose.update(id(b) for b in part)
+                else:
+                    nodes.add(e)
+        below, level = level, elements[level][0]
+    return nodes, loose
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

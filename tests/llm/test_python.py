@@ -161,6 +161,33 @@ def test_page_without_article():
     assert html_text.main_blocks(page) == ["Head", *(f"Paragraph {i}, with a good many words, and marks." for i in range(6))]
 
 
+def paragraphs(n, of="Paragraph"):
+    return [f"{of} {i}, with a good many words, and marks." for i in range(n)]
+
+
+def html_of(texts, tag="p"):
+    return "".join(f"<{tag}>{t}</{tag}>" for t in texts)
+
+
+def test_page_of_several_parts():
+    """Sections beside each other, one very long block among short ones, two articles: nothing of the text is lost."""
+    a, b, long = paragraphs(7), paragraphs(3, "Later"), "A long passage, with marks. " * 60
+    menu = "<ul><li><a href='/'>Home</a></li><li><a href='/x'>News, all of them</a></li></ul>"
+    page = f"<body><div>{menu}</div><div id='content'><section>{html_of(a)}</section><section><h2>More</h2>{html_of(b)}</section></div></body>"
+    assert html_text.main_blocks(page) == [*a, "More", *b]
+    for tag in ("blockquote", "pre", "div"):
+        page = f"<body><div>{menu}</div><div id='content'><h1>Title</h1>{html_of(b)}<{tag}>{long}</{tag}><p>Short.</p></div></body>"
+        assert html_text.main_blocks(page) == ["Title", *b, long.strip(), "Short."], tag
+    page = f"<body><div id='content'><h1>Title</h1>{html_of(b)}<table><tr><td>{long}</td></tr></table></div></body>"
+    assert html_text.main_blocks(page) == ["Title", *b, long.strip()]
+    page = f"<body><div>About us</div><div><div><h1>Title</h1></div><div><pre>{long}</pre></div></div></body>"
+    assert html_text.main_blocks(page) == ["Title", long.strip()]
+    page = f"<body><div>{menu}Bare text, too.<pre>{long}</pre></div></body>"
+    assert html_text.main_blocks(page) == ["Bare text, too.", long.strip()]
+    page = f"<body>{menu}<article><h2>One</h2>{html_of(a)}</article><article><h2>Two</h2>{html_of(b)}</article></body>"
+    assert html_text.main_blocks(page) == ["One", *a, "Two", *b]
+
+
 def turns(*pairs):
     return [{"role": r, "text": t} for r, t in pairs]
 
