@@ -3,7 +3,8 @@
 Every text node has a root-to-leaf tag path.  Text length and punctuation are summed
 per path and divided by its nodes, smoothed over neighbouring paths in page order,
 multiplied, and the paths above a threshold are content.  Parts that markup itself
-names as menus, adverts, forms, comments and the like take no part.  All blocks of the
+names as menus, adverts, forms, comments and the like take no part, save where a class
+or id names what holds the title or the greater part of the text.  All blocks of the
 content paths are main text, and with them all blocks, short ones included, of the
 content nodes: the article (or main) elements, and where there are none the deepest
 element that holds most of the content with the prose and title around it.
@@ -41,6 +42,11 @@ NAMES = set(
     " comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations trending newsletter"
     " subscribe subscription signup login search pagination pager widget toolbar skip copyright legal disclaimer".split()
 )
+# Words that stand beside a name without changing what it means; a header of one of TEXTS is part of the text.
+PLACES = set("site global main page left right top bottom primary secondary inner area bar box block list container wrapper wrap section item link links".split())
+TEXTS = set("post entry article page main section content".split())
+MARKS = {"h1", "main", "article"}
+HEADERS = set("header masthead banner".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
     "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"},
@@ -54,13 +60,9 @@ HOLD = 0.6
 NAMED_HOLD = 0.4
 
 
-def _named_boilerplate(name: str, attributes: str) -> bool:
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
+def _hidden(attributes: str) -> bool:
     for key, value in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and NAMES.intersection(re.split(r"[^a-z]+", value)):
-            return True
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -68,9 +70,67 @@ def _named_boilerplate(name: str, attributes: str) -> bool:
     return False
 
 
-def _blocks(page: str) -> tuple[list[dict], list[tuple[int, str]]]:
-    """Blocks of text in page order, and the elements as (parent, name)."""
+def _is_name(whole: str) -> bool:
+    """Whether one class or id names boilerplate: a name, or names and places only (``site-footer``, ``post-comments``)."""
+    words = [w for w in re.split(r"[^a-z]+", whole) if w]
+    while len(words) > 1 and words[-1] in PLACES and words[-1] != "page":
+        words.pop()
+    if not words or words[-1] not in NAMES or not all(w in NAMES or w in PLACES or w in TEXTS for w in words):
+        return False
+    return not (words[-1] in HEADERS and TEXTS.intersection(words))
+
+
+def _named_boilerplate(name: str, attributes: str) -> bool:
+    if not attributes or name in ("html", "body", "article", "main"):
+        return False
+    return any(key.lower() in ("class", "id") and any(map(_is_name, value.strip("\"'").lower().split())) for key, value in ATTRIBUTE.findall(attributes))
+
+
+def _without_named(blocks: list[dict], elements: list[tuple[int, str]], named: set[int]) -> list[dict]:
+    """The blocks outside the elements that are boilerplate by name.
+
+    A name doesn't count where its element holds a top heading or main element, nor where
+    it holds an article, or no less text than there is outside all named elements, unless
+    enough text with such a mark is outside them.
+    """
+    if not named:
+        return blocks
+    ways, inner = [], {}
+    for b in blocks:
+        way, e = [], b["element"]
+        while e >= 0:
+            way.append(e)
+            e = elements[e][0]
+        ways.append(way)
+        plain = max(0, len(b["text"]) - b["links"])
+        b["marks"], b["plain"] = {elements[x][1] for x in way} & MARKS, plain
+        for at, x in enumerate(way):
+            if x in named:
+                sums = inner.setdefault(x, [0, set()])
+                sums[0] += plain
+                sums[1] |= {elements[y][1] for y in way[: at + 1]} & MARKS
+    text = -1
+    for x in sorted(inner, key=lambda x: (-inner[x][0], x)):  # outer elements before those in them
+        up = elements[x][0]
+        while up >= 0 and up not in named:
+            up = elements[up][0]
+        if up >= 0:
+            continue
+        if text < 0:
+            clean = [b for b, way in zip(blocks, ways) if not named.intersection(way)]
+            text, marked = sum(b["plain"] for b in clean), any(b["marks"] for b in clean)
+        size, marks = inner[x]
+        elsewhere = marked and text >= SHARE * size
+        if marks & {"h1", "main"} or ("article" in marks or size >= text) and not elsewhere:
+            named = named - {x}
+            text = -1
+    return [b for b, way in zip(blocks, ways) if not named.intersection(way)]
+
+
+def _blocks(page: str, names: bool = True) -> tuple[list[dict], list[tuple[int, str]]]:
+    """Blocks of text in page order, and the elements as (parent, name); ``names`` says whether names of inline elements count."""
     elements: list[tuple[int, str]] = [(-1, "")]
+    named: set[int] = set()
     stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, element, boilerplate
     blocks: list[dict] = []
     now: dict | None = None
@@ -132,19 +192,25 @@ def _blocks(page: str) -> tuple[list[dict], list[tuple[int, str]]]:
                     break
         if attributes.rstrip().endswith("/") and name in ("svg", "path"):
             continue
-        bad = stack[-1][2] or name in BOILERPLATE or _named_boilerplate(name, attributes)
+        bad = stack[-1][2] or name in BOILERPLATE or name not in ("html", "body", "article", "main") and _hidden(attributes)
+        if names and name in INLINE and _named_boilerplate(name, attributes):
+            bad = True
         if name == "header" and not any(x[0] in HEADER_SCOPES for x in stack):
             bad = True
         elements.append((stack[-1][1], name))
+        if name not in INLINE and not bad and _named_boilerplate(name, attributes):
+            named.add(len(elements) - 1)
         stack.append((name, len(elements) - 1, bad))
     for b in blocks:
         b["text"] = SPACES.sub(" ", html.unescape("".join(b["parts"]))).strip()
-    return [b for b in blocks if b["text"]], elements
+    return _without_named([b for b in blocks if b["text"]], elements, named), elements
 
 
 def main_blocks(page: str) -> list[str]:
     """The blocks of the main text of one page."""
     blocks, elements = _blocks(page)
+    if not blocks:
+        blocks, elements = _blocks(page, names=False)
     if not blocks:
         return []
     sums: dict[str, list[float]] = {}

@@ -188,6 +188,23 @@ def test_page_of_several_parts():
     assert html_text.main_blocks(page) == ["One", *a, "Two", *b]
 
 
+def test_page_with_misleading_names():
+    """A name that says header, sidebar or comment somewhere doesn't cost the title or the text; real boilerplate still goes."""
+    texts = paragraphs(6)
+    for name in ("article-header", "post-header", "entry-header", "header"):
+        page = f"<body><div class='menu'><p>A menu, here.</p></div><article><div class='{name}'><h1>Title</h1></div>{html_of(texts)}<div class='ad'>Buy, now!</div></article></body>"
+        assert html_text.main_blocks(page) == ["Title", *texts], name
+    aside = "<div class='sidebar'><p>Side text, which is long enough to count.</p></div>"
+    for name in ("content has-sidebar", "layout-with-sidebar", "widget-content", "main search-page", "legal", "comment-free", "notice"):
+        page = f"<body><div id='site-footer'><p>Foot text, of some length.</p></div>{aside}<div class='{name}'><h2>Head</h2>{html_of(texts)}{aside}</div></body>"
+        assert html_text.main_blocks(page) == ["Head", *texts], name
+    assert html_text.main_blocks(f"<body><span class='legal'>{texts[0]}</span></body>") == texts[:1]
+    comments = html_of(paragraphs(20, "Comment"))
+    for name in ("comments", "post-comments", "comment-list"):
+        page = f"<body><div><h1>Title</h1>{html_of(texts)}</div><div class='{name}'>{comments}</div></body>"
+        assert html_text.main_blocks(page) == ["Title", *texts], name
+
+
 def turns(*pairs):
     return [{"role": r, "text": t} for r, t in pairs]
 
