@@ -139,12 +139,17 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 6, group_bits: i
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def classes(rows: DataFrame, key: str, distance: int, blocks: int) -> DataFrame:
-    """``(fp, component_id)`` for every fingerprint of ``rows(key, fp)``."""
+def rooted(rows: DataFrame, key: str, distance: int, blocks: int) -> DataFrame:
+    """``(fp, first, root)`` for every fingerprint of ``rows(key, fp)``: its smallest key and its class, named by a fingerprint."""
     firsts = cut(rows.groupBy("fp").agg(F.min(key).alias("first")))
     roots = components(near_links(firsts.select("fp"), distance, blocks))
-    linked = cut(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+    return cut(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")))
+
+
+def classes(rows: DataFrame, key: str, distance: int, blocks: int) -> DataFrame:
+    """``(fp, component_id)`` for every fingerprint of ``rows(key, fp)``."""
+    linked = rooted(rows, key, distance, blocks)
     smallest = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
     return cut(linked.join(smallest, "root").select("fp", "component_id"))
 
@@ -167,8 +172,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
 
 
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
-    """One row of ``docs`` per group of near-duplicates, that with the smallest key, all columns kept.
+    """One row of ``docs`` per smallest key of a group of near-duplicates, all columns kept.
 
+    Groups that share that key (a repeated one, or NULL) are one here; see keep_one_per_class.
     NULL keys come after all others; of rows that repeat the smallest key one stays
     (the least by the hash of its text).  The few keys that survive or fall are joined,
     never the groups.
@@ -188,6 +194,29 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
     return kept.select(*own).dropDuplicates([key]) if _repeats(rows) else kept.select(*own)
 
 
+def keep_one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
+    """One row of ``docs`` per group of near-duplicates, all columns kept, whatever keys repeat or are NULL.
+
+    It is the row with the smallest key, NULL after all others, and of equal keys the
+    least by the hash of its text.  Rows that agree in key and text are one row.
+    """
+    rows = cut(fingerprints(docs, text, key, shingle))
+    of = rooted(rows, key, distance, blocks).select("fp", "root")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("text_key").alias("text_key"), F.col("copies").alias("copies"))
+    chosen = cut(
+        rows.join(of, "fp").groupBy("root").agg(F.min(order).alias("one"))
+        .select(F.col("one.key").alias("_k"), F.col("one.text_key").alias("_t"), F.col("one.copies").alias("_n"))
+    )
+    own = docs.columns
+    hashed = docs.withColumn("_h", F.xxhash64(text))
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_t"))
+    if chosen.where("_n > 1").isEmpty():
+        return hashed.join(chosen, same, "left_semi").select(*own)
+    single = hashed.join(chosen.where("_n = 1"), same, "left_semi")
+    several = hashed.join(chosen.where("_n > 1"), same, "left_semi")
+    return single.union(several.dropDuplicates([key, "_h"])).select(*own)
+
+
 def _repeats(rows: DataFrame) -> bool:
     """Whether any row is there more than once."""
     return not rows.where("copies > 1").isEmpty()

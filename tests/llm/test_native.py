@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from corpusloom.llm import components, decontam, pii, quality, simhash
 from tests.llm import brute
 
@@ -27,6 +28,26 @@ def test_keep_first(docs):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted({c for _, _, c in want if c is not None})
 
 
+def test_every_class_keeps_one(spark):
+    """Classes that share their smallest key, or have none, are not one class."""
+    rng = random.Random(8)
+    texts = [brute.sentence(rng, 60) for _ in range(12)]
+    near = " ".join([*texts[0].split()[:-1], "changed"])
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0]), (None, near), (7, texts[5]), (7, texts[6]), (7, texts[6]), (9, texts[6]), (8, texts[7]), (2, texts[8]), (2, texts[9]), (1, texts[9]), (None, texts[9])]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n long").repartition(3)
+    kept = simhash.keep_one_per_class(docs)
+    assert kept.columns == docs.columns
+    of = brute.groups([brute.fingerprint(t) for _, t in rows])
+    got = [(r.doc_id, of[brute.fingerprint(r.text)]) for r in kept.collect()]
+    want = {}
+    for k, t in rows:
+        c = of[brute.fingerprint(t)]
+        want[c] = min((x for x in (k, want.get(c)) if x is not None), default=None)
+    assert brute.ordered(got) == brute.ordered((k, c) for c, k in want.items()) and len(want) == 10
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 10
+    assert simhash.keep_one_per_class(docs.limit(0)).count() == 0
+
+
 def test_near_links_find_all_components(spark):
     """Dense clusters, chains and strangers, with groups small enough that all three ways of linking occur."""
     rng = random.Random(3)
