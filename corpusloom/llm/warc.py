@@ -25,6 +25,8 @@ MIN_DEDUP_BYTES = 1000
 SEGMENT_CHARS = 16_384
 CHUNK_CHARS = 4_096
 RECORDS_PER_FILE = 2_000
+#: Repeated keys are broadcast up to this number, which is counted first.
+BROADCAST_ROWS = 500_000
 CRLF = "\r\n"
 HTTP = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Transfer-Encoding: chunked", "", ""])
 
@@ -44,7 +46,17 @@ def deduplicated(pages: DataFrame, key: str, url: str, html: str, min_bytes: int
     firsts = large.groupBy("digest", "size").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n", "size")
     own = F.when(F.col("size") >= min_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("key", "digest").cast("string")))
     joined = rows.withColumn("same", own).join(firsts.withColumnRenamed("digest", "same"), "same", "left")
-    return joined.select("key", "url", "payload", "digest", "size", F.when(F.col("first") != F.col("key"), F.col("first")).alias("first"))
+    other = F.when(~F.col("first").eqNullSafe(F.col("key")), F.col("first"))
+    return joined.select("key", "url", "payload", "digest", "size", other.alias("first"))
+
+
+def _marked(rows: DataFrame, repeated: DataFrame, of: str, out: str) -> DataFrame:
+    """Add ``out``: whether the key in column ``of`` is in ``repeated(key)``, distinct keys that are joined only if there are any."""
+    n = repeated.limit(BROADCAST_ROWS + 1).count()
+    if n == 0:
+        return rows.withColumn(out, F.lit(False))
+    marks = repeated.select(F.col("key").alias(of), F.lit(True).alias(out))
+    return rows.join(F.broadcast(marks) if n <= BROADCAST_ROWS else marks, of, "left").withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def chunked(body: Column) -> Column:
@@ -71,28 +83,36 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     """Write ``pages`` to ``path`` as WARC files, a response or revisit for every row.
 
     Records go through Spark's own commit of task output: a lost or repeated task leaves
-    no half file.  Keys are taken as the records' numbers and must not be NULL or repeated
-    (such rows would be one record); a NULL html is an empty payload.
+    no half file.  A record is named by its key, and rows with a NULL or repeated key by a
+    UUID besides; the key itself is in WARC-Page-Key, which a NULL key lacks.  A revisit of
+    a repeated key has WARC-Page-Refers-To and its digest, but no record's name.  A NULL
+    html is an empty payload.
     """
-    name = F.concat(F.lit("urn:page:"), F.col("key").cast("string"))
+    repeated = cut(pages.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("key is not null and n > 1").select("key"))
+    rows = _marked(_marked(deduplicated(pages, key, url, html), repeated, "key", "many"), repeated, "first", "first_many")
+    # The UUIDs come after the last shuffle: all segments of a row are written by the task that names it.
+    rows = rows.withColumn("name", F.concat_ws(":", F.lit("urn:page"), F.col("key").cast("string"), F.when(F.col("key").isNull() | F.col("many"), F.uuid())))
+    name = F.col("name")
     target = F.coalesce("url", name)
-    rows = deduplicated(pages.where(F.col(key).isNotNull()), key, url, html)
+    page_key = ("WARC-Page-Key", F.col("key").cast("string"))
     identifier = F.concat(F.lit("<"), name, F.lit(">"))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     revisit = rows.where("first is not null").select(_record(F.lit("revisit"), F.lit(""), [
-        ("WARC-Record-ID", identifier), ("WARC-Target-URI", target), ("WARC-Payload-Digest", digest),
+        ("WARC-Record-ID", identifier), page_key, ("WARC-Target-URI", target), ("WARC-Payload-Digest", digest),
         ("WARC-Payload-Length", F.col("size").cast("string")),
         ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        ("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">"))),
+        ("WARC-Refers-To", F.when(~F.col("first_many"), F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">")))),
+        ("WARC-Page-Refers-To", F.col("first").cast("string")),
     ]).alias("value"))
-    blocks = rows.where("first is null").select("key", "url", "digest", F.concat(F.lit(HTTP), chunked(F.col("payload"))).alias("block"))
+    blocks = rows.where("first is null").select("key", "name", "url", "digest", F.concat(F.lit(HTTP), chunked(F.col("payload"))).alias("block"))
     blocks = blocks.withColumn("n", F.greatest(F.ceil(F.char_length("block") / SEGMENT_CHARS).cast("int"), F.lit(1)))
     parts = blocks.select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"))
     part = F.substr(F.col("block"), (F.col("i") - 1) * SEGMENT_CHARS + 1, F.lit(SEGMENT_CHARS))
-    parts = parts.select("key", "url", "digest", "n", "i", part.alias("part"), F.octet_length("block").alias("total"))
+    parts = parts.select("key", "name", "url", "digest", "n", "i", part.alias("part"), F.octet_length("block").alias("total"))
     first, several = F.col("i") == 1, F.col("n") > 1
     response = parts.select(_record(F.when(first, F.lit("response")).otherwise(F.lit("continuation")), F.col("part"), [
         ("WARC-Record-ID", F.when(first, identifier).otherwise(F.concat(F.lit("<"), name, F.lit(":"), F.col("i").cast("string"), F.lit(">")))),
+        page_key,
         ("WARC-Target-URI", target), ("WARC-Payload-Digest", F.when(first, digest)),
         ("WARC-Segment-Number", F.when(several, F.col("i").cast("string"))),
         ("WARC-Segment-Origin-ID", F.when(several & ~first, identifier)),
@@ -105,7 +125,8 @@ RECORD = T.StructType([
     T.StructField("record_type", T.StringType()), T.StructField("record_id", T.StringType()),
     T.StructField("target_uri", T.StringType()), T.StructField("payload_digest", T.StringType()), T.StructField("payload_length", T.LongType()),
     T.StructField("refers_to", T.StringType()), T.StructField("segment_number", T.IntegerType()),
-    T.StructField("origin_id", T.StringType()), T.StructField("total_length", T.LongType()), T.StructField("block", T.BinaryType()),
+    T.StructField("origin_id", T.StringType()), T.StructField("total_length", T.LongType()),
+    T.StructField("page_key", T.StringType()), T.StructField("page_refers_to", T.StringType()), T.StructField("block", T.BinaryType()),
 ])
 
 
@@ -116,7 +137,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     record ends the job.
     """
     names = ["warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "warc-payload-length", "warc-refers-to",
-             "warc-segment-number", "warc-segment-origin-id", "warc-segment-total-length"]
+             "warc-segment-number", "warc-segment-origin-id", "warc-segment-total-length",
+             "warc-page-key", "warc-page-refers-to"]
 
     def run(batches):
         out: list[list] = []
@@ -125,7 +147,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], [f.name for f in RECORD.fields])
 
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         for batch in batches:
             for content in batch.column(0):
                 raw = content.as_py()
@@ -174,48 +196,48 @@ def unchunk(body: bytes) -> bytes:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """``record_type, record_id, target_uri, payload_digest, payload_length, refers_to, payload``: one row per response or revisit.
+    """``record_type, record_id, target_uri, payload_digest, payload_length, refers_to, page_key, page_refers_to, payload``: one row per response or revisit.
 
     Segments are grouped by their origin's id and put in order; missing or repeated
     numbers and a total length that differs end the job.  A group holds one page.
     """
     whole = records.where("record_type in ('response', 'revisit') and segment_number is null")
     segments = records.where("segment_number is not null").select(
-        F.coalesce("origin_id", "record_id").alias("origin"), "segment_number", "target_uri", "payload_digest", "total_length", "block"
+        F.coalesce("origin_id", "record_id").alias("origin"), "segment_number", "target_uri", "payload_digest", "total_length", "page_key", "block"
     )
     joined = segments.groupBy("origin").agg(
         F.sort_array(F.collect_list(F.struct("segment_number", "block"))).alias("parts"),
-        F.max("target_uri").alias("target_uri"), F.max("payload_digest").alias("payload_digest"), F.max("total_length").alias("total_length"),
+        F.max("target_uri").alias("target_uri"), F.max("payload_digest").alias("payload_digest"), F.max("total_length").alias("total_length"), F.max("page_key").alias("page_key"),
     )
     block = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["block"]))
     in_order = F.transform("parts", lambda p: p["segment_number"]) == F.sequence(F.lit(1), F.size("parts"))
-    joined = joined.select("origin", "target_uri", "payload_digest", "total_length", in_order.alias("in_order"), block.alias("block"))
+    joined = joined.select("origin", "target_uri", "payload_digest", "total_length", "page_key", in_order.alias("in_order"), block.alias("block"))
     checked = joined.select(
         F.lit("response").alias("record_type"), F.col("origin").alias("record_id"), "target_uri", "payload_digest", F.lit(None).cast("long").alias("payload_length"),
-        F.lit(None).cast("string").alias("refers_to"),
+        F.lit(None).cast("string").alias("refers_to"), "page_key", F.lit(None).cast("string").alias("page_refers_to"),
         F.when(F.col("in_order") & (F.octet_length("block") == F.col("total_length")), F.col("block"))
         .otherwise(F.raise_error(F.concat(F.lit("segments don't add up: "), F.col("target_uri"))).cast("binary")).alias("block"),
     )
-    both = whole.select("record_type", "record_id", "target_uri", "payload_digest", "payload_length", "refers_to", "block").union(checked)
+    both = whole.select("record_type", "record_id", "target_uri", "payload_digest", "payload_length", "refers_to", "page_key", "page_refers_to", "block").union(checked)
 
     def run(batches):
         for batch in batches:
             payloads = []
-            for kind, block in zip(batch.column(0).to_pylist(), batch.column(6).to_pylist()):
+            for kind, block in zip(batch.column(0).to_pylist(), batch.column(8).to_pylist()):
                 if kind == "revisit":
                     payloads.append(None)
                     continue
                 head, _, body = block.partition(b"\r\n\r\n")
                 payloads.append(unchunk(body) if b"transfer-encoding: chunked" in head.lower() else body)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(payloads, pa.binary())], [*batch.schema.names[:6], "payload"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:8], pa.array(payloads, pa.binary())], [*batch.schema.names[:8], "payload"])
 
-    return both.mapInArrow(run, T.StructType([*both.schema.fields[:6], T.StructField("payload", T.BinaryType())]))
+    return both.mapInArrow(run, T.StructType([*both.schema.fields[:8], T.StructField("payload", T.BinaryType())]))
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write ``pages`` to a new folder of the shared checkpoint folder, read it back and describe each record.
 
-    ``key, payload_bytes, payload_digest, record_type, refers_to``.
+    ``key, payload_bytes, payload_digest, record_type, refers_to``, one row for every row of ``pages``.
     """
     spark = pages.sparkSession
     cut(spark.range(0))  # makes sure of the folder
@@ -223,11 +245,10 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
     write_warc(pages, path, key, url, html, compression="gzip")
     rows = reassemble(read_records(spark, path))
     kind = pages.schema[key].dataType
-    number = lambda c, pattern: F.regexp_extract(c, pattern, 1).cast(kind)
     return rows.select(
-        number("record_id", "^<urn:page:(.*)>$").alias(key),
+        F.col("page_key").cast(kind).alias(key),
         F.when(F.col("record_type") == "revisit", F.col("payload_length")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
         F.when(F.col("record_type") == "revisit", F.regexp_extract("payload_digest", "sha1:(.*)", 1)).otherwise(F.sha1("payload")).alias("payload_digest"),
         "record_type",
-        F.when(F.col("refers_to").isNotNull(), number("refers_to", "^<urn:page:(.*)>$")).alias("refers_to"),
+        F.col("page_refers_to").cast(kind).alias("refers_to"),
     )

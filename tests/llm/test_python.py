@@ -134,6 +134,28 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_warc_takes_every_row(spark, tmp_path, monkeypatch, broadcast_rows):
+    """NULL keys and repeated keys and rows, long and short: one record each, none mixed up with another."""
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast_rows)
+    rng = random.Random(6)
+    a, b, c = (brute.sentence(rng, 9000) for _ in range(3))
+    pages = [(None, "u", a), (None, "u", "tiny"), (None, None, "tiny"), (None, None, None), (7, "v", b), (7, "v", b), (7, "w", c), (7, "w", "tiny"), (3, "x", b), (2, "x", a), (None, "y", c), (1, None, "one")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()]
+    first = {(None, a): 2, (3, b): 7, (None, c): 7}
+    raw = [(k, (h or "").encode(), first.get((k, h))) for k, _, h in pages]
+    assert brute.ordered(got) == brute.ordered((k, len(h), hashlib.sha1(h).hexdigest(), "revisit" if f else "response", f) for k, h, f in raw)
+    path = str(tmp_path / "warc")
+    warc.write_warc(df, path)
+    records = warc.read_records(spark, path)
+    ids = [r.record_id for r in records.collect()]
+    whole = warc.reassemble(records).collect()
+    assert len(set(ids)) == len(ids) > len(pages) == len(whole)
+    assert {r.refers_to for r in whole} - {None} == {"<urn:page:2>"} and "<urn:page:2>" in ids
+    assert brute.ordered((r.page_key, bytes(r.payload)) for r in whole if r.record_type == "response") == brute.ordered((k and str(k), h) for k, h, f in raw if not f)
+
+
 def test_unchunk():
     assert warc.unchunk(b"3;x=y\r\nabc\r\n2\r\n\r\n\r\n0\r\n\r\n") == b"abc\r\n"
     with pytest.raises(ValueError):
