@@ -31,8 +31,11 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 # Element names by what they do.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title svg math iframe object canvas select".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style noscript template textarea title svg iframe select annotation annotation-xml".split())
+INLINE = set(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr canvas object"
+    " math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose merror mmultiscripts semantics".split()
+)
 BOILERPLATE = set("nav footer aside form button menu dialog".split())
 HEADER_SCOPES = {"article", "main"}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -243,7 +246,7 @@ def main_blocks(page: str) -> list[str]:
 
     return [
         b["text"] for b in blocks
-        if id(b) in picked or inside(b["element"]) and not (b["links"] > 0.8 * len(b["text"]) and fused[b["path"]] < least)
+        if id(b) in picked or inside(b["element"])
     ]
 
 

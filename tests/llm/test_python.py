@@ -227,6 +227,19 @@ def test_page_with_misleading_names():
         assert html_text.main_blocks(page) == ["Title", *texts], name
 
 
+def test_links_and_embedded_text_of_an_article():
+    """References that are links are text, in an article or beside the prose's paragraphs; so are formulas and fallbacks; menus are not."""
+    texts, menu = paragraphs(5), "<ul><li><a href='/'>Home</a></li><li><a href='/x'>All news</a></li></ul>"
+    refs = "<h2>Sources</h2><ol><li><a href='/1'>First source</a></li><li><a href='/2'>Second source</a></li></ol>"
+    rest = f"<p>So <math><mi>a</mi><mo>=</mo><mn>1</mn></math> holds.</p><div><object data='x'>An object</object></div><div><canvas>A chart</canvas></div>{refs}"
+    want = [*texts, "So a=1 holds.", "An object", "A chart", "Sources", "First source", "Second source"]
+    for tag in ("article", "main", "div"):
+        page = f"<body>{menu}<{tag}>{html_of(texts)}{rest}</{tag}><div>{menu}</div></body>"
+        assert html_text.main_blocks(page) == want, tag
+    nav = f"<article>{html_of(texts)}<nav>{menu}</nav><div class='related'>{menu}</div></article>"
+    assert html_text.main_blocks(f"<body>{nav}</body>") == texts
+
+
 def turns(*pairs):
     return [{"role": r, "text": t} for r, t in pairs]
 
