@@ -18,20 +18,38 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 CHUNK = 16
+SECRET_WORD = r"(?i:password|passwd|token|secret|api_key)\s?[=:]"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+IBAN_LENGTHS = dict(zip(
+    "NO BE DK FI FO GL NL MK SI AT BA EE KZ LT LU XK CH HR LI LV BG BH CR DE GB GE IE ME RS VA AE GI IL AD CZ ES MD PK RO SA SE SK TN VG PT IS TR"
+    " FR GR IT MC MR SM AL AZ BY CY DO GT HU LB PL BR PS QA UA JO KW MU MT".split(),
+    [15, 16, *[18] * 5, *[19] * 2, *[20] * 7, *[21] * 4, *[22] * 10, *[23] * 3, *[24] * 11, 25, *[26] * 2, *[27] * 6, *[28] * 9, *[29] * 4, *[30] * 3, 31],
+))
+
+
+def _printed_ibans() -> str:
+    """IBANs in groups of four; only whole ones, so that no other value beside them is taken in."""
+    forms = []
+    for n in sorted(set(IBAN_LENGTHS.values())):
+        rest = f" [A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+        forms.append(f"(?:{'|'.join(c for c in IBAN_LENGTHS if IBAN_LENGTHS[c] == n)})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}")
+    return "|".join(forms)
+
+
 #: Kinds in the order in which they are tried at each place of a text.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|(?=[A-Z]{{2}}[0-9]{{2}} )(?:{_printed_ibans()}))(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7}"
             r"|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9A-Za-z])",
     "phone": r"(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}"
+             r"|(?<![0-9A-Za-z.,:/-])(?:\(0[1-9][0-9]{1,4}\) ?|0[1-9][0-9]{1,3}[ /])[0-9]{3,4} ?[0-9]{3,4}|(?<![0-9A-Za-z.,:/-])0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4})"
              r"|\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4})(?![0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"""(?i:password|passwd|token|secret|api_key)\s?[=:]\s?["']?[0-9a-f]{16,128}(?![0-9A-Za-z])""",
+    "secret": SECRET_WORD + r"""\s?["']?[0-9a-f]{16,128}(?![0-9A-Za-z])""",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ALPHABETS = {10: "0123456789", 16: "0123456789abcdef", 26: "abcdefghijklmnopqrstuvwxyz", 36: "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -126,28 +144,37 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _iban(value: Column, key: str) -> Column:
-    valid = _mod97(F.concat(F.substr(value, F.lit(5), F.lit(40)), F.substr(value, F.lit(1), F.lit(4)))) == 1
+    """Blanks between groups are left where they are and change nothing else."""
+    def compact(v: Column) -> Column:
+        bban, country = F.substr(v, F.lit(5), F.lit(40)), F.substr(v, F.lit(1), F.lit(2))
+        valid = _mod97(F.concat(bban, F.substr(v, F.lit(1), F.lit(4)))) == 1
+        fresh = _refill(bban, "[0-9]", permute(_digits(bban), 10, key, F.concat(F.lit("iban|"), F.regexp_replace(bban, "[0-9]", "#"))))
+        check = lambda account: 98 - _mod97(F.concat(account, country, F.lit("00")))
+        return F.when(valid, _with(fresh, lambda a: F.concat(country, F.lpad(check(a).cast("string"), 2, "0"), a))).otherwise(v)
 
-    def renew(account: Column) -> Column:
-        country = F.substr(value, F.lit(1), F.lit(2))
-        check = 98 - _mod97(F.concat(account, country, F.lit("00")))
-        return F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
-
-    bban = F.substr(value, F.lit(5), F.lit(40))
-    fresh = _refill(bban, "[0-9]", permute(_digits(bban), 10, key, F.concat(F.lit("iban|"), F.regexp_replace(bban, "[0-9]", "#"))))
-    return F.when(valid, _with(fresh, renew)).otherwise(value)
+    return _with(_with(F.regexp_replace(value, " ", ""), compact), lambda new: F.when(value.contains(" "), _refill(value, "[A-Z0-9]", new)).otherwise(new))
 
 
 def _date(value: Column, key: str) -> Column:
-    form = F.when(value.rlike("-"), F.lit("yyyy-MM-dd")).when(value.rlike("/"), F.lit("dd/MM/yyyy")).otherwise(F.lit("dd.MM.yyyy"))
-    us = F.lit("MM/dd/yyyy")
+    """Days and months of one digit may become two, as the form has no fixed length."""
+    full = value.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.][0-9]{4})$")
+
+    def form_of(full_form: str) -> Column:
+        return F.when(full, F.lit(full_form)).otherwise(F.lit(full_form.replace("MM", "M").replace("dd", "d")))
+
+    form = F.when(value.rlike("-"), form_of("yyyy-MM-dd")).when(value.rlike("/"), form_of("dd/MM/yyyy")).otherwise(form_of("dd.MM.yyyy"))
+    us = form_of("MM/dd/yyyy")
     day = F.coalesce(F.try_to_timestamp(value, form), F.when(value.rlike("/"), F.try_to_timestamp(value, us))).cast("date")
     form = F.when(F.try_to_timestamp(value, form).isNull(), us).otherwise(form)
     zero = F.lit("1800-01-01").cast("date")
     n = F.datediff(day, zero)
     a, b = DAY_RANGE
     out = _with(feistel(F.floor(n / b), n % b, F.lit(a), F.lit(b), key, F.lit("date")), lambda d: F.date_add(zero, (d["l"] * b + d["r"]).cast("int")))
-    return F.when((n >= 0) & (n < a * b), F.date_format(out, "yyyy-MM-dd") if form is None else F.when(form == "yyyy-MM-dd", F.date_format(out, "yyyy-MM-dd")).when(form == "dd/MM/yyyy", F.date_format(out, "dd/MM/yyyy")).when(form == "MM/dd/yyyy", F.date_format(out, "MM/dd/yyyy")).otherwise(F.date_format(out, "dd.MM.yyyy"))).otherwise(value)
+    forms = [g for f in ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy") for g in (f, f.replace("MM", "M").replace("dd", "d"))] + ["d.M.yyyy"]
+    written = F.when(F.lit(False), F.lit(""))
+    for f in forms:
+        written = written.when(form == f, F.date_format(out, f))
+    return F.when((n >= 0) & (n < a * b), written.otherwise(F.date_format(out, "dd.MM.yyyy"))).otherwise(value)
 
 
 def _ip(value: Column, key: str) -> Column:
@@ -208,7 +235,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     ``docs`` is replaced.  Each row is done by itself, whatever its length.
     """
     t = F.col(text)
-    worth = t.rlike("[0-9@]") | t.contains("AKIA")
+    worth = t.rlike("[0-9@]") | t.contains("AKIA") | t.rlike(SECRET_WORD)
     own = [c for c in docs.columns if c != "n_values"]
     found = docs.select(*own, F.when(worth, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).alias("_found"))
     renewed = found.select(*own, "_found", F.when(F.size("_found") > 0, F.transform("_found", lambda v: pseudonym(v, key))).alias("_new"))

@@ -173,6 +173,24 @@ def test_pseudonyms(spark):
     assert dict(zip(VALUES, renewed(spark, VALUES.values(), "other")))["card"][0] != got["card"][0]
 
 
+def test_printed_forms(spark):
+    """IBANs in groups, national phone numbers, dates of one digit, and a secret of letters in a text without digits."""
+    old = ["GB82 WEST 1234 5698 7654 32", "GB82WEST12345698765432", "BE68 5390 0754 7034", "020 7946 0958", "(030) 1234567", "01 23 45 67 89", "5/3/1984", "5.3.1984", "1984-3-5"]
+    got = renewed(spark, old)
+    assert all(new != v and n == 2 for v, (new, n) in zip(old, got)), got
+    new = [x for x, _ in got]
+    assert new[0].replace(" ", "") == new[1] and [len(x) for x in new[0].split(" ")] == [4, 4, 4, 4, 4, 2]
+    assert all(re.sub("[A-Z0-9]", "x", a) == re.sub("[A-Z0-9]", "x", b) for a, b in zip(old[:6], new[:6]))
+    for iban in new[:3]:
+        x = iban.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+    d, m, y = new[6].split("/")
+    assert new[7] == f"{d}.{m}.{y}" and new[8] == f"{y}-{m}-{d}"
+    assert renewed(spark, ["GB82 WEST 1234 5698 7654 31", "31/4/1984"]) == [("GB82 WEST 1234 5698 7654 31", 0), ("31/4/1984", 0)]
+    assert renewed(spark, ["BE68 5390 0754 7034 PAID"])[0][0] == f"{new[2]} PAID"
+    assert renewed(spark, ["password=abcdefabcdefabcdef"])[0][1] == 2
+
+
 def test_permutation(spark):
     """All three-digit strings and all days of some years have different pseudonyms of the same form."""
     rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
