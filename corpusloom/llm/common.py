@@ -19,19 +19,68 @@ NON_WORD_RUN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 NON_WORD_RUN_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and go on from the files.
+#: The smaller side of a join is broadcast only up to this size of its values written as text.
+BROADCAST_BYTES = 32 << 20
+#: Tasks that share a key of the larger side where the smaller one isn't broadcast.
+SALTS = 8
+
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is unset
-    (tests, a laptop) a temporary folder is made.  Lost executors cost a reread.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only a local master (tests, a laptop) may leave it unset and gets a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the files: lost executors cost a reread."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def is_small(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and BROADCAST_BYTES of values; ``df`` should be a cut or a cheap scan."""
+    size = F.sum(F.octet_length(F.concat_ws(",", *[F.col(c).cast("string") for c in df.columns])))
+    n, total = df.limit(rows + 1).agg(F.count("*"), size).first()
+    return n <= rows and (total or 0) <= BROADCAST_BYTES
+
+
+def join_sized(left: DataFrame, right: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on equal ``on``, NULL equal to NULL; ``how``: inner, left, left_semi or left_anti.
+
+    ``right`` is broadcast if it is proven small.  Else both sides are shuffled, and the
+    rows of ``left`` with one key are dealt to SALTS tasks, each of which gets the
+    key's rows of ``right``, so that a hot key doesn't end in one task.
+    """
+    names = {c: fresh(left, f"_{c}") for c in on}
+    other = right.select(*[F.col(c).alias(names[c]) for c in on], *[c for c in right.columns if c not in on])
+    same = [F.col(c).eqNullSafe(F.col(names[c])) for c in on]
+    salt, other_salt = fresh(left, "_salt"), fresh(left, "_other_salt")
+    if is_small(right, rows):
+        other = F.broadcast(other)
+    else:
+        plain = [c for c in left.columns if c not in on and left.schema[c].dataType.typeName() in ("long", "integer", "string")]
+        left = left.withColumn(salt, F.pmod(F.xxhash64(F.lit("salt"), *plain), F.lit(SALTS)).cast("int"))
+        other = other.withColumn(other_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same.append(F.col(salt) == F.col(other_salt))
+    return left.join(other, same, how).drop(*names.values(), salt, other_salt)
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else; pure-ASCII texts take the byte-wise path."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(
@@ -44,6 +93,11 @@ def split_words(c: Column, separators: str) -> Column:
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), separators), "")
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

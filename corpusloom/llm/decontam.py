@@ -7,24 +7,24 @@ A shared run of ``span`` words holds 5 whole grams, whose smallest both sides ke
 no shared window can be missed.  Fingerprints of texts are joined with those of the
 items; a hit fixes an alignment of text and item, along which equal words are
 extended to the longest runs; runs of a whole window count, so hash collisions and
-shorter overlaps leave no trace.  Items shorter than a window use grams of their own length.
+shorter overlaps leave no trace.  Items shorter than a window use grams of their own
+length, all of them fingerprints; one pass over the texts makes those of every length.
 
-Only texts' fingerprints that meet an item's leave the scan.  The items' side is
-broadcast while it is proven small (counted first) and shuffled beyond that.
+Both sides are winnowed whatever their size.  A counted size decides only how a join is
+carried out: the smaller side is broadcast, or each key is dealt to several tasks.
+All functions here run jobs when they are called, as lineage is cut between the steps.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD_RUN, NON_WORD_RUN_ANY_CASE, ascii_lower, cut, split_words
+from .common import NON_WORD_RUN, NON_WORD_RUN_ANY_CASE, ascii_lower, cut, fresh, join_sized, let, split_words
 
 SPAN = 10
 GRAM = 6
-#: Item fingerprints are broadcast up to this many rows of some 40 bytes.
+#: A join's smaller side is broadcast up to this many rows (and common.BROADCAST_BYTES).
 BROADCAST_ROWS = 500_000
 
 
@@ -37,86 +37,75 @@ def hashed(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"))
 
 
-def _gram(at: Column, gram: int) -> Column:
-    """The hash of ``gram`` words from ``at`` on: their codes, rotated by place, exclusive-or'd."""
-    out = F.get("codes", at)
-    for i in range(1, gram):
-        code, turn = F.get("codes", at + i), i * 64 // gram
-        out = out.bitwiseXOR(F.shiftleft(code, turn).bitwiseOR(F.shiftrightunsigned(code, 64 - turn)))
-    return out
-
+def _rolled(codes: Column, gram: int) -> Column:
+    """For every word the hash of ``gram`` words from it on; the last ones, of too few words, mean nothing."""
+    def joined(a: Column, b: Column, shift: int) -> Column:
+        return F.zip_with(a, F.slice(b, shift + 1, F.size(b)), lambda x, y: F.xxhash64(x, y))
 
-def _places(gram: int) -> Column:
-    return F.when(F.size("codes") >= gram, F.sequence(F.lit(0), F.size("codes") - gram)).otherwise(F.array().cast("array<int>"))
+    if gram == 1:
+        return codes
+    if gram % 2:
+        return joined(_rolled(codes, gram - 1), codes, gram - 1)
+    return let(_rolled(codes, gram // 2), lambda half: joined(half, half, gram // 2))
 
 
-def winnow(docs: DataFrame, gram: int, window: int, *keep: str) -> DataFrame:
-    """``docs(words, codes, *keep)`` -> its fingerprints: ``*keep, at, h``.
+def _grams(gram: int) -> Column:
+    """The hashes of all grams of a text, in order."""
+    return F.slice(_rolled(F.col("codes"), gram), F.lit(1), F.greatest(F.size("codes") - gram + 1, F.lit(0)))
 
-    h is the smallest gram hash of a window and ``at`` its first place there; a window
-    that keeps the same gram, at the same place, as the window before adds no row.
-    """
-    grams = F.transform(F.sequence(F.lit(0), F.size("codes") - gram), lambda i: _gram(i, gram))
-    rows = docs.where(F.size("codes") >= gram + window - 1).select(*keep, grams.alias("grams"))
-    rows = rows.select(*keep, "grams", F.explode(F.sequence(F.lit(0), F.size("grams") - window)).alias("w"))
 
-    def low(start: Column) -> Column:
-        values = [F.get("grams", start + i) for i in range(window)]
-        return F.least(*values) if window > 1 else values[0]
+def _plan(size: int) -> tuple[int, int]:
+    """(gram, window): how items with windows of ``size`` words are winnowed; shorter ones keep all their grams."""
+    return (GRAM, SPAN - GRAM + 1) if size == SPAN else (size, 1)
 
-    def place(start: Column) -> Column:
-        return start + F.coalesce(*[F.when(F.get("grams", start + i) == low(start), F.lit(i)) for i in range(window)])
 
-    if window > 1:
-        rows = rows.where((F.col("w") == 0) | (place(F.col("w")) != place(F.col("w") - 1)))
-    return rows.select(*keep, place(F.col("w")).alias("at"), low(F.col("w")).alias("h"))
+def _is_smallest(grams: str, w: Column, window: int) -> Column:
+    """Whether the gram at ``w`` has the smallest hash of some window of ``window`` grams that holds it."""
+    own, last = F.get(grams, w), F.size(grams) - 1
+    out = F.lit(False)
+    for before in range(window):
+        after = window - 1 - before
+        others = [F.get(grams, w + i) for i in range(-before, after + 1) if i]
+        out = out | ((w >= before) & (w + after <= last) & (own <= F.least(*others)))
+    return out
 
 
-def _looked_up(docs: DataFrame, prints: DataFrame, gram: int, window: int, keys: list[str]) -> DataFrame:
-    """winnow() joined with few ``prints(h, ...)``: grams are looked up first, and only those found are winnowed.
+def winnow(docs: DataFrame, sizes: list[int], *keep: str) -> DataFrame:
+    """``docs(words, codes, *keep)`` -> its fingerprints: ``*keep, size, at, h``, for item windows of each size.
 
-    A gram found is a fingerprint of the text if it is the smallest of some window;
-    the grams of the windows around it are made from the codes that travel along.
+    h is the hash of the gram at place ``at``, the smallest of a window of neighbouring
+    grams; equal smallest ones of a window are all kept.
     """
-    reach = window - 1
-    places = docs.where(F.size("codes") >= gram + reach).select(*keys, "words", "codes", F.explode(_places(gram)).alias("at"))
-    found = places.withColumn("h", _gram(F.col("at"), gram)).join(F.broadcast(prints), "h")
-    first = F.greatest(F.col("at") - reach, F.lit(0))
-    found = found.withColumn("codes", F.slice("codes", first + 1, F.col("at") + gram + reach - first))
-    return found
+    rows = docs.select(*keep, F.size("codes").alias("n"), *[_grams(_plan(n)[0]).alias(f"grams{n}") for n in sizes])
+    at = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1))
+    rows = rows.select(*keep, *[f"grams{n}" for n in sizes], F.explode(at).alias("at"))
 
+    def kept(size: int) -> Column:
+        grams, window = f"grams{size}", _plan(size)[1]
+        return _is_smallest(grams, F.col("at"), window) if window > 1 else F.col("at") < F.size(grams)
 
-def _smallest_somewhere(found: DataFrame, gram: int, window: int) -> DataFrame:
-    grams = F.transform(F.sequence(F.lit(0), F.size("codes") - gram), lambda i: _gram(i, gram))
-    lows = F.transform(F.sequence(F.lit(1), F.size("grams") - window + 1), lambda s: F.array_min(F.slice("grams", s, window)))
-    return found.withColumn("grams", grams).where(F.array_contains(lows, F.col("h"))).drop("grams")
+    if len(sizes) == 1:
+        return rows.where(kept(sizes[0])).select(*keep, F.lit(sizes[0]).alias("size"), "at", F.get(f"grams{sizes[0]}", "at").alias("h"))
+    found = [F.when(kept(n), F.struct(F.lit(n).alias("size"), F.col("at").alias("at"), F.get(f"grams{n}", "at").alias("h"))) for n in sizes]
+    return rows.select(*keep, F.explode(F.array(*found)).alias("x")).where("x is not null").select(*keep, "x.*")
 
 
-def _alignments(docs: DataFrame, items: DataFrame, gram: int, window: int, keys: list[str]) -> DataFrame:
-    """``keys, item, shift, part``: item words lie at text words ``shift``..; part is that stretch of the text.
+def _alignments(docs: DataFrame, items: DataFrame, keys: list[str], sizes: list[int]) -> DataFrame:
+    """``keys, item, length, shift``: the item's words lie at text words ``shift``.., by a shared fingerprint.
 
     The item side lists every place of each fingerprint's hash, so it doesn't matter
     which of several equal grams of a window a text is aligned by.
     """
-    wanted = winnow(items, gram, window, "item").select("item", "h").distinct()
-    places = items.select("item", F.size("words").alias("length"), "codes", F.explode(_places(gram)).alias("place"))
-    places = places.select("item", "length", "place", _gram(F.col("place"), gram).alias("h"))
+    own = F.least(F.size("words"), F.lit(SPAN))
+    none = F.array().cast("array<struct<place:int,h:bigint>>")
+    grams = none
+    for n in sizes:
+        grams = F.when(own == n, F.transform(_grams(_plan(n)[0]), lambda h, i: F.struct(i.alias("place"), h.alias("h")))).otherwise(grams)
+    wanted = winnow(items.withColumn("own", own), sizes, "item", "own").where("size = own").select("item", "h").distinct()
+    places = items.select("item", F.size("words").alias("length"), own.alias("size"), F.explode(grams).alias("x")).select("item", "length", "size", "x.*")
     prints = cut(places.join(wanted, ["item", "h"]).distinct())
-    small = prints.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    first = F.greatest(F.col("shift"), F.lit(0))
-    part = F.slice("words", first + 1, F.col("shift") + F.col("length") - first).alias("part")
-    if not small:
-        # Fingerprints are joined without their texts; a text joins once for all its alignments.
-        hits = winnow(docs, gram, window, *keys).join(prints, "h")
-        hits = hits.select(*keys, "item", "length", (F.col("at") - F.col("place")).alias("shift")).distinct()
-        own = docs.select(*[F.col(k).alias(f"{k}_") for k in keys], "words").dropDuplicates([f"{k}_" for k in keys])
-        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
-        return hits.join(own, same).select(*keys, "item", "shift", part)
-    hits = _looked_up(docs, prints, gram, window, keys).withColumn("shift", F.col("at") - F.col("place"))
-    hits = hits.select(*keys, "item", "shift", part, "h", "codes")
-    # Cut, so that the winnowing of the few rows found isn't moved before the lookup.
-    hits = cut(hits.dropDuplicates([*keys, "item", "shift", "h", "codes"]))
-    return _smallest_somewhere(hits, gram, window).drop("h", "codes").dropDuplicates([*keys, "item", "shift"])
+    hits = join_sized(winnow(docs, sizes, *keys), prints, ["size", "h"], BROADCAST_ROWS)
+    return cut(hits.select(*keys, "item", "length", (F.col("at") - F.col("place")).alias("shift")).distinct())
 
 
 def _runs(aligned: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,7 +113,7 @@ def _runs(aligned: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     lead = F.greatest(-F.col("shift"), F.lit(0))
     other = F.slice("words", lead + 1, F.size("part"))
     same = F.zip_with("part", other, lambda a, b: a == b)
-    df = aligned.join(items.select("item", "words"), "item").select(
+    df = join_sized(aligned, items.select("item", "words"), ["item"], BROADCAST_ROWS).select(
         *keys, "item", F.greatest(F.col("shift"), F.lit(0)).alias("first"),
         F.least(F.size("words"), F.lit(SPAN)).alias("need"),
         # Places where the words differ, with one before and one after all.
@@ -135,17 +124,26 @@ def _runs(aligned: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
     return runs.where("to - from >= need").select(*keys, "item", (F.col("first") + F.col("from")).alias("lo"), (F.col("first") + F.col("to")).alias("hi"))
 
 
-def item_runs(docs: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
-    """All whole-window overlaps of ``docs(keys, words)`` with ``items(item, words)``."""
+def item_runs(docs: DataFrame, items: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """All whole-window overlaps of ``docs(keys, text)`` with ``items(item, words)``: ``keys, item, lo, hi``."""
     items = cut(hashed(items.where(F.size("words") > 0), "item"))
-    docs = hashed(docs, *keys)
-    short = sorted(r[0] for r in items.where(F.size("words") < SPAN).select(F.size("words")).distinct().collect())
-    found = [_runs(_alignments(docs, items.where(F.size("words") >= SPAN), GRAM, SPAN - GRAM + 1, keys), items, keys)]
-    found += [_runs(_alignments(docs, items.where(F.size("words") == n), n, 1, keys), items, keys) for n in short]
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out
+    # At most SPAN numbers; SPAN itself is always among them.
+    sizes = sorted({SPAN, *(r[0] for r in items.select(F.least(F.size("words"), F.lit(SPAN))).distinct().collect())})
+    words = item_words(F.col(text)).alias("words")
+    hits = _alignments(hashed(docs.select(*keys, words), *keys), items, keys, sizes)
+    # Only texts with a hit are split into words again, each once for all its hits.
+    worth = join_sized(docs.select(*keys, text), hits.select(*keys).distinct(), keys, BROADCAST_ROWS, "left_semi")
+    found = join_sized(worth.select(*keys, words), hits, keys, BROADCAST_ROWS)
+    first = F.greatest(F.col("shift"), F.lit(0))
+    part = F.slice("words", first + 1, F.col("shift") + F.col("length") - first)
+    return _runs(found.select(*keys, "item", "shift", part.alias("part")), items, keys)
+
+
+def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """``item, words`` of every item with an id; an id listed twice is two items with one id."""
+    return benchmark.where(F.col(item).isNotNull()).select(
+        F.struct(F.col(item).cast("string").alias("id"), F.xxhash64(text).alias("of")).alias("item"), item_words(F.col(text)).alias("words")
+    ).dropDuplicates(["item"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id",
@@ -156,12 +154,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
     apart by their texts, equal rows each get a row; items with a NULL id or text, or
     without words, are left out; an id listed twice is one item with both texts' windows.
     """
-    named = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_key"), item_words(F.col(text)).alias("words"))
-    items = benchmark.where(F.col(item).isNotNull()).select(
-        F.struct(F.col(item).cast("string").alias("id"), F.xxhash64(item_text).alias("of")).alias("item"),
-        item_words(F.col(item_text)).alias("words"),
-    ).dropDuplicates(["item"])
-    runs = cut(item_runs(named, items, ["key", "text_key"]))
+    named = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    runs = cut(item_runs(named, _items(benchmark, item, item_text), ["key", "text_key"], "text"))
     spans = runs.groupBy("key", "text_key").agg(
         F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"),
         F.sort_array(F.collect_set("item.id")).alias("ids"),
@@ -175,14 +169,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
         lambda acc: acc["n"],
     )
     hit = spans.select(
-        F.col("key").alias("_key"), F.col("text_key").alias("_text_key"), covered.cast("long").alias("n_hit"),
+        "key", "text_key", covered.cast("long").alias("n_hit"),
         F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
     )
     sizes = docs.select(
         F.col(key).alias("key"), F.xxhash64(text).alias("text_key"),
         F.size(split_words(F.col(text), NON_WORD_RUN_ANY_CASE)).cast("long").alias("n_words"),
     )
-    return sizes.join(hit, F.col("key").eqNullSafe(F.col("_key")) & F.col("text_key").eqNullSafe(F.col("_text_key")), "left").select(
+    return join_sized(sizes, cut(hit), ["key", "text_key"], BROADCAST_ROWS, "left").select(
         F.col("key").alias(key), "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
@@ -193,12 +187,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", key
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id",
                       item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any whole item window, all columns kept."""
-    keyed = docs.withColumns({"_k": F.col(key), "_t": F.xxhash64(text)})
-    items = benchmark.where(F.col(item).isNotNull()).select(
-        F.struct(F.col(item).cast("string").alias("id"), F.xxhash64(item_text).alias("of")).alias("item"),
-        item_words(F.col(item_text)).alias("words"),
-    ).dropDuplicates(["item"])
-    named = keyed.select("_k", "_t", item_words(F.col(text)).alias("words"))
-    bad = cut(item_runs(named, items, ["_k", "_t"]).select(F.col("_k").alias("_bk"), F.col("_t").alias("_bt")).distinct())
-    return keyed.join(bad, F.col("_k").eqNullSafe(F.col("_bk")) & F.col("_t").eqNullSafe(F.col("_bt")), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` without any whole item window, all columns kept, whatever their names.
+
+    NULL and empty texts have no words and stay, as do all rows where ``benchmark`` is
+    empty; of rows that repeat a key only those whose own text has a window go.
+    """
+    k, t = fresh(docs, "_doc_key"), fresh(docs, "_doc_text_key")
+    keyed = docs.withColumns({k: F.col(key), t: F.xxhash64(text)})
+    named = keyed.select(k, t, F.col(text).alias("text"))
+    bad = cut(item_runs(named, _items(benchmark, item, item_text), [k, t], "text").select(k, t).distinct())
+    return join_sized(keyed, bad, [k, t], BROADCAST_ROWS, "left_anti").select(*docs.columns)

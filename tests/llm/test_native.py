@@ -95,6 +95,45 @@ def test_winnowing(spark, docs, monkeypatch, broadcast_rows):
     assert clean.columns == docs.columns and clean.count() == sum(not w[-1] for w in want)
 
 
+def test_fingerprints_are_window_minima(spark, docs):
+    """Every window keeps its smallest gram, nothing else is kept, and both sides go through winnow()."""
+    named = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("t"), decontam.item_words(F.col("text")).alias("words"))
+    hashed = decontam.hashed(named, "doc_id", "t")
+    grams = {(r.doc_id, r.t): r.g for r in hashed.select("doc_id", "t", decontam._grams(6).alias("g")).collect()}
+    got = {}
+    for r in decontam.winnow(hashed, [10], "doc_id", "t").collect():
+        got.setdefault((r.doc_id, r.t), set()).add((r["at"], r.h))
+    for key, g in grams.items():
+        want = {(i, g[i]) for s in range(len(g) - 4) for i in range(s, s + 5) if g[i] == min(g[s : s + 5])}
+        assert got.get(key, set()) == want
+    assert sum(map(len, got.values())) < 0.5 * sum(map(len, grams.values()))
+
+
+def test_no_way_around_winnowing(spark, docs, monkeypatch):
+    bench = spark.createDataFrame(items(), "item_id long, text string")
+    own = decontam.winnow
+    monkeypatch.setattr(decontam, "winnow", lambda *a: own(*a).where("at < 0"))
+    assert decontam.contamination(docs, bench).where("contaminated or n_hit > 0 or n_items > 0").count() == 0
+
+
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_winnowing_of_short_items_and_clashing_names(spark, monkeypatch, broadcast_rows):
+    """Items of 1 to 11 words, six (the gram's length) among them, in texts whose table has the names used inside."""
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", broadcast_rows)
+    rng = random.Random(9)
+    words = brute.sentence(rng, 80).split()
+    bench = [(n, " ".join(words[2 * n : 3 * n])) for n in range(1, 12)] + [(5, " ".join(words[60:72]))]
+    rows = [(i, " ".join(rng.choice([words[j : j + 30], words[j : j + 9] + ["x"] + words[j + 9 : j + 20], brute.sentence(rng, 25).split()]))) for i, j in enumerate(range(0, 70, 3))]
+    rows += [(3, rows[4][1]), rows[5], (None, " ".join(words)), (None, None)]
+    names = "key text_key item shift k to h size at _doc_key words codes part".split()
+    docs = spark.createDataFrame([(*r, *("c" * len(names))) for r in rows], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)])).repartition(3)
+    items_ = spark.createDataFrame(bench, "item_id long, text string")
+    want = brute.contamination(rows, bench)
+    assert brute.ordered(decontam.contamination(docs, items_).collect()) == brute.ordered(want)
+    clean = decontam.drop_contaminated(docs, items_)
+    assert clean.columns == docs.columns and brute.ordered(r[:1] for r in clean.collect()) == brute.ordered(w[:1] for w in want if not w[-1])
+
+
 def test_quality_measures(docs):
     got = quality.features(docs.withColumn("n_words", F.lit("clash"))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
     assert brute.ordered(got) == brute.ordered((r[0], *brute.measures(r[1])) for r in brute.documents())
