@@ -5,12 +5,19 @@ Fingerprints are compared once per distinct value.  The 64 bits are cut into
 ``blocks - distance`` whole blocks, so for every choice of that many blocks there
 is one table whose upper nodes are the shared masked bit patterns.  Below an upper
 node the other bits are put in Gray order (consecutive ranks differ in one bit)
-and cut by rank prefix into groups; each group keeps the AND and the OR of its
-members, i.e. the bits on which all agree.  A pair of groups under one node is
+and cut by rank prefix into at most 256 groups; each group keeps the AND and the OR of
+its members, i.e. the bits on which all agree.  A pair of groups under one node is
 dropped when the agreed bits alone differ in more than ``distance`` places, is
 linked as a whole when no two members can differ in more, and only else are
-members compared.  Nothing is dropped that could hold a link; the self-join is on
-(table, pattern), which AQE can split when a pattern is frequent.
+members compared.  Nothing is dropped that could hold a link.
+
+Links between members are never listed.  A round finds for each class, a single
+fingerprint at first, one class that a member of it links to, and joins the two; group
+pairs that lie in one class go, and rounds end when no two classes are linked.  Classes
+at least halve in number with each round among those that still have a link, and what
+comes out of a round is at most a row for each class.
+
+All functions but fingerprints() run jobs when they are called.
 """
 
 from __future__ import annotations
@@ -20,11 +27,17 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, ascii_lower, cut, split_words
+from .common import BLANK_RUN, ascii_lower, cut, fresh, join_sized, split_words
 from .components import components
 
 BITS = 64
 LANES = 32
+GROUP_BITS = 8
+#: Fingerprints to an upper node, on average, from which on more blocks are taken.
+NODE_SIZE = 8
+MOST_BLOCKS = 10
+#: A join's smaller side is broadcast up to this many rows (and common.BROADCAST_BYTES).
+BROADCAST_ROWS = 500_000
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4) -> DataFrame:
@@ -88,12 +101,21 @@ def index_tables(distance: int, blocks: int, group_bits: int) -> list[tuple[int,
     return out
 
 
-def near_links(fps: DataFrame, distance: int = 4, blocks: int = 6, group_bits: int = 8) -> DataFrame:
-    """``fps(fp)``, distinct -> ``(a, b)``: links whose components are those of all pairs within ``distance`` bits.
+def blocks_for(n: int, distance: int) -> int:
+    """The fewest blocks whose patterns spread ``n`` fingerprints thinly; more blocks mean more tables.
 
-    ``blocks`` sets the width of the upper nodes' patterns: 6 gives 15 tables of 21
-    bits, right up to some ten million fingerprints; 7 gives 35 of 27, 8 gives 70 of 32.
+    With 4 bits' distance: 6 blocks (15 tables, 21 bits) to 16 million fingerprints, 7
+    (35, 27) to 10^9, 8 (70, 32) to 3 * 10^10.  The result doesn't depend on it.
     """
+    blocks = distance + 2
+    while blocks < MOST_BLOCKS and n > NODE_SIZE << BITS * (blocks - distance) // blocks:
+        blocks += 1
+    return blocks
+
+
+def linked_classes(fps: DataFrame, distance: int = 4, blocks: int | None = None, group_bits: int = GROUP_BITS) -> DataFrame:
+    """``fps(fp)``, distinct -> ``(node, root)``: the class of every fingerprint that has a link, named by one of its members."""
+    blocks = blocks or blocks_for(fps.count(), distance)
     tables = F.array(*[
         F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("mask"), F.lit(s).alias("shift"))
         for t, m, s in index_tables(distance, blocks, group_bits)
@@ -114,48 +136,65 @@ def near_links(fps: DataFrame, distance: int = 4, blocks: int = 6, group_bits: i
     left = groups.select("t", "node", *[F.col(c).alias(f"{c}1") for c in ("g", "ones", "any", "n", "rep")])
     right = groups.select("t", "node", *[F.col(c).alias(f"{c}2") for c in ("g", "ones", "any", "n", "rep")])
     least = "bit_count((ones1 & ~any2) | (ones2 & ~any1))"
+    # A node has at most 2 ** group_bits groups, whatever the number of its members.
     pairs = cut(
         left.join(right, ["t", "node"])
         .where(f"(g1 < g2 or g1 = g2 and n1 > 1) and {least} <= {distance}")
         .withColumn("whole", F.expr(f"bit_count((any1 | any2) & ~(ones1 & ones2)) <= {distance}"))
     )
+    both = F.explode(F.array(*[F.struct(F.col(f"g{i}").alias("g"), F.col(f"n{i}").alias("n"), F.col(f"rep{i}").alias("rep")) for i in (1, 2)])).alias("x")
+    met = cut(pairs.select("t", "node", "whole", both).where("not whole or x.n > 1").groupBy("t", "node", "x.g").agg(
+        F.max(F.col("whole")).alias("star"), F.max(~F.col("whole")).alias("mixed"), F.min("x.rep").alias("rep")))
+    # Only members of groups that met another, or have more than one member, go on.
+    members = cut(join_sized(placed, met, ["t", "node", "g"], BROADCAST_ROWS))
     reps = pairs.where("whole and rep1 <> rep2").select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
-    one = pairs.where("whole").select("t", "node", F.explode(F.array(
-        F.struct(F.col("g1").alias("g"), F.col("n1").alias("n"), F.col("rep1").alias("rep")),
-        F.struct(F.col("g2").alias("g"), F.col("n2").alias("n"), F.col("rep2").alias("rep")),
-    )).alias("x")).where("x.n > 1").select("t", "node", "x.g", "x.rep").distinct()
-    stars = placed.join(one, ["t", "node", "g"]).where("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
-    mixed = pairs.where("not whole")
-    members1 = placed.select("t", "node", F.col("g").alias("g1"), F.col("fp").alias("a"))
-    members2 = placed.select("t", "node", F.col("g").alias("g2"), F.col("fp").alias("b"))
-    compared = (
-        mixed.select("t", "node", "g1", "g2")
-        .join(members1, ["t", "node", "g1"])
-        .join(members2, ["t", "node", "g2"])
-        .where(f"(g1 < g2 or a < b) and bit_count(a ^ b) <= {distance}")
-        .select("a", "b")
-    )
-    both = reps.union(stars).union(compared)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = members.where("star and fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
+    known = components(reps.union(stars))
+    mixed = pairs.where("not whole").select("t", "node", "g1", "g2")
+    members = members.where("mixed").select("t", "node", "g", "fp")
+    while True:
+        classed = cut(members.join(known.withColumnRenamed("node", "_n"), F.col("fp") == F.col("_n"), "left").select(
+            "t", "node", "g", "fp", F.coalesce("root", "fp").alias("class")))
+        spans = classed.groupBy("t", "node", "g").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+        sides = [spans.select("t", "node", F.col("g").alias(f"g{i}"), F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}")) for i in (1, 2)]
+        mixed = cut(mixed.join(sides[0], ["t", "node", "g1"]).join(sides[1], ["t", "node", "g2"]).where(
+            "not (low1 = high1 and low2 = high2 and low1 = low2)").select("t", "node", "g1", "g2"))
+        one, two = (classed.select("t", "node", F.col("g").alias(f"g{i}"), F.col("fp").alias(x), F.col("class").alias(f"class_{x}")) for i, x in ((1, "a"), (2, "b")))
+        linked = mixed.join(one, ["t", "node", "g1"]).join(two, ["t", "node", "g2"]).where(f"class_a <> class_b and bit_count(a ^ b) <= {distance}")
+        ends = F.explode(F.array(F.struct(F.col("class_a").alias("a"), F.col("class_b").alias("b")), F.struct(F.col("class_b").alias("a"), F.col("class_a").alias("b")))).alias("x")
+        found = cut(linked.select(ends).groupBy("x.a").agg(F.min("x.b").alias("b")))
+        if found.isEmpty():
+            return known
+        steps = components(found)
+        moved = known.join(steps.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        first = steps.join(known.select("node"), "node", "left_anti").select("node", "root")
+        known = cut(moved.union(first))
+
+
+def near_links(fps: DataFrame, distance: int = 4, blocks: int | None = None, group_bits: int = GROUP_BITS) -> DataFrame:
+    """``fps(fp)``, distinct -> ``(a, b)``: each linked fingerprint and the one that names its class.
+
+    At most a row for each fingerprint; the components are those of all pairs within ``distance`` bits.
+    """
+    return linked_classes(fps, distance, blocks, group_bits).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
-def rooted(rows: DataFrame, key: str, distance: int, blocks: int) -> DataFrame:
+def rooted(rows: DataFrame, key: str, distance: int, blocks: int | None) -> DataFrame:
     """``(fp, first, root)`` for every fingerprint of ``rows(key, fp)``: its smallest key and its class, named by a fingerprint."""
     firsts = cut(rows.groupBy("fp").agg(F.min(key).alias("first")))
-    roots = components(near_links(firsts.select("fp"), distance, blocks))
-    return cut(firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")))
+    roots = linked_classes(firsts.select("fp"), distance, blocks).withColumnRenamed("node", "fp")
+    return cut(join_sized(firsts, roots, ["fp"], BROADCAST_ROWS, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
 
 
-def classes(rows: DataFrame, key: str, distance: int, blocks: int) -> DataFrame:
+def classes(rows: DataFrame, key: str, distance: int, blocks: int | None) -> DataFrame:
     """``(fp, component_id)`` for every fingerprint of ``rows(key, fp)``."""
     linked = rooted(rows, key, distance, blocks)
     smallest = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
-    return cut(linked.join(smallest, "root").select("fp", "component_id"))
+    return cut(join_sized(linked, smallest, ["root"], BROADCAST_ROWS).select("fp", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4,
-                    distance: int = 4, blocks: int = 6) -> DataFrame:
+                    distance: int = 4, blocks: int | None = None) -> DataFrame:
     """``(key, fingerprint, component_id)`` for every row of ``docs``.
 
     component_id is the smallest key among all rows reachable over links, the row's
@@ -165,13 +204,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     """
     rows = cut(fingerprints(docs, text, key, shingle))
     return (
-        rows.join(classes(rows, key, distance, blocks), "fp")
+        join_sized(rows, classes(rows, key, distance, blocks), ["fp"], BROADCAST_ROWS)
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     )
 
 
-def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """One row of ``docs`` per smallest key of a group of near-duplicates, all columns kept.
 
     Groups that share that key (a repeated one, or NULL) are one here; see keep_one_per_class.
@@ -182,39 +221,40 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
     rows = cut(fingerprints(docs, text, key, shingle))
     of = classes(rows, key, distance, blocks)
     # Kept where the row's key is its class's smallest; NULL-only classes keep a NULL key.
+    k, t = fresh(docs, "_k"), fresh(docs, "_t")
     chosen = cut(
-        rows.join(of, "fp").where(F.col(key).eqNullSafe(F.col("component_id")))
-        .groupBy("component_id").agg(F.min(F.struct("fp", "text_key")).alias("one"), F.min("fp").alias("fp"))
-        .select(F.col("component_id").alias("_k"), F.col("one.text_key").alias("_t"))
+        join_sized(rows, of, ["fp"], BROADCAST_ROWS).where(F.col(key).eqNullSafe(F.col("component_id")))
+        .groupBy("component_id").agg(F.min(F.struct("fp", "text_key")).alias("one"))
+        .select(F.col("component_id").alias(k), F.col("one.text_key").alias(t))
     )
-    own = docs.columns
-    kept = docs.withColumn("_h", F.xxhash64(text)).join(
-        chosen, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_t")), "left_semi"
-    ).drop("_h")
-    return kept.select(*own).dropDuplicates([key]) if _repeats(rows) else kept.select(*own)
+    kept = join_sized(docs.withColumns({k: F.col(key), t: F.xxhash64(text)}), chosen, [k, t], BROADCAST_ROWS, "left_semi").select(*docs.columns)
+    return kept.dropDuplicates([key]) if _repeats(rows) else kept
 
 
-def keep_one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = 4, blocks: int = 6) -> DataFrame:
+def keep_one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """One row of ``docs`` per group of near-duplicates, all columns kept, whatever keys repeat or are NULL.
 
     It is the row with the smallest key, NULL after all others, and of equal keys the
-    least by the hash of its text.  Rows that agree in key and text are one row.
+    least by the hash of its text.  Rows that agree in key and text are one row.  Rows
+    without words (NULL, empty or blank texts) are one group.  The keys of the rows that
+    go are joined, which are fewer than those that stay.
     """
     rows = cut(fingerprints(docs, text, key, shingle))
     of = rooted(rows, key, distance, blocks).select("fp", "root")
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("text_key").alias("text_key"), F.col("copies").alias("copies"))
-    chosen = cut(
-        rows.join(of, "fp").groupBy("root").agg(F.min(order).alias("one"))
-        .select(F.col("one.key").alias("_k"), F.col("one.text_key").alias("_t"), F.col("one.copies").alias("_n"))
-    )
-    own = docs.columns
-    hashed = docs.withColumn("_h", F.xxhash64(text))
-    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_t"))
-    if chosen.where("_n > 1").isEmpty():
-        return hashed.join(chosen, same, "left_semi").select(*own)
-    single = hashed.join(chosen.where("_n = 1"), same, "left_semi")
-    several = hashed.join(chosen.where("_n > 1"), same, "left_semi")
-    return single.union(several.dropDuplicates([key, "_h"])).select(*own)
+    k, t = fresh(docs, "_k"), fresh(docs, "_t")
+    placed = cut(join_sized(rows, of, ["fp"], BROADCAST_ROWS).select("root", order.alias("row")))
+    chosen = cut(placed.groupBy("root").agg(F.min("row").alias("one")))
+    gone = join_sized(placed, chosen, ["root"], BROADCAST_ROWS, "left").where("row <> one")
+    gone = cut(gone.select(F.col("row.key").alias(k), F.col("row.text_key").alias(t)))
+    several = cut(chosen.where("one.copies > 1").select(F.col("one.key").alias(k), F.col("one.text_key").alias(t)))
+    named = docs.withColumns({k: F.col(key), t: F.xxhash64(text)})
+    kept = join_sized(named, gone, [k, t], BROADCAST_ROWS, "left_anti")
+    if several.isEmpty():
+        return kept.select(*docs.columns)
+    single = join_sized(kept, several, [k, t], BROADCAST_ROWS, "left_anti")
+    repeated = join_sized(kept, several, [k, t], BROADCAST_ROWS, "left_semi").dropDuplicates([k, t])
+    return single.union(repeated).select(*docs.columns)
 
 
 def _repeats(rows: DataFrame) -> bool:

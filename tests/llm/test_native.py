@@ -72,6 +72,25 @@ def test_near_links_find_all_components(spark):
         assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_links_are_fewer_than_members(spark):
+    """All 2,081 fingerprints within 2 bits of one, beside a denser ball and strangers: at most a link for each, and no component lost."""
+    from itertools import combinations
+
+    centre, rng = 0x5DEECE66D1234567, random.Random(4)
+    ball = [centre, *(centre ^ 1 << i for i in range(64)), *(centre ^ (1 << i | 1 << j) for i, j in combinations(range(64), 2))]
+    others = [rng.getrandbits(64) for _ in range(200)]
+    signed = [(f - (1 << 64) if f >> 63 else f,) for f in {*ball, *others}]
+    links = simhash.near_links(spark.createDataFrame(signed, "fp long"))
+    assert links.count() <= len(signed)
+    got = components.components(links).groupBy("root").count().collect()
+    assert [r["count"] for r in got] == [2081]
+
+
+def test_blocks_grow_with_the_input():
+    assert [simhash.blocks_for(n, 4) for n in (0, 10**7, 10**8, 10**9, 10**10)] == [6, 6, 7, 7, 8]
+    assert all(len(simhash.index_tables(4, b, 8)) == n for b, n in ((6, 15), (7, 35), (8, 70)))
+
+
 def test_components_chain(spark):
     n = 40
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 100), (None, 3), (7, 7)], "a long, b long")
