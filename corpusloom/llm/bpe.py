@@ -6,6 +6,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +65,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
         return lambda words: [own._encode_single_piece(w.encode("utf-8", "surrogatepass")) for w in words]
 
     kind = docs.schema[key].dataType
-    arrow_kind = _arrow(kind)
 
     def assemble(keys, sizes, ends, slots, answers):
         starts, lengths, flat = answers
@@ -72,23 +72,44 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
         total = np.concatenate([[0], np.cumsum(each)])
         tokens = flat[np.repeat(starts[slots] - total[:-1], each) + np.arange(total[-1])]
         offsets = np.concatenate([[0], total[ends]]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(keys, arrow_kind), pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()))], [key, "ids"])
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()))], [key, "ids"])
 
     return shuffle_words(docs, key, text, splitter_for(pattern), worker, assemble, f"`{key}` {kind.simpleString()}, ids array<int>")
 
 
+#: Texts are decoded in groups of so many ids, a longer text by itself.
+GROUP_IDS = 1 << 22
+
+
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the bytes of its ids: every id is looked up in the table of token bytes."""
+    """``df`` with the bytes of its ids: the ids are joined with the table of token bytes, which every task holds.
+
+    The join is Arrow's take() on the column of token bytes in order of their ids, which
+    puts the bytes of a whole group of texts side by side.  A NULL list stays NULL, an
+    empty one has no bytes; an id that isn't in the table ends the job.
+    """
     columns = [c for c in df.columns if c != out]
 
     def run(batches):
-        table = {i: b for b, i in read_ranks(ranks_path).items()}
+        known = {i: b for b, i in read_ranks(ranks_path).items()}
+        table = pa.array([known.get(i) for i in range(max(known) + 1)], pa.large_binary())
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                lists = part.column(columns.index(ids)).to_pylist()
-                data = pa.array([None if x is None else b"".join(map(table.__getitem__, x)) for x in lists], pa.binary())
+            lists = batch.column(columns.index(ids))
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))
+            first = 0
+            while first < batch.num_rows:
+                done = int(ends[first - 1]) if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, done + GROUP_IDS, side="right")))
+                part = batch.slice(first, last - first)
+                found = table.take(lists.slice(first, last - first).flatten())
+                if found.null_count:
+                    raise ValueError("an id without a token")
+                places = np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(found) + 1, offset=8 * found.offset)
+                limits = places[np.concatenate([[0], ends[first:last] - done])]
+                whole = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(limits.astype(np.int64).tobytes()), found.buffers()[2]])
+                data = pc.if_else(pc.is_valid(part.column(columns.index(ids))), whole.cast(pa.binary()), pa.scalar(None, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*part.columns, data], [*columns, out])
+                first = last
 
     from pyspark.sql import types as T
 
@@ -104,9 +125,3 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text",
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-
-
-def _arrow(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)

@@ -1,20 +1,26 @@
 """A global word shuffle: work done once per distinct pre-token and joined back to texts.
 
-Texts are taken in chunks of some 16 MB.  Inside a chunk each distinct pre-token gets
-a slot; the chunk's pre-tokens go to the shuffle once each, packed by hash bucket,
-however often they occur.  A bucket holds all occurrences of its pre-tokens in the
-corpus and does the work once for each; the answers return to the chunks by slot,
-where they meet the texts' slots (positions or frequencies).  No text is in a shuffle,
-and a frequent pre-token weighs one entry a chunk.
-
-The texts are split twice, for the two sides of the join.  A chunk is named by a hash
-of all its keys and texts, so sides that don't belong together can't meet: a missing
-answer ends the job.
+Texts are split once, in chunks of some 16 MB.  Inside a chunk each distinct pre-token
+gets a slot, the most frequent the lowest.  The chunk's pre-tokens go to the shuffle once
+each, by hash bucket, however often they occur.  A bucket holds all occurrences of its
+pre-tokens in the corpus and does the work once for each; the answers return to the
+chunks by slot, where they meet the texts' slots (positions or frequencies).  No text is
+in a shuffle, and a frequent pre-token weighs one entry a chunk.
+
+Rows of the shuffles are ``chunk, bucket, body``.  A body is compressed and holds arrays
+of 32-bit numbers, stored byte plane by byte plane (small numbers leave empty planes), and
+UTF-8 or Arrow bytes: of a chunk's words in a bucket the slots, lengths and letters; of
+their answers the slots, lengths and values; of a chunk's texts an Arrow batch of keys,
+sizes and ends, and the slots and counts of all texts one after another.
+
+A chunk is cut out of the rows of a task, so a task that is run again must meet its rows
+in the same order.  Files are read in order; behind a shuffle the rows of each task are
+sorted first.  A chunk is named by a hash of its keys and texts: should sides that don't
+belong together meet all the same, the job ends.
 """
 
 from __future__ import annotations
 
-import pickle
 import zlib
 from array import array
 from collections import Counter
@@ -32,7 +38,13 @@ from .common import ship
 ship(__name__)
 
 CHUNK_BYTES = 16 << 20
+#: One bucket for so many bytes of input, and one task for so many where the session's shuffle partitions are fewer.
+BUCKET_BYTES = 32 << 20
+TASK_BYTES = 128 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 256, 1 << 16
 PACKED = "chunk bigint, bucket int, body binary"
+#: Bodies of texts have buckets below 0, only to be spread over the tasks.
+TEXT_BUCKETS = 1021
 
 
 class Slots(dict):
@@ -43,31 +55,56 @@ class Slots(dict):
         return n
 
 
-def _pack(x) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(x, protocol=5))
+def pack(numbers: list[np.ndarray], data: bytes = b"") -> bytes:
+    """Arrays of 32-bit numbers and bytes as one compressed body."""
+    head = np.array([len(numbers), *map(len, numbers)], dtype="<u8").tobytes()
+    planes = [np.asarray(a).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in numbers]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *planes, data]))
 
 
-def _unpack(b: bytes):
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(b))
+def unpack(body: bytes) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(body)
+    k = int(np.frombuffer(raw, dtype="<u8", count=1)[0])
+    sizes = np.frombuffer(raw, dtype="<u8", count=k, offset=8)
+    at, out = 8 * (k + 1), []
+    for n in map(int, sizes):
+        out.append(np.frombuffer(raw, dtype=np.uint8, count=4 * n, offset=at).reshape(4, n).T.copy().view("<u4").reshape(-1))
+        at += 4 * n
+    return out, raw[at:]
 
 
-def _chunks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list, list[str]]]:
-    """(name, keys, texts) of runs of rows; a text beyond the limit ends its chunk."""
-    keys: list = []
+def pack_words(slots: list[int], words: list[str]) -> bytes:
+    """Slots in ascending order and their words."""
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    return pack([np.diff(np.array(slots, dtype=np.int64), prepend=0), np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))], b"".join(raw))
+
+
+def unpack_words(body: bytes) -> tuple[np.ndarray, list[str]]:
+    """The slots' steps as they are, and the words."""
+    (steps, lengths), raw = unpack(body)
+    ends = np.cumsum(lengths.astype(np.int64)).tolist()
+    return steps, [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[int, list[pa.Array], list[str]]]:
+    """(name, key arrays, texts) of runs of rows; a text beyond the limit ends its chunk."""
+    keys: list[pa.Array] = []
     texts: list[str] = []
     size, name = 0, xxhash.xxh64()
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        first = 0
+        for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             text = text or ""
             raw = text.encode("utf-8", "surrogatepass")
             name.update(repr(key).encode() + b"\0" + raw + b"\0")
-            keys.append(key)
             texts.append(text)
             size += len(raw)
             if size >= limit:
-                yield name.intdigest() - (1 << 63), keys, texts
-                keys, texts, size, name = [], [], 0, xxhash.xxh64()
-    if keys:
+                yield name.intdigest() - (1 << 63), [*keys, batch.column(0).slice(first, i + 1 - first)], texts
+                keys, texts, size, name, first = [], [], 0, xxhash.xxh64(), i + 1
+        if first < batch.num_rows:
+            keys.append(batch.column(0).slice(first))
+    if texts:
         yield name.intdigest() - (1 << 63), keys, texts
 
 
@@ -77,68 +114,97 @@ def _row(chunk: int, bucket: int, body: bytes) -> pa.RecordBatch:
     )
 
 
+def _input_bytes(pairs: DataFrame, text: str) -> int:
+    """The optimizer's estimate where it has one, else the counted size of the texts."""
+    known = int(str(pairs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 50:
+        return known
+    return pairs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+
+
+def _in_order(pairs: DataFrame) -> DataFrame:
+    """``pairs``, with the rows of each task sorted where a shuffle may bring them in another order the next time."""
+    if "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString():
+        return pairs
+    return pairs.sortWithinPartitions(F.xxhash64(*pairs.columns))
+
+
 def shuffle_words(
     docs: DataFrame, key: str, text: str, splitter: Callable[[], Callable[[str], list[str]]],
     worker: Callable[[], Callable[[list[str]], list[list[int]]]], assemble: Callable[..., pa.RecordBatch],
-    schema: str, frequencies: bool = False, buckets: int = 256, chunk_bytes: int = CHUNK_BYTES,
+    schema: str, frequencies: bool = False, buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES,
 ) -> DataFrame:
     """One row per row of ``docs`` by ``assemble(keys, sizes, ends, slots, answers[, counts])``.
 
     splitter() makes the function text -> pre-tokens, worker() the function from distinct
-    pre-tokens to answers, lists of ints; both run once per Python worker.  sizes are the
-    texts' bytes; ``slots[ends[i-1]:ends[i]]`` belong to text i: its pre-tokens in order,
-    or with ``frequencies`` its distinct ones beside their counts.  ``answers`` is
+    pre-tokens to answers, lists of ints; both run once per task.  keys are an Arrow array,
+    sizes the texts' bytes; ``slots[ends[i-1]:ends[i]]`` belong to text i: its pre-tokens
+    in order, or with ``frequencies`` its distinct ones beside their counts.  ``answers`` is
     (starts, lengths, flat): the answer of a slot is ``flat[start:start+length]``.
     A NULL text is empty; repeated keys stay apart; the empty table gives no rows.
+
+    The number of buckets grows with the input, so that the words which one bucket knows
+    stay few; tasks grow with it beyond the session's shuffle partitions.
     """
     pairs = docs.select(F.col(key), F.col(text))
+    size = _input_bytes(pairs, text)
+    pairs = _in_order(pairs)
+    if buckets is None:
+        buckets = min(max(LEAST_BUCKETS, size // BUCKET_BYTES), MOST_BUCKETS)
+    tasks = -(-size // TASK_BYTES)
 
-    def split_chunk(split, texts: list[str]):
-        slots, places, counts, ends = Slots(), array("I"), array("I"), array("Q")
-        for t in texts:
-            found = split(t)
-            if frequencies:
-                tally = Counter(found)
-                places.extend(map(slots.__getitem__, tally))
-                counts.extend(tally.values())
-            else:
-                places.extend(map(slots.__getitem__, found))
-            ends.append(len(places))
-        return slots, places, counts, ends
+    def spread(df: DataFrame, by: str) -> DataFrame:
+        more = tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(tasks, by) if more else df.repartition(by)
 
-    def words(batches):
+    def split_chunks(batches):
         split = splitter()
-        for chunk, _, texts in _chunks(batches, chunk_bytes):
-            seen: dict[str, None] = {}  # in the order of the slots
+        for chunk, keys, texts in _chunks(batches, chunk_bytes):
+            slots, places, counts, ends = Slots(), array("I"), array("I"), array("Q")
             for t in texts:
-                seen.update(dict.fromkeys(split(t)))
+                found = split(t)
+                if frequencies:
+                    tally = Counter(found)
+                    places.extend(map(slots.__getitem__, tally))
+                    counts.extend(tally.values())
+                else:
+                    places.extend(map(slots.__getitem__, found))
+                ends.append(len(places))
+            at = np.frombuffer(places, dtype=np.uint32) if places else np.zeros(0, dtype=np.uint32)
+            order = np.argsort(-np.bincount(at, minlength=len(slots)), kind="stable")  # the most frequent first
+            rank = np.empty(len(slots), dtype=np.uint32)
+            rank[order] = np.arange(len(slots), dtype=np.uint32)
             parts: list[tuple[list[int], list[str]]] = [([], []) for _ in range(buckets)]
-            for slot, word in enumerate(seen):
-                at, said = parts[zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets]
-                at.append(slot)
-                said.append(word)
-            for b, (at, said) in enumerate(parts):
-                if at:
-                    yield _row(chunk, b, _pack((np.array(at, dtype=np.uint32), said)))
-
-    def bodies(batches):
-        split = splitter()
-        for chunk, keys, texts in _chunks(batches, chunk_bytes):
-            slots, places, counts, ends = split_chunk(split, texts)
+            words = list(slots)
+            for slot, i in enumerate(order.tolist()):
+                where, said = parts[zlib.crc32(words[i].encode("utf-8", "surrogatepass")) % buckets]
+                where.append(slot)
+                said.append(words[i])
+            for b, (where, said) in enumerate(parts):
+                if where:
+                    yield _row(chunk, b, pack_words(where, said))
             sizes = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            planes = np.array(places, dtype=np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()  # byte planes pack better
-            yield _row(chunk, -1, _pack((keys, sizes, np.array(ends, dtype=np.int64), planes, np.array(counts, dtype=np.uint32), len(slots))))
+            table = pa.RecordBatch.from_arrays(
+                [pa.concat_arrays(keys), pa.array(sizes, pa.int64()), pa.array(np.array(ends, dtype=np.int64))], ["key", "size", "end"])
+            numbers = [np.array([len(slots)]), rank[at], np.array(counts, dtype=np.uint32)]
+            yield _row(chunk, -1 - chunk % TEXT_BUCKETS, pack(numbers, table_bytes(table)))
 
     def answers(batches):
-        work, known = worker(), {}
+        work = worker()
+        now, known = None, {}  # of one bucket at a time: the rows are sorted by it
         for batch in batches:
-            for chunk, bucket, body in zip(*(batch.column(i) for i in range(3))):
-                at, said = _unpack(body.as_py())
+            for chunk, bucket, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if bucket < 0:
+                    yield _row(chunk, bucket, body.as_py())
+                    continue
+                if bucket != now:
+                    now, known = bucket, {}
+                steps, said = unpack_words(body.as_py())
                 new = [w for w in said if w not in known]
                 known.update(zip(new, (array("i", x).tobytes() for x in work(new))))
                 got = [known[w] for w in said]
                 lengths = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
-                yield _row(chunk.as_py(), bucket.as_py(), _pack((at, lengths.astype(np.uint32), b"".join(got))))
+                yield _row(chunk, bucket, pack([steps, lengths, np.frombuffer(b"".join(got), dtype=np.int32).view(np.uint32)]))
 
     def joined(table: pa.Table) -> pa.Table:
         texts, parts = [], {}
@@ -150,27 +216,38 @@ def shuffle_words(
         out = []
         ready = None
         for packed in texts:
-            keys, sizes, ends, planes, counts, n = _unpack(packed.as_py())
+            (n, places, counts), raw = unpack(packed.as_py())
+            rows = table_of(raw)
             if ready is None:
+                n = int(n[0])
                 starts, lengths = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
                 flat, end = [], 0
                 for part in parts.values():
-                    at, size, said = _unpack(part.as_py())
-                    size = size.astype(np.int64)
-                    lengths[at] = size
-                    starts[at] = end + np.cumsum(size) - size
-                    flat.append(np.frombuffer(said, dtype=np.int32))
-                    end += len(flat[-1])
+                    (steps, sizes, said), _ = unpack(part.as_py())
+                    at, sizes = np.cumsum(steps.astype(np.int64)), sizes.astype(np.int64)
+                    lengths[at] = sizes
+                    starts[at] = end + np.cumsum(sizes) - sizes
+                    flat.append(said.view(np.int32))
+                    end += len(said)
                 if (starts < 0).any():
                     raise RuntimeError("a chunk of texts met the pre-tokens of another; the input isn't read in one order")
                 ready = (starts, lengths, np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32))
-            places = np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T.copy().view(np.uint32).reshape(-1)
-            args = (keys, sizes, ends, places, ready)
+            args = (rows.column(0), rows.column(1), rows.column(2).to_numpy(), places, ready)
             out.append(assemble(*args, counts.astype(np.int64)) if frequencies else assemble(*args))
         if parts and not texts:
             raise RuntimeError("pre-tokens came back without their chunk; the input isn't read in one order")
         return pa.Table.from_batches(out)
 
-    asked = pairs.mapInArrow(words, PACKED).repartition("bucket")
-    both = asked.mapInArrow(answers, PACKED).union(pairs.mapInArrow(bodies, PACKED))
-    return both.groupBy("chunk").applyInArrow(joined, schema)
+    both = spread(pairs.mapInArrow(split_chunks, PACKED), "bucket").sortWithinPartitions("bucket").mapInArrow(answers, PACKED)
+    return spread(both, "chunk").groupBy("chunk").applyInArrow(joined, schema)
+
+
+def table_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def table_of(raw: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(raw).read_next_batch()

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import _arrow, finder
+from .bpe import finder
 from .common import ship
 from .pretokens import shuffle_words
 
@@ -86,14 +86,13 @@ def token_counts(docs: DataFrame, tokenizer_path: str, text: str = "text", key:
         return lambda words: [[1 if w[0] == " " else len(e)] for w, e in zip(words, own.encode_batch(words, add_special_tokens=False))]
 
     kind = docs.schema[key].dataType
-    arrow_kind = _arrow(kind)
 
     def assemble(keys, sizes, ends, slots, answers, counts):
         starts, _, pieces = answers
         total = np.concatenate([[0], np.cumsum(pieces[starts[slots]].astype(np.int64) * counts)])
         tokens = np.diff(np.concatenate([[0], total[ends]]))
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys, arrow_kind), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(tokens > limit)],
+            [keys, sizes, pa.array(tokens, pa.int64()), pa.array(tokens > limit)],
             [key, "n_bytes", "n_tokens", "over_limit"],
         )
 

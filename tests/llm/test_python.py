@@ -62,6 +62,57 @@ def test_small_chunks(spark):
         tokencount.shuffle_words = old
 
 
+def test_packed_words():
+    import numpy as np
+
+    words = ["", "a", "é" * 70_000, "\x00\n", "\ud800", "日本"]
+    steps, got = pretokens.unpack_words(pretokens.pack_words([0, 3, 4, 500, 70_000, 1 << 31], words))
+    assert got == words and np.cumsum(steps.astype(np.int64)).tolist() == [0, 3, 4, 500, 70_000, 1 << 31]
+    numbers, raw = pretokens.unpack(pretokens.pack([np.array([]), np.array([1, 1 << 32 - 1])], b"x"))
+    assert [n.tolist() for n in numbers] == [[], [1, 1 << 31]] and raw == b"x"
+
+
+def test_each_word_is_encoded_once(spark, tmp_path):
+    """Over all chunks and tasks, and whatever order a shuffle brings the rows in; a text of a million words is one chunk."""
+    docs = spark.createDataFrame([(i % 40, f"w{i % 7} shared" + " x" * (i % 3), "clash") for i in range(300)] + [(7, "long " * 1_000_000, "")], "doc_id long, text string, chunk string")
+    path = str(tmp_path / "asked")
+
+    def worker():
+        def work(words):
+            import os
+            import uuid
+
+            os.makedirs(path, exist_ok=True)
+            if words:
+                with open(f"{path}/{uuid.uuid4().hex}", "w") as f:
+                    f.write("\n".join(words))
+            return [[len(w)] for w in words]
+        return work
+
+    def assemble(keys, sizes, ends, slots, answers):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([keys, sizes, pa.array(ends)], ["doc_id", "size", "end"])
+
+    out = pretokens.shuffle_words(docs.repartition(5), "doc_id", "text", lambda: str.split, worker, assemble, "doc_id long, size long, end long", buckets=5, chunk_bytes=200)
+    assert out.agg(F.count("*"), F.sum("size")).first() == docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    asked = [w for f in (tmp_path / "asked").iterdir() for w in f.read_text().split("\n")]
+    assert sorted(asked) == sorted({*(f"w{i}" for i in range(7)), "shared", "x", "long"})
+
+
+def test_decode(spark, monkeypatch):
+    with open(RANKS, "rb") as f:
+        known = {int(b): base64.b64decode(a) for a, b in map(bytes.split, f)}
+    rng = random.Random(0)
+    rows = [(None,), ([],), *(([rng.randrange(50_000) for _ in range(rng.randrange(40))],) for _ in range(60)), ([5] * 9000,), (None,)]
+    for size in (1 << 22, 50):
+        monkeypatch.setattr(bpe, "GROUP_IDS", size)
+        got = bpe.decode(spark.createDataFrame([(*r, "x") for r in rows], "ids array<int>, decoded string"), RANKS).collect()
+        assert [None if r.decoded is None else bytes(r.decoded) for r in got] == [None if r[0] is None else b"".join(map(known.get, r[0])) for r in rows]
+    with pytest.raises(Exception):
+        bpe.decode(spark.createDataFrame([([50_256],)], "ids array<int>"), RANKS).collect()
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.digests(none, RANKS, public_tokenizers.PATTERN).count() == tokencount.token_counts(none, WORDS).count() == 0
