@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut, join_sized
 
 #: A join's smaller side is broadcast up to this many rows (and common.BROADCAST_BYTES).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 
 
 def components(links: DataFrame) -> DataFrame:

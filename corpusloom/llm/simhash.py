@@ -9,13 +9,12 @@ and cut by rank prefix into at most 256 groups; each group keeps the AND and the
 its members, i.e. the bits on which all agree.  A pair of groups under one node is
 dropped when the agreed bits alone differ in more than ``distance`` places, is
 linked as a whole when no two members can differ in more, and only else are
-members compared.  Nothing is dropped that could hold a link.
+members compared, each of one group until it meets one of the other.  Nothing is dropped that could hold a link.
 
-Links between members are never listed.  A round finds for each class, a single
-fingerprint at first, one class that a member of it links to, and joins the two; group
-pairs that lie in one class go, and rounds end when no two classes are linked.  Classes
-at least halve in number with each round among those that still have a link, and what
-comes out of a round is at most a row for each class.
+Links between members are never listed.  Each member is first linked to a few others,
+by its node, its group and its place in Gray order, and the classes that this makes are
+looked up.  Only members of different classes that share a node are then compared, and
+what comes out is which classes are linked.
 
 All functions but fingerprints() run jobs when they are called.
 """
@@ -24,7 +23,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANK_RUN, ascii_lower, cut, fresh, join_sized, split_words
@@ -37,7 +36,9 @@ GROUP_BITS = 8
 NODE_SIZE = 8
 MOST_BLOCKS = 10
 #: A join's smaller side is broadcast up to this many rows (and common.BROADCAST_BYTES).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
+#: The same for keys of rows that go, whose other side has whole texts.
+BROADCAST_KEYS = 500_000
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4) -> DataFrame:
@@ -128,47 +129,37 @@ def linked_classes(fps: DataFrame, distance: int = 4, blocks: int | None = None,
         F.col("fp").bitwiseAND(F.bitwise_not("i.mask")).alias("free"),
     )
     placed = with_gray_rank(free, "free", "rank").select(
-        "t", "node", F.expr("shiftrightunsigned(rank, shift)").alias("g"), "fp"
+        "t", "node", F.expr("shiftrightunsigned(rank, shift)").alias("g"), "rank", "fp"
     )
-    groups = placed.groupBy("t", "node", "g").agg(
-        F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any"), F.count("*").alias("n"), F.min("fp").alias("rep")
-    )
-    left = groups.select("t", "node", *[F.col(c).alias(f"{c}1") for c in ("g", "ones", "any", "n", "rep")])
-    right = groups.select("t", "node", *[F.col(c).alias(f"{c}2") for c in ("g", "ones", "any", "n", "rep")])
-    least = "bit_count((ones1 & ~any2) | (ones2 & ~any1))"
-    # A node has at most 2 ** group_bits groups, whatever the number of its members.
+    node, group = ["t", "node"], ["t", "node", "g"]
+    ends = cut(placed.groupBy(*node).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1").drop("n"))
+    members = cut(join_sized(placed, ends, node, BROADCAST_ROWS))
+    # First links, at most four a member: the ends of its node, the least of its group, the next in Gray order.
+    in_order = Window.partitionBy(*group).orderBy("rank", "fp")
+    near = members.select("fp", "low", "high", F.first("fp").over(in_order).alias("least"), F.coalesce(F.lead("fp").over(in_order), "fp").alias("next"))
+    near = near.select("fp", F.explode(F.array("low", "high", "least", "next")).alias("to"))
+    known = components(near.where(f"fp <> to and bit_count(fp ^ to) <= {distance}").select(F.col("fp").alias("a"), F.col("to").alias("b")))
+    classed = join_sized(members.select(*group, "fp"), known.withColumnRenamed("node", "fp"), ["fp"], BROADCAST_ROWS, "left")
+    classed = cut(classed.withColumn("class", F.coalesce("root", "fp")).drop("root"))
+    live = cut(classed.groupBy(*node).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select(*node))
+    classed = cut(join_sized(classed, live, node, BROADCAST_ROWS, "left_semi"))
+    # What is left to compare: members of one node in different classes, group by group and class by class.
+    groups = cut(classed.groupBy(*group, "class").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")))
+    one, two = (groups.select(*node, *[F.col(c).alias(f"{c}{i}") for c in ("g", "class", "ones", "any")]) for i in (1, 2))
     pairs = cut(
-        left.join(right, ["t", "node"])
-        .where(f"(g1 < g2 or g1 = g2 and n1 > 1) and {least} <= {distance}")
+        one.join(two, node).where(f"class1 < class2 and bit_count((ones1 & ~any2) | (ones2 & ~any1)) <= {distance}")
         .withColumn("whole", F.expr(f"bit_count((any1 | any2) & ~(ones1 & ones2)) <= {distance}"))
     )
-    both = F.explode(F.array(*[F.struct(F.col(f"g{i}").alias("g"), F.col(f"n{i}").alias("n"), F.col(f"rep{i}").alias("rep")) for i in (1, 2)])).alias("x")
-    met = cut(pairs.select("t", "node", "whole", both).where("not whole or x.n > 1").groupBy("t", "node", "x.g").agg(
-        F.max(F.col("whole")).alias("star"), F.max(~F.col("whole")).alias("mixed"), F.min("x.rep").alias("rep")))
-    # Only members of groups that met another, or have more than one member, go on.
-    members = cut(join_sized(placed, met, ["t", "node", "g"], BROADCAST_ROWS))
-    reps = pairs.where("whole and rep1 <> rep2").select(F.col("rep1").alias("a"), F.col("rep2").alias("b"))
-    stars = members.where("star and fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
-    known = components(reps.union(stars))
-    mixed = pairs.where("not whole").select("t", "node", "g1", "g2")
-    members = members.where("mixed").select("t", "node", "g", "fp")
-    while True:
-        classed = cut(members.join(known.withColumnRenamed("node", "_n"), F.col("fp") == F.col("_n"), "left").select(
-            "t", "node", "g", "fp", F.coalesce("root", "fp").alias("class")))
-        spans = classed.groupBy("t", "node", "g").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-        sides = [spans.select("t", "node", F.col("g").alias(f"g{i}"), F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}")) for i in (1, 2)]
-        mixed = cut(mixed.join(sides[0], ["t", "node", "g1"]).join(sides[1], ["t", "node", "g2"]).where(
-            "not (low1 = high1 and low2 = high2 and low1 = low2)").select("t", "node", "g1", "g2"))
-        one, two = (classed.select("t", "node", F.col("g").alias(f"g{i}"), F.col("fp").alias(x), F.col("class").alias(f"class_{x}")) for i, x in ((1, "a"), (2, "b")))
-        linked = mixed.join(one, ["t", "node", "g1"]).join(two, ["t", "node", "g2"]).where(f"class_a <> class_b and bit_count(a ^ b) <= {distance}")
-        ends = F.explode(F.array(F.struct(F.col("class_a").alias("a"), F.col("class_b").alias("b")), F.struct(F.col("class_b").alias("a"), F.col("class_a").alias("b")))).alias("x")
-        found = cut(linked.select(ends).groupBy("x.a").agg(F.min("x.b").alias("b")))
-        if found.isEmpty():
-            return known
-        steps = components(found)
-        moved = known.join(steps.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        first = steps.join(known.select("node"), "node", "left_anti").select("node", "root")
-        known = cut(moved.union(first))
+    a, b = (classed.select(*node, F.col("g").alias(f"g{i}"), F.col("class").alias(f"class{i}"), F.col("fp").alias(f"fp{i}")) for i in (1, 2))
+    some = pairs.where("not whole").join(a, [*node, "g1", "class1"]).alias("x")
+    same = " and ".join(f"x.{c} = y.{c}" for c in (*node, "g2", "class2"))
+    linked = some.join(b.alias("y"), F.expr(f"{same} and bit_count(x.fp1 ^ y.fp2) <= {distance}"), "left_semi")
+    joined = pairs.where("whole").select("class1", "class2").union(linked.select("class1", "class2")).distinct()
+    steps = components(joined.select(F.col("class1").alias("a"), F.col("class2").alias("b")))
+    moved = join_sized(known, steps.select(F.col("node").alias("root"), F.col("root").alias("to")), ["root"], BROADCAST_ROWS, "left")
+    moved = moved.select("node", F.coalesce("to", "root").alias("root"))
+    single = join_sized(steps, known.select("node"), ["node"], BROADCAST_ROWS, "left_anti").select("node", "root")
+    return cut(moved.union(single))
 
 
 def near_links(fps: DataFrame, distance: int = 4, blocks: int | None = None, group_bits: int = GROUP_BITS) -> DataFrame:
@@ -227,7 +218,7 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
         .groupBy("component_id").agg(F.min(F.struct("fp", "text_key")).alias("one"))
         .select(F.col("component_id").alias(k), F.col("one.text_key").alias(t))
     )
-    kept = join_sized(docs.withColumns({k: F.col(key), t: F.xxhash64(text)}), chosen, [k, t], BROADCAST_ROWS, "left_semi").select(*docs.columns)
+    kept = join_sized(docs.withColumns({k: F.col(key), t: F.xxhash64(text)}), chosen, [k, t], BROADCAST_KEYS, "left_semi").select(*docs.columns)
     return kept.dropDuplicates([key]) if _repeats(rows) else kept
 
 
@@ -249,11 +240,11 @@ def keep_one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id",
     gone = cut(gone.select(F.col("row.key").alias(k), F.col("row.text_key").alias(t)))
     several = cut(chosen.where("one.copies > 1").select(F.col("one.key").alias(k), F.col("one.text_key").alias(t)))
     named = docs.withColumns({k: F.col(key), t: F.xxhash64(text)})
-    kept = join_sized(named, gone, [k, t], BROADCAST_ROWS, "left_anti")
+    kept = join_sized(named, gone, [k, t], BROADCAST_KEYS, "left_anti")
     if several.isEmpty():
         return kept.select(*docs.columns)
-    single = join_sized(kept, several, [k, t], BROADCAST_ROWS, "left_anti")
-    repeated = join_sized(kept, several, [k, t], BROADCAST_ROWS, "left_semi").dropDuplicates([k, t])
+    single = join_sized(kept, several, [k, t], BROADCAST_KEYS, "left_anti")
+    repeated = join_sized(kept, several, [k, t], BROADCAST_KEYS, "left_semi").dropDuplicates([k, t])
     return single.union(repeated).select(*docs.columns)
 
 
