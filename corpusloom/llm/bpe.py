@@ -78,7 +78,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
 
 
 #: Texts are decoded in groups of so many ids, a longer text by itself.
-GROUP_IDS = 1 << 22
+GROUP_IDS = 1 << 20
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -1,7 +1,7 @@
 """A global word shuffle: work done once per distinct pre-token and joined back to texts.
 
-Texts are split once, in chunks of some 16 MB.  Inside a chunk each distinct pre-token
-gets a slot, the most frequent the lowest.  The chunk's pre-tokens go to the shuffle once
+Texts are taken in chunks of some 16 MB.  Inside a chunk each distinct pre-token gets a
+slot, the most frequent the lowest.  The chunk's pre-tokens go to the shuffle once
 each, by hash bucket, however often they occur.  A bucket holds all occurrences of its
 pre-tokens in the corpus and does the work once for each; the answers return to the
 chunks by slot, where they meet the texts' slots (positions or frequencies).  No text is
@@ -13,10 +13,12 @@ UTF-8 or Arrow bytes: of a chunk's words in a bucket the slots, lengths and lett
 their answers the slots, lengths and values; of a chunk's texts an Arrow batch of keys,
 sizes and ends, and the slots and counts of all texts one after another.
 
-A chunk is cut out of the rows of a task, so a task that is run again must meet its rows
-in the same order.  Files are read in order; behind a shuffle the rows of each task are
-sorted first.  A chunk is named by a hash of its keys and texts: should sides that don't
-belong together meet all the same, the job ends.
+The texts are read and split twice, for the two sides of the join: sent through the first
+shuffle beside the words, the texts' slots would weigh more than all else.  A chunk is
+cut out of the rows of a task, so both readings, and a task that is run again, must meet
+the same rows in the same order.  Files are read so; what comes out of a shuffle is
+written as a table first.  A chunk is named by a hash of its keys and texts: should sides
+that don't belong together meet all the same, the job ends.
 """
 
 from __future__ import annotations
@@ -33,18 +35,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import cut, ship
 
 ship(__name__)
 
 CHUNK_BYTES = 16 << 20
+#: So many words of a chunk are numbered by frequency.
+FREQUENT = 1 << 14
+LEVEL = 3
 #: One bucket for so many bytes of input, and one task for so many where the session's shuffle partitions are fewer.
 BUCKET_BYTES = 32 << 20
 TASK_BYTES = 128 << 20
 LEAST_BUCKETS, MOST_BUCKETS = 256, 1 << 16
 PACKED = "chunk bigint, bucket int, body binary"
-#: Bodies of texts have buckets below 0, only to be spread over the tasks.
-TEXT_BUCKETS = 1021
 
 
 class Slots(dict):
@@ -59,7 +62,7 @@ def pack(numbers: list[np.ndarray], data: bytes = b"") -> bytes:
     """Arrays of 32-bit numbers and bytes as one compressed body."""
     head = np.array([len(numbers), *map(len, numbers)], dtype="<u8").tobytes()
     planes = [np.asarray(a).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for a in numbers]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *planes, data]))
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([head, *planes, data]))
 
 
 def unpack(body: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -73,7 +76,7 @@ def unpack(body: bytes) -> tuple[list[np.ndarray], bytes]:
     return out, raw[at:]
 
 
-def pack_words(slots: list[int], words: list[str]) -> bytes:
+def pack_words(slots: list[int] | np.ndarray, words: list[str]) -> bytes:
     """Slots in ascending order and their words."""
     raw = [w.encode("utf-8", "surrogatepass") for w in words]
     return pack([np.diff(np.array(slots, dtype=np.int64), prepend=0), np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))], b"".join(raw))
@@ -122,11 +125,9 @@ def _input_bytes(pairs: DataFrame, text: str) -> int:
     return pairs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
 
 
-def _in_order(pairs: DataFrame) -> DataFrame:
-    """``pairs``, with the rows of each task sorted where a shuffle may bring them in another order the next time."""
-    if "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString():
-        return pairs
-    return pairs.sortWithinPartitions(F.xxhash64(*pairs.columns))
+def _as_files(pairs: DataFrame) -> DataFrame:
+    """``pairs``, written as a table first where it comes out of a shuffle, whose rows may come in another order the next time."""
+    return cut(pairs) if "Exchange" in pairs._jdf.queryExecution().executedPlan().toString() else pairs
 
 
 def shuffle_words(
@@ -148,7 +149,7 @@ def shuffle_words(
     """
     pairs = docs.select(F.col(key), F.col(text))
     size = _input_bytes(pairs, text)
-    pairs = _in_order(pairs)
+    pairs = _as_files(pairs)
     if buckets is None:
         buckets = min(max(LEAST_BUCKETS, size // BUCKET_BYTES), MOST_BUCKETS)
     tasks = -(-size // TASK_BYTES)
@@ -157,46 +158,49 @@ def shuffle_words(
         more = tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return df.repartition(tasks, by) if more else df.repartition(by)
 
-    def split_chunks(batches):
+    def numbered(split, texts: list[str]):
+        """The chunk's words by slot and their buckets; slots, counts and ends of its texts."""
+        slots, places, counts, ends = Slots(), array("I"), array("I"), array("Q")
+        for t in texts:
+            found = split(t)
+            if frequencies:
+                tally = Counter(found)
+                places.extend(map(slots.__getitem__, tally))
+                counts.extend(tally.values())
+            else:
+                places.extend(map(slots.__getitem__, found))
+            ends.append(len(places))
+        at = np.frombuffer(places, dtype=np.uint32) if places else np.zeros(0, dtype=np.uint32)
+        words, n = list(slots), len(slots)
+        bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets for w in words), dtype=np.int64, count=n)
+        # The most frequent words get the lowest slots, all others lie side by side in their buckets.
+        order = np.argsort(-np.bincount(at, minlength=n), kind="stable")
+        order[FREQUENT:] = order[FREQUENT:][np.argsort(bucket[order[FREQUENT:]], kind="stable")]
+        rank = np.empty(n, dtype=np.uint32)
+        rank[order] = np.arange(n, dtype=np.uint32)
+        return words, order, bucket[order], rank[at], np.array(counts, dtype=np.uint32), np.array(ends, dtype=np.int64)
+
+    def words(batches):
+        split = splitter()
+        for chunk, _, texts in _chunks(batches, chunk_bytes):
+            said, order, bucket, *_ = numbered(split, texts)
+            inside = np.argsort(bucket, kind="stable")
+            for part in np.split(inside, np.flatnonzero(np.diff(bucket[inside])) + 1) if len(said) else []:
+                yield _row(chunk, int(bucket[part[0]]), pack_words(part, [said[i] for i in order[part].tolist()]))
+
+    def bodies(batches):
         split = splitter()
         for chunk, keys, texts in _chunks(batches, chunk_bytes):
-            slots, places, counts, ends = Slots(), array("I"), array("I"), array("Q")
-            for t in texts:
-                found = split(t)
-                if frequencies:
-                    tally = Counter(found)
-                    places.extend(map(slots.__getitem__, tally))
-                    counts.extend(tally.values())
-                else:
-                    places.extend(map(slots.__getitem__, found))
-                ends.append(len(places))
-            at = np.frombuffer(places, dtype=np.uint32) if places else np.zeros(0, dtype=np.uint32)
-            order = np.argsort(-np.bincount(at, minlength=len(slots)), kind="stable")  # the most frequent first
-            rank = np.empty(len(slots), dtype=np.uint32)
-            rank[order] = np.arange(len(slots), dtype=np.uint32)
-            parts: list[tuple[list[int], list[str]]] = [([], []) for _ in range(buckets)]
-            words = list(slots)
-            for slot, i in enumerate(order.tolist()):
-                where, said = parts[zlib.crc32(words[i].encode("utf-8", "surrogatepass")) % buckets]
-                where.append(slot)
-                said.append(words[i])
-            for b, (where, said) in enumerate(parts):
-                if where:
-                    yield _row(chunk, b, pack_words(where, said))
+            said, _, _, places, counts, ends = numbered(split, texts)
             sizes = [len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            table = pa.RecordBatch.from_arrays(
-                [pa.concat_arrays(keys), pa.array(sizes, pa.int64()), pa.array(np.array(ends, dtype=np.int64))], ["key", "size", "end"])
-            numbers = [np.array([len(slots)]), rank[at], np.array(counts, dtype=np.uint32)]
-            yield _row(chunk, -1 - chunk % TEXT_BUCKETS, pack(numbers, table_bytes(table)))
+            table = pa.RecordBatch.from_arrays([pa.concat_arrays(keys), pa.array(sizes, pa.int64()), pa.array(ends)], ["key", "size", "end"])
+            yield _row(chunk, -1, pack([np.array([len(said)]), places, counts], table_bytes(table)))
 
     def answers(batches):
         work = worker()
         now, known = None, {}  # of one bucket at a time: the rows are sorted by it
         for batch in batches:
             for chunk, bucket, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if bucket < 0:
-                    yield _row(chunk, bucket, body.as_py())
-                    continue
                 if bucket != now:
                     now, known = bucket, {}
                 steps, said = unpack_words(body.as_py())
@@ -238,8 +242,8 @@ def shuffle_words(
             raise RuntimeError("pre-tokens came back without their chunk; the input isn't read in one order")
         return pa.Table.from_batches(out)
 
-    both = spread(pairs.mapInArrow(split_chunks, PACKED), "bucket").sortWithinPartitions("bucket").mapInArrow(answers, PACKED)
-    return spread(both, "chunk").groupBy("chunk").applyInArrow(joined, schema)
+    asked = spread(pairs.mapInArrow(words, PACKED), "bucket").sortWithinPartitions("bucket").mapInArrow(answers, PACKED)
+    return spread(asked.union(pairs.mapInArrow(bodies, PACKED)), "chunk").groupBy("chunk").applyInArrow(joined, schema)
 
 
 def table_bytes(batch: pa.RecordBatch) -> bytes:

@@ -149,6 +149,71 @@ def test_marginals_match_enumeration():
         assert np.allclose(p, mass / total)
 
 
+def small_field(rng):
+    rows = toxic_corpus(40, rng)
+    texts = [crf.WORD.findall(t) for _, t, _ in rows] + [["scum"], ["x"]]
+    truth = [float(w in ("scum", "moron", "idiot")) for t in texts for w in t]
+    import numpy as np
+
+    return crf.Field(crf.Model({"wscum", "wmoron", "widiot", "3sc"}), texts, np.array(truth))
+
+
+def test_gradient_of_the_field():
+    import numpy as np
+
+    field = small_field(random.Random(5))
+    x = field.start() + np.random.default_rng(1).normal(size=len(field.start())) * 0.3
+    value, grad = field(x)
+    for i in range(len(x)):
+        step = np.zeros(len(x))
+        step[i] = 1e-5
+        assert (field(x + step)[0] - field(x - step)[0]) / 2e-5 == pytest.approx(grad[i], rel=1e-4, abs=1e-4)
+
+
+def test_training_ends_where_the_gradient_is_flat():
+    import numpy as np
+
+    field = small_field(random.Random(6))
+    x = crf.minimise(field, field.start(), 1e-6 * len(field.truth))
+    assert np.linalg.norm(field(x)[1]) <= 1e-6 * len(field.truth)
+    p, _, _ = field.marginals()
+    assert ((p >= 0.5) == (field.truth > 0.5)).all()
+
+
+def test_long_chain_in_little_memory():
+    """One text of 500,000 words beside many short ones: the marginals of each are those it has alone."""
+    import resource
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    moves = rng.normal(size=(2, 2))
+    chains = [rng.normal(size=n) for n in (3, 500_000, *rng.integers(0, 30, 300))]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    got = crf.marginals(chains, moves)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+    assert [len(p) for p in got] == [len(c) for c in chains]
+    for c, p in zip(chains, got):
+        if 0 < len(c) < 100:
+            assert np.allclose(p, crf.marginals([c], moves)[0])
+    assert np.allclose(got[1][:1000], crf.marginals([chains[1][:1050]], moves)[0][:1000])
+
+
+def test_toxicity_of_awkward_rows(spark):
+    """Empty tables, repeated rows and keys, very long texts, columns with inner names; flagged texts have spans on the words that did it."""
+    rows = toxic_corpus(600, random.Random(3))
+    long = "fine words " * 250_000
+    extra = [(7000, long), (7001, long + "you scum, you idiot!"), (7002, "x"), (7002, "x"), (7002, "a moron"), (None, "idiot scum"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "c", 1) for i, t, _ in rows] + [(*r, "c", 1) for r in extra], "doc_id long, text string, k string, y int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(3, 0), (3, 0)], "doc_id long, toxic int")
+    got = crf.toxicity(docs, labels).collect()
+    assert len(got) == len(rows) + len(extra)
+    assert all(r.spans for r in got if r.predicted) and [r.predicted for r in got if r.doc_id == 7000] == [0]
+    assert [[(s.start, s.end) for s in r.spans] for r in got if r.doc_id == 7001] == [[(2_750_004, 2_750_008), (2_750_014, 2_750_019)]]
+    assert sorted(r.predicted for r in got if r.doc_id == 7002) == [0, 0, 1] and sorted(r.predicted for r in got if r.doc_id is None) == [0, 1]
+    assert crf.toxicity(docs.limit(0), labels).count() == crf.toxicity(docs.limit(0), labels.limit(0)).count() == 0
+
+
 def test_toxicity(spark):
     rows = toxic_corpus(600, random.Random(2))
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000, None), (9001, ""), (9002, "You IDIOT, İ scum!")], "doc_id long, text string")
@@ -207,6 +272,25 @@ def test_warc_takes_every_row(spark, tmp_path, monkeypatch, broadcast_rows):
     assert brute.ordered((r.page_key, bytes(r.payload)) for r in whole if r.record_type == "response") == brute.ordered((k and str(k), h) for k, h, f in raw if not f)
 
 
+def test_warc_text_keys_and_digests(spark, tmp_path):
+    """Keys of any characters come back; a payload that isn't what its record declares ends the job; nothing is left behind."""
+    pages = [("a>b", "u", "x"), ("c\r\nWARC-Type: z", "u", "y" * 40_000), (" é 100%+", None, "y" * 40_000), ("", "u", None), ("a b", "u", "z" * 1200), (None, "u", "z" * 1200)]
+    df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id string, url string, html string, digest string, first int")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()}
+    assert got == {"a>b": (1, "response", None), "c\r\nWARC-Type: z": (40_000, "response", None), " é 100%+": (40_000, "revisit", "c\r\nWARC-Type: z"),
+                   "": (0, "response", None), "a b": (1200, "response", None), None: (1200, "revisit", "a b")}
+    path = str(tmp_path / "warc")
+    warc.write_warc(df, path)
+    records = warc.read_records(spark, path)
+    with pytest.raises(Exception, match="digest"):
+        warc.reassemble(records.withColumn("payload_digest", F.when(F.col("payload_digest").isNotNull(), F.lit("sha1:" + "0" * 40)))).collect()
+    assert warc.checked_payload("sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ", b"") == b"" == warc.checked_payload("md5:x", b"") == warc.checked_payload(None, b"")
+    from pathlib import Path
+
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert not list(Path(folder).glob("warc-*"))
+
+
 def test_unchunk():
     assert warc.unchunk(b"3;x=y\r\nabc\r\n2\r\n\r\n\r\n0\r\n\r\n") == b"abc\r\n"
     with pytest.raises(ValueError):
@@ -291,6 +375,51 @@ def test_links_and_embedded_text_of_an_article():
     assert html_text.main_blocks(f"<body>{nav}</body>") == texts
 
 
+def test_ratios_choose_the_nodes(monkeypatch):
+    """Parts that no name tells from the text go by their paths' ratios: with those off the same pages come out otherwise."""
+    texts = [f"{t} It goes on for a while, as texts do, and then it ends." for t in paragraphs(6)]
+    teasers = "".join(f"<article><h3>Teaser {i}</h3><span>See it, now</span></article>" for i in range(4))
+    chips = "".join(f"<div><span>Tag {i}.</span></div>" for i in range(12))
+    pages = [
+        (f"<body><article><h2>Head</h2>{html_of(texts)}</article><section>{teasers}</section></body>", ["Head", *texts]),
+        (f"<body><div><div><h2>Head</h2>{html_of(texts)}</div><section>{chips}</section></div></body>", ["Head", *texts]),
+    ]
+    for page, want in pages:
+        assert html_text.main_blocks(page) == want
+    monkeypatch.setattr(html_text, "content_blocks", lambda blocks: blocks)
+    for page, want in pages:
+        assert html_text.main_blocks(page) != want
+
+
+def test_page_in_a_form():
+    texts = paragraphs(5)
+    page = f"<body><form action='x'><div class='menu'>Menu</div><h1>Title</h1>{html_of(texts)}<form><label>Your mail</label></form></form></body>"
+    assert html_text.main_blocks(page)[:6] == ["Title", *texts]
+    page = f"<body><h1>Title</h1>{html_of(texts)}<form><p>Write to us, please.</p></form></body>"
+    assert html_text.main_blocks(page) == ["Title", *texts]
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    def seconds(page):
+        began = time.process_time()
+        html_text.main_blocks(page)
+        return time.process_time() - began
+
+    for n in (20_000,):
+        for page in ("<div>x" * n, "<title>" * n, "<div class='ad'>x, y." * n, "<b>" * n + "x" + "</i>" * n, "<header>x" * n, "<p>one, two.</p>" * n, "<a href='x>" * n, "<section><p>a, b.</p>" * n):
+            assert seconds(page) < 8, page[:20]
+
+
+def test_pages_like_plain_version(sf_dir):
+    """The test table's pages, whose text is one article, against a parser that knows just that."""
+    import pyarrow.parquet as pq
+
+    for page in pq.read_table(f"{sf_dir}/pages.parquet").column("html").to_pylist():
+        assert html_text.main_blocks(page or "") == brute.article_blocks(page or "")
+
+
 def turns(*pairs):
     return [{"role": r, "text": t} for r, t in pairs]
 
@@ -315,3 +444,20 @@ def test_swapped_replies(spark):
     got = {r.pair_id: r for r in chat.swapped_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
     assert set(got) == {0, 1} and [t.text for t in got[0].rejected] == ["a", "d"]
     assert chat.preference_format(chat.swapped_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").limit(0))).count() == 0
+
+
+def test_next_replies(spark):
+    """Every conversation has a pair, keys of any type, repeated rows, columns with inner names; replies go round in one ring."""
+    keys = [f"c {i}" for i in range(300)]
+    rows = [(k, 0, "user", f"q{k}", "x") for k in keys] + [(k, 1, "assistant", f"a{k}", "x") for k in keys if k != "c 7"] + [(None, 0, "user", "n", "x"), (keys[5], 0, "user", f"q{keys[5]}", "x")]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string, last string")
+    got = {r.pair_id: r for r in chat.next_replies(df).collect()}
+    assert set(got) == set(keys) and [t.text for t in got["c 7"].rejected] == ["qc 7"] == [t.text for t in got["c 7"].chosen]
+    ring = {k: r.rejected[-1].text[1:] for k, r in got.items() if k != "c 7"}
+    at, seen = "c 0", set()
+    while at not in seen:
+        seen.add(at)
+        at = ring[at]
+    assert seen == set(keys) - {"c 7"} and len(got[keys[5]].chosen) == 3
+    alone = chat.next_replies(df.where("conv_id = 'c 1'")).first()
+    assert alone.chosen == alone.rejected and chat.next_replies(df.limit(0)).count() == 0
