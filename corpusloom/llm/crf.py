@@ -2,8 +2,10 @@
 
 Labelled texts give labelled tokens: a word or word beginning that is much more
 frequent among toxic texts than among clean ones marks its tokens in toxic texts.
-The field (toxic or not, for every token) is trained on those; its forward-backward
-marginals give, for each text, a score and the offsets of the offending words.
+The field (toxic or not, for every token) sees those features of a word and of the
+words before and after it, and is trained on the tokens until the gradient of its
+likelihood is flat; its forward-backward marginals give, for each text, a score and the
+offsets of the offending words.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +26,30 @@ from .common import ship
 
 ship(__name__)
 
-#: Training takes at most so many labelled texts of either class, those of least hash,
-#: among texts of up to TRAIN_CHARS characters.  Scoring has no such bounds.
+#: Training takes at most so many labelled texts of either class, those of least hash, and
+#: of each all tokens.  Scoring has no such bound.
 TRAIN_TEXTS = 1500
-TRAIN_CHARS = 12_000
+#: Of these, the field's weights are fitted on all tokens of at most so many texts of either
+#: class, those of least hash; features are chosen and texts are judged on all of them.
+FIELD_TEXTS = 300
 #: A feature is typical of toxic texts from this likelihood ratio (2 ln) and these odds on.
 MIN_EVIDENCE = 20.0
 MIN_ODDS = 25.0
 MIN_FORMS = 3
-EPOCHS = 12
-GROUP = 256
+#: Weight of the squared parameters, and the gradient's length, to a token, at which training ends.
+PENALTY = 0.05
+FLAT = 1e-5
+MOST_STEPS = 300
+#: Texts are scored in groups of so many tokens, a longer text by itself.
+GROUP_TOKENS = 1 << 18
 CACHE_WORDS = 400_000
 WORD = re.compile(r"\w+")
+PLACES = (-1, 0, 1)
 
 
 def word_features(word: str) -> list[str]:
-    """The word and its beginnings of 3 to 6 letters."""
-    return ["w" + word, *(f"{n}" + word[:n] for n in (3, 4, 5, 6) if len(word) > n)]
+    """The word and its beginnings of 3 to 8 letters."""
+    return ["w" + word, *(f"{n}" + word[:n] for n in range(3, 9) if len(word) > n)]
 
 
 def typical_features(texts: list[list[str]], toxic: list[int]) -> set[str]:
@@ -71,43 +81,113 @@ def typical_features(texts: list[list[str]], toxic: list[int]) -> set[str]:
     return typical
 
 
-def marginals(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
-    """P(token is toxic | text) for every token, for many texts at once.
+def _scan(m: list[np.ndarray], start: tuple[float, float] = (0.5, 0.5)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """v_t = M_t v_(t-1), scaled to sum 1, for 2 x 2 matrices ``m`` (m00, m01, m10, m11) of all t; the sums before scaling too.
 
-    With two states it is enough to carry the ratio of toxic to clean mass forwards and
-    backwards.  Texts of like lengths are done together, step by step.
+    The chain is cut into about as many stretches as a stretch has places; all stretches
+    are multiplied out at once, then joined, then gone through at once: some 2 sqrt(n)
+    steps over arrays, and memory for a few numbers a place, whatever texts it is made of.
+    """
+    n = len(m[0])
+    size = max(1, math.isqrt(n))
+    count = -(-n // size)
+    a, b, c, d = (
+        np.concatenate([x, np.full(size * count - n, fill)]).reshape(count, size).T.copy() for x, fill in zip(m, (1.0, 0.0, 0.0, 1.0))
+    )
+    p = np.zeros((4, count))
+    p[0] = p[3] = 1.0
+    for i in range(size):
+        p = np.concatenate([a[i] * p[:2] + b[i] * p[2:], c[i] * p[:2] + d[i] * p[2:]])
+        if i % 4 == 0:
+            p /= p.sum(axis=0)
+    p /= p.sum(axis=0)
+    first = np.empty((2, count))
+    v = start
+    for k in range(count):
+        first[0, k], first[1, k] = v
+        x, y = p[0, k] * v[0] + p[1, k] * v[1], p[2, k] * v[0] + p[3, k] * v[1]
+        v = x / (x + y), y / (x + y)
+    zero, one, sums = np.empty_like(a), np.empty_like(a), np.empty_like(a)
+    u, w = first
+    for i in range(size):
+        x, y = a[i] * u + b[i] * w, c[i] * u + d[i] * w
+        sums[i] = x + y
+        u, w = x / sums[i], y / sums[i]
+        zero[i], one[i] = u, w
+    return tuple(x.T.reshape(-1)[:n] for x in (zero, one, sums))
+
+
+def forward_backward(emissions: np.ndarray, ends: np.ndarray, moves: np.ndarray):
+    """For chains laid end to end (``ends``: where each ends): P(toxic) of every token, the summed log Z, and the expected moves (2 x 2).
+
+    Empty chains are allowed; ``emissions`` are log odds of the two states at a token.
     """
-    a = np.exp(moves - moves.max())
-    out: list[np.ndarray] = [np.empty(0)] * len(emissions)
-    order = sorted((i for i in range(len(emissions)) if len(emissions[i])), key=lambda i: len(emissions[i]))
-    for g in range(0, len(order), GROUP):
-        part = order[g : g + GROUP]
-        steps = len(emissions[part[-1]])
-        odds = np.ones((steps, len(part)))
-        for k, i in enumerate(part):
-            odds[steps - len(emissions[i]) :, k] = np.exp(np.clip(emissions[i], -50, 50))
-        first = np.array([steps - len(emissions[i]) for i in part])
-        fore, r = np.empty_like(odds), None
-        for t in range(steps):
-            now = odds[t] if r is None else odds[t] * (a[0, 1] + r * a[1, 1]) / (a[0, 0] + r * a[1, 0])
-            r = fore[t] = np.where(t <= first, odds[t], now)
-        s = np.ones(len(part))
-        for t in range(steps - 1, -1, -1):
-            fore[t] *= s
-            x = odds[t] * s
-            s = (a[1, 0] + a[1, 1] * x) / (a[0, 0] + a[0, 1] * x)
-        for k, i in enumerate(part):
-            v = fore[first[k] :, k]
-            out[i] = v / (1 + v)
-    return out
+    n = len(emissions)
+    if n == 0:
+        return np.zeros(0), 0.0, np.zeros((2, 2))
+    last = np.zeros(n, dtype=bool)
+    last[ends[ends > 0] - 1] = True
+    first = np.concatenate([[True], last[:-1]])
+    odds, t = np.exp(np.clip(emissions, -50, 50)), np.exp(moves)
+    one = np.ones(n)
+    pick = lambda at, x: np.where(at, 1.0, x)  # noqa: E731  (a chain begins and ends whatever lies beside it)
+    f0, f1, sums = _scan([pick(first, t[0, 0]), pick(first, t[1, 0]), odds * pick(first, t[0, 1]), odds * pick(first, t[1, 1])])
+    ahead = np.concatenate([odds[1:], [1.0]])
+    back = [pick(last, t[0, 0]) * one, pick(last, t[0, 1] * ahead), pick(last, t[1, 0]) * one, pick(last, t[1, 1] * ahead)]
+    b0, b1, _ = (x[::-1] for x in _scan([x[::-1] for x in back]))
+    on = f1 * b1
+    p = on / (f0 * b0 + on)
+    at = np.flatnonzero(~last)
+    pairs = np.array([[f[at] * t[i, j] * (odds[at + 1] if j else 1.0) * (b1 if j else b0)[at + 1] for j in (0, 1)] for i, f in enumerate((f0, f1))])
+    return p, float(np.log(sums).sum()), (pairs / pairs.sum(axis=(0, 1))).sum(axis=2)
+
+
+def marginals(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
+    """P(token is toxic | text) for every token of many texts, exact; memory grows with the tokens only."""
+    ends = np.cumsum([len(e) for e in emissions], dtype=np.int64)
+    p, _, _ = forward_backward(np.concatenate(emissions) if emissions else np.zeros(0), ends, moves)
+    return np.split(p, ends[:-1]) if emissions else []
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, flat: float, steps: int = MOST_STEPS, memory: int = 8) -> np.ndarray:
+    """L-BFGS with a backtracking search: f gives value and gradient; ends where the gradient is no longer than ``flat``."""
+    value, grad = f(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.linalg.norm(grad) <= flat:
+            break
+        way, used = -grad, []
+        for s, y in reversed(past):
+            used.append((s @ way) / (s @ y))
+            way = way - used[-1] * y
+        if past:
+            s, y = past[-1]
+            way = way * (s @ y) / (y @ y)
+        else:
+            way = way / np.linalg.norm(grad)
+        for (s, y), k in zip(past, reversed(used)):
+            way = way + s * (k - (y @ way) / (s @ y))
+        size = 1.0
+        while True:
+            there, slope = f(x + size * way)
+            if there <= value + 1e-4 * size * (grad @ way) or size < 1e-9:
+                break
+            size /= 2
+        s, y = size * way, slope - grad
+        if size < 1e-9:
+            break
+        if s @ y > 1e-12:
+            past = [*past, (s, y)][-memory:]
+        x, value, grad = x + s, there, slope
+    return x
 
 
 class Model:
-    """Weights of the features, a bias, moves between the two states and a text-level fit."""
+    """Weights of the features at the places before, of and after a word, a bias, moves between the two states and a text-level fit."""
 
     def __init__(self, features: set[str] = frozenset()) -> None:
         self.index = {f: i for i, f in enumerate(sorted(features))}
-        self.weights = np.zeros(len(self.index))
+        self.weights = np.zeros((len(PLACES), len(self.index)))
         self.bias = -3.0
         self.moves = np.zeros((2, 2))
         self.text = np.array([0.0, 1.0, 0.0])
@@ -115,8 +195,15 @@ class Model:
     def features(self, word: str) -> list[int]:
         return [self.index[f] for f in word_features(word) if f in self.index]
 
-    def emission(self, word: str) -> float:
-        return float(self.bias + sum(self.weights[i] for i in self.features(word)))
+    def emissions(self, said: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Log odds of all tokens: ``said`` are their columns in ``table``, summed weights by place; column 0 is of words without features."""
+        out = self.bias + table[1][said]
+        ahead = np.concatenate([said[1:], [0]]) if len(said) else said
+        behind = np.concatenate([[0], said[:-1]]) if len(said) else said
+        at = ends[(ends > 0) & (ends < len(said))]  # other texts' first tokens
+        behind[at] = 0
+        ahead[at - 1] = 0
+        return out + table[0][behind] + table[2][ahead]
 
     def text_inputs(self, p: np.ndarray) -> tuple[float, float]:
         top = float(np.clip(p.max(), 1e-6, 1 - 1e-6)) if len(p) else 1e-6
@@ -127,6 +214,38 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+class Coder(dict):
+    """Word -> column of ``table``: words with the same features share one, those without any have 0."""
+
+    def __init__(self, model: Model, most: int = CACHE_WORDS) -> None:
+        super().__init__()
+        self.model, self.most, self.columns, self.sums = model, most, {(): 0}, [np.zeros(len(PLACES))]
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        key = tuple(self.model.features(word))
+        if key not in self.columns:
+            self.columns[key] = len(self.sums)
+            self.sums.append(self.model.weights[:, list(key)].sum(axis=1))
+        self[word] = k = self.columns[key]
+        return k
+
+    @property
+    def table(self) -> np.ndarray:
+        return np.array(self.sums).T
+
+    def marginals(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """P(token is toxic | text) for all tokens, in groups of texts of GROUP_TOKENS."""
+        found = [np.fromiter(map(self.__getitem__, t), dtype=np.int64, count=len(t)) for t in texts]
+        out: list[np.ndarray] = []
+        for a, b in _groups([len(x) for x in found], GROUP_TOKENS):
+            ends = np.cumsum([len(x) for x in found[a:b]], dtype=np.int64)
+            p, _, _ = forward_backward(self.model.emissions(np.concatenate(found[a:b]), ends, self.table), ends, self.model.moves)
+            out += np.split(p, ends[:-1])
+        return out
+
+
 def _unlike(texts: list[list[str]]) -> list[int]:
     """Places of texts that share at most one of their 8 least word-triple hashes with any before: copies are no new evidence."""
     met: set[int] = set()
@@ -140,8 +259,57 @@ def _unlike(texts: list[list[str]]) -> list[int]:
     return keep
 
 
+class Field:
+    """Value and gradient of the field's penalised likelihood over labelled tokens; parameters are weights, bias and moves in a row."""
+
+    def __init__(self, model: Model, texts: list[list[str]], truth: np.ndarray) -> None:
+        self.model, self.truth, self.k = model, truth, len(model.index)
+        self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        coder = Coder(model, 1 << 62)
+        self.said = np.fromiter((coder[w] for t in texts for w in t), dtype=np.int64, count=len(truth))
+        #: features x columns: which features a column has
+        self.has = np.zeros((self.k, len(coder.sums)))
+        for key, column in coder.columns.items():
+            self.has[list(key), column] = 1
+        last = np.zeros(len(truth), dtype=bool)
+        last[self.ends - 1] = True
+        at = np.flatnonzero(~last)
+        self.moved = np.array([[((truth[at] == i) & (truth[at + 1] == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=np.float64)
+        self.at = at
+
+    def load(self, x: np.ndarray) -> None:
+        self.model.weights = x[: 3 * self.k].reshape(3, self.k)
+        self.model.bias, self.model.moves = float(x[3 * self.k]), x[3 * self.k + 1 :].reshape(2, 2)
+
+    def start(self) -> np.ndarray:
+        x = np.zeros(3 * self.k + 5)
+        share = np.clip(self.truth.mean(), 1e-6, 0.5)
+        x[3 * self.k] = math.log(share / (1 - share))
+        return x
+
+    def marginals(self) -> np.ndarray:
+        table = self.model.weights @ self.has
+        return forward_backward(self.model.emissions(self.said, self.ends, table), self.ends, self.model.moves)
+
+    def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        self.load(x)
+        table = self.model.weights @ self.has
+        e = self.model.emissions(self.said, self.ends, table)
+        p, log_z, expected = forward_backward(e, self.ends, self.model.moves)
+        gap = p - self.truth
+        value = log_z - float(e @ self.truth) - float((self.moved * self.model.moves).sum()) + PENALTY * float(x @ x) / 2
+        columns = self.has.shape[1]
+        per_place = [
+            np.bincount(self.said[self.at], gap[self.at + 1], columns),  # the word before a token
+            np.bincount(self.said, gap, columns),
+            np.bincount(self.said[self.at + 1], gap[self.at], columns),
+        ]
+        grad = np.concatenate([*(self.has @ g for g in per_place), [gap.sum()], (expected - self.moved).reshape(-1)])
+        return value, grad + PENALTY * x
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
-    """Full-batch gradient steps (Adam) on the field's likelihood, then a small logistic fit of texts."""
+    """The field of largest penalised likelihood, then a small logistic fit of texts on its marginals."""
     words = [WORD.findall(t.lower()) for t in texts]
     keep = [i for i, w in enumerate(words) if w]
     words, toxic = [words[i] for i in keep], [toxic[i] for i in keep]
@@ -151,58 +319,21 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         return Model()
     typical = typical_features(words, toxic)
     model = Model(typical)
-    truth = [np.array([y and not typical.isdisjoint(word_features(w)) for w in ws], dtype=np.float64) for ws, y in zip(words, toxic)]
-    vocabulary: dict[str, int] = {}
-    rows = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in ws]) for ws in words]
-    feats = [model.features(w) for w in vocabulary]
-    owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    flat = np.array([s for f in feats for s in f], dtype=np.int64)
-    every, y = np.concatenate(rows), np.concatenate(truth)
-    ends = np.cumsum([len(r) for r in rows])
-    inner = np.ones(len(y), dtype=bool)
-    inner[ends - 1] = False  # tokens with a next one in their text
-    at = np.flatnonzero(inner)
-    m = [np.zeros(len(model.weights)), np.zeros(1), np.zeros((2, 2))]
-    v = [x.copy() for x in m]
-    for step in range(1, EPOCHS + 1):
-        per_word = model.bias + np.bincount(owner, model.weights[flat], len(feats))
-        p = np.concatenate(marginals([per_word[r] for r in rows], model.moves))
-        gap = y - p
-        grad = [
-            np.bincount(flat, np.bincount(every, gap, len(feats))[owner], len(model.weights)) - 0.01 * model.weights,
-            np.array([gap.sum()]),
-            np.zeros((2, 2)),
-        ]
-        for i in (0, 1):
-            for j in (0, 1):
-                pick = lambda q, s, k: q[s] if k else 1 - q[s]
-                grad[2][i, j] = (pick(y, at, i) * pick(y, at + 1, j) - pick(p, at, i) * pick(p, at + 1, j)).sum()
-        rate = 0.5
-        new = []
-        for k, g in enumerate(grad):
-            m[k] = 0.8 * m[k] + 0.2 * g
-            v[k] = 0.9 * v[k] + 0.1 * g * g
-            new.append(rate * (m[k] / (1 - 0.8**step)) / (np.sqrt(v[k] / (1 - 0.9**step)) + 1e-8))
-        model.weights += new[0]
-        model.bias += float(new[1][0]) * 0.5
-        model.moves += new[2] * 0.2
-    per_word = model.bias + np.bincount(owner, model.weights[flat], len(feats))
-    x = np.array([(1.0, *model.text_inputs(p)) for p in marginals([per_word[r] for r in rows], model.moves)])
+    order = sorted(range(len(words)), key=lambda i: (zlib.crc32(" ".join(words[i]).encode("utf-8", "surrogatepass")), i))
+    some = sorted(i for y in (0, 1) for i in [j for j in order if toxic[j] == y][:FIELD_TEXTS])
+    known = {w: not typical.isdisjoint(word_features(w)) for w in {w for i in some for w in words[i]}}
+    truth = np.array([toxic[i] and known[w] for i in some for w in words[i]], dtype=np.float64)
+    field = Field(model, [words[i] for i in some], truth)
+    field.load(minimise(field, field.start(), FLAT * len(truth)))
+    x = np.array([(1.0, *model.text_inputs(p)) for p in Coder(model, 1 << 62).marginals(words)])
     prior, t = np.array([0.0, 1.0, 0.0]), np.array(toxic, dtype=np.float64)
 
-    def loss(b: np.ndarray) -> float:
+    def loss(b: np.ndarray) -> tuple[float, np.ndarray]:
         z = x @ b
-        return float(np.logaddexp(0, z).sum() - (t * z).sum() + ((b - prior) ** 2).sum() / 2)
+        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return float(np.logaddexp(0, z).sum() - (t * z).sum() + ((b - prior) ** 2).sum() / 2), x.T @ (q - t) + (b - prior)
 
-    beta = prior
-    for _ in range(30):
-        q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.eye(3), x.T @ (t - q) - (beta - prior))
-        size = 1.0
-        while size > 1e-6 and loss(beta + size * step) > loss(beta):
-            size /= 2
-        beta = beta + size * step
-    model.text = beta
+    model.text = minimise(loss, prior, 1e-6 * len(t))
     return model
 
 
@@ -212,47 +343,57 @@ def held_out(key: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
-    """Train on labelled rows that aren't held out, at most TRAIN_TEXTS of either class."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(key).agg(F.max(label).alias("_y"))
-    short = docs.where(F.col(text).isNotNull() & (F.char_length(text) <= TRAIN_CHARS)).select(key).distinct()
-    picked = known.join(short, key)
-    ids = [picked.where(F.col("_y") == y).orderBy(F.xxhash64(key), key).limit(TRAIN_TEXTS) for y in (0, 1)]
+    """Train on labelled rows that aren't held out, at most TRAIN_TEXTS of either class, all their tokens.
+
+    NULL labels and keys, and NULL texts, give no evidence; a key labelled twice is toxic
+    if either label says so; of several texts with one key the least by hash is taken.
+    Without both labels the model finds nothing.  Runs a job when it is called; the
+    driver gets at most 2 * TRAIN_TEXTS texts and trains on them.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
+    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    picked = known.join(own.select("k"), "k", "left_semi")
+    ids = [picked.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(TRAIN_TEXTS) for y in (0, 1)]
     chosen = F.broadcast(ids[0].union(ids[1]))  # at most 2 * TRAIN_TEXTS rows
-    rows = docs.select(key, text).join(chosen, key).where(F.char_length(text) <= TRAIN_CHARS).orderBy(key).limit(4 * TRAIN_TEXTS).collect()
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    rows = own.join(chosen, "k").groupBy("k", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).orderBy("k").collect()
+    return train([r["t"] for r in rows], [r["y"] for r in rows])
+
+
+def _groups(sizes: list[int], most: int) -> list[tuple[int, int]]:
+    """Stretches of consecutive texts with ``most`` tokens together, or one text with more."""
+    out, first, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and total + n > most:
+            out.append((first, i))
+            first, total = i, 0
+        total += n
+    return [*out, (first, len(sizes))] if sizes else out
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """``key, score, spans`` for every row: spans are [start, end) code points of words at 0.5 and over.
 
     NULL and empty texts have no tokens and get the score of none; repeated rows and
-    keys stay; nothing but the text is looked at.
+    keys stay; an empty table gives no rows; nothing but the text is looked at.  Memory
+    grows with the longest text only.
     """
     def run(batches):
-        class Known(dict):
-            def __missing__(self, word):
-                if len(self) >= CACHE_WORDS:
-                    self.clear()
-                self[word] = e = model.emission(word)
-                return e
-
-        known = Known()
+        coder = Coder(model)
+
         for big in batches:
-            for at in range(0, big.num_rows, 4 * GROUP):
-                batch = big.slice(at, 4 * GROUP)
+            for at in range(0, big.num_rows, 1024):
+                batch = big.slice(at, 1024)
                 texts = [x or "" for x in batch.column(1).to_pylist()]
-                found = [WORD.findall(t.lower()) for t in texts]
-                emissions = [np.fromiter(map(known.__getitem__, ws), dtype=np.float64, count=len(ws)) for ws in found]
-                ps = marginals(emissions, model.moves)
-                spans = []
-                for t, p in zip(texts, ps):
+                scores, spans = [], []
+                for t, p in zip(texts, coder.marginals([WORD.findall(t.lower()) for t in texts])):
+                    scores.append(model.score(p))
                     hot = set(np.flatnonzero(p >= 0.5).tolist())
-                    low = t.lower()
+                    low = t.lower() if hot else ""
                     if hot and len(low) != len(t):  # a letter whose lower case is longer: match letter by letter
                         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
                     spans.append([{"start": x.start(), "end": x.end()} for i, x in enumerate(WORD.finditer(low)) if i in hot] if hot else [])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([model.score(p) for p in ps], pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
+                    [batch.column(0), pa.array(scores, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                     [key, "score", "spans"],
                 )
 
@@ -262,5 +403,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``key, held_out, score, predicted, spans`` for every row of ``docs``; see fit() and score() for NULLs, repeats and empty tables."""
     scored = score(docs, fit(docs, labels, text, key), text, key)
     return scored.select(key, held_out(F.col(key)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
