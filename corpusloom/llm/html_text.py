@@ -36,7 +36,9 @@ INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr canvas object"
     " math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose merror mmultiscripts semantics".split()
 )
-BOILERPLATE = set("nav footer aside form button menu dialog".split())
+BOILERPLATE = set("nav footer aside button menu dialog".split())
+#: Elements that are boilerplate unless they hold the title or the greater part of the text, as some pages lie in one form.
+MAYBE_BOILERPLATE = {"form"}
 HEADER_SCOPES = {"article", "main"}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = set(
@@ -89,7 +91,17 @@ def _named_boilerplate(name: str, attributes: str) -> bool:
     return any(key.lower() in ("class", "id") and any(map(_is_name, value.strip("\"'").lower().split())) for key, value in ATTRIBUTE.findall(attributes))
 
 
-def _without_named(blocks: list[dict], elements: list[tuple[int, str]], named: set[int]) -> list[dict]:
+class Element:
+    """One element of a page: its parent's number, name, path (numbered), whether its text is boilerplate for certain,
+    for how many levels yet it counts as a link's, whether it lies in a HEADER_SCOPES element, and the block element around it."""
+
+    __slots__ = ("parent", "name", "path", "bad", "link", "scoped", "host")
+
+    def __init__(self, parent: int, name: str, path: int, bad: bool, link: int, scoped: bool, host: int) -> None:
+        self.parent, self.name, self.path, self.bad, self.link, self.scoped, self.host = parent, name, path, bad, link, scoped, host
+
+
+def _without_named(blocks: list[dict], elements: list[Element], named: set[int]) -> list[dict]:
     """The blocks outside the elements that are boilerplate by name.
 
     A name doesn't count where its element holds a top heading or main element, nor where
@@ -98,61 +110,94 @@ def _without_named(blocks: list[dict], elements: list[tuple[int, str]], named: s
     """
     if not named:
         return blocks
-    ways, inner = [], {}
+    n = len(elements)
+    near, marked = [-1] * n, [False] * n  # the innermost named element around each, itself included; a mark around it
+    for i, e in enumerate(elements):  # parents come before their children
+        up = e.parent
+        near[i] = i if i in named else near[up] if up >= 0 else -1
+        marked[i] = e.name in MARKS or up >= 0 and marked[up]
+    size, marks, own, own_marked = [0] * n, [frozenset()] * n, [0] * n, [False] * n
+    held = [False] * n
+    text, has_mark = 0, False
     for b in blocks:
-        way, e = [], b["element"]
-        while e >= 0:
-            way.append(e)
-            e = elements[e][0]
-        ways.append(way)
-        plain = max(0, len(b["text"]) - b["links"])
-        b["marks"], b["plain"] = {elements[x][1] for x in way} & MARKS, plain
-        for at, x in enumerate(way):
-            if x in named:
-                sums = inner.setdefault(x, [0, set()])
-                sums[0] += plain
-                sums[1] |= {elements[y][1] for y in way[: at + 1]} & MARKS
-    text = -1
-    for x in sorted(inner, key=lambda x: (-inner[x][0], x)):  # outer elements before those in them
-        up = elements[x][0]
-        while up >= 0 and up not in named:
-            up = elements[up][0]
-        if up >= 0:
+        plain, i = max(0, len(b["text"]) - b["links"]), b["element"]
+        size[i] += plain
+        held[i] = True
+        if near[i] < 0:
+            text += plain
+            has_mark = has_mark or marked[i]
+        else:
+            own[near[i]] += plain
+            own_marked[near[i]] = own_marked[near[i]] or marked[i]
+    for i in range(n - 1, -1, -1):
+        if held[i]:
+            if elements[i].name in MARKS:
+                marks[i] |= {elements[i].name}
+            up = elements[i].parent
+            if up >= 0:
+                size[up] += size[i]
+                held[up] = True
+                if marks[i]:
+                    marks[up] |= marks[i]
+    named = set(named)
+    around = {x: near[elements[x].parent] if elements[x].parent >= 0 else -1 for x in named}
+    for x in sorted((x for x in named if held[x]), key=lambda x: (-size[x], x)):  # outer elements before those in them
+        while around[x] >= 0 and around[x] not in named:
+            around[x] = around[around[x]]
+        if around[x] >= 0:
             continue
-        if text < 0:
-            clean = [b for b, way in zip(blocks, ways) if not named.intersection(way)]
-            text, marked = sum(b["plain"] for b in clean), any(b["marks"] for b in clean)
-        size, marks = inner[x]
-        elsewhere = marked and text >= SHARE * size
-        if marks & {"h1", "main"} or ("article" in marks or size >= text) and not elsewhere:
-            named = named - {x}
-            text = -1
-    return [b for b, way in zip(blocks, ways) if not named.intersection(way)]
-
-
-def _blocks(page: str, names: bool = True) -> tuple[list[dict], list[tuple[int, str]]]:
-    """Blocks of text in page order, and the elements as (parent, name); ``names`` says whether names of inline elements count."""
-    elements: list[tuple[int, str]] = [(-1, "")]
+        elsewhere = has_mark and text >= SHARE * size[x]
+        if marks[x] & {"h1", "main"} or ("article" in marks[x] or size[x] >= text) and not elsewhere:
+            named.discard(x)
+            text += own[x]
+            has_mark = has_mark or own_marked[x]
+    within = _inside(elements, named)
+    return [b for b in blocks if not within[b["element"]]]
+
+
+def _inside(elements: list[Element], nodes: set[int]) -> list[bool]:
+    """For every element whether it is one of ``nodes`` or in one."""
+    out: list[bool] = []
+    for i, e in enumerate(elements):
+        out.append(i in nodes or e.parent >= 0 and out[e.parent])
+    return out
+
+
+def _blocks(page: str, names: bool = True) -> tuple[list[dict], list[Element]]:
+    """Blocks of text in page order, and the elements; ``names`` says whether names of inline elements count.
+
+    Takes time linear in the page, however deep its elements lie: what depends on the
+    elements around is kept with each.
+    """
+    elements = [Element(-1, "", 0, False, 0, False, 0)]
+    paths: dict[tuple[int, str], int] = {}
     named: set[int] = set()
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # name, element, boilerplate
+    stack: list[int] = [0]
+    opened: dict[str, int] = {}
+    unclosed: set[str] = set()
     blocks: list[dict] = []
     now: dict | None = None
     at, end = 0, len(page)
 
     def text(raw: str) -> None:
         nonlocal now
-        if stack[-1][2] or not raw:
+        top = elements[stack[-1]]
+        if top.bad or not raw:
             return
         if now is None:
             if raw.isspace():
                 return
-            host = next(x for x in reversed(stack) if x[0] not in INLINE)
-            now = {"parts": [], "path": ">".join(x[0] for x in stack if x[0] not in INLINE), "element": host[1], "links": 0}
+            now = {"parts": [], "path": elements[top.host].path, "element": top.host, "links": 0}
             blocks.append(now)
         now["parts"].append(raw)
-        if any(x[0] == "a" for x in stack[-4:]):
+        if top.link:
             now["links"] += len(raw)
 
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            opened[elements[x].name] -= 1
+        del stack[i:]
+
     while at < end:
         m = TAG.search(page, at)
         if m is None:
@@ -168,55 +213,59 @@ def _blocks(page: str, names: bool = True) -> tuple[list[dict], list[tuple[int,
         if name == "br":
             text(" ")
             continue
-        if name not in INLINE:
+        inline = name in INLINE
+        if not inline:
             now = None
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
+            for i in range(len(stack) - 1, 0, -1) if opened.get(name) else ():
+                around = elements[stack[i]].name
+                if around == name:
+                    close(i)
                     break
-                if name in INLINE and stack[i][0] not in INLINE:
+                if inline and around not in INLINE:
                     break
             continue
         if name in VOID:
             continue
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            found = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            if found is None:
+                unclosed.add(name)  # nor is there one further on
             if not attributes.rstrip().endswith("/"):
-                at = close.end() if close else end if name in ("script", "style") else at
-                if close or name in ("script", "style"):
+                at = found.end() if found else end if name in ("script", "style") else at
+                if found or name in ("script", "style"):
                     continue
-        if name not in INLINE:
+        if not inline:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p" or stack[i][0] in CLOSES.get(name, ()):
-                    del stack[i:]
+                around = elements[stack[i]].name
+                if around == "p" or around in CLOSES.get(name, ()):
+                    close(i)
                     break
-                if stack[i][0] not in INLINE:
+                if around not in INLINE:
                     break
         if attributes.rstrip().endswith("/") and name in ("svg", "path"):
             continue
-        bad = stack[-1][2] or name in BOILERPLATE or name not in ("html", "body", "article", "main") and _hidden(attributes)
-        if names and name in INLINE and _named_boilerplate(name, attributes):
+        up = elements[stack[-1]]
+        bad = up.bad or name in BOILERPLATE or name not in ("html", "body", "article", "main") and _hidden(attributes)
+        if names and inline and _named_boilerplate(name, attributes):
             bad = True
-        if name == "header" and not any(x[0] in HEADER_SCOPES for x in stack):
+        if name == "header" and not up.scoped:
             bad = True
-        elements.append((stack[-1][1], name))
-        if name not in INLINE and not bad and _named_boilerplate(name, attributes):
-            named.add(len(elements) - 1)
-        stack.append((name, len(elements) - 1, bad))
+        number = len(elements)
+        path = up.path if inline else paths.setdefault((up.path, name), len(paths) + 1)
+        elements.append(Element(stack[-1], name, path, bad, 4 if name == "a" else max(0, up.link - 1), up.scoped or name in HEADER_SCOPES, up.host if inline else number))
+        if not inline and not bad and (name in MAYBE_BOILERPLATE or _named_boilerplate(name, attributes)):
+            named.add(number)
+        stack.append(number)
+        opened[name] = opened.get(name, 0) + 1
     for b in blocks:
         b["text"] = SPACES.sub(" ", html.unescape("".join(b["parts"]))).strip()
     return _without_named([b for b in blocks if b["text"]], elements, named), elements
 
 
-def main_blocks(page: str) -> list[str]:
-    """The blocks of the main text of one page."""
-    blocks, elements = _blocks(page)
-    if not blocks:
-        blocks, elements = _blocks(page, names=False)
-    if not blocks:
-        return []
-    sums: dict[str, list[float]] = {}
+def path_ratios(blocks: list[dict]) -> dict[int, float]:
+    """Text length and punctuation a block on each tag path, smoothed over neighbouring paths and multiplied."""
+    sums: dict[int, list[float]] = {}
     for b in blocks:
         s = sums.setdefault(b["path"], [0, 0, 0])
         plain = max(0, len(b["text"]) - b["links"])
@@ -229,55 +278,55 @@ def main_blocks(page: str) -> list[str]:
         around = [(ratios[j][k], w) for j, w in ((i - 1, 0.25), (i, 1.0), (i + 1, 0.25)) if 0 <= j < len(ratios)]
         return sum(x * w for x, w in around) / sum(w for _, w in around)
 
-    fused = {path: smooth(0, i) * (1 + smooth(1, i)) for i, path in enumerate(sums)}
+    return {path: smooth(0, i) * (1 + smooth(1, i)) for i, path in enumerate(sums)}
+
+
+def content_blocks(blocks: list[dict]) -> list[dict]:
+    """The blocks on paths whose fused ratio is SHARE of the largest at least."""
+    fused = path_ratios(blocks)
     least = SHARE * max(fused.values())
-    chosen = [b for b in blocks if fused[b["path"]] >= least] or blocks
+    return [b for b in blocks if fused[b["path"]] >= least] or blocks
+
+
+def main_blocks(page: str) -> list[str]:
+    """The blocks of the main text of one page."""
+    blocks, elements = _blocks(page)
+    if not blocks:
+        blocks, elements = _blocks(page, names=False)
+    if not blocks:
+        return []
+    chosen = content_blocks(blocks)
     picked = {id(b) for b in chosen}
     if not (nodes := _named_nodes(chosen, elements)):
         nodes, loose = _grown_nodes(blocks, chosen, elements)
         picked |= loose
+    within = _inside(elements, nodes)
+    return [b["text"] for b in blocks if id(b) in picked or within[b["element"]]]
 
-    def inside(e: int) -> bool:
-        while e >= 0:
-            if e in nodes:
-                return True
-            e = elements[e][0]
-        return False
 
-    return [
-        b["text"] for b in blocks
-        if id(b) in picked or inside(b["element"])
-    ]
-
-
-def _held(blocks: list[dict], elements: list[tuple[int, str]]) -> dict[int, int]:
-    """The length of the blocks' texts in each element that holds any."""
-    held: dict[int, int] = {}
+def _held(blocks: list[dict], elements: list[Element]) -> list[int]:
+    """The length of the blocks' texts in each element."""
+    held = [0] * len(elements)
     for b in blocks:
-        e = b["element"]
-        while e >= 0:
-            held[e] = held.get(e, 0) + len(b["text"])
-            e = elements[e][0]
+        held[b["element"]] += len(b["text"])
+    for i in range(len(elements) - 1, 0, -1):
+        held[elements[i].parent] += held[i]
     return held
 
 
-def _named_nodes(chosen: list[dict], elements: list[tuple[int, str]]) -> set[int]:
+def _named_nodes(chosen: list[dict], elements: list[Element]) -> set[int]:
     """All outermost article (else main) elements with content blocks; none where they hold too little of it."""
     held = _held(chosen, elements)
     for name in ("article", "main"):
-        nodes: set[int] = set()
-        for e in sorted(x for x in held if elements[x][1] == name):  # elements are numbered from the outside in
-            up = elements[e][0]
-            while up >= 0 and up not in nodes:
-                up = elements[up][0]
-            if up < 0:
-                nodes.add(e)
+        all_ = {i for i, e in enumerate(elements) if e.name == name and held[i]}
+        within = _inside(elements, all_)
+        nodes = {i for i in all_ if not within[elements[i].parent]}
         if nodes and sum(held[e] for e in nodes) >= NAMED_HOLD * held[0]:
             return nodes
     return set()
 
 
-def _grown_nodes(blocks: list[dict], chosen: list[dict], elements: list[tuple[int, str]]) -> tuple[set[int], set[int]]:
+def _grown_nodes(blocks: list[dict], chosen: list[dict], elements: list[Element]) -> tuple[set[int], set[int]]:
     """The deepest element with most of the content and the elements around it that belong to it; blocks of bare text between them.
 
     A level above is part of the text, all but its parts of links, where it has content
@@ -285,40 +334,38 @@ def _grown_nodes(blocks: list[dict], chosen: list[dict], elements: list[tuple[in
     levels the first top heading is.
     """
     held = _held(chosen, elements)
-    core = max(e for e in held if held[e] >= HOLD * held[0])
+    core = max(i for i, size in enumerate(held) if size >= HOLD * held[0])
     nodes, loose = {core}, set()
     picked = {id(b) for b in chosen}
-
-    def above(e: int, top: int) -> list[int]:
-        """The elements from ``e`` to below ``top``; [] for ``top`` itself."""
-        out = []
-        while e > top:
-            out.append(e)
-            e = elements[e][0]
-        return out if e == top else [-1]
-
-    titled = any(x[1] == "h1" and core in above(i, -1) for i, x in enumerate(elements))
-    below, level = core, elements[core][0]
-    while level >= 0:
-        parts: dict[int, list[dict]] = {}
-        for b in blocks:
-            way = above(b["element"], level)
-            if way != [-1] and below not in way:
-                parts.setdefault(way[-1] if way else level, []).append(b)
+    spine, e = [], core
+    while e >= 0:
+        spine.append(e)
+        e = elements[e].parent
+    levels = set(spine)
+    # For every element the level it hangs on and the part of that level, itself or an element around it.
+    hangs: list[tuple[int, int]] = []
+    for i, x in enumerate(elements):
+        hangs.append((i, i) if i in levels else (x.parent, i) if x.parent in levels else hangs[x.parent])
+    titled = any(x.name == "h1" and hangs[i][0] == core for i, x in enumerate(elements))
+    parts: dict[int, dict[int, list[dict]]] = {}
+    for b in blocks:
+        level, part = hangs[b["element"]]
+        parts.setdefault(level, {}).setdefault(part, []).append(b)
+    for level in spine[1:]:
+        here = parts.get(level, {})
         prose = {
             e: any(PUNCTUATION.search(b["text"]) for b in part) and 2 * sum(b["links"] for b in part) < sum(len(b["text"]) for b in part)
-            for e, part in parts.items()
+            for e, part in here.items()
         }
-        titles = set() if titled else {e for e, part in parts.items() if any(elements[b["element"]][1] == "h1" for b in part)}
+        titles = set() if titled else {e for e, part in here.items() if any(elements[b["element"]].name == "h1" for b in part)}
         titled = titled or bool(titles)
-        whole = any(prose[e] and (e == level or elements[e][1] in FLOW) or any(id(b) in picked for b in part) for e, part in parts.items())
-        for e, part in parts.items():
+        whole = any(prose[e] and (e == level or elements[e].name in FLOW) or any(id(b) in picked for b in part) for e, part in here.items())
+        for e, part in here.items():
             if e in titles or whole and 2 * sum(b["links"] for b in part) < sum(len(b["text"]) for b in part):
                 if e == level:
                     loose.update(id(b) for b in part)
                 else:
                     nodes.add(e)
-        below, level = level, elements[level][0]
     return nodes, loose
 
 
