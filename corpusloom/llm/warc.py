@@ -8,7 +8,9 @@ equal payloads of some size one is a response and the others are ``revisit`` rec
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import io
 import uuid
 
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, ship
+from .common import cut, join_sized, remove, shared_folder, ship
 
 ship(__name__)
 
@@ -25,7 +27,7 @@ MIN_DEDUP_BYTES = 1000
 SEGMENT_CHARS = 16_384
 CHUNK_CHARS = 4_096
 RECORDS_PER_FILE = 2_000
-#: Repeated keys are broadcast up to this number, which is counted first.
+#: Repeated keys and payloads are broadcast up to this number, which is counted first.
 BROADCAST_ROWS = 500_000
 CRLF = "\r\n"
 HTTP = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "Transfer-Encoding: chunked", "", ""])
@@ -34,8 +36,9 @@ HTTP = CRLF.join(["HTTP/1.1 200 OK", "Content-Type: text/html; charset=utf-8", "
 def deduplicated(pages: DataFrame, key: str, url: str, html: str, min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
     """``key, url, payload, digest, size, first``: first is the largest key with that payload, NULL for a response.
 
-    Small payloads get a join key of their own; the table of first keys is partitioned
-    anew by the join, so that a payload that fills a third of all rows can be split.
+    Payloads below min_bytes have no first.  Only payloads that occur more than once are
+    joined, so pages go through no shuffle while those are few; where they aren't, a
+    payload that fills a third of all rows is dealt to several tasks.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(
@@ -43,20 +46,23 @@ def deduplicated(pages: DataFrame, key: str, url: str, html: str, min_bytes: int
         F.octet_length(payload).cast("long").alias("size"),
     )
     large = rows.where(F.col("size") >= min_bytes)
-    firsts = large.groupBy("digest", "size").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n", "size")
-    own = F.when(F.col("size") >= min_bytes, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("key", "digest").cast("string")))
-    joined = rows.withColumn("same", own).join(firsts.withColumnRenamed("digest", "same"), "same", "left")
+    firsts = cut(large.groupBy("digest", "size").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    joined = join_sized(rows, firsts, ["digest", "size"], BROADCAST_ROWS, "left")
     other = F.when(~F.col("first").eqNullSafe(F.col("key")), F.col("first"))
     return joined.select("key", "url", "payload", "digest", "size", other.alias("first"))
 
 
 def _marked(rows: DataFrame, repeated: DataFrame, of: str, out: str) -> DataFrame:
     """Add ``out``: whether the key in column ``of`` is in ``repeated(key)``, distinct keys that are joined only if there are any."""
-    n = repeated.limit(BROADCAST_ROWS + 1).count()
-    if n == 0:
+    if repeated.isEmpty():
         return rows.withColumn(out, F.lit(False))
     marks = repeated.select(F.col("key").alias(of), F.lit(True).alias(out))
-    return rows.join(F.broadcast(marks) if n <= BROADCAST_ROWS else marks, of, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+    return join_sized(rows, marks, [of], BROADCAST_ROWS, "left").withColumn(out, F.coalesce(out, F.lit(False)))
+
+
+def _written(key: Column) -> Column:
+    """A key as it can stand in a header line and between < and >."""
+    return F.url_encode(key.cast("string"))
 
 
 def chunked(body: Column) -> Column:
@@ -85,24 +91,24 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     Records go through Spark's own commit of task output: a lost or repeated task leaves
     no half file.  A record is named by its key, and rows with a NULL or repeated key by a
     UUID besides; the key itself is in WARC-Page-Key, which a NULL key lacks.  A revisit of
-    a repeated key has WARC-Page-Refers-To and its digest, but no record's name.  A NULL
-    html is an empty payload.
+    a repeated key has WARC-Page-Refers-To and its digest, but no record's name.  Keys are
+    percent-encoded there.  A NULL html is an empty payload; an empty table gives no record.
     """
     repeated = cut(pages.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")).where("key is not null and n > 1").select("key"))
     rows = _marked(_marked(deduplicated(pages, key, url, html), repeated, "key", "many"), repeated, "first", "first_many")
     # The UUIDs come after the last shuffle: all segments of a row are written by the task that names it.
-    rows = rows.withColumn("name", F.concat_ws(":", F.lit("urn:page"), F.col("key").cast("string"), F.when(F.col("key").isNull() | F.col("many"), F.uuid())))
+    rows = rows.withColumn("name", F.concat_ws(":", F.lit("urn:page"), _written(F.col("key")), F.when(F.col("key").isNull() | F.col("many"), F.uuid())))
     name = F.col("name")
     target = F.coalesce("url", name)
-    page_key = ("WARC-Page-Key", F.col("key").cast("string"))
+    page_key = ("WARC-Page-Key", _written(F.col("key")))
     identifier = F.concat(F.lit("<"), name, F.lit(">"))
     digest = F.concat(F.lit("sha1:"), F.col("digest"))
     revisit = rows.where("first is not null").select(_record(F.lit("revisit"), F.lit(""), [
         ("WARC-Record-ID", identifier), page_key, ("WARC-Target-URI", target), ("WARC-Payload-Digest", digest),
         ("WARC-Payload-Length", F.col("size").cast("string")),
         ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        ("WARC-Refers-To", F.when(~F.col("first_many"), F.concat(F.lit("<urn:page:"), F.col("first").cast("string"), F.lit(">")))),
-        ("WARC-Page-Refers-To", F.col("first").cast("string")),
+        ("WARC-Refers-To", F.when(~F.col("first_many"), F.concat(F.lit("<urn:page:"), _written(F.col("first")), F.lit(">")))),
+        ("WARC-Page-Refers-To", _written(F.col("first"))),
     ]).alias("value"))
     blocks = rows.where("first is null").select("key", "name", "url", "digest", F.concat(F.lit(HTTP), chunked(F.col("payload"))).alias("block"))
     blocks = blocks.withColumn("n", F.greatest(F.ceil(F.char_length("block") / SEGMENT_CHARS).cast("int"), F.lit(1)))
@@ -195,60 +201,73 @@ def unchunk(body: bytes) -> bytes:
         at = end + 4 + n
 
 
+def checked_payload(declared: str | None, payload: bytes) -> bytes:
+    """The payload, if its SHA-1 is the declared one, in hexadecimal or in base 32; other digests aren't checked."""
+    kind, _, value = (declared or "").partition(":")
+    if kind.lower() == "sha1":
+        own = hashlib.sha1(payload)
+        if value.lower() != own.hexdigest() and value.upper() != base64.b32encode(own.digest()).decode():
+            raise ValueError(f"a payload of {len(payload)} bytes doesn't have its digest {declared}")
+    return payload
+
+
 def reassemble(records: DataFrame) -> DataFrame:
     """``record_type, record_id, target_uri, payload_digest, payload_length, refers_to, page_key, page_refers_to, payload``: one row per response or revisit.
 
     Segments are grouped by their origin's id and put in order; missing or repeated
-    numbers and a total length that differs end the job.  A group holds one page.
+    numbers, a total length that differs and a payload that doesn't have its declared
+    digest end the job.  A group holds one page; its blocks are joined once, whatever their number.
     """
     whole = records.where("record_type in ('response', 'revisit') and segment_number is null")
     segments = records.where("segment_number is not null").select(
         F.coalesce("origin_id", "record_id").alias("origin"), "segment_number", "target_uri", "payload_digest", "total_length", "page_key", "block"
     )
     joined = segments.groupBy("origin").agg(
-        F.sort_array(F.collect_list(F.struct("segment_number", "block"))).alias("parts"),
+        F.sort_array(F.collect_list(F.struct("segment_number", "block"))).alias("parts"), F.sum(F.octet_length("block").cast("long")).alias("length"),
         F.max("target_uri").alias("target_uri"), F.max("payload_digest").alias("payload_digest"), F.max("total_length").alias("total_length"), F.max("page_key").alias("page_key"),
     )
-    block = F.aggregate("parts", F.lit(b""), lambda acc, x: F.concat(acc, x["block"]))
     in_order = F.transform("parts", lambda p: p["segment_number"]) == F.sequence(F.lit(1), F.size("parts"))
-    joined = joined.select("origin", "target_uri", "payload_digest", "total_length", "page_key", in_order.alias("in_order"), block.alias("block"))
     checked = joined.select(
         F.lit("response").alias("record_type"), F.col("origin").alias("record_id"), "target_uri", "payload_digest", F.lit(None).cast("long").alias("payload_length"),
         F.lit(None).cast("string").alias("refers_to"), "page_key", F.lit(None).cast("string").alias("page_refers_to"),
-        F.when(F.col("in_order") & (F.octet_length("block") == F.col("total_length")), F.col("block"))
-        .otherwise(F.raise_error(F.concat(F.lit("segments don't add up: "), F.col("target_uri"))).cast("binary")).alias("block"),
+        F.when(in_order & (F.col("length") == F.col("total_length")), F.transform("parts", lambda p: p["block"]))
+        .otherwise(F.raise_error(F.concat(F.lit("segments don't add up: "), F.coalesce("target_uri", "origin"))).cast("array<binary>")).alias("blocks"),
     )
-    both = whole.select("record_type", "record_id", "target_uri", "payload_digest", "payload_length", "refers_to", "page_key", "page_refers_to", "block").union(checked)
+    both = whole.select(*checked.columns[:8], F.array("block").alias("blocks")).union(checked)
 
     def run(batches):
         for batch in batches:
             payloads = []
-            for kind, block in zip(batch.column(0).to_pylist(), batch.column(8).to_pylist()):
+            for kind, digest, blocks in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(8)):
                 if kind == "revisit":
                     payloads.append(None)
                     continue
-                head, _, body = block.partition(b"\r\n\r\n")
-                payloads.append(unchunk(body) if b"transfer-encoding: chunked" in head.lower() else body)
+                head, _, body = b"".join(blocks.as_py()).partition(b"\r\n\r\n")
+                payloads.append(checked_payload(digest, unchunk(body) if b"transfer-encoding: chunked" in head.lower() else body))
             yield pa.RecordBatch.from_arrays([*batch.columns[:8], pa.array(payloads, pa.binary())], [*batch.schema.names[:8], "payload"])
 
     return both.mapInArrow(run, T.StructType([*both.schema.fields[:8], T.StructField("payload", T.BinaryType())]))
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Write ``pages`` to a new folder of the shared checkpoint folder, read it back and describe each record.
+    """Write ``pages`` to a new folder of the shared folder, read it back and describe each record.
 
-    ``key, payload_bytes, payload_digest, record_type, refers_to``, one row for every row of ``pages``.
+    ``key, payload_bytes, payload_digest, record_type, refers_to``, one row for every row of
+    ``pages``: a NULL html has an empty payload, NULL and repeated keys and equal rows are
+    records of their own, an empty table gives no rows, other columns aren't read.  The jobs
+    run when it is called; the archives are removed once they have been read.
     """
     spark = pages.sparkSession
-    cut(spark.range(0))  # makes sure of the folder
-    path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, key, url, html, compression="gzip")
     rows = reassemble(read_records(spark, path))
     kind = pages.schema[key].dataType
-    return rows.select(
-        F.col("page_key").cast(kind).alias(key),
+    out = cut(rows.select(
+        F.url_decode("page_key").cast(kind).alias(key),
         F.when(F.col("record_type") == "revisit", F.col("payload_length")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
         F.when(F.col("record_type") == "revisit", F.regexp_extract("payload_digest", "sha1:(.*)", 1)).otherwise(F.sha1("payload")).alias("payload_digest"),
         "record_type",
-        F.col("page_refers_to").cast(kind).alias("refers_to"),
-    )
+        F.url_decode("page_refers_to").cast(kind).alias("refers_to"),
+    ))
+    remove(spark, path)
+    return out
