@@ -8,14 +8,18 @@ half has a keyed hash (SHA-256 of key, kind, round and the other half) added to
 Kinds: cards (Luhn; the check digit is made anew), IBANs (mod 97; check digits made
 anew), phone numbers, social security numbers, dates in 1800-2199 (as day numbers),
 IPv4 addresses (as 32-bit numbers), e-mail local parts (letters and digits apart) and
-secrets (access keys, password= and token = values).  What fails its validation stays.
+secrets (access keys, prefixed tokens, password= and token = values).  What fails its validation stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
+#: The session's setting that holds the key, and the key of tests.
+KEY_SETTING, TEST_KEY = "spark.corpusloom.pseudonym.key", "corpusloom"
 ROUNDS = 8
 CHUNK = 16
 SECRET_WORD = r"(?i:password|passwd|token|secret|api_key)\s?[=:]"
@@ -38,18 +42,20 @@ def _printed_ibans() -> str:
 
 #: Kinds in the order in which they are tried at each place of a text.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # One try for each run of letters, of the 64 characters and 10 labels that an address has at most: linear in any text.
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,10}[A-Za-z]{2,63}",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9/-])",
     "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|(?=[A-Z]{{2}}[0-9]{{2}} )(?:{_printed_ibans()}))(?![A-Za-z0-9])",
     "card": r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{1,7}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{1,7}"
             r"|[0-9]{4} [0-9]{6} [0-9]{5}|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9A-Za-z])",
-    "phone": r"(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}"
+    "phone": r"(?:(?<![0-9A-Za-z.,:/+-])[2-9][0-9]{2}(?: [2-9][0-9]{2} |[2-9][0-9]{2})[0-9]{4}(?![0-9A-Za-z/-]|[.,:][0-9])|\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}"
              r"|(?<![0-9A-Za-z.,:/-])(?:\(0[1-9][0-9]{1,4}\) ?|0[1-9][0-9]{1,3}[ /])[0-9]{3,4} ?[0-9]{3,4}|(?<![0-9A-Za-z.,:/-])0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4})"
              r"|\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4})(?![0-9])",
     "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
     "key": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": SECRET_WORD + r"""\s?["']?[0-9a-f]{16,128}(?![0-9A-Za-z])""",
+    "token": r"(?<![A-Za-z0-9])[spr]k_(?:live|test)_[A-Za-z0-9]{16,}+(?![A-Za-z0-9_])",
+    "secret": SECRET_WORD + r"""\s?["']?[0-9a-f]{16,}+(?![0-9A-Za-z])""",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 ALPHABETS = {10: "0123456789", 16: "0123456789abcdef", 26: "abcdefghijklmnopqrstuvwxyz", 36: "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -211,11 +217,20 @@ def _key(value: Column, key: str) -> Column:
 
 
 def _secret(value: Column, key: str) -> Column:
-    tail = F.regexp_extract(value, "[0-9a-f]{16,128}$", 0)
+    tail = F.regexp_extract(value, "[0-9a-f]+$", 0)
     return F.concat(F.substr(value, F.lit(1), F.length(value) - F.length(tail)), permute(tail, 16, key, F.lit("secret")))
 
 
-RULES = {"email": _email, "ip": _ip, "date": _date, "iban": _iban, "card": _card, "phone": _phone, "ssn": _plain("ssn"), "key": _key, "secret": _secret}
+def _token(value: Column, key: str) -> Column:
+    """Letters are permuted among letters and digits among digits; the prefix stays."""
+    head = F.regexp_extract(value, "^[spr]k_(?:live|test)_", 0)
+    rest = F.substr(value, F.length(head) + 1, F.length(value))
+    letters = permute(F.lower(F.regexp_replace(rest, "[0-9]", "")), 26, key, F.concat(F.lit("token|"), head))
+    numbers = permute(_digits(rest), 10, key, F.concat(F.lit("token|"), head))
+    return F.concat(head, _refill(_refill(rest, "[A-Za-z]", letters), "[0-9]", numbers))
+
+
+RULES = {"email": _email, "ip": _ip, "date": _date, "iban": _iban, "card": _card, "phone": _phone, "ssn": _plain("ssn"), "key": _key, "token": _token, "secret": _secret}
 
 
 def pseudonym(value: Column, key: str) -> Column:
@@ -227,21 +242,31 @@ def pseudonym(value: Column, key: str) -> Column:
     return out.otherwise(value)
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with the values in ``text`` replaced, and ``n_values`` (long), how many changed.
+def key_of(spark: SparkSession) -> str:
+    """The secret of the pseudonyms: ``spark.corpusloom.pseudonym.key`` of the session.
+
+    Unset, it is TEST_KEY, which everybody knows: pseudonyms made with it hide nothing
+    from a reader of this file.
+    """
+    return spark.conf.get(KEY_SETTING, None) or TEST_KEY
+
+
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_values") -> DataFrame:
+    """``docs`` with the values in ``text`` replaced, and ``count`` (long), how many changed.
 
     NULL stays NULL (0 values); a text without values stays as it is; every other
-    column, repeated rows and the order of the columns stay; a column n_values of
-    ``docs`` is replaced.  Each row is done by itself, whatever its length.
+    column, repeated rows and the order of the columns stay; a column ``count`` of
+    ``docs`` is replaced.  Each row is done by itself, in time linear in its length.
     """
     t = F.col(text)
-    worth = t.rlike("[0-9@]") | t.contains("AKIA") | t.rlike(SECRET_WORD)
-    own = [c for c in docs.columns if c != "n_values"]
-    found = docs.select(*own, F.when(worth, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).alias("_found"))
-    renewed = found.select(*own, "_found", F.when(F.size("_found") > 0, F.transform("_found", lambda v: pseudonym(v, key))).alias("_new"))
-    pieces = F.zip_with(F.split(t, ANY, -1), F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    changed = F.size(F.filter(F.zip_with("_found", "_new", lambda a, b: a != b), lambda x: x))
+    worth = t.rlike("[0-9@]") | t.contains("AKIA") | t.rlike(SECRET_WORD) | t.rlike("[spr]k_(?:live|test)_")
+    own = [c for c in docs.columns if c != count]
+    old, new = fresh(docs, "_found"), fresh(docs, "_new")
+    found = docs.select(*own, F.when(worth, F.regexp_extract_all(t, F.lit(ANY), F.lit(0))).alias(old))
+    renewed = found.select(*own, old, F.when(F.size(old) > 0, F.transform(old, lambda v: pseudonym(v, key))).alias(new))
+    pieces = F.zip_with(F.split(t, ANY, -1), F.col(new), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    changed = F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda x: x))
     return renewed.select(
-        *[c if c != text else F.when(F.col("_new").isNotNull(), F.array_join(pieces, "")).otherwise(t).alias(text) for c in own],
-        F.when(F.col("_new").isNotNull(), changed).otherwise(F.lit(0)).cast("long").alias("n_values"),
+        *[c if c != text else F.when(F.col(new).isNotNull(), F.array_join(pieces, "")).otherwise(t).alias(text) for c in own],
+        F.when(F.col(new).isNotNull(), changed).otherwise(F.lit(0)).cast("long").alias(count),
     )

@@ -10,12 +10,9 @@ from . import bpe, chat, crf, decontam, html_text, pii, quality, simhash, tokenc
 from .common import table
 from .sql import ORACLES
 
-#: The key of the pseudonyms; a deployment passes its own secret.
-PSEUDONYM_KEY = "corpusloom"
-
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
