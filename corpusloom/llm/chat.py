@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|{}|>\n", "<|end|>\n"
@@ -79,8 +79,9 @@ def preference_format(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
 def swapped_replies(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """Pairs for every conversation: itself, and itself with its last assistant turn taken from its neighbour.
 
-    Neighbours are the keys 2n and 2n + 1; a conversation whose neighbour is missing, or
-    where either has no assistant turn, gives no pair.
+    Keys are integers.  Neighbours are the keys 2n and 2n + 1; a conversation whose
+    neighbour is missing, or where either has no assistant turn, gives no pair; see
+    next_replies() for pairs of all conversations.  Rows without a key are left out.
     """
     all_ = conversations(turns, key).select(key, "turns", _last("turns").alias("last")).where("last > 0")
     reply = all_.select(F.col(key).bitwiseXOR(F.lit(1)).alias(key), F.element_at("turns", F.col("last")).alias("reply"))
@@ -90,6 +91,32 @@ def swapped_replies(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
+#: Leading bits of the hash by which conversations are put in a ring: at most 4,096 stretches of it.
+RING_BITS = 12
+
+
+def next_replies(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Pairs for every conversation, whatever the type of its key: itself, and itself with its last assistant turn
+    taken from the next conversation that has one, in a ring by the hash of the key.
+
+    A conversation without an assistant turn is its own rejected side, and so is one that
+    is the only one with such a turn; rows without a key are left out; an empty table
+    gives no pairs.  The ring is put together from stretches, so no task orders it all.
+    """
+    all_ = conversations(turns, key).select(F.col(key).alias("pair_id"), "turns", _last("turns").alias("last"), F.xxhash64(key).alias("h"))
+    all_ = all_.withColumn("stretch", F.shiftrightunsigned("h", 64 - RING_BITS))
+    usable = all_.where("last > 0").withColumn("reply", F.element_at("turns", F.col("last")))
+    heads = usable.groupBy("stretch").agg(F.min_by("reply", F.struct("h", "pair_id")).alias("head"))
+    along = Window.partitionBy().orderBy("stretch")  # of at most 2 ** RING_BITS rows
+    after = F.coalesce(F.lead("head").over(along), F.first("head").over(along))
+    ring = usable.withColumn("next", F.lead("reply").over(Window.partitionBy("stretch").orderBy("h", "pair_id")))
+    ring = ring.join(heads.select("stretch", after.alias("after")), "stretch").select(
+        "pair_id", F.col("turns").alias("chosen"),
+        F.concat(F.slice("turns", F.lit(1), F.col("last") - 1), F.array(F.coalesce("next", "after"))).alias("rejected"),
+    )
+    return ring.union(all_.where("last = 0").select("pair_id", "turns", "turns"))
+
+
 def _last(turns: str) -> Column:
     """The place, from 1, of the last assistant turn; 0 for none."""
     marks = F.transform(turns, lambda t, i: F.when(_role(t) == TRAINED_ROLE, i + 1).otherwise(0))

@@ -51,6 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written and whose rows nobody will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have, in any case of its letters."""
     taken = {c.lower() for c in df.columns}

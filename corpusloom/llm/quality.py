@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, cut, split_words
+from .common import BLANK_RUN, cut, fresh, split_words
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -45,50 +45,52 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     a word), n_dup_lines, n_repeat_words, all long, and base_failed.  All columns of
     ``docs`` stay; those with the names of measures are replaced.
     """
+    work = ["words", "marks", "lines", "hashes", "grams", "sorted", "twice"]
+    words, marks, lines, hashes, grams, in_order, twice = (fresh(docs, f"_{x}") for x in work)
     names = ["n_words", "word_chars", "n_symbols", "n_shouts", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed"]
     own = [c for c in docs.columns if c not in names]
     value = F.coalesce(F.col(text), F.lit(""))
     # Every step below hands on as few arrays as it can: each is copied between steps.
     df = docs.select(
         *own,
-        split_words(F.col(text), BLANK_RUN).alias("_words"),
-        F.regexp_replace(value, "[^#*$%&|<>!]+", "").alias("_marks"),
-        F.filter(F.split(value, "\n"), lambda x: x.rlike("[^ \\t-\\r]")).alias("_lines"),
+        split_words(F.col(text), BLANK_RUN).alias(words),
+        F.regexp_replace(value, "[^#*$%&|<>!]+", "").alias(marks),
+        F.filter(F.split(value, "\n"), lambda x: x.rlike("[^ \\t-\\r]")).alias(lines),
     )
     df = df.select(
         *own,
-        F.size("_words").cast("long").alias("n_words"),
-        F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.char_length(F.regexp_replace("_marks", "!+", "")).cast("long").alias("n_symbols"),
-        F.char_length(F.regexp_replace("_marks", "[^!]+", "")).cast("long").alias("n_shouts"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
+        F.size(words).cast("long").alias("n_words"),
+        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.char_length(F.regexp_replace(marks, "!+", "")).cast("long").alias("n_symbols"),
+        F.char_length(F.regexp_replace(marks, "[^!]+", "")).cast("long").alias("n_shouts"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+        F.transform(words, lambda w: F.xxhash64(w)).alias(hashes),
     )
     counts = names[:6]
-    df = df.select(*own, *counts, F.when(F.size("_hashes") >= WINDOW, F.transform(
-        F.sequence(F.lit(0), F.size("_hashes") - WINDOW),
-        lambda i: F.xxhash64(*[F.get("_hashes", i + k) for k in range(WINDOW)]),
-    )).alias("_grams"))
+    df = df.select(*own, *counts, F.when(F.size(hashes) >= WINDOW, F.transform(
+        F.sequence(F.lit(0), F.size(hashes) - WINDOW),
+        lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]),
+    )).alias(grams))
     # Equal hashes lie side by side once sorted; the places marked so, in order again,
     # cover min(gap, WINDOW) words each.  Only texts with a repeated window are sorted.
     df = df.select(*own, *counts, F.when(
-        F.size(F.array_distinct("_grams")) < F.size("_grams"),
-        F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("at")))),
-    ).alias("_sorted"))
+        F.size(F.array_distinct(grams)) < F.size(grams),
+        F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("at")))),
+    ).alias(in_order))
     df = df.select(*own, *counts, F.sort_array(F.transform(
         F.filter(
-            F.transform("_sorted", lambda x, i: F.struct(
+            F.transform(in_order, lambda x, i: F.struct(
                 x["at"].alias("at"),
-                (F.coalesce(x["g"] == F.get("_sorted", i - 1)["g"], F.lit(False))
-                 | F.coalesce(x["g"] == F.get("_sorted", i + 1)["g"], F.lit(False))).alias("twice"),
+                (F.coalesce(x["g"] == F.get(in_order, i - 1)["g"], F.lit(False))
+                 | F.coalesce(x["g"] == F.get(in_order, i + 1)["g"], F.lit(False))).alias("twice"),
             )),
             lambda x: x["twice"],
         ),
         lambda x: x["at"],
-    )).alias("_twice"))
+    )).alias(twice))
     covered = F.aggregate(
-        F.transform("_twice", lambda at, i: F.least(F.coalesce(F.get("_twice", i + 1) - at, F.lit(WINDOW)), F.lit(WINDOW))),
+        F.transform(twice, lambda at, i: F.least(F.coalesce(F.get(twice, i + 1) - at, F.lit(WINDOW)), F.lit(WINDOW))),
         F.lit(0).cast("long"), lambda acc, x: acc + x,
     )
     df = df.select(*own, *counts, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
@@ -153,8 +155,9 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Dat
     exceeded = F.lit(False)
     for r in RULES:
         exceeded = exceeded | F.coalesce(measure(r) > F.col(f"cut_{r}"), F.lit(False))
-    joined = measured.drop("kept").join(cutoffs.withColumnRenamed("stratum", "_stratum"), F.col(stratum) == F.col("_stratum"), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~exceeded).drop("_stratum", *[f"cut_{r}" for r in RULES])
+    other = fresh(measured, "_stratum")
+    joined = measured.drop("kept").join(cutoffs.withColumnRenamed("stratum", other), F.col(stratum) == F.col(other), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~exceeded).drop(other, *[f"cut_{r}" for r in RULES])
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
@@ -164,14 +167,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, text: str = "text", key
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", stratum: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their own columns.
+    """The rows of ``docs`` that are kept, with their own columns, whatever their names; repeated rows and NULL keys stay.
 
-    Texts are measured a second time instead of being sent through a join.
+    Texts are measured once: rows and measures are written as a table, the cutoffs are
+    fitted on its measures and its rows filtered.  NULL and empty texts fail the base rules.
     """
-    measured = cut(features(docs.select(key, text, stratum), text).drop(text))
-    cutoffs = cut(fit(measured, labels, key, stratum))
-    own = docs.columns
-    # The row number keeps the filter above the measures: pushed below them, it would
-    # repeat their nested expressions over and over.
-    again = features(docs.withColumn("_row", F.struct(*own)), text).withColumn("_id", F.monotonically_increasing_id())
-    return judge(again, cutoffs, stratum).where("kept and _id >= 0").select("_row.*")
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), F.col(stratum).alias("stratum"))
+    measured = cut(features(named, "text").drop("text"))
+    known = labels.select(F.col(key).alias("key"), F.col("quality").alias("quality"))
+    cutoffs = cut(fit(measured, known, "key", "stratum"))
+    return judge(measured, cutoffs, "stratum").where("kept").select("row.*")
