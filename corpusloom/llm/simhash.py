@@ -36,9 +36,9 @@ GROUP_BITS = 8
 NODE_SIZE = 8
 MOST_BLOCKS = 10
 #: A join's smaller side is broadcast up to this many rows (and common.BROADCAST_BYTES).
-BROADCAST_ROWS = 100_000
-#: The same for keys of rows that go, whose other side has whole texts.
-BROADCAST_KEYS = 500_000
+BROADCAST_ROWS = 500_000
+#: Fingerprints to a task.
+SHARE = 20_000
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4) -> DataFrame:
@@ -116,7 +116,10 @@ def blocks_for(n: int, distance: int) -> int:
 
 def linked_classes(fps: DataFrame, distance: int = 4, blocks: int | None = None, group_bits: int = GROUP_BITS) -> DataFrame:
     """``fps(fp)``, distinct -> ``(node, root)``: the class of every fingerprint that has a link, named by one of its members."""
-    blocks = blocks or blocks_for(fps.count(), distance)
+    n = fps.count()
+    blocks = blocks or blocks_for(n, distance)
+    # Every fingerprint makes a row for each table: the work is dealt out by their number, not by the size of the files.
+    fps = fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, n // SHARE + 1), "fp")
     tables = F.array(*[
         F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("mask"), F.lit(s).alias("shift"))
         for t, m, s in index_tables(distance, blocks, group_bits)
@@ -133,16 +136,16 @@ def linked_classes(fps: DataFrame, distance: int = 4, blocks: int | None = None,
     )
     node, group = ["t", "node"], ["t", "node", "g"]
     ends = cut(placed.groupBy(*node).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1").drop("n"))
-    members = cut(join_sized(placed, ends, node, BROADCAST_ROWS))
+    members = cut(placed.join(ends, node))
     # First links, at most four a member: the ends of its node, the least of its group, the next in Gray order.
     in_order = Window.partitionBy(*group).orderBy("rank", "fp")
     near = members.select("fp", "low", "high", F.first("fp").over(in_order).alias("least"), F.coalesce(F.lead("fp").over(in_order), "fp").alias("next"))
     near = near.select("fp", F.explode(F.array("low", "high", "least", "next")).alias("to"))
     known = components(near.where(f"fp <> to and bit_count(fp ^ to) <= {distance}").select(F.col("fp").alias("a"), F.col("to").alias("b")))
-    classed = join_sized(members.select(*group, "fp"), known.withColumnRenamed("node", "fp"), ["fp"], BROADCAST_ROWS, "left")
-    classed = cut(classed.withColumn("class", F.coalesce("root", "fp")).drop("root"))
+    classed = members.select(*group, "fp").join(known.withColumnRenamed("node", "fp"), "fp", "left")
+    classed = cut(classed.select(*group, "fp", F.coalesce("root", "fp").alias("class")))
     live = cut(classed.groupBy(*node).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select(*node))
-    classed = cut(join_sized(classed, live, node, BROADCAST_ROWS, "left_semi"))
+    classed = cut(classed.join(live, node, "left_semi"))
     # What is left to compare: members of one node in different classes, group by group and class by class.
     groups = cut(classed.groupBy(*group, "class").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")))
     one, two = (groups.select(*node, *[F.col(c).alias(f"{c}{i}") for c in ("g", "class", "ones", "any")]) for i in (1, 2))
@@ -218,7 +221,7 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
         .groupBy("component_id").agg(F.min(F.struct("fp", "text_key")).alias("one"))
         .select(F.col("component_id").alias(k), F.col("one.text_key").alias(t))
     )
-    kept = join_sized(docs.withColumns({k: F.col(key), t: F.xxhash64(text)}), chosen, [k, t], BROADCAST_KEYS, "left_semi").select(*docs.columns)
+    kept = join_sized(docs.withColumns({k: F.col(key), t: F.xxhash64(text)}), chosen, [k, t], BROADCAST_ROWS, "left_semi").select(*docs.columns)
     return kept.dropDuplicates([key]) if _repeats(rows) else kept
 
 
@@ -240,11 +243,11 @@ def keep_one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id",
     gone = cut(gone.select(F.col("row.key").alias(k), F.col("row.text_key").alias(t)))
     several = cut(chosen.where("one.copies > 1").select(F.col("one.key").alias(k), F.col("one.text_key").alias(t)))
     named = docs.withColumns({k: F.col(key), t: F.xxhash64(text)})
-    kept = join_sized(named, gone, [k, t], BROADCAST_KEYS, "left_anti")
+    kept = join_sized(named, gone, [k, t], BROADCAST_ROWS, "left_anti")
     if several.isEmpty():
         return kept.select(*docs.columns)
-    single = join_sized(kept, several, [k, t], BROADCAST_KEYS, "left_anti")
-    repeated = join_sized(kept, several, [k, t], BROADCAST_KEYS, "left_semi").dropDuplicates([k, t])
+    single = join_sized(kept, several, [k, t], BROADCAST_ROWS, "left_anti")
+    repeated = join_sized(kept, several, [k, t], BROADCAST_ROWS, "left_semi").dropDuplicates([k, t])
     return single.union(repeated).select(*docs.columns)
 
 
