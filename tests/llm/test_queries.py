@@ -36,3 +36,40 @@ def test_pipeline(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == [c.split()[0] for c in brute.SCHEMA.split(", ")]
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """The digests of what is left are those of the plain pseudonyms' ids, and n_chars is true on the way."""
+    import base64
+    import hashlib
+    import random
+
+    import public_tokenizers
+    import tiktoken
+
+    rng = random.Random(12)
+    values = ["4111111111111111", "jo.doe@mail.example.com", "1984-02-29", "788 555 0874", "password=" + "ab" * 20, "3/4/1984", "nothing"]
+    rows = [(i, f"{brute.sentence(rng, 20)} {values[i % 7]} {brute.sentence(rng, 20)} é", "en", "s", 3, "v", i) for i in range(30)] + [(30, None, None, None, None, None, None)]
+    kind = "doc_id long, text string, lang string, source string, n_chars int, n_values string, _k long"
+    docs = spark.createDataFrame(rows, kind)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, rows[8][1])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for i, text, *_ in rows:
+        if text is not None and i != 8:
+            new = brute.pseudonymise(text, "corpusloom")[0]
+            ids = own.encode_ordinary(new)
+            want.append((i, len(ids), sha(" ".join(map(str, ids)).encode()), sha(new.encode())))
+    assert brute.ordered(corpus_pipeline.run(spark, str(tmp_path)).collect()) == brute.ordered(want)
+    out = corpus_pipeline.pseudonyms(spark, docs, "")
+    assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, str(tmp_path))
+        assert none.count() == 0
