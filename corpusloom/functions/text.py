@@ -65,3 +65,17 @@ def render(template: Column, values: dict[str, Column]) -> Column:
 
 def signed(c: Column) -> Column:
     return F.format_string("%+.4f", c)
+
+
+def fixed(c: Column, places: int = 2) -> Column:
+    """A number as text with a fixed number of places."""
+    return F.format_string(f"%.{places}f", c)
+
+
+def rounded(c: Column, places: int = 4) -> Column:
+    return F.round(c, places)
+
+
+def padded(c: Column, size: int) -> Column:
+    """Left-aligned in ``size`` characters; longer texts stay whole."""
+    return F.when(F.char_length(c) >= size, c).otherwise(F.rpad(c, size, " "))

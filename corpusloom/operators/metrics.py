@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
+from ..functions import text as tx
 
 
 def value_counts(df: DataFrame, column: str, nulls: bool = False) -> DataFrame:
@@ -76,6 +77,23 @@ def majority_predictions(train: DataFrame, test: DataFrame, label: str) -> DataF
     return test.crossJoin(F.broadcast(majority_class(train, label))).withColumnRenamed("majority", "predicted")
 
 
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """``df``, if it has a row; else an error that says what is missing."""
+    if df.isEmpty():
+        raise ValueError(f"no {what}")
+    return df
+
+
+def rounded(measured: DataFrame, places: int = 4) -> DataFrame:
+    """The measures as they are published; the counts stay."""
+    return measured.select(*[tx.rounded(F.col(c), places).alias(c) if t == "double" else F.col(c) for c, t in measured.dtypes])
+
+
+def report_lines(deltas: DataFrame) -> DataFrame:
+    """``metric, line``: name, baseline, model and signed difference as one line of a table."""
+    return deltas.select("metric", F.concat(tx.padded(F.col("metric"), 15), *[F.concat(F.lit(" "), tx.fixed(F.col(c), 4)) for c in ("baseline", "model")], F.lit(" "), tx.signed(F.col("delta"))).alias("line"))
+
+
 def require_labels(df: DataFrame, label: str) -> DataFrame:
     """``df``, if no label is NULL; else an error that says how many are."""
     n = df.where(F.col(label).isNull()).count()

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..sources import sinks
 from . import metrics
 
 
@@ -24,8 +25,9 @@ def pipeline(text: str, label: str, features: int = config.HYPERPARAMETERS["feat
 
 
 def train(df: DataFrame, text: str, label: str, **parameters) -> PipelineModel:
-    """Fit on rows whose label is known; an unknown label is an error."""
-    return pipeline(text, label, **parameters).fit(metrics.require_labels(df, label).withColumn(text, F.coalesce(text, F.lit(""))))
+    """Fit on rows whose label is known; an unknown label and an empty table are errors."""
+    rows = metrics.require_rows(metrics.require_labels(df, label), "rows to train on")
+    return pipeline(text, label, **parameters).fit(rows.withColumn(text, F.coalesce(text, F.lit(""))))
 
 
 def predict(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
@@ -39,6 +41,28 @@ def predict_one(spark: SparkSession, model: PipelineModel, text_column: str, tex
     return {v: k for k, v in config.LABEL_IDS.items()}[row["predicted"]], row["probability"]
 
 
+def predict_probabilities(spark: SparkSession, model: PipelineModel, text_column: str, text: str) -> tuple[str, dict[str, float]]:
+    """The predicted label of one text and the probability of every label."""
+    label, p = predict_one(spark, model, text_column, text)
+    return label, {name: p if i == 1 else 1 - p for name, i in config.LABEL_IDS.items()}
+
+
+def registry(model: PipelineModel, **counts: int) -> dict[str, float]:
+    """The parameters that a model was trained with, its size, and what else is to be kept beside it."""
+    stages = {type(s).__name__: s for s in model.stages}
+    last = model.stages[-1]
+    return {
+        "features": stages["HashingTF"].getNumFeatures(), "max_iter": last.getMaxIter(), "reg_param": last.getRegParam(),
+        "seed": config.SEED, "max_length": config.MAX_TOKENS, "parameters": parameter_count(model), **counts,
+    }
+
+
+def write_registry(spark: SparkSession, model: PipelineModel, path: str, **counts: int) -> None:
+    """The registry as JSON."""
+    kept = registry(model, **counts)
+    sinks.write_json(spark.createDataFrame([tuple(map(float, kept.values()))], ", ".join(f"{k} double" for k in kept)), path)
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -48,8 +72,9 @@ def load(path: str) -> PipelineModel:
 
 
 def parameter_count(model: PipelineModel) -> int:
+    """Weights and intercepts of the last stage, for any number of classes."""
     last = model.stages[-1]
-    return last.coefficients.size + 1
+    return last.coefficientMatrix.numRows * last.coefficientMatrix.numCols + last.interceptVector.size
 
 
 def evaluate(predictions: DataFrame, label: str) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .. import config
 from ..functions import text as tx
 
 #: Tokenizers by name: Column -> array of tokens.
@@ -32,3 +35,62 @@ def truncate(tokens: Column, size: int) -> Column:
 def pad(tokens: Column, size: Column | int, filler: str = "[PAD]") -> Column:
     size = F.lit(size) if isinstance(size, int) else size
     return F.concat(tokens, F.array_repeat(F.lit(filler), F.greatest(size - F.size(tokens), F.lit(0))))
+
+
+def key_terms(spark: SparkSession, terms: list[str] = config.KEY_TERMS, tokenizers: dict[str, Callable[[Column], Column]] = TOKENIZERS) -> DataFrame:
+    """``term, tokenizer, n_tokens, tokens``: how each tokenizer cuts up each term."""
+    rows = [F.struct(F.lit(n).alias("tokenizer"), F.size(f(F.col("term"))).cast("long").alias("n_tokens"), f(F.col("term")).alias("tokens")) for n, f in tokenizers.items()]
+    return spark.createDataFrame([(t,) for t in terms], "term string").select("term", F.explode(F.array(*rows)).alias("_t")).select("term", "_t.*")
+
+
+def load_tokenizer(path: str) -> Callable[[Column], Column]:
+    """The tokenizer of a local file (the JSON of the ``tokenizers`` library) behind the interface of TOKENIZERS: Column -> array of pieces.
+
+    Pieces carry no added begin and end; a NULL text has none.  Every task reads the
+    file, so it must lie where all executors find it.
+    """
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(path)
+        own.no_truncation()
+        own.no_padding()
+        return pd.Series([e.tokens for e in own.encode_batch(["" if t is None else t for t in texts], add_special_tokens=False)])
+
+    return pieces
+
+
+def pad_batches(df: DataFrame, tokens: str, size: int, filler: str = "[PAD]") -> DataFrame:
+    """Rows in batches of ``size`` with ``tokens`` padded to the longest of their batch, and ``real`` tokens counted.
+
+    Batches are made inside each task, in its order, the last of a task being smaller;
+    a NULL list counts as empty.
+    """
+    import pyarrow as pa
+
+    columns = [c for c in df.columns if c != "real"]
+
+    def run(batches):
+        held, rows = [], 0
+
+        def flush(part: pa.Table) -> pa.RecordBatch:
+            lists = [x or [] for x in part.column(tokens).to_pylist()]
+            longest = max(map(len, lists))
+            arrays = [pa.array([x + [filler] * (longest - len(x)) for x in lists], pa.list_(pa.string())) if c == tokens else part.column(c).combine_chunks() for c in columns]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([len(x) for x in lists], pa.int32())], [*columns, "real"])
+
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= size:
+                table = pa.Table.from_batches(held)
+                for at in range(0, rows - rows % size, size):
+                    yield flush(table.slice(at, size))
+                rest = table.slice(rows - rows % size)
+                held, rows = rest.to_batches(), rest.num_rows
+        if rows:
+            yield flush(pa.Table.from_batches(held))
+
+    schema = df.select(*columns).schema
+    return df.select(*columns).mapInArrow(run, T.StructType([*schema.fields, T.StructField("real", T.IntegerType())]))

@@ -15,7 +15,7 @@ from .. import config
 from ..functions import maps, vectors
 from ..functions import text as tx
 from ..operators import curate, metrics, model, split, synth, tokens
-from ..sources import sinks
+from ..sources import readers, sinks
 
 TERMS = ["the", "eau", "schen"]
 URGENT = ["idiot", "tion"]
@@ -208,7 +208,7 @@ def doc_lookup_join(spark, sf):
 
 @query("SELECT r_name, n_name, replace(replace('{tiempo} en {ubicacion}', '{ubicacion}', n_name), '{tiempo}', t) AS text FROM region CROSS JOIN nation CROSS JOIN (VALUES ('dos meses'), ('un año')) AS x(t)")
 def cross_product_templates(spark, sf):
-    places = _t(spark, sf, "region").select("r_name").crossJoin(F.broadcast(_t(spark, sf, "nation").select("n_name")))
+    places = _t(spark, sf, "region").select("r_name").crossJoin(_t(spark, sf, "nation").select("n_name"))
     df = places.select("*", F.explode(F.array(*[F.lit(x) for x in TIMES])).alias("t"))
     return df.select("r_name", "n_name", tx.render(F.lit("{tiempo} en {ubicacion}"), {"ubicacion": F.col("n_name"), "tiempo": F.col("t")}).alias("text"))
 
@@ -225,6 +225,70 @@ def synth_generate(spark, sf):
     return made.where(~F.contains("text", F.lit("{"))).groupBy("category").agg(F.count("*").alias("n"))
 
 
+@query("WITH t(category, template) AS (VALUES ('a', '{tiempo} en {ubicacion}'), ('a', 'de {ubicacion} a {ubicacion}'), ('b', '{ubicacion} desde hace {tiempo}')), "
+       "c AS (SELECT DISTINCT category, replace(replace(template, '{ubicacion}', n_name), '{tiempo}', w) AS text FROM t, nation, (VALUES ('dos meses'), ('un año')) AS z(w) WHERE n_regionkey < 2), "
+       "r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY md5('42|' || text), text) AS i FROM c) "
+       "SELECT text, category, CASE category WHEN 'a' THEN 'urgente' ELSE 'no_urgente' END AS label FROM r WHERE i <= 18")
+def synth_rows(spark, sf):
+    """The rendered sample itself, with the places of a table as one field's values (a handful: a parameter of the program)."""
+    places = [r[0] for r in _t(spark, sf, "nation").where("n_regionkey < 2").select("n_name").collect()]
+    return synth.generate(spark, TEMPLATES, {"ubicacion": places, "tiempo": TIMES}, {"a": "urgente", "b": "no_urgente"})
+
+
+# ---- sources and sinks: what is written comes back
+
+@query("SELECT c_custkey::bigint AS c_custkey, c_name, c_mktsegment FROM customer")
+def csv_round_trip(spark, sf):
+    """Written with other columns in another order beside it, twice, and read by schema."""
+    path = sinks.scratch(spark, "csv")
+    for _ in range(2):
+        sinks.write_csv(_t(spark, sf, "customer"), path, ["c_custkey", "c_name", "c_mktsegment"])
+    return readers.read_csv(spark, path, "c_custkey long, c_name string, c_mktsegment string", line_ends=False)
+
+
+@query("SELECT doc_id::bigint AS doc_id, lang, source FROM documents")
+def csv_by_key_round_trip(spark, sf):
+    """One folder for each language."""
+    path = sinks.scratch(spark, "csv-by-key")
+    sinks.write_csv(_t(spark, sf, "documents").select("doc_id", "source", "lang"), path, by="lang")
+    return readers.read_csv(spark, path, "doc_id long, source string, lang string", line_ends=False)
+
+
+@query("SELECT doc_id::varchar AS articleID, lang AS codigo, 'train' AS split_original FROM documents UNION ALL SELECT page_id::varchar, 'p', 'dev' FROM pages")
+def tsv_splits_round_trip(spark, sf):
+    """Tables without a header, one for each split."""
+    tables = {
+        "train": _t(spark, sf, "documents").select(F.col("doc_id").cast("string"), "lang"),
+        "dev": _t(spark, sf, "pages").select(F.col("page_id").cast("string"), F.lit("p")),
+    }
+    paths = {name: sinks.scratch(spark, name) for name in tables}
+    for name, rows in tables.items():
+        rows.write.option("sep", "\t").csv(paths[name])
+    return readers.read_splits(spark, paths, readers.read_tsv)
+
+
+@query("SELECT r_name || chr(10) AS text, count(*) OVER () AS n_files FROM region")
+def documents_round_trip(spark, sf):
+    """Text files, one for each region, found below a folder and read whole."""
+    path = sinks.scratch(spark, "texts")
+    _t(spark, sf, "region").select(F.col("r_name").alias("value"), F.col("r_name").alias("k")).write.partitionBy("k").text(path)
+    files = readers.list_files(spark, path, ".txt").agg(F.count("*").alias("n_files"))
+    return readers.read_documents(spark, path).select("text").crossJoin(F.broadcast(files))  # one row
+
+
+@query(_metrics_sql(f"{MATRIX} ({TRUTHS})"))
+def metrics_json_round_trip(spark, sf):
+    path = sinks.scratch(spark, "metrics")
+    measured = metrics_binary(spark, sf)
+    sinks.write_json(measured, path)
+    return readers.read_json(spark, path, measured.schema)
+
+
+@query("SELECT term, tokenizer, 1::bigint AS n_tokens, [term] AS tokens FROM (VALUES " + ", ".join(f"('{t}')" for t in config.KEY_TERMS) + ") AS t(term), (VALUES ('words'), ('pretokens')) AS k(tokenizer)")
+def key_term_pieces(spark, sf):
+    return tokens.key_terms(spark)
+
+
 # ---- aggregates
 
 @query("SELECT count(*) AS n FROM documents")
@@ -303,6 +367,19 @@ def metric_delta(spark, sf):
     return metrics.delta(base, metrics.long_form(metrics_binary(spark, sf), "model"))
 
 
+@query("SELECT metric, rpad(metric, 15, ' ') || ' ' || printf('%.4f', baseline) || ' ' || printf('%.4f', model) || ' ' || printf('%+.4f', delta) AS line FROM ("
+       "SELECT metric, baseline, model, model - baseline AS delta FROM "
+       f"(SELECT unnest(['accuracy', 'f1_macro', 'recall']) AS metric, unnest([accuracy, f1_macro, recall]) AS baseline FROM ({_metrics_sql(f'{MATRIX} ({BASELINE})')})) FULL JOIN "
+       f"(SELECT unnest(['accuracy', 'f1_macro', 'recall']) AS metric, unnest([accuracy, f1_macro, recall]) AS model FROM ({_metrics_sql(f'{MATRIX} ({TRUTHS})')})) USING (metric))")
+def metric_report_lines(spark, sf):
+    return metrics.report_lines(metric_delta(spark, sf))
+
+
+@query(f"SELECT tn, fp, fn, tp, round(accuracy, 4) AS accuracy, round(f1_macro, 4) AS f1_macro, round(recall, 4) AS recall FROM ({_metrics_sql(f'{MATRIX} ({TRUTHS})')})")
+def metrics_rounded(spark, sf):
+    return metrics.rounded(metrics_binary(spark, sf))
+
+
 # ---- windows, order, samples
 
 @query(SPLIT_SQL)
@@ -375,9 +452,11 @@ def embedding_argmax(spark, sf):
     return _t(spark, sf, "embeddings").select("vec_id", vectors.argmax(F.col("embedding")).alias("class"))
 
 
-@query()
+@query("SELECT vec_id, list_transform(e, lambda x: round(x / list_sum(e), 9)) AS probabilities FROM "
+       "(SELECT vec_id, list_transform(embedding, lambda x: exp((x - list_max(embedding))::double)) AS e FROM embeddings)")
 def embedding_softmax(spark, sf):
-    return _t(spark, sf, "embeddings").select("vec_id", vectors.softmax(F.col("embedding")).alias("probabilities"))
+    p = vectors.softmax(F.col("embedding"))
+    return _t(spark, sf, "embeddings").select("vec_id", F.transform(p, lambda x: F.round(x, 9)).alias("probabilities"))
 
 
 # ---- tokens
@@ -433,14 +512,19 @@ def ml_metrics(spark, sf):
     return model.evaluate(model.predict(fitted, test, "text"), "toxic")
 
 
-@query()
+@query(f"SELECT count(*) AS n, count_if(toxic = 1)::bigint AS n_toxic, count(*) AS n_probabilities FROM labels l JOIN ({SPLIT_SQL}) s USING (doc_id) WHERE split = 'test'")
+def ml_test_rows(spark, sf):
+    """What is known of the predictions on any platform: a row for each test row, its label beside it, and a probability."""
+    fitted, test = _fitted(spark, sf)
+    rows = model.predict(fitted, test, "text").where("predicted in (0, 1)")
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count_if(F.col("probability").between(0, 1)).alias("n_probabilities"))
+
+
+@query(f"SELECT count(*) AS n, 0::bigint AS n_different FROM labels l JOIN ({SPLIT_SQL}) s USING (doc_id) WHERE split = 'test'")
 def ml_reload_equivalence(spark, sf):
     """Rows for which a model saved and loaded again predicts otherwise: none."""
-    import tempfile
-    import uuid
-
     fitted, test = _fitted(spark, sf)
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/model-{uuid.uuid4().hex}"
+    path = sinks.scratch(spark, "model")
     model.save(fitted, path)
     a = model.predict(fitted, test, "text").select("doc_id", F.col("predicted").alias("before"))
     b = model.predict(model.load(path), test, "text").select("doc_id", F.col("predicted").alias("after"))

@@ -13,9 +13,13 @@ METRICS = ("accuracy double, f1_macro double, recall_urgente double, matriz_conf
            "tipo_baseline string, clase_predicha_siempre string")
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Header, quoted commas and line ends, doubled quotes; blank fields are NULL."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, line_ends: bool = True) -> DataFrame:
+    """Header, quoted commas and line ends, doubled quotes; blank fields are NULL.
+
+    A file whose fields may hold line ends is read by one task; where they can't
+    (``line_ends=False``) large files are read in parts.
+    """
+    return spark.read.schema(schema).option("header", True).option("multiLine", line_ends).option("escape", '"').csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType = CODES) -> DataFrame:
@@ -54,8 +58,15 @@ def read_splits(spark: SparkSession, paths: dict[str, str], reader) -> DataFrame
     return out
 
 
-def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType, whole: bool = True) -> DataFrame:
+    """One document a file, or with ``whole=False`` one a line, which large files need to be read in parts."""
+    return spark.read.schema(schema).option("multiLine", whole).json(path)
+
+
+def literal_cases(spark: SparkSession, cases: list[dict[str, str]]) -> DataFrame:
+    """Cases written out in a program as a relation: a column for each name that occurs, NULL where a case lacks it."""
+    names = list(dict.fromkeys(n for c in cases for n in c))
+    return literal(spark, [tuple(c.get(n) for n in names) for c in cases], ", ".join(f"`{n}` string" for n in names))
 
 
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

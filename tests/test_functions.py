@@ -131,6 +131,65 @@ def test_train_evaluate_save(spark, tmp_path):
     assert label in config.LABEL_IDS and 0 <= p <= 1 and model.parameter_count(fitted) == 4097
 
 
+def test_split_of_nulls_and_repeats(spark):
+    """NULL strata and keys, repeated rows, an empty table, and strata of one row: sizes by stratum are those of the rule."""
+    rows = [(i % 40, [None, "a", "b"][i % 3]) for i in range(300)] + [(None, "a"), (None, None), (1, "only")]
+    df = spark.createDataFrame(rows, "id int, s string")
+    got = split.stratified_split(df, "s", "id")
+    assert got.columns == ["id", "s", "split"] and got.count() == len(rows)
+    for s in {r[1] for r in rows}:
+        n = sum(r[1] == s for r in rows)
+        of = [r.split for r in got.where(F.col("s").eqNullSafe(F.lit(s))).collect()]
+        assert (of.count("train"), of.count("val"), len(of)) == (int(n * 0.7), int(n * 0.15), n)
+    assert split.stratified_split(df.limit(0), "s", "id").count() == 0
+
+
+def test_presentation(spark):
+    assert one(spark, 1.6049, tx.fixed, "double") == "1.60"
+    assert one(spark, 0.57692307, tx.rounded, "double") == 0.5769
+    assert one(spark, "melanoma", lambda c: tx.padded(c, 15)) == "melanoma       " and one(spark, "x" * 20, lambda c: tx.padded(c, 15)) == "x" * 20
+
+
+def test_guards_and_registry(spark, tmp_path):
+    from corpusloom.operators import model
+
+    rows = spark.createDataFrame([("good day", 0.0), ("bad night", 1.0)] * 4, "text string, label double")
+    with pytest.raises(ValueError, match="no rows to train on"):
+        model.train(rows.limit(0), "text", "label")
+    fitted = model.train(rows, "text", "label")
+    label, p = model.predict_probabilities(spark, fitted, "text", "bad night")
+    assert label == "urgente" and set(p) == set(config.LABEL_IDS) and sum(p.values()) == pytest.approx(1) and p["urgente"] > 0.5
+    model.write_registry(spark, fitted, str(tmp_path / "r"), train_rows=8)
+    kept = spark.read.json(str(tmp_path / "r")).first().asDict()
+    assert kept["train_rows"] == 8 and kept["max_iter"] == config.HYPERPARAMETERS["max_iter"] and kept["parameters"] == 4097 and kept["seed"] == 42
+
+
+def test_batches_are_padded_to_their_longest(spark):
+    rows = [(i, ["t"] * (i % 5)) for i in range(10)] + [(10, None)]
+    got = tokens.pad_batches(spark.createDataFrame(rows, "i int, t array<string>").coalesce(1), "t", 4).orderBy("i").collect()
+    assert [r.real for r in got] == [len(t or []) for _, t in rows]
+    for at in (0, 4, 8):
+        part = got[at : at + 4]
+        assert {len(r.t) for r in part} == {max(r.real for r in part)}
+        assert all(r.t == ["t"] * r.real + ["[PAD]"] * (len(r.t) - r.real) for r in part)
+
+
+def test_tokenizer_of_a_file(spark, tmp_path):
+    tk = pytest.importorskip("tokenizers")
+    own = tk.Tokenizer(tk.models.WordPiece({"[UNK]": 0, "mela": 1, "##noma": 2, "nevus": 3}, unk_token="[UNK]"))
+    own.pre_tokenizer = tk.pre_tokenizers.Whitespace()
+    own.save(str(tmp_path / "t.json"))
+    f = tokens.load_tokenizer(str(tmp_path / "t.json"))
+    df = spark.createDataFrame([("melanoma nevus",), ("x",), (None,)], "text string")
+    assert [r[0] for r in df.select(f(F.col("text"))).collect()] == [["mela", "##noma", "nevus"], ["[UNK]"], []]
+    assert {(r.term, r.n_tokens) for r in tokens.key_terms(spark, ["melanoma", "nevus"], {"file": f}).collect()} == {("melanoma", 2), ("nevus", 1)}
+
+
+def test_literal_cases(spark):
+    df = readers.literal_cases(spark, [{"texto": "a", "categoria": "mel"}, {"texto": "b", "fuente": "x"}])
+    assert df.columns == ["texto", "categoria", "fuente"] and sorted(map(str, df.collect())) == sorted(["Row(texto='a', categoria='mel', fuente=None)", "Row(texto='b', categoria=None, fuente='x')"])
+
+
 def test_stream(spark, tmp_path):
     from corpusloom.streaming.curation import keyword_stream
 
