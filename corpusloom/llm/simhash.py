@@ -135,7 +135,9 @@ def linked_classes(fps: DataFrame, distance: int = 4, blocks: int | None = None,
         "t", "node", F.expr("shiftrightunsigned(rank, shift)").alias("g"), "rank", "fp"
     )
     node, group = ["t", "node"], ["t", "node", "g"]
-    ends = cut(placed.groupBy(*node).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("n > 1").drop("n"))
+    # A node of two that aren't linked, as most are where patterns meet by chance, is done with.
+    ends = placed.groupBy(*node).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    ends = cut(ends.where(f"n > 2 or n = 2 and bit_count(low ^ high) <= {distance}").drop("n"))
     members = cut(placed.join(ends, node))
     # First links, at most four a member: the ends of its node, the least of its group, the next in Gray order.
     in_order = Window.partitionBy(*group).orderBy("rank", "fp")
