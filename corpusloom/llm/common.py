@@ -22,6 +22,8 @@ NON_WORD_RUN_ANY_CASE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 #: The smaller side of a join is broadcast only up to this size of its values written as text.
 BROADCAST_BYTES = 32 << 20
+#: Row groups of written tables: what a task holds of a table that it writes.
+BLOCK_BYTES = 16 << 20
 #: Tasks that share a key of the larger side where the smaller one isn't broadcast.
 SALTS = 8
 
@@ -47,7 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
     from; those double with every round of an iteration.
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

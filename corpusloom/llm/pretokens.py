@@ -1,6 +1,6 @@
 """A global word shuffle: work done once per distinct pre-token and joined back to texts.
 
-Texts are taken in chunks of some 16 MB.  Inside a chunk each distinct pre-token gets a
+Texts are taken in chunks of some 8 MB.  Inside a chunk each distinct pre-token gets a
 slot, the most frequent the lowest.  The chunk's pre-tokens go to the shuffle once
 each, by hash bucket, however often they occur.  A bucket holds all occurrences of its
 pre-tokens in the corpus and does the work once for each; the answers return to the
@@ -39,7 +39,9 @@ from .common import cut, ship
 
 ship(__name__)
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+#: Rows turned into Python's strings at once.
+BATCH_ROWS = 500
 #: So many words of a chunk are numbered by frequency.
 FREQUENT = 1 << 14
 LEVEL = 3
@@ -94,7 +96,7 @@ def _chunks(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[int
     keys: list[pa.Array] = []
     texts: list[str] = []
     size, name = 0, xxhash.xxh64()
-    for batch in batches:
+    for batch in (big.slice(at, BATCH_ROWS) for big in batches for at in range(0, big.num_rows, BATCH_ROWS)):
         first = 0
         for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
             text = text or ""
