@@ -1,4 +1,11 @@
-"""The queries opN_<name> and ``pipeline``: thin digests of the operators' results."""
+"""The queries opN_<name> and ``pipeline``: thin digests of the operators' results.
+
+Every query takes its whole tables.  Rows with NULLs in any column, empty and very long
+texts, repeated rows and keys, further columns and empty tables give what the operator's
+docstring says; none drops a row but op3, which has a row for each pair.  op4, op5, op6,
+op7, op10 and pipeline run jobs when they are called, op2 and op8 only where their input
+comes out of a shuffle; the others are declared only.
+"""
 
 from __future__ import annotations
 
