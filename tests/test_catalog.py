@@ -18,3 +18,17 @@ def test_query(spark, sf_dir, duck, name):
 def test_reload_changes_nothing(spark, sf_dir):
     row = QUERIES["ml_reload_equivalence"](spark, sf_dir).first()
     assert row.n > 0 and row.n_different == 0
+
+
+def test_entry_without_training_data(monkeypatch):
+    """Whatever part of the training-data queries can't be imported, the others are there."""
+    import sys
+
+    import __spark_entry__ as entry
+
+    for missing in ("corpus_pipeline", "corpusloom.llm", "public_tokenizers"):
+        with monkeypatch.context() as m:
+            for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("corpusloom.llm")]:
+                m.delitem(sys.modules, name)
+            m.setitem(sys.modules, missing, None)
+            assert set(entry.queries()) == set(QUERIES) and set(entry.oracle_sql()) == set(SQL), missing
