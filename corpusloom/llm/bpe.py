@@ -52,11 +52,13 @@ def splitter_for(pattern: str):
     return lambda: finder(pattern)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id", decoded: str | None = None) -> DataFrame:
     """``key, ids array<int>`` for every row of ``docs``; NULL and empty texts have no ids.
 
     Each distinct match of ``pattern`` is encoded once in the whole corpus and its ids
-    are put back at all its positions.  Special tokens' strings are ordinary text.
+    are put back at all its positions.  Special tokens' strings are ordinary text.  With
+    ``decoded`` a column of that name has the bytes of the ids, as decode() gives them,
+    made by the same task without another one in Python behind it.
     """
     def worker():
         import tiktoken
@@ -65,6 +67,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
         return lambda words: [own._encode_single_piece(w.encode("utf-8", "surrogatepass")) for w in words]
 
     kind = docs.schema[key].dataType
+    held: list[pa.Array] = []
 
     def assemble(keys, sizes, ends, slots, answers):
         starts, lengths, flat = answers
@@ -72,44 +75,67 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
         total = np.concatenate([[0], np.cumsum(each)])
         tokens = flat[np.repeat(starts[slots] - total[:-1], each) + np.arange(total[-1])]
         offsets = np.concatenate([[0], total[ends]]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()))], [key, "ids"])
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens, pa.int32()))
+        if decoded is None:
+            return pa.RecordBatch.from_arrays([keys, ids], [key, "ids"])
+        if not held:
+            held.append(token_bytes(ranks_path))
+        parts = [joined_bytes(ids.slice(a, b - a), held[0]) for a, b in groups_of(ids)]
+        return pa.RecordBatch.from_arrays([keys, ids, pa.concat_arrays(parts)], [key, "ids", decoded])
 
-    return shuffle_words(docs, key, text, splitter_for(pattern), worker, assemble, f"`{key}` {kind.simpleString()}, ids array<int>")
+    more = f", `{decoded}` binary" if decoded else ""
+    return shuffle_words(docs, key, text, splitter_for(pattern), worker, assemble, f"`{key}` {kind.simpleString()}, ids array<int>{more}")
 
 
 #: Texts are decoded in groups of so many ids, a longer text by itself.
 GROUP_IDS = 1 << 20
 
 
+def token_bytes(ranks_path: str) -> pa.Array:
+    """The table of token bytes, in order of their ids."""
+    known = {i: b for b, i in read_ranks(ranks_path).items()}
+    return pa.array([known.get(i) for i in range(max(known) + 1)], pa.large_binary())
+
+
+def groups_of(lists: pa.ListArray) -> list[tuple[int, int]]:
+    """Stretches of lists with GROUP_IDS ids together, or one list with more."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))
+    out, first = [], 0
+    while first < len(lists):
+        done = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, done + GROUP_IDS, side="right")))
+        out.append((first, last))
+        first = last
+    return out
+
+
+def joined_bytes(lists: pa.ListArray, table: pa.Array) -> pa.Array:
+    """For each list of ids the bytes of its tokens: ids joined with the table, which puts the bytes of all side by side."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))
+    found = table.take(lists.flatten())
+    if found.null_count:
+        raise ValueError("an id without a token")
+    places = np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(found) + 1, offset=8 * found.offset)
+    limits = places[np.concatenate([[0], ends])].astype(np.int64)
+    whole = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(limits.tobytes()), found.buffers()[2]])
+    return pc.if_else(pc.is_valid(lists), whole.cast(pa.binary()), pa.scalar(None, pa.binary()))
+
+
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes of its ids: the ids are joined with the table of token bytes, which every task holds.
 
-    The join is Arrow's take() on the column of token bytes in order of their ids, which
-    puts the bytes of a whole group of texts side by side.  A NULL list stays NULL, an
-    empty one has no bytes; an id that isn't in the table ends the job.
+    The join is Arrow's take() on the column of token bytes in order of their ids.  A NULL
+    list stays NULL, an empty one has no bytes; an id that isn't in the table ends the job.
     """
     columns = [c for c in df.columns if c != out]
 
     def run(batches):
-        known = {i: b for b, i in read_ranks(ranks_path).items()}
-        table = pa.array([known.get(i) for i in range(max(known) + 1)], pa.large_binary())
+        table = token_bytes(ranks_path)
         for batch in batches:
             lists = batch.column(columns.index(ids))
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64))
-            first = 0
-            while first < batch.num_rows:
-                done = int(ends[first - 1]) if first else 0
-                last = max(first + 1, int(np.searchsorted(ends, done + GROUP_IDS, side="right")))
-                part = batch.slice(first, last - first)
-                found = table.take(lists.slice(first, last - first).flatten())
-                if found.null_count:
-                    raise ValueError("an id without a token")
-                places = np.frombuffer(found.buffers()[1], dtype=np.int64, count=len(found) + 1, offset=8 * found.offset)
-                limits = places[np.concatenate([[0], ends[first:last] - done])]
-                whole = pa.Array.from_buffers(pa.large_binary(), last - first, [None, pa.py_buffer(limits.astype(np.int64).tobytes()), found.buffers()[2]])
-                data = pc.if_else(pc.is_valid(part.column(columns.index(ids))), whole.cast(pa.binary()), pa.scalar(None, pa.binary()))
-                yield pa.RecordBatch.from_arrays([*part.columns, data], [*columns, out])
-                first = last
+            for a, b in groups_of(lists):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*part.columns, joined_bytes(lists.slice(a, b - a), table)], [*columns, out])
 
     from pyspark.sql import types as T
 
@@ -117,8 +143,8 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256`` of encode() and decode()."""
-    both = decode(encode(docs, ranks_path, pattern, text, key), ranks_path)
+    """``key, n_tokens, ids_sha256, decoded_sha256`` of encode() with the decoded bytes of its ids."""
+    both = encode(docs, ranks_path, pattern, text, key, decoded="decoded")
     return both.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),
