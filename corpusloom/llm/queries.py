@@ -3,7 +3,7 @@
 Every query takes its whole tables.  Rows with NULLs in any column, empty and very long
 texts, repeated rows and keys, further columns and empty tables give what the operator's
 docstring says; none drops a row but op3, which has a row for each pair.  op4, op5, op6,
-op7, op10 and pipeline run jobs when they are called, op2 and op8 only where their input
+op7, op10, op11 and pipeline run jobs when they are called, op2 and op8 only where their input
 comes out of a shuffle; the others are declared only.
 """
 
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, crf, decontam, html_text, pii, quality, simhash, tokencount, warc
+from . import bpe, chat, crf, decontam, html_text, pii, quality, simhash, tokencount, warc, whitening
 from .common import table
 from .sql import ORACLES
 
@@ -65,6 +65,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    # The whole number outgrows 64 bits with some 10 ** 7 distinct vectors and is NULL then; the operator's decimal goes on.
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
