@@ -76,4 +76,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-ORACLES: dict[str, str] = {"op3_preference_format": OP3, "op4_winnowing": OP4, "op6_warc": OP6, "op7_quality_rules": _quality()}
+_WINDOW12 = 35
+OP12 = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, i, array_to_string(w[i : i + {_WINDOW12 - 1}], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - {_WINDOW12 - 2})) AS i FROM d WHERE len(w) >= {_WINDOW12})),
+t AS (SELECT s FROM g GROUP BY s HAVING count(*) > 1),
+x AS (SELECT DISTINCT r, unnest(range(i, i + {_WINDOW12})) AS p FROM g JOIN t USING (s)),
+k AS (SELECT d.r, count(x.p) AS n, string_agg(d.word, ' ' ORDER BY d.p) FILTER (x.p IS NULL) AS kept
+      FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) d LEFT JOIN x ON x.r = d.r AND x.p = d.p GROUP BY d.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op3_preference_format": OP3, "op4_winnowing": OP4, "op6_warc": OP6, "op7_quality_rules": _quality(), "op12_substrings": OP12}
