@@ -3,7 +3,7 @@
 Every query takes its whole tables.  Rows with NULLs in any column, empty and very long
 texts, repeated rows and keys, further columns and empty tables give what the operator's
 docstring says; none drops a row but op3, which has a row for each pair.  op4, op5, op6,
-op7, op10, op11, op12 and pipeline run jobs when they are called, op2 and op8 only where their input
+op7, op10, op11, op12, op13 and pipeline run jobs when they are called, op2 and op8 only where their input
 comes out of a shuffle; the others are declared only.
 """
 
@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, crf, decontam, html_text, pii, quality, simhash, substrings, tokencount, warc, whitening
+from . import bpe, chat, crf, decontam, html_text, phrases, pii, quality, simhash, substrings, tokencount, warc, whitening
 from .common import table
 from .sql import ORACLES
 
@@ -77,6 +77,10 @@ def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 

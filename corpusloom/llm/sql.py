@@ -87,4 +87,19 @@ k AS (SELECT d.r, count(x.p) AS n, string_agg(d.word, ' ' ORDER BY d.p) FILTER (
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
 """
 
-ORACLES: dict[str, str] = {"op3_preference_format": OP3, "op4_winnowing": OP4, "op6_warc": OP6, "op7_quality_rules": _quality(), "op12_substrings": OP12}
+OP13 = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, range(1, 4) AS s(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 10),
+k AS (SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 : len(w)], ' ') AS y FROM (SELECT *, unnest(range(1, len(w))) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, a, min({'score': ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT, 'k': k, 'l': l.f, 'r': r.f}) AS best
+      FROM k JOIN f l ON l.lang = k.lang AND l.phrase = x JOIN f r ON r.lang = k.lang AND r.phrase = y GROUP BY k.lang, k.phrase, a),
+v AS (SELECT lang, phrase, max(a) AS cover FROM (SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS phrase FROM c WHERE len(w) = 3) GROUP BY lang, phrase),
+o AS (SELECT s.lang, s.phrase, a, best.l AS l, best.r AS r, best.score AS score FROM s LEFT JOIN v ON v.lang = s.lang AND v.phrase = s.phrase WHERE cover IS NULL OR 100 * cover < 50 * a)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang)) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op3_preference_format": OP3, "op4_winnowing": OP4, "op6_warc": OP6, "op7_quality_rules": _quality(), "op12_substrings": OP12, "op13_collocations": OP13}

@@ -14,7 +14,7 @@ def test_sql(spark, sf_dir, duck, name):
 
 
 def test_all_are_there():
-    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 13)} | {"pipeline"}
+    assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 def test_pipeline(spark, tmp_path):
