@@ -35,3 +35,8 @@ TRAIN_SHARE, VAL_SHARE = 0.7, 0.15
 MAX_TOKENS = 128
 GOALS = {"recall": 0.85, "f1_macro": 0.75}
 HYPERPARAMETERS = {"features": 1 << 12, "max_iter": 20, "reg_param": 0.01, "max_length": MAX_TOKENS, "seed": SEED}
+# Rank, alpha, dropout, rate, epochs, batch and length of the adapter; the size of the base and the rows scored at once are this library's own.
+ADAPTER = {
+    "rank": 8, "alpha": 16, "dropout": 0.05, "learning_rate": 2e-4, "epochs": 15, "batch_size": 8, "max_length": MAX_TOKENS,
+    "features": 1 << 12, "hidden": 32, "score_rows": 8,
+}

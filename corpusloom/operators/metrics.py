@@ -19,12 +19,12 @@ def majority_class(df: DataFrame, label: str) -> DataFrame:
     return value_counts(df, label).orderBy(F.desc("n"), label).limit(1).select(F.col(label).alias("majority"))
 
 
-def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """One row: tn, fp, fn, tp for the labels 0 and 1."""
+def confusion(df: DataFrame, truth: str, predicted: str, *more: Column) -> DataFrame:
+    """One row: tn, fp, fn, tp for the labels 0 and 1, and further aggregates."""
     t, p = F.col(truth), F.col(predicted)
     return df.agg(
         F.count_if((t == 0) & (p == 0)).alias("tn"), F.count_if((t == 0) & (p == 1)).alias("fp"),
-        F.count_if((t == 1) & (p == 0)).alias("fn"), F.count_if((t == 1) & (p == 1)).alias("tp"),
+        F.count_if((t == 1) & (p == 0)).alias("fn"), F.count_if((t == 1) & (p == 1)).alias("tp"), *more,
     )
 
 
@@ -35,7 +35,8 @@ def _over(top: Column, bottom: Column) -> Column:
 def metrics(matrix: DataFrame) -> DataFrame:
     """accuracy, f1_macro and recall of label 1 beside the counts.
 
-    Macro F1 is the plain mean over the labels that occur as truth or prediction.
+    Macro F1 is the plain mean over the labels that occur as truth or prediction.  Further
+    columns stay.
     """
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     f0 = F.when(2 * tn + fp + fn > 0, (2 * tn) / (2 * tn + fp + fn))
@@ -43,7 +44,8 @@ def metrics(matrix: DataFrame) -> DataFrame:
     present = f0.isNotNull().cast("int") + f1.isNotNull().cast("int")
     mean = F.when(present == 0, F.lit(0.0)).otherwise((F.coalesce(f0, F.lit(0.0)) + F.coalesce(f1, F.lit(0.0))) / present)
     return matrix.select(
-        "tn", "fp", "fn", "tp", _over(tn + tp, tn + fp + fn + tp).alias("accuracy"), mean.alias("f1_macro"), _over(tp, tp + fn).alias("recall")
+        "tn", "fp", "fn", "tp", _over(tn + tp, tn + fp + fn + tp).alias("accuracy"), mean.alias("f1_macro"), _over(tp, tp + fn).alias("recall"),
+        *[c for c in matrix.columns if c not in ("tn", "fp", "fn", "tp")],
     )
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import config
+from ..functions import vectors as vectors_of
 from ..sources import sinks
 from . import metrics
 
@@ -36,6 +39,32 @@ def predict(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
     return out.select(*df.columns, F.col("_prediction").cast("int").alias("predicted"), F.get(vector_to_array("_probability"), F.lit(1)).alias("probability"))
 
 
+def predict_in_batches(model: PipelineModel, df: DataFrame, text: str, rows: int = config.ADAPTER["score_rows"]) -> DataFrame:
+    """predict(), with the classifier applied to ``rows`` texts at once: a matrix of features in, the probabilities of all labels out.
+
+    The features stay in the JVM; each Python worker takes up the classifier's weights once.
+    """
+    features, last = model.stages[:-1], model.stages[-1]
+    vectors = df.withColumn(text, F.coalesce(text, F.lit("")))
+    for stage in features:
+        vectors = stage.transform(vectors)
+    weights, intercepts, name = last.coefficientMatrix.toArray(), last.interceptVector.toArray(), last.getFeaturesCol()
+
+    def load():
+        def score(x):
+            margins = x @ weights.T + intercepts
+            if margins.shape[1] == 1:  # two labels have one row of weights
+                margins = np.concatenate([np.zeros_like(margins), margins], axis=1)
+            e = np.exp(margins - margins.max(axis=1, keepdims=True))
+            return e / e.sum(axis=1, keepdims=True)
+
+        return score
+
+    score = predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=rows, input_tensor_shapes=[[weights.shape[1]]])
+    out = vectors.withColumn("_scores", score(vector_to_array(name)))
+    return out.select(*df.columns, vectors_of.argmax(F.col("_scores")).cast("int").alias("predicted"), F.get("_scores", F.lit(1)).alias("probability"))
+
+
 def predict_one(spark: SparkSession, model: PipelineModel, text_column: str, text: str) -> tuple[str, float]:
     row = predict(model, spark.createDataFrame([(text,)], f"{text_column} string"), text_column).first()
     return {v: k for k, v in config.LABEL_IDS.items()}[row["predicted"]], row["probability"]

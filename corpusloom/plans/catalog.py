@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import maps, vectors
 from ..functions import text as tx
-from ..operators import curate, metrics, model, split, synth, tokens
+from ..operators import adapter, curate, metrics, model, split, synth, tokens
 from ..sources import readers, sinks
 
 TERMS = ["the", "eau", "schen"]
@@ -531,6 +531,65 @@ def ml_reload_equivalence(spark, sf):
     return a.join(b, "doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("before") != F.col("after")).alias("n_different"))
 
 
+@query(f"SELECT count(*) AS n, 0::bigint AS n_different FROM labels l JOIN ({SPLIT_SQL}) s USING (doc_id) WHERE split = 'test'")
+def ml_batched_equivalence(spark, sf):
+    """Rows for which scoring in batches of 8 gives another label or probability than the pipeline: none."""
+    fitted, test = _fitted(spark, sf)
+    a = model.predict(fitted, test, "text").select("doc_id", "predicted", "probability")
+    b = model.predict_in_batches(fitted, test, "text").select("doc_id", F.col("predicted").alias("p2"), F.col("probability").alias("q2"))
+    other = (F.col("predicted") != F.col("p2")) | (F.abs(F.col("probability") - F.col("q2")) > 1e-9)
+    return a.join(b, "doc_id").agg(F.count("*").alias("n"), F.count_if(other).alias("n_different"))
+
+
+# ---- the adapter on a frozen base; its scores differ by platform, the rows that they are of don't
+
+EPOCHS, BATCH, RATE = 3, 128, 5e-3
+HELD = f"SELECT * FROM labels l JOIN ({SPLIT_SQL}) s USING (doc_id) WHERE split ="
+
+
+def _adapted(spark: SparkSession, sf: str):
+    """(base, estimator, labelled rows): the base of all documents' texts, and the labelled rows with their split."""
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    base = adapter.fit_base(docs, "text")
+    rows = _labelled_split(spark, sf).join(docs, "doc_id").withColumn("held", F.col("split") == "val")
+    return base, adapter.AdapterClassifier(base=base, labelCol="toxic", validationIndicatorCol="held", maxIter=EPOCHS, batchSize=BATCH, stepSize=RATE), rows
+
+
+@query()
+def adapter_epochs(spark, sf):
+    """Loss and metrics on the validation rows after each epoch, and before the first."""
+    _, estimator, rows = _adapted(spark, sf)
+    return estimator.fit(rows.where("split <> 'test'")).history_frame(spark)
+
+
+@query(f"SELECT epoch::bigint AS epoch, count(*) AS rows, 0::bigint AS n_different FROM ({HELD} 'val'), range(0, {EPOCHS + 1}) AS e(epoch) GROUP BY epoch")
+def adapter_seed_equivalence(spark, sf):
+    """By epoch the measures that a second fit with the same seed, on rows in other partitions, gives otherwise: none."""
+    _, estimator, rows = _adapted(spark, sf)
+    known = rows.where("split <> 'test'")
+    a, b = (estimator.fit(df).history_frame(spark) for df in (known, known.repartition(3, "quality")))
+    names = ["rows", "loss", "accuracy", "f1_macro", "recall"]
+    again = b.select("epoch", *[F.col(c).alias(f"_{c}") for c in names])
+    differ = sum(((F.col(c) != F.col(f"_{c}")).cast("long") for c in names), F.lit(0).cast("long"))
+    return a.join(again, "epoch").select("epoch", "rows", differ.alias("n_different"))
+
+
+@query(f"SELECT count(*) AS n, count_if(toxic = 1)::bigint AS n_toxic, 0::bigint AS n_different, "
+       f"({config.ADAPTER['rank']} * ({config.ADAPTER['features']} + {config.ADAPTER['hidden']}) + 2 * {config.ADAPTER['hidden']} + 2)::bigint AS n_trained FROM ({HELD} 'test')")
+def adapter_reload_equivalence(spark, sf):
+    """Test rows for which the adapter, stored apart from its base and put onto it again, scores otherwise: none."""
+    base, estimator, rows = _adapted(spark, sf)
+    fitted = estimator.fit(rows.where("split <> 'test'"))
+    paths = [sinks.scratch(spark, name) for name in ("base", "adapter")]
+    base.save(spark, paths[0])
+    fitted.write().save(paths[1])
+    again = adapter.AdapterModel.load(paths[1]).attach(adapter.Base.load(spark, paths[0]))
+    test = rows.where("split = 'test'").select("doc_id", "toxic", "text")
+    both = fitted.transform(test).join(again.transform(test).select("doc_id", F.col("predicted").alias("p2"), F.col("probability").alias("q2")), "doc_id")
+    other = (F.col("predicted") != F.col("p2")) | (F.col("probability") != F.col("q2"))
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count_if(other).alias("n_different"), F.lit(again.trained_size).cast("long").alias("n_trained"))
+
+
 # ---- the whole keyword flow in one query, and the flagship
 
 @query(f"SELECT label, count(*) AS n, sum(length(text))::bigint AS chars FROM (SELECT {CLEAN} AS text, CASE WHEN {ANY_URGENT} THEN 'urgente' ELSE 'revisar_manual' END AS label FROM documents WHERE {ANY_TERM}) GROUP BY label")
