@@ -35,7 +35,7 @@ from .pretokens import _input_bytes
 
 ship(__name__)
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: One part of the phrases for so many bytes of input.
 PART_BYTES = 8 << 20
 LONGEST, LEAST, COVER_PERCENT, TOP = 3, 10, 50, 2000
