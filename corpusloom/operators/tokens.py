@@ -49,11 +49,20 @@ def load_tokenizer(path: str) -> Callable[[Column], Column]:
     Pieces carry no added begin and end; a NULL text has none.  Every task reads the
     file, so it must lie where all executors find it.
     """
+    return _tokenizer("from_file", path)
+
+
+def tokenizer_of(saved: str) -> Callable[[Column], Column]:
+    """load_tokenizer() for the JSON itself, which travels with the function."""
+    return _tokenizer("from_str", saved)
+
+
+def _tokenizer(maker: str, source: str) -> Callable[[Column], Column]:
     @F.pandas_udf("array<string>")
     def pieces(texts: pd.Series) -> pd.Series:
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
+        own = getattr(Tokenizer, maker)(source)
         own.no_truncation()
         own.no_padding()
         return pd.Series([e.tokens for e in own.encode_batch(["" if t is None else t for t in texts], add_special_tokens=False)])

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
-from ..functions import maps, vectors
+from ..functions import maps, matching, vectors
 from ..functions import text as tx
-from ..operators import adapter, curate, metrics, model, split, synth, tokens
+from ..operators import adapter, curate, metrics, model, split, synth, tokens, wordpiece
 from ..sources import readers, sinks
 
 TERMS = ["the", "eau", "schen"]
@@ -200,6 +200,46 @@ def prefix_join(spark, sf):
     return rows.groupBy("category", "label").agg(F.count("*").alias("n"))
 
 
+#: Prefixes that overlap, in the order in which they are tried.
+OVERLAPPING = {"prom": ("promo", "urgente"), "e": ("e", "no_urgente"), "eco": ("economy", "urgente"), "pro": ("other", "no_urgente"), "st": ("st", "urgente"), "standard a": ("anodized", "no_urgente")}
+
+
+@query("WITH t(rank, prefix, category, label) AS (VALUES " + ", ".join(f"({i}, '{p}', '{c}', '{u}')" for i, (p, (c, u)) in enumerate(OVERLAPPING.items())) + ") "
+       "SELECT p_partkey, arg_min(prefix, rank) AS prefix, arg_min(category, rank) AS category, arg_min(label, rank) AS label FROM part JOIN t ON starts_with(replace(lower(p_type), '.', ''), prefix) GROUP BY p_partkey")
+def prefix_join_overlapping(spark, sf):
+    """The first prefix in order, one row a code."""
+    return curate.prefix_join(_t(spark, sf, "part").select("p_partkey", "p_type"), "p_type", OVERLAPPING).drop("p_type")
+
+
+@query("WITH t AS (SELECT DISTINCT lower(substring(p_type, 1, k)) AS prefix FROM part, range(3, 9) AS n(k) WHERE p_size % 5 = 0) "
+       "SELECT p_partkey, arg_max(prefix, length(prefix)) AS prefix FROM part JOIN t ON starts_with(replace(lower(p_type), '.', ''), prefix) GROUP BY p_partkey")
+def prefix_match_longest(spark, sf):
+    """The longest of the prefixes in a table, here of the beginnings of some parts' types."""
+    part = _t(spark, sf, "part")
+    cuts = F.explode(F.array(*[F.lower(F.substring("p_type", 1, k)) for k in range(3, 9)])).alias("prefix")
+    table = part.where("p_size % 5 = 0").select(cuts).distinct().withColumn("rank", -F.char_length("prefix"))
+    return curate.prefix_match(part.select("p_partkey", "p_type"), "p_type", table).select("p_partkey", "prefix")
+
+
+@query("WITH w AS (SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(regexp_extract_all(text, '[^\\s]+')) AS word FROM benchmark) WHERE length(word) >= 5) "
+       "SELECT doc_id, count(*) AS n_terms FROM documents JOIN w ON contains(lower(text), word) GROUP BY doc_id")
+def many_terms(spark, sf):
+    """How many of the words of all benchmark items each text holds as substrings."""
+    words = _t(spark, sf, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("word")).where(F.char_length("word") >= 5)
+    terms = matching.terms_of(words.select(F.lower("word").alias("word")), "word")
+    found = _t(spark, sf, "documents").select("doc_id", F.size(matching.terms_in(F.col("text"), terms)).cast("long").alias("n_terms"))
+    return found.where("n_terms > 0")
+
+
+@query("WITH w AS (SELECT DISTINCT lower(word) AS word FROM (SELECT unnest(regexp_extract_all(text, '[^\\s]+')) AS word FROM benchmark) WHERE length(word) >= 9) "
+       f"SELECT doc_id, {CLEAN} AS text, 'urgente' AS suggested_label FROM documents WHERE EXISTS (SELECT 1 FROM w WHERE contains(lower(text), word))")
+def many_terms_filter(spark, sf):
+    """Candidates by a list of terms that is too long for a chain of tests."""
+    words = _t(spark, sf, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("word")).where(F.char_length("word") >= 9)
+    terms = matching.terms_of(words.select(F.lower("word").alias("word")), "word")
+    return curate.keyword_candidates(_t(spark, sf, "documents").select("doc_id", "text"), "text", terms, terms)
+
+
 @query(f"SELECT l.doc_id, l.quality, {CLEAN} AS text FROM labels l JOIN documents d USING (doc_id)")
 def doc_lookup_join(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", tx.clean_truncate(F.col("text"), config.TEXT_CHARS).alias("text"))
@@ -267,11 +307,13 @@ def tsv_splits_round_trip(spark, sf):
     return readers.read_splits(spark, paths, readers.read_tsv)
 
 
-@query("SELECT r_name || chr(10) AS text, count(*) OVER () AS n_files FROM region")
+@query("SELECT text, count(*) OVER () AS n_files FROM (SELECT r_name || chr(10) AS text FROM region UNION ALL SELECT '')")
 def documents_round_trip(spark, sf):
-    """Text files, one for each region, found below a folder and read whole."""
+    """Text files, one for each region and one without bytes, found below a folder and read whole."""
     path = sinks.scratch(spark, "texts")
-    _t(spark, sf, "region").select(F.col("r_name").alias("value"), F.col("r_name").alias("k")).write.partitionBy("k").text(path)
+    names = _t(spark, sf, "region").select(F.col("r_name").alias("value"), F.col("r_name").alias("k"))
+    names.write.partitionBy("k").text(path)
+    names.select("value").where("false").coalesce(1).write.text(f"{path}/k=none at all")
     files = readers.list_files(spark, path, ".txt").agg(F.count("*").alias("n_files"))
     return readers.read_documents(spark, path).select("text").crossJoin(F.broadcast(files))  # one row
 
@@ -487,6 +529,49 @@ def token_truncate(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", tokens.truncate(tx.pretokens(F.col("text")), config.MAX_TOKENS).alias("tokens"))
 
 
+def _vocabulary(spark: SparkSession) -> list[str]:
+    """A WordPiece vocabulary by rule: the pieces of a public tokenizer, at the start of a word and behind it; written and read as a file of one piece a line."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        pieces = dict.fromkeys(p.removesuffix("</w>") for p in json.load(f)["model"]["vocab"])
+    lines = [wordpiece.UNKNOWN, *dict.fromkeys(x for p in pieces if p for x in (p, wordpiece.CONTINUED + p))]
+    path = sinks.scratch(spark, "vocabulary")
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    return wordpiece.read_vocabulary(spark, path)
+
+
+@query("SELECT count(*) AS n, 0::bigint AS n_different FROM documents")
+def wordpiece_equivalence(spark, sf):
+    """Texts that a public library cuts into other pieces by the same vocabulary: none."""
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    vocabulary = _vocabulary(spark)
+    own = Tokenizer(models.WordPiece({p: i for i, p in enumerate(vocabulary)}, unk_token=wordpiece.UNKNOWN, max_input_chars_per_word=wordpiece.LONGEST_WORD))
+    own.normalizer = normalizers.BertNormalizer(clean_text=True, handle_chinese_chars=True, strip_accents=False, lowercase=False)
+    own.pre_tokenizer = pre_tokenizers.BertPreTokenizer()
+    saved = own.to_str()
+    a, b = wordpiece.tokenizer(vocabulary)(F.col("text")), tokens.tokenizer_of(saved)(F.col("text"))
+    both = _t(spark, sf, "documents").select(a.alias("a"), b.alias("b"))
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("n_different"))
+
+
+@query(f"SELECT doc_id, {WORDS} AS n_words, true AS cuts_more FROM documents")
+def wordpiece_profile(spark, sf):
+    """Words of each text, and whether its WordPieces are as many or more; the pieces' number has no SQL and is tested against the library."""
+    rows = wordpiece.profile(_t(spark, sf, "documents").select("doc_id", "text"), "text", {"wordpiece": _vocabulary(spark)})
+    return rows.select("doc_id", "n_words", (F.col("n_tokens") >= F.col("n_words")).alias("cuts_more"))
+
+
+@query()
+def wordpiece_compare(spark, sf):
+    """The mean of pieces a word, of WordPiece beside words and pre-tokens."""
+    own = {**tokens.TOKENIZERS, "wordpiece": wordpiece.tokenizer(_vocabulary(spark))}
+    return tokens.compare(tokens.profile(_t(spark, sf, "documents").select("text"), "text", own))
+
+
 # ---- models: results differ by platform, so these have no SQL
 
 def _fitted(spark: SparkSession, sf: str):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,27 +29,42 @@ def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType = CODES)
     return spark.read.schema(schema).option("sep", "\t").csv(path)
 
 
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+
+
+def _with_empty(files: DataFrame) -> DataFrame:
+    """``path, content`` of the files, those without bytes too, whose content is NULL.
+
+    Spark's readers skip files without bytes but list them; the listing, which the
+    driver has anyway, is joined with what was read.
+    """
+    listed = [(re.sub(r"^file:/+", "file:/", unquote(p)),) for p in files.inputFiles()]
+    known = files.sparkSession.createDataFrame(listed, "path string")
+    empty = known.join(files.where("length > 0").select("path"), "path", "left_anti")
+    return files.where("length > 0").select("path", "content").unionByName(empty.withColumn("content", F.lit(None).cast("binary")))
+
+
 def read_documents(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """``file_name, stem, text``, one row per file below ``path``.
 
-    Bytes that aren't UTF-8 are dropped and line ends become \\n.  Empty files give no
-    row, as Spark's readers skip them.
+    Bytes that aren't UTF-8 are dropped and line ends become \\n.  A file without bytes has an empty text.
     """
     def decode(batches):
         import pyarrow as pa
 
         for b in batches:
-            texts = [x.decode("utf-8", errors="ignore").replace("\r\n", "\n").replace("\r", "\n") for x in b.column(1).to_pylist()]
+            texts = [(x or b"").decode("utf-8", errors="ignore").replace("\r\n", "\n").replace("\r", "\n") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["file_name", "text"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    files = _with_empty(_files(spark, path, pattern))
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), "content").mapInArrow(decode, "file_name string, text string")
     return named.select("file_name", F.regexp_replace("file_name", r"\.[^.]*$", "").alias("stem"), "text")
 
 
 def list_files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
-    """Paths below ``path`` that end in ``suffix``; contents aren't read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").load(path).select("path")
+    """Paths below ``path`` that end in ``suffix``, of files without bytes too; contents aren't read."""
+    return _with_empty(_files(spark, path, f"*{suffix}")).select("path")
 
 
 def read_splits(spark: SparkSession, paths: dict[str, str], reader) -> DataFrame:
