@@ -3,7 +3,8 @@
 Labelled texts give labelled tokens: a word or word beginning that is much more
 frequent among toxic texts than among clean ones marks its tokens in toxic texts.
 The field (toxic or not, for every token) sees those features of a word and of the
-words before and after it, and is trained on the tokens until the gradient of its
+words before and after it.  It is trained on these tokens and on the texts' labels together
+(a toxic text has a toxic token at least, a clean one none) until the gradient of its
 likelihood is flat; its forward-backward marginals give, for each text, a score and the
 offsets of the offending words.
 """
@@ -32,6 +33,8 @@ TRAIN_TEXTS = 1500
 #: Of these, the field's weights are fitted on all tokens of at most so many texts of either
 #: class, those of least hash; features are chosen and texts are judged on all of them.
 FIELD_TEXTS = 300
+#: Labelled texts of more bytes aren't trained on, so that the driver gets 2 * TRAIN_TEXTS times that at most.
+TRAIN_TEXT_BYTES = 1 << 16
 #: A feature is typical of toxic texts from this likelihood ratio (2 ln) and these odds on.
 MIN_EVIDENCE = 20.0
 MIN_ODDS = 25.0
@@ -39,7 +42,7 @@ MIN_FORMS = 3
 #: Weight of the squared parameters, and the gradient's length, to a token, at which training ends.
 PENALTY = 0.05
 FLAT = 1e-5
-MOST_STEPS = 300
+MOST_STEPS = 1000
 #: Texts are scored in groups of so many tokens, a longer text by itself.
 GROUP_TOKENS = 1 << 18
 CACHE_WORDS = 400_000
@@ -98,9 +101,7 @@ def _scan(m: list[np.ndarray], start: tuple[float, float] = (0.5, 0.5)) -> tuple
     p[0] = p[3] = 1.0
     for i in range(size):
         p = np.concatenate([a[i] * p[:2] + b[i] * p[2:], c[i] * p[:2] + d[i] * p[2:]])
-        if i % 4 == 0:
-            p /= p.sum(axis=0)
-    p /= p.sum(axis=0)
+        p /= p.sum(axis=0)
     first = np.empty((2, count))
     v = start
     for k in range(count):
@@ -117,29 +118,40 @@ def _scan(m: list[np.ndarray], start: tuple[float, float] = (0.5, 0.5)) -> tuple
     return tuple(x.T.reshape(-1)[:n] for x in (zero, one, sums))
 
 
-def forward_backward(emissions: np.ndarray, ends: np.ndarray, moves: np.ndarray):
-    """For chains laid end to end (``ends``: where each ends): P(toxic) of every token, the summed log Z, and the expected moves (2 x 2).
+def chains(emissions: np.ndarray, ends: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For chains laid end to end (``ends``: where each ends): P(toxic) of every token, log Z of every chain, the places with a
+    next token, and P(states of a place and its next), 2 x 2 for each.
 
-    Empty chains are allowed; ``emissions`` are log odds of the two states at a token.
+    Empty chains are allowed; ``emissions`` are log odds of the two states at a token.  The
+    potentials of a token are divided by the larger one, which goes into log Z, so that none
+    overflows and none is cut off.
     """
     n = len(emissions)
     if n == 0:
-        return np.zeros(0), 0.0, np.zeros((2, 2))
+        return np.zeros(0), np.zeros(len(ends)), np.zeros(0, dtype=np.int64), np.zeros((2, 2, 0))
     last = np.zeros(n, dtype=bool)
     last[ends[ends > 0] - 1] = True
     first = np.concatenate([[True], last[:-1]])
-    odds, t = np.exp(np.clip(emissions, -50, 50)), np.exp(moves)
-    one = np.ones(n)
+    larger = np.maximum(emissions, 0)
+    off, on = np.exp(-larger), np.exp(emissions - larger)
+    t = np.exp(moves - moves.max())
     pick = lambda at, x: np.where(at, 1.0, x)  # noqa: E731  (a chain begins and ends whatever lies beside it)
-    f0, f1, sums = _scan([pick(first, t[0, 0]), pick(first, t[1, 0]), odds * pick(first, t[0, 1]), odds * pick(first, t[1, 1])])
-    ahead = np.concatenate([odds[1:], [1.0]])
-    back = [pick(last, t[0, 0]) * one, pick(last, t[0, 1] * ahead), pick(last, t[1, 0]) * one, pick(last, t[1, 1] * ahead)]
+    f0, f1, sums = _scan([off * pick(first, t[0, 0]), off * pick(first, t[1, 0]), on * pick(first, t[0, 1]), on * pick(first, t[1, 1])])
+    next_off, next_on = np.concatenate([off[1:], [1.0]]), np.concatenate([on[1:], [1.0]])
+    back = [pick(last, t[0, 0] * next_off), pick(last, t[0, 1] * next_on), pick(last, t[1, 0] * next_off), pick(last, t[1, 1] * next_on)]
     b0, b1, _ = (x[::-1] for x in _scan([x[::-1] for x in back]))
-    on = f1 * b1
-    p = on / (f0 * b0 + on)
+    both = f1 * b1
+    p = both / (f0 * b0 + both)
     at = np.flatnonzero(~last)
-    pairs = np.array([[f[at] * t[i, j] * (odds[at + 1] if j else 1.0) * (b1 if j else b0)[at + 1] for j in (0, 1)] for i, f in enumerate((f0, f1))])
-    return p, float(np.log(sums).sum()), (pairs / pairs.sum(axis=(0, 1))).sum(axis=2)
+    pairs = np.array([[f[at] * t[i, j] * (on if j else off)[at + 1] * (b1 if j else b0)[at + 1] for j in (0, 1)] for i, f in enumerate((f0, f1))])
+    logs = np.concatenate([[0.0], np.cumsum(np.log(sums) + larger + np.where(first, 0.0, moves.max()))])
+    return p, np.diff(logs[np.concatenate([[0], ends])]), at, pairs / pairs.sum(axis=(0, 1))
+
+
+def forward_backward(emissions: np.ndarray, ends: np.ndarray, moves: np.ndarray):
+    """P(toxic) of every token of chains(), their summed log Z, and the expected moves (2 x 2)."""
+    p, log_z, _, pairs = chains(emissions, ends, moves)
+    return p, float(log_z.sum()), pairs.sum(axis=2)
 
 
 def marginals(emissions: list[np.ndarray], moves: np.ndarray) -> list[np.ndarray]:
@@ -175,7 +187,10 @@ def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
             size /= 2
         s, y = size * way, slope - grad
         if size < 1e-9:
-            break
+            if not past:
+                break
+            past = []  # once more along the gradient
+            continue
         if s @ y > 1e-12:
             past = [*past, (s, y)][-memory:]
         x, value, grad = x + s, there, slope
@@ -260,11 +275,18 @@ def _unlike(texts: list[list[str]]) -> list[int]:
 
 
 class Field:
-    """Value and gradient of the field's penalised likelihood over labelled tokens; parameters are weights, bias and moves in a row."""
+    """Value and gradient of the field's penalised likelihood; parameters are weights, bias and moves in a row.
 
-    def __init__(self, model: Model, texts: list[list[str]], truth: np.ndarray) -> None:
-        self.model, self.truth, self.k = model, truth, len(model.index)
-        self.ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    It is that of the labelled tokens and, with ``toxic``, of the texts' own labels as well: that
+    a clean text has no toxic token and a toxic one has one at least, whichever.  The
+    first teaches what words of the list look like; only the second can give weight to words
+    that aren't on it, to neighbours, and to moves.
+    """
+
+    def __init__(self, model: Model, texts: list[list[str]], truth: np.ndarray, toxic: np.ndarray | None = None) -> None:
+        self.model, self.truth, self.toxic, self.k = model, truth, toxic, len(model.index)
+        self.sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        self.ends = np.cumsum(self.sizes)
         coder = Coder(model, 1 << 62)
         self.said = np.fromiter((coder[w] for t in texts for w in t), dtype=np.int64, count=len(truth))
         #: features x columns: which features a column has
@@ -293,23 +315,35 @@ class Field:
 
     def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         self.load(x)
-        table = self.model.weights @ self.has
-        e = self.model.emissions(self.said, self.ends, table)
-        p, log_z, expected = forward_backward(e, self.ends, self.model.moves)
-        gap = p - self.truth
-        value = log_z - float(e @ self.truth) - float((self.moved * self.model.moves).sum()) + PENALTY * float(x @ x) / 2
+        moves = self.model.moves
+        e = self.model.emissions(self.said, self.ends, self.model.weights @ self.has)
+        p, log_z, _, pairs = chains(e, self.ends, moves)
+        gap, expected = p - self.truth, pairs.sum(axis=2) - self.moved
+        value = float(log_z.sum()) - float(e @ self.truth) - float((self.moved * moves).sum()) + PENALTY * float(x @ x) / 2
+        if self.toxic is not None:
+            steps = np.maximum(self.sizes - 1, 0)
+            none = np.maximum(log_z - steps * moves[0, 0], 1e-12)  # -log P(no token is toxic)
+            value += float(np.where(self.toxic, -np.log(-np.expm1(-none)), none).sum())
+            weight = np.where(self.toxic, -1 / np.expm1(np.minimum(none, 700)), 1.0)
+            each = np.repeat(weight, self.sizes)
+            gap = gap + each * p
+            expected = expected + (pairs * each[self.at]).sum(axis=2)
+            expected[0, 0] -= float(weight @ steps)
         columns = self.has.shape[1]
         per_place = [
             np.bincount(self.said[self.at], gap[self.at + 1], columns),  # the word before a token
             np.bincount(self.said, gap, columns),
             np.bincount(self.said[self.at + 1], gap[self.at], columns),
         ]
-        grad = np.concatenate([*(self.has @ g for g in per_place), [gap.sum()], (expected - self.moved).reshape(-1)])
+        grad = np.concatenate([*(self.has @ g for g in per_place), [gap.sum()], expected.reshape(-1)])
         return value, grad + PENALTY * x
 
 
 def train(texts: list[str], toxic: list[int]) -> Model:
-    """The field of largest penalised likelihood, then a small logistic fit of texts on its marginals."""
+    """The field of largest penalised likelihood, then a small logistic fit of texts on its marginals.
+
+    Training that doesn't end where the gradient is flat is an error.
+    """
     words = [WORD.findall(t.lower()) for t in texts]
     keep = [i for i, w in enumerate(words) if w]
     words, toxic = [words[i] for i in keep], [toxic[i] for i in keep]
@@ -323,8 +357,11 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     some = sorted(i for y in (0, 1) for i in [j for j in order if toxic[j] == y][:FIELD_TEXTS])
     known = {w: not typical.isdisjoint(word_features(w)) for w in {w for i in some for w in words[i]}}
     truth = np.array([toxic[i] and known[w] for i in some for w in words[i]], dtype=np.float64)
-    field = Field(model, [words[i] for i in some], truth)
-    field.load(minimise(field, field.start(), FLAT * len(truth)))
+    field = Field(model, [words[i] for i in some], truth, np.array([bool(toxic[i]) for i in some]))
+    best = minimise(field, field.start(), FLAT * len(truth))
+    slope = float(np.linalg.norm(field(best)[1]))
+    if not slope <= FLAT * len(truth):
+        raise RuntimeError(f"the field's training didn't converge: the gradient is {slope:.3g} long, {FLAT * len(truth):.3g} is flat")
     x = np.array([(1.0, *model.text_inputs(p)) for p in Coder(model, 1 << 62).marginals(words)])
     prior, t = np.array([0.0, 1.0, 0.0]), np.array(toxic, dtype=np.float64)
 
@@ -348,10 +385,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     NULL labels and keys, and NULL texts, give no evidence; a key labelled twice is toxic
     if either label says so; of several texts with one key the least by hash is taken.
     Without both labels the model finds nothing.  Runs a job when it is called; the
-    driver gets at most 2 * TRAIN_TEXTS texts and trains on them.
+    driver gets at most 2 * TRAIN_TEXTS texts of at most TRAIN_TEXT_BYTES each and trains on
+    those that aren't copies of others (_unlike).
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
-    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    own = docs.where(F.octet_length(text) <= TRAIN_TEXT_BYTES).select(F.col(key).alias("k"), F.col(text).alias("t"))
     picked = known.join(own.select("k"), "k", "left_semi")
     ids = [picked.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(TRAIN_TEXTS) for y in (0, 1)]
     chosen = F.broadcast(ids[0].union(ids[1]))  # at most 2 * TRAIN_TEXTS rows
