@@ -91,23 +91,23 @@ def swapped_replies(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     )
 
 
-#: Leading bits of the hash by which conversations are put in a ring: at most 4,096 stretches of it.
-RING_BITS = 12
+#: Leading hexadecimal digits of the hash by which conversations are put in a ring: at most 4,096 stretches of it.
+RING_DIGITS = 3
 
 
 def next_replies(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """Pairs for every conversation, whatever the type of its key: itself, and itself with its last assistant turn
-    taken from the next conversation that has one, in a ring by the hash of the key.
+    taken from the next conversation that has one, in a ring by the MD5 of the key.
 
     A conversation without an assistant turn is its own rejected side, and so is one that
     is the only one with such a turn; rows without a key are left out; an empty table
     gives no pairs.  The ring is put together from stretches, so no task orders it all.
     """
-    all_ = conversations(turns, key).select(F.col(key).alias("pair_id"), "turns", _last("turns").alias("last"), F.xxhash64(key).alias("h"))
-    all_ = all_.withColumn("stretch", F.shiftrightunsigned("h", 64 - RING_BITS))
+    all_ = conversations(turns, key).select(F.col(key).alias("pair_id"), "turns", _last("turns").alias("last"), F.md5(F.col(key).cast("string")).alias("h"))
+    all_ = all_.withColumn("stretch", F.substring("h", 1, RING_DIGITS))
     usable = all_.where("last > 0").withColumn("reply", F.element_at("turns", F.col("last")))
     heads = usable.groupBy("stretch").agg(F.min_by("reply", F.struct("h", "pair_id")).alias("head"))
-    along = Window.partitionBy().orderBy("stretch")  # of at most 2 ** RING_BITS rows
+    along = Window.partitionBy().orderBy("stretch")  # of at most 16 ** RING_DIGITS rows
     after = F.coalesce(F.lead("head").over(along), F.first("head").over(along))
     ring = usable.withColumn("next", F.lead("reply").over(Window.partitionBy("stretch").orderBy("h", "pair_id")))
     ring = ring.join(heads.select("stretch", after.alias("after")), "stretch").select(

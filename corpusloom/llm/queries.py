@@ -2,7 +2,7 @@
 
 Every query takes its whole tables.  Rows with NULLs in any column, empty and very long
 texts, repeated rows and keys, further columns and empty tables give what the operator's
-docstring says; none drops a row but op3, which has a row for each pair.  op4, op5, op6,
+docstring says; none drops a row but op11, which says which, and op3 has one for each conversation with a key.  op4, op5, op6,
 op7, op10, op11, op12, op13 and pipeline run jobs when they are called, op2 and op8 only where their input
 comes out of a shuffle; the others are declared only.
 """
@@ -27,7 +27,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chat.preference_format(chat.swapped_replies(table(spark, sf_dir, "conversations")))
+    rows = chat.preference_format(chat.next_replies(table(spark, sf_dir, "conversations")))
     loss = lambda c: F.aggregate(c, F.lit(0), lambda acc, s: acc + s["end"] - s["start"]).cast("long")
     return rows.select(
         "pair_id", "n_common", "prompt", "chosen", "rejected",

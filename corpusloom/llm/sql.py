@@ -9,8 +9,9 @@ _LOSS = "coalesce(list_sum(list_transform(list_filter({0}, lambda t: t.role = 'a
 
 OP3 = f"""
 WITH c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn, role, text) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-v AS (SELECT * FROM (SELECT conv_id, t, list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].role = 'assistant' THEN i ELSE 0 END)) AS k FROM c) WHERE k > 0),
-p AS (SELECT a.conv_id AS pair_id, a.t AS c, list_concat(a.t[1 : a.k - 1], [b.t[b.k]]) AS r FROM v a JOIN v b ON b.conv_id = xor(a.conv_id, 1)),
+v AS (SELECT conv_id, t, list_max(list_transform(range(1, len(t) + 1), lambda i: CASE WHEN t[i].role = 'assistant' THEN i ELSE 0 END)) AS k FROM c),
+u AS (SELECT *, coalesce(lead(t[k]) OVER ring, first_value(t[k]) OVER ring) AS reply FROM v WHERE k > 0 WINDOW ring AS (ORDER BY md5(conv_id::VARCHAR), conv_id)),
+p AS (SELECT conv_id AS pair_id, t AS c, list_concat(t[1 : k - 1], [reply]) AS r FROM u UNION ALL SELECT conv_id, t, t FROM v WHERE k = 0),
 q AS (SELECT *, coalesce(list_min(list_filter(range(1, least(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1, least(len(c), len(r)))::BIGINT AS n FROM p),
 s AS (SELECT pair_id, n, c[1 : n] AS same, c[n + 1 : len(c)] AS c, r[n + 1 : len(r)] AS r FROM q)
 SELECT pair_id, n AS n_common, {_RENDER.format('same')} AS prompt, {_RENDER.format('c')} AS chosen, {_RENDER.format('r')} AS rejected,
