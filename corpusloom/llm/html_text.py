@@ -47,6 +47,13 @@ NAMES = set(
     " comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations trending newsletter"
     " subscribe subscription signup login search pagination pager widget toolbar skip copyright legal disclaimer".split()
 )
+# Names of what is never the text of a page, however long it is, and words that stand beside these.
+NEVER = set(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored comment comments commentlist reply replies respond disqus"
+    " related recommended recommendations trending".split()
+)
+BESIDE_NEVER = set("user users reader readers visitor visitors guest thread threads stream feed posts stories articles news more also slot slots unit zone space count form title heading row col column".split())
+ADVERT = re.compile(r"(ads?|adv|advert)(box|slot|unit|banner|block|container|wrapper|wrap|space|area|zone)s?")
 # Words that stand beside a name without changing what it means; a header of one of TEXTS is part of the text.
 PLACES = set("site global main page left right top bottom primary secondary inner area bar box block list container wrapper wrap section item link links".split())
 TEXTS = set("post entry article page main section content".split())
@@ -63,6 +70,8 @@ FLOW = set("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure".split())
 SHARE = 0.25
 HOLD = 0.6
 NAMED_HOLD = 0.4
+#: A main element is the text's place from this share on, whatever articles are outside it.
+MAIN_HOLD = 0.1
 
 
 def _hidden(attributes: str) -> bool:
@@ -75,20 +84,25 @@ def _hidden(attributes: str) -> bool:
     return False
 
 
-def _is_name(whole: str) -> bool:
-    """Whether one class or id names boilerplate: a name, or names and places only (``site-footer``, ``post-comments``)."""
-    words = [w for w in re.split(r"[^a-z]+", whole) if w]
+def _strength(whole: str) -> int:
+    """What one class or id says: 2 names what is never text, with words that may stand beside that (``user-comments``); 1 names
+    boilerplate, or names and places only (``site-footer``); 0 nothing."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", whole).lower()) if w]
+    if any(w in NEVER or ADVERT.fullmatch(w) for w in words) and all(w in NAMES or w in PLACES or w in TEXTS or w in BESIDE_NEVER or ADVERT.fullmatch(w) for w in words):
+        return 2
     while len(words) > 1 and words[-1] in PLACES and words[-1] != "page":
         words.pop()
     if not words or words[-1] not in NAMES or not all(w in NAMES or w in PLACES or w in TEXTS for w in words):
-        return False
-    return not (words[-1] in HEADERS and TEXTS.intersection(words))
+        return 0
+    return int(not (words[-1] in HEADERS and TEXTS.intersection(words)))
 
 
-def _named_boilerplate(name: str, attributes: str) -> bool:
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    return any(key.lower() in ("class", "id") and any(map(_is_name, value.strip("\"'").lower().split())) for key, value in ATTRIBUTE.findall(attributes))
+def _named_boilerplate(name: str, attributes: str) -> int:
+    """The strongest of an element's classes and ids; an article is boilerplate only by what is never text, page and main never."""
+    if not attributes or name in ("html", "body", "main"):
+        return 0
+    found = max((_strength(w) for key, value in ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id") for w in value.strip("\"'").split()), default=0)
+    return 0 if name == "article" and found < 2 else found
 
 
 class Element:
@@ -101,12 +115,13 @@ class Element:
         self.parent, self.name, self.path, self.bad, self.link, self.scoped, self.host = parent, name, path, bad, link, scoped, host
 
 
-def _without_named(blocks: list[dict], elements: list[Element], named: set[int]) -> list[dict]:
+def _without_named(blocks: list[dict], elements: list[Element], named: set[int], never: set[int]) -> list[dict]:
     """The blocks outside the elements that are boilerplate by name.
 
     A name doesn't count where its element holds a top heading or main element, nor where
     it holds an article, or no less text than there is outside all named elements, unless
-    enough text with such a mark is outside them.
+    enough text with such a mark is outside them.  The elements ``never``, comments, adverts and
+    the like, stay out however much they hold, save that of the page's only title or main element.
     """
     if not named:
         return blocks
@@ -147,7 +162,8 @@ def _without_named(blocks: list[dict], elements: list[Element], named: set[int])
         if around[x] >= 0:
             continue
         elsewhere = has_mark and text >= SHARE * size[x]
-        if marks[x] & {"h1", "main"} or ("article" in marks[x] or size[x] >= text) and not elsewhere:
+        top = bool(marks[x] & {"h1", "main"})
+        if (top and not has_mark) if x in never else top or ("article" in marks[x] or size[x] >= text) and not elsewhere:
             named.discard(x)
             text += own[x]
             has_mark = has_mark or own_marked[x]
@@ -172,6 +188,7 @@ def _blocks(page: str, names: bool = True) -> tuple[list[dict], list[Element]]:
     elements = [Element(-1, "", 0, False, 0, False, 0)]
     paths: dict[tuple[int, str], int] = {}
     named: set[int] = set()
+    never: set[int] = set()
     stack: list[int] = [0]
     opened: dict[str, int] = {}
     unclosed: set[str] = set()
@@ -254,31 +271,36 @@ def _blocks(page: str, names: bool = True) -> tuple[list[dict], list[Element]]:
         number = len(elements)
         path = up.path if inline else paths.setdefault((up.path, name), len(paths) + 1)
         elements.append(Element(stack[-1], name, path, bad, 4 if name == "a" else max(0, up.link - 1), up.scoped or name in HEADER_SCOPES, up.host if inline else number))
-        if not inline and not bad and (name in MAYBE_BOILERPLATE or _named_boilerplate(name, attributes)):
-            named.add(number)
+        if not inline and not bad:
+            strength = max(_named_boilerplate(name, attributes), int(name in MAYBE_BOILERPLATE))
+            if strength:
+                named.add(number)
+            if strength == 2:
+                never.add(number)
         stack.append(number)
         opened[name] = opened.get(name, 0) + 1
     for b in blocks:
         b["text"] = SPACES.sub(" ", html.unescape("".join(b["parts"]))).strip()
-    return _without_named([b for b in blocks if b["text"]], elements, named), elements
+    return _without_named([b for b in blocks if b["text"]], elements, named, never), elements
 
 
 def path_ratios(blocks: list[dict]) -> dict[int, float]:
-    """Text length and punctuation a block on each tag path, smoothed over neighbouring paths and multiplied."""
+    """Text length and punctuation a block on each tag path, smoothed over neighbouring paths and multiplied, times the share of its text that isn't links'."""
     sums: dict[int, list[float]] = {}
     for b in blocks:
-        s = sums.setdefault(b["path"], [0, 0, 0])
+        s = sums.setdefault(b["path"], [0, 0, 0, 0])
         plain = max(0, len(b["text"]) - b["links"])
         s[0] += plain
         s[1] += len(PUNCTUATION.findall(b["text"])) if plain else 0
         s[2] += 1
-    ratios = [(t / n, p / n) for t, p, n in sums.values()]
+        s[3] += len(b["text"])
+    ratios = [(t / n, p / n) for t, p, n, _ in sums.values()]
 
     def smooth(k: int, i: int) -> float:
         around = [(ratios[j][k], w) for j, w in ((i - 1, 0.25), (i, 1.0), (i + 1, 0.25)) if 0 <= j < len(ratios)]
         return sum(x * w for x, w in around) / sum(w for _, w in around)
 
-    return {path: smooth(0, i) * (1 + smooth(1, i)) for i, path in enumerate(sums)}
+    return {path: smooth(0, i) * (1 + smooth(1, i)) * s[0] / s[3] for i, (path, s) in enumerate(sums.items())}
 
 
 def content_blocks(blocks: list[dict]) -> list[dict]:
@@ -297,11 +319,24 @@ def main_blocks(page: str) -> list[str]:
         return []
     chosen = content_blocks(blocks)
     picked = {id(b) for b in chosen}
-    if not (nodes := _named_nodes(chosen, elements)):
+    mains, nodes = _named_nodes(chosen, elements)
+    if mains:
+        within = _inside(elements, mains)
+        picked = {id(b) for b in chosen if within[b["element"]]}
+    elif not nodes:
         nodes, loose = _grown_nodes(blocks, chosen, elements)
         picked |= loose
     within = _inside(elements, nodes)
-    return [b["text"] for b in blocks if id(b) in picked or within[b["element"]]]
+    places = [i for i, b in enumerate(blocks) if id(b) in picked or within[b["element"]]]
+    return [blocks[i]["text"] for i in [*_title(blocks, elements, places), *places]]
+
+
+def _title(blocks: list[dict], elements: list[Element], places: list[int]) -> list[int]:
+    """The last top heading before a text that has none and doesn't begin with a heading of its own."""
+    heads = [elements[b["element"]].name for b in blocks]
+    if not places or "h1" in (heads[i] for i in places) or heads[places[0]] == "h2":
+        return []
+    return [i for i in range(places[0]) if heads[i] == "h1"][-1:]
 
 
 def _held(blocks: list[dict], elements: list[Element]) -> list[int]:
@@ -314,16 +349,24 @@ def _held(blocks: list[dict], elements: list[Element]) -> list[int]:
     return held
 
 
-def _named_nodes(chosen: list[dict], elements: list[Element]) -> set[int]:
-    """All outermost article (else main) elements with content blocks; none where they hold too little of it."""
+def _named_nodes(chosen: list[dict], elements: list[Element]) -> tuple[set[int], set[int]]:
+    """The main elements with content, if they hold some of it, and all outermost articles in them (else on the page) if these hold enough of it;
+    the main elements themselves where there are no such articles."""
     held = _held(chosen, elements)
-    for name in ("article", "main"):
-        all_ = {i for i, e in enumerate(elements) if e.name == name and held[i]}
+
+    def outermost(name: str, inside: list[bool] | None = None) -> set[int]:
+        all_ = {i for i, e in enumerate(elements) if e.name == name and held[i] and (inside is None or inside[i])}
         within = _inside(elements, all_)
-        nodes = {i for i in all_ if not within[elements[i].parent]}
-        if nodes and sum(held[e] for e in nodes) >= NAMED_HOLD * held[0]:
-            return nodes
-    return set()
+        return {i for i in all_ if not within[elements[i].parent]}
+
+    mains = outermost("main")
+    if sum(held[e] for e in mains) < MAIN_HOLD * held[0]:
+        mains = set()
+    of = sum(held[e] for e in mains) if mains else held[0]
+    articles = outermost("article", _inside(elements, mains) if mains else None)
+    if sum(held[e] for e in articles) < NAMED_HOLD * of:
+        articles = set()
+    return mains, articles or mains
 
 
 def _grown_nodes(blocks: list[dict], chosen: list[dict], elements: list[Element]) -> tuple[set[int], set[int]]:
