@@ -14,7 +14,8 @@ members compared, each of one group until it meets one of the other.  Nothing is
 Links between members are never listed.  Each member is first linked to a few others,
 by its node, its group and its place in Gray order, and the classes that this makes are
 looked up.  Only members of different classes that share a node are then compared, and
-what comes out is which classes are linked.
+what comes out is which classes are linked.  A node where many such members meet, as those of a
+template's pages do, is split first by patterns of the bits that it leaves free.
 
 All functions but fingerprints() run jobs when they are called.
 """
@@ -35,6 +36,9 @@ GROUP_BITS = 8
 #: Fingerprints to an upper node, on average, from which on more blocks are taken.
 NODE_SIZE = 8
 MOST_BLOCKS = 10
+#: A node with more members that first links don't join is split, so many times at most.
+HEAVY_NODE = 256
+MOST_SPLITS = 4
 #: A join's smaller side is broadcast up to this many rows (and common.BROADCAST_BYTES).
 BROADCAST_ROWS = 500_000
 #: Fingerprints to a task.
@@ -90,15 +94,19 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def index_tables(distance: int, blocks: int, group_bits: int) -> list[tuple[int, int, int]]:
-    """(table, mask of the blocks that agree, shift that leaves ``group_bits`` free bits of the rank)."""
-    edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    spans = [((1 << (b - a)) - 1) << (BITS - b) for a, b in zip(edges, edges[1:])]
+def index_tables(distance: int, blocks: int, group_bits: int, agreed: int = 0) -> list[tuple[int, int, int]]:
+    """(table, mask of the bits that agree, shift that leaves ``group_bits`` free bits of the rank).
+
+    The bits outside ``agreed``, a mask that is part of all masks, are cut into the blocks.
+    """
+    bits = [i for i in range(BITS - 1, -1, -1) if not agreed >> i & 1]
+    edges = [round(i * len(bits) / blocks) for i in range(blocks + 1)]
+    spans = [sum(1 << i for i in bits[a:b]) for a, b in zip(edges, edges[1:])]
     out = []
     for t, chosen in enumerate(combinations(spans, blocks - distance)):
-        mask = sum(chosen)
-        free = [i for i in range(BITS - 1, -1, -1) if not mask >> i & 1]
-        out.append((t, _signed(mask), free[group_bits - 1]))
+        mask = agreed & ((1 << BITS) - 1) | sum(chosen)
+        free = [i for i in bits if not mask >> i & 1]
+        out.append((t, _signed(mask), free[min(group_bits, len(free)) - 1] if free else 0))
     return out
 
 
@@ -114,27 +122,55 @@ def blocks_for(n: int, distance: int) -> int:
     return blocks
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows(mask, shift, fp, ...)`` with the node, the rank and the group of each row in the table of its mask."""
+    rows = rows.withColumns({"node": F.col("fp").bitwiseAND(F.col("mask")), "free": F.col("fp").bitwiseAND(F.bitwise_not("mask"))})
+    return with_gray_rank(rows, "free", "rank").withColumn("g", F.expr("shiftrightunsigned(rank, shift)")).drop("free", "shift")
+
+
+def _undecided(classed: DataFrame) -> DataFrame:
+    """The rows of nodes that hold members of different classes."""
+    node = ["mask", "node"]
+    live = cut(classed.groupBy(*node).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select(*node))
+    return cut(classed.join(live, node, "left_semi"))
+
+
+def _split(classed: DataFrame, distance: int, group_bits: int) -> DataFrame:
+    """``classed(mask, node, g, fp, class)`` with the nodes of more than HEAVY_NODE members replaced by nodes below them.
+
+    Members of a node agree on its mask; what links them lies in the other bits, which are cut
+    into blocks like the whole was, so that linked members share one of the nodes below.  That goes
+    on while nodes are heavy and their masks leave bits to cut; masks are as many as there
+    are tables and their parts, whatever the number of members.
+    """
+    node, done = ["mask", "node"], []
+    blocks = distance + 2
+    for _ in range(MOST_SPLITS):
+        heavy = cut(classed.groupBy(*node).agg(F.count("*").alias("n")).where(F.col("n") > HEAVY_NODE).select(*node))
+        heavy = heavy.where(f"64 - bit_count(mask) >= {2 * blocks}")
+        masks = [r.mask for r in heavy.select("mask").distinct().collect()]
+        if not masks:
+            break
+        below = [(m, sub, shift) for m in masks for _, sub, shift in index_tables(distance, blocks, group_bits, m & ((1 << BITS) - 1))]
+        tables = F.broadcast(classed.sparkSession.createDataFrame(below, "mask long, sub long, shift int"))
+        done.append(join_sized(classed, heavy, node, BROADCAST_ROWS, "left_anti").select(*classed.columns))
+        parts = join_sized(classed, heavy, node, BROADCAST_ROWS, "left_semi").select("mask", "fp", "class").join(tables, "mask")
+        parts = _placed(parts.select(F.col("sub").alias("mask"), "shift", "fp", "class").distinct())
+        classed = _undecided(parts.select(*node, "g", "fp", "class"))
+    for part in done:
+        classed = classed.union(part.select(*classed.columns))
+    return cut(classed) if done else classed
+
+
 def linked_classes(fps: DataFrame, distance: int = 4, blocks: int | None = None, group_bits: int = GROUP_BITS) -> DataFrame:
     """``fps(fp)``, distinct -> ``(node, root)``: the class of every fingerprint that has a link, named by one of its members."""
     n = fps.count()
     blocks = blocks or blocks_for(n, distance)
     # Every fingerprint makes a row for each table: the work is dealt out by their number, not by the size of the files.
     fps = fps.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, n // SHARE + 1), "fp")
-    tables = F.array(*[
-        F.struct(F.lit(t).alias("t"), F.lit(m).cast("long").alias("mask"), F.lit(s).alias("shift"))
-        for t, m, s in index_tables(distance, blocks, group_bits)
-    ])
-    free = fps.select("fp", F.explode(tables).alias("i")).select(
-        "fp",
-        F.col("i.t").alias("t"),
-        F.col("i.shift").alias("shift"),
-        F.col("fp").bitwiseAND(F.col("i.mask")).alias("node"),
-        F.col("fp").bitwiseAND(F.bitwise_not("i.mask")).alias("free"),
-    )
-    placed = with_gray_rank(free, "free", "rank").select(
-        "t", "node", F.expr("shiftrightunsigned(rank, shift)").alias("g"), "rank", "fp"
-    )
-    node, group = ["t", "node"], ["t", "node", "g"]
+    tables = F.array(*[F.struct(F.lit(m).cast("long").alias("mask"), F.lit(s).alias("shift")) for _, m, s in index_tables(distance, blocks, group_bits)])
+    placed = _placed(fps.select("fp", F.explode(tables).alias("i")).select("fp", "i.mask", "i.shift"))
+    node, group = ["mask", "node"], ["mask", "node", "g"]
     # A node of two that aren't linked, as most are where patterns meet by chance, is done with.
     ends = placed.groupBy(*node).agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
     ends = cut(ends.where(f"n > 2 or n = 2 and bit_count(low ^ high) <= {distance}").drop("n"))
@@ -146,8 +182,7 @@ def linked_classes(fps: DataFrame, distance: int = 4, blocks: int | None = None,
     known = components(near.where(f"fp <> to and bit_count(fp ^ to) <= {distance}").select(F.col("fp").alias("a"), F.col("to").alias("b")))
     classed = members.select(*group, "fp").join(known.withColumnRenamed("node", "fp"), "fp", "left")
     classed = cut(classed.select(*group, "fp", F.coalesce("root", "fp").alias("class")))
-    live = cut(classed.groupBy(*node).agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select(*node))
-    classed = cut(classed.join(live, node, "left_semi"))
+    classed = _split(_undecided(classed), distance, group_bits)
     # What is left to compare: members of one node in different classes, group by group and class by class.
     groups = cut(classed.groupBy(*group, "class").agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any")))
     one, two = (groups.select(*node, *[F.col(c).alias(f"{c}{i}") for c in ("g", "class", "ones", "any")]) for i in (1, 2))
