@@ -245,10 +245,13 @@ def pseudonym(value: Column, key: str) -> Column:
 def key_of(spark: SparkSession) -> str:
     """The secret of the pseudonyms: ``spark.corpusloom.pseudonym.key`` of the session.
 
-    Unset, it is TEST_KEY, which everybody knows: pseudonyms made with it hide nothing
-    from a reader of this file.
+    Only a local master (tests, a laptop) may leave it unset and gets TEST_KEY, which
+    everybody knows; on a cluster pseudonyms that anyone can invert are an error.
     """
-    return spark.conf.get(KEY_SETTING, None) or TEST_KEY
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{KEY_SETTING} must name the secret of the pseudonyms")
+    return key or TEST_KEY
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_values") -> DataFrame:
