@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import maps, matching, vectors
 from ..functions import text as tx
-from ..operators import adapter, curate, metrics, model, split, synth, tokens, wordpiece
+from ..operators import adapter, curate, metrics, model, split, store, synth, tokens, wordpiece
 from ..sources import readers, sinks
 
 TERMS = ["the", "eau", "schen"]
@@ -259,9 +259,13 @@ def template_render(spark, sf):
     return _t(spark, sf, "nation").select("n_nationkey", tx.render(F.lit("{ubicacion} a {ubicacion} desde hace {tiempo}"), values).alias("text"))
 
 
-@query("SELECT category, count(*) AS n FROM (VALUES ('a'), ('b')) AS t(category), range(3) GROUP BY category")
+@query("WITH t(category, template) AS (VALUES ('a', '{tiempo} en {ubicacion}'), ('a', 'de {ubicacion} a {ubicacion}'), ('b', '{ubicacion} desde hace {tiempo}')) "
+       "SELECT category, least(count(DISTINCT replace(replace(template, '{ubicacion}', s_name), '{tiempo}', w)), 40) AS n "
+       "FROM t, supplier, (VALUES ('dos meses'), ('un año')) AS z(w) WHERE s_nationkey = 5 OR s_suppkey <= 9 GROUP BY category")
 def synth_generate(spark, sf):
-    made = synth.generate(spark, TEMPLATES, {"ubicacion": ["x", "y", "z"], "tiempo": TIMES}, {"a": "urgente", "b": "no_urgente"}, 3)
+    """How many texts of each category are made, with the names of some suppliers as places; none keeps a field's mark."""
+    places = [r[0] for r in _t(spark, sf, "supplier").where("s_nationkey = 5 or s_suppkey <= 9").select("s_name").distinct().limit(1000).collect()]  # values of one field: a parameter
+    made = synth.generate(spark, TEMPLATES, {"ubicacion": places, "tiempo": TIMES}, {"a": "urgente", "b": "no_urgente"}, 40)
     return made.where(~F.contains("text", F.lit("{"))).groupBy("category").agg(F.count("*").alias("n"))
 
 
@@ -326,9 +330,16 @@ def metrics_json_round_trip(spark, sf):
     return readers.read_json(spark, path, measured.schema)
 
 
-@query("SELECT term, tokenizer, 1::bigint AS n_tokens, [term] AS tokens FROM (VALUES " + ", ".join(f"('{t}')" for t in config.KEY_TERMS) + ") AS t(term), (VALUES ('words'), ('pretokens')) AS k(tokenizer)")
+@query("WITH w AS (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]{7,}')) AS term FROM documents), "
+       "r AS (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS i FROM w GROUP BY lang, term) "
+       "SELECT DISTINCT term, tokenizer, 1::bigint AS n_tokens, [term] AS tokens FROM r, (VALUES ('words'), ('pretokens')) AS k(tokenizer) WHERE i <= 11")
 def key_term_pieces(spark, sf):
-    return tokens.key_terms(spark)
+    """How tokenizers cut up the most frequent long words of each language."""
+    from pyspark.sql import Window
+
+    terms = _t(spark, sf, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{7,}"), F.lit(0))).alias("term"))
+    ranked = terms.groupBy("lang", "term").agg(F.count("*").alias("n")).withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "term")))
+    return tokens.key_terms(spark, sorted({r.term for r in ranked.where("i <= 11").select("term").collect()}))  # eleven a language
 
 
 # ---- aggregates
@@ -675,6 +686,28 @@ def adapter_reload_equivalence(spark, sf):
     return both.agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("n_toxic"), F.count_if(other).alias("n_different"), F.lit(again.trained_size).cast("long").alias("n_trained"))
 
 
+@query(f"SELECT kind, count(*) AS n, 0::bigint AS n_different FROM ({HELD} 'test'), (VALUES ('adapter'), ('pipeline'), ('vocabulary')) AS k(kind) GROUP BY kind")
+def store_by_id(spark, sf):
+    """Test rows that models loaded by their id from a store score or cut up otherwise than before: none."""
+    base, estimator, rows = _adapted(spark, sf)
+    known, test = rows.where("split <> 'test'"), rows.where("split = 'test'").select("doc_id", "text")
+    own = {"adapter": estimator.fit(known, {estimator.maxIter: 1}), "pipeline": model.train(known.withColumn("label", F.col("toxic").cast("double")), "text", "label"), "vocabulary": _vocabulary(spark)}
+    kept = store.Store(spark, sinks.scratch(spark, "store"))
+    kept.put("own/base", base)
+    out = None
+    for kind, thing in own.items():
+        kept.put(f"own/{kind}", thing, "own/base" if kind == "adapter" else None)
+        again = kept.get(f"own/{kind}")
+        if kind == "vocabulary":
+            a, b = (test.select("doc_id", wordpiece.tokenizer(v, ids=True)(F.col("text")).alias(c)) for v, c in ((thing, "a"), (again, "b")))
+        else:
+            score = (lambda m: m.transform(test)) if kind == "adapter" else (lambda m: model.predict(m, test, "text"))
+            a, b = (score(m).select("doc_id", F.col("probability").alias(c)) for m, c in ((thing, "a"), (again, "b")))
+        part = a.join(b, "doc_id").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("n_different"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---- the whole keyword flow in one query, and the flagship
 
 @query(f"SELECT label, count(*) AS n, sum(length(text))::bigint AS chars FROM (SELECT {CLEAN} AS text, CASE WHEN {ANY_URGENT} THEN 'urgente' ELSE 'revisar_manual' END AS label FROM documents WHERE {ANY_TERM}) GROUP BY label")
