@@ -26,6 +26,8 @@ BROADCAST_BYTES = 32 << 20
 BLOCK_BYTES = 16 << 20
 #: Tasks that share a key of the larger side where the smaller one isn't broadcast.
 SALTS = 8
+#: A key with so many rows on the larger side is hot, where that is counted.
+HOT_ROWS = 1 << 16
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -74,12 +76,14 @@ def is_small(df: DataFrame, rows: int) -> bool:
     return n <= rows and (total or 0) <= BROADCAST_BYTES
 
 
-def join_sized(left: DataFrame, right: DataFrame, on: list[str], rows: int, how: str = "inner") -> DataFrame:
+def join_sized(left: DataFrame, right: DataFrame, on: list[str], rows: int, how: str = "inner", counted: bool = False) -> DataFrame:
     """``left`` joined with ``right`` on equal ``on``, NULL equal to NULL; ``how``: inner, left, left_semi or left_anti.
 
     ``right`` is broadcast if it is proven small.  Else both sides are shuffled, and the
     rows of ``left`` with one key are dealt to SALTS tasks, each of which gets the
-    key's rows of ``right``, so that a hot key doesn't end in one task.
+    key's rows of ``right``, so that a hot key doesn't end in one task.  With ``counted``, for a
+    ``left`` that is cheap to read, the keys with HOT_ROWS rows there are counted first
+    and only they are dealt out; the rows of ``right`` with other keys are sent once.
     """
     names = {c: fresh(left, f"_{c}") for c in on}
     other = right.select(*[F.col(c).alias(names[c]) for c in on], *[c for c in right.columns if c not in on])
@@ -89,12 +93,32 @@ def join_sized(left: DataFrame, right: DataFrame, on: list[str], rows: int, how:
         other = F.broadcast(other)
     else:
         plain = [c for c in left.columns if c not in on and left.schema[c].dataType.typeName() in ("long", "integer", "string")]
-        left = left.withColumn(salt, F.pmod(F.xxhash64(F.lit("salt"), *plain), F.lit(SALTS)).cast("int"))
-        other = other.withColumn(other_salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = F.pmod(F.xxhash64(F.lit("salt"), *plain), F.lit(SALTS)).cast("int")
+        copies = F.sequence(F.lit(0), F.lit(SALTS - 1))
+        hot = cut(left.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS).select(*on)) if counted else None
+        if hot is not None and hot.isEmpty():
+            return left.join(other, same, how).drop(*names.values())
+        if hot is not None and is_small(hot, rows):
+            left, here = _marked(left, on, hot)
+            other, there = _marked(other, [names[c] for c in on], hot.toDF(*names.values()))
+            left = left.withColumn(salt, F.when(F.col(here), spread).otherwise(0)).drop(here)
+            other = other.withColumn(other_salt, F.explode(F.when(F.col(there), copies).otherwise(F.array(F.lit(0))))).drop(there)
+        else:
+            left = left.withColumn(salt, spread)
+            other = other.withColumn(other_salt, F.explode(copies))
         same.append(F.col(salt) == F.col(other_salt))
     return left.join(other, same, how).drop(*names.values(), salt, other_salt)
 
 
+def _marked(df: DataFrame, on: list[str], keys: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a column that says whether a row's key is one of ``keys``, which are few; and the column's name."""
+    mark = fresh(df, "_hot")
+    names = {c: f"{mark}_{i}" for i, c in enumerate(on)}
+    few = F.broadcast(keys.toDF(*names.values()).withColumn(mark, F.lit(True)))
+    out = df.join(few, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()], "left").drop(*names.values())
+    return out.withColumn(mark, F.coalesce(mark, F.lit(False))), mark
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else; pure-ASCII texts take the byte-wise path."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(

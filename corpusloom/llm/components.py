@@ -30,14 +30,14 @@ def components(links: DataFrame) -> DataFrame:
         moved = True
         while moved:
             onward = jumped.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            step = cut(join_sized(jumped, onward, ["to"], BROADCAST_ROWS).select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
+            step = cut(join_sized(jumped, onward, ["to"], BROADCAST_ROWS, counted=True).select("node", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")))
             moved = not step.where("moved").isEmpty()
             jumped = step.drop("moved")
-        ends = join_sized(edges, jumped.select(F.col("node").alias("a"), F.col("to").alias("a2")), ["a"], BROADCAST_ROWS)
+        ends = join_sized(edges, jumped.select(F.col("node").alias("a"), F.col("to").alias("a2")), ["a"], BROADCAST_ROWS, counted=True)
         edges = cut(
             join_sized(ends, jumped.select(F.col("node").alias("b"), F.col("to").alias("b2")), ["b"], BROADCAST_ROWS)
             .where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
         )
         moves = jumped.where("node <> to").select(F.col("node").alias("root"), "to")
-        roots = cut(join_sized(roots, moves, ["root"], BROADCAST_ROWS, "left").select("node", F.coalesce("to", "root").alias("root")))
+        roots = cut(join_sized(roots, moves, ["root"], BROADCAST_ROWS, "left", counted=True).select("node", F.coalesce("to", "root").alias("root")))
     return roots

@@ -153,8 +153,8 @@ def _split(classed: DataFrame, distance: int, group_bits: int) -> DataFrame:
             break
         below = [(m, sub, shift) for m in masks for _, sub, shift in index_tables(distance, blocks, group_bits, m & ((1 << BITS) - 1))]
         tables = F.broadcast(classed.sparkSession.createDataFrame(below, "mask long, sub long, shift int"))
-        done.append(join_sized(classed, heavy, node, BROADCAST_ROWS, "left_anti").select(*classed.columns))
-        parts = join_sized(classed, heavy, node, BROADCAST_ROWS, "left_semi").select("mask", "fp", "class").join(tables, "mask")
+        done.append(join_sized(classed, heavy, node, BROADCAST_ROWS, "left_anti", counted=True).select(*classed.columns))
+        parts = join_sized(classed, heavy, node, BROADCAST_ROWS, "left_semi", counted=True).select("mask", "fp", "class").join(tables, "mask")
         parts = _placed(parts.select(F.col("sub").alias("mask"), "shift", "fp", "class").distinct())
         classed = _undecided(parts.select(*node, "g", "fp", "class"))
     for part in done:
@@ -196,9 +196,9 @@ def linked_classes(fps: DataFrame, distance: int = 4, blocks: int | None = None,
     linked = some.join(b.alias("y"), F.expr(f"{same} and bit_count(x.fp1 ^ y.fp2) <= {distance}"), "left_semi")
     joined = pairs.where("whole").select("class1", "class2").union(linked.select("class1", "class2")).distinct()
     steps = components(joined.select(F.col("class1").alias("a"), F.col("class2").alias("b")))
-    moved = join_sized(known, steps.select(F.col("node").alias("root"), F.col("root").alias("to")), ["root"], BROADCAST_ROWS, "left")
+    moved = join_sized(known, steps.select(F.col("node").alias("root"), F.col("root").alias("to")), ["root"], BROADCAST_ROWS, "left", counted=True)
     moved = moved.select("node", F.coalesce("to", "root").alias("root"))
-    single = join_sized(steps, known.select("node"), ["node"], BROADCAST_ROWS, "left_anti").select("node", "root")
+    single = join_sized(steps, known.select("node"), ["node"], BROADCAST_ROWS, "left_anti", counted=True).select("node", "root")
     return cut(moved.union(single))
 
 
@@ -214,14 +214,14 @@ def rooted(rows: DataFrame, key: str, distance: int, blocks: int | None) -> Data
     """``(fp, first, root)`` for every fingerprint of ``rows(key, fp)``: its smallest key and its class, named by a fingerprint."""
     firsts = cut(rows.groupBy("fp").agg(F.min(key).alias("first")))
     roots = linked_classes(firsts.select("fp"), distance, blocks).withColumnRenamed("node", "fp")
-    return cut(join_sized(firsts, roots, ["fp"], BROADCAST_ROWS, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    return cut(join_sized(firsts, roots, ["fp"], BROADCAST_ROWS, "left", counted=True).select("fp", "first", F.coalesce("root", "fp").alias("root")))
 
 
 def classes(rows: DataFrame, key: str, distance: int, blocks: int | None) -> DataFrame:
     """``(fp, component_id)`` for every fingerprint of ``rows(key, fp)``."""
     linked = rooted(rows, key, distance, blocks)
     smallest = cut(linked.groupBy("root").agg(F.min("first").alias("component_id")))
-    return cut(join_sized(linked, smallest, ["root"], BROADCAST_ROWS).select("fp", "component_id"))
+    return cut(join_sized(linked, smallest, ["root"], BROADCAST_ROWS, counted=True).select("fp", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4,
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     """
     rows = cut(fingerprints(docs, text, key, shingle))
     return (
-        join_sized(rows, classes(rows, key, distance, blocks), ["fp"], BROADCAST_ROWS)
+        join_sized(rows, classes(rows, key, distance, blocks), ["fp"], BROADCAST_ROWS, counted=True)
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
         .select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     )
@@ -254,7 +254,7 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
     # Kept where the row's key is its class's smallest; NULL-only classes keep a NULL key.
     k, t = fresh(docs, "_k"), fresh(docs, "_t")
     chosen = cut(
-        join_sized(rows, of, ["fp"], BROADCAST_ROWS).where(F.col(key).eqNullSafe(F.col("component_id")))
+        join_sized(rows, of, ["fp"], BROADCAST_ROWS, counted=True).where(F.col(key).eqNullSafe(F.col("component_id")))
         .groupBy("component_id").agg(F.min(F.struct("fp", "text_key")).alias("one"))
         .select(F.col("component_id").alias(k), F.col("one.text_key").alias(t))
     )
@@ -274,9 +274,9 @@ def keep_one_per_class(docs: DataFrame, text: str = "text", key: str = "doc_id",
     of = rooted(rows, key, distance, blocks).select("fp", "root")
     order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("text_key").alias("text_key"), F.col("copies").alias("copies"))
     k, t = fresh(docs, "_k"), fresh(docs, "_t")
-    placed = cut(join_sized(rows, of, ["fp"], BROADCAST_ROWS).select("root", order.alias("row")))
+    placed = cut(join_sized(rows, of, ["fp"], BROADCAST_ROWS, counted=True).select("root", order.alias("row")))
     chosen = cut(placed.groupBy("root").agg(F.min("row").alias("one")))
-    gone = join_sized(placed, chosen, ["root"], BROADCAST_ROWS, "left").where("row <> one")
+    gone = join_sized(placed, chosen, ["root"], BROADCAST_ROWS, "left", counted=True).where("row <> one")
     gone = cut(gone.select(F.col("row.key").alias(k), F.col("row.text_key").alias(t)))
     several = cut(chosen.where("one.copies > 1").select(F.col("one.key").alias(k), F.col("one.text_key").alias(t)))
     named = docs.withColumns({k: F.col(key), t: F.xxhash64(text)})
