@@ -262,7 +262,7 @@ class Coder(dict):
 
 
 def _unlike(texts: list[list[str]]) -> list[int]:
-    """Places of texts that share at most one of their 8 least word-triple hashes with any before: copies are no new evidence."""
+    """Places of texts that share at most one of their 8 least word-triple hashes with any before."""
     met: set[int] = set()
     keep = []
     for i, words in enumerate(texts):
@@ -347,8 +347,10 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     words = [WORD.findall(t.lower()) for t in texts]
     keep = [i for i, w in enumerate(words) if w]
     words, toxic = [words[i] for i in keep], [toxic[i] for i in keep]
-    keep = _unlike(words)
-    words, toxic = [words[i] for i in keep], [toxic[i] for i in keep]
+    # Copies among toxic texts are no new evidence for their words; copies among clean ones are evidence against.
+    marked = [i for i, y in enumerate(toxic) if y]
+    copies = set(marked) - {marked[j] for j in _unlike([words[i] for i in marked])}
+    words, toxic = [w for i, w in enumerate(words) if i not in copies], [y for i, y in enumerate(toxic) if i not in copies]
     if not 0 < sum(toxic) < len(toxic):
         return Model()
     typical = typical_features(words, toxic)
@@ -386,7 +388,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     if either label says so; of several texts with one key the least by hash is taken.
     Without both labels the model finds nothing.  Runs a job when it is called; the
     driver gets at most 2 * TRAIN_TEXTS texts of at most TRAIN_TEXT_BYTES each and trains on
-    those that aren't copies of others (_unlike).
+    them, toxic copies of toxic texts left out (_unlike).
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).alias("k")).agg(F.max(label).alias("y"))
     own = docs.where(F.octet_length(text) <= TRAIN_TEXT_BYTES).select(F.col(key).alias("k"), F.col(text).alias("t"))
