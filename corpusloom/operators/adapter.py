@@ -168,6 +168,7 @@ def fit_base(docs: DataFrame, text: str, features: int = config.ADAPTER["feature
 
     for _ in range(rounds):
         directions = times_scatter(np.linalg.qr(directions)[0])
+    sinks.remove(spark, path)
     directions = np.linalg.qr(directions)[0] if n else directions
     # One size for all directions, so that the projections of a text are of the order of 1.
     return Base(idf, directions * np.sqrt(features / hidden), max_length)
@@ -268,8 +269,8 @@ class AdapterClassifier(Estimator, _AdapterParams, HasMaxIter, HasStepSize, HasV
                          dropout=config.ADAPTER["dropout"], maxIter=config.ADAPTER["epochs"], stepSize=config.ADAPTER["learning_rate"], batchSize=config.ADAPTER["batch_size"], seed=config.SEED)
         self._set(**{k: v for k, v in kwargs.items() if v is not None})
 
-    def _batches(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """The training rows as a table that is partitioned by batch, and the number of batches."""
+    def _batches(self, df: DataFrame) -> tuple[DataFrame, int, str]:
+        """The training rows as a table that is partitioned by batch, the number of batches, and where it is."""
         spark, seed, base = df.sparkSession, self.getSeed(), self.base
         text, label = F.col(self.getOrDefault("textCol")), F.col(self.getLabelCol())
         bad = df.where(label.isNull() | ~label.isin(0, 1)).count()
@@ -283,7 +284,7 @@ class AdapterClassifier(Estimator, _AdapterParams, HasMaxIter, HasStepSize, HasV
         path = sinks.scratch(spark, "adapter-batches")
         dealt = rows.withColumn("batch", F.pmod("place", F.lit(count))).withColumn("share", F.pmod(F.xxhash64("place"), F.lit(_shares(size))))
         dealt.repartition("batch", "share").write.partitionBy("batch").parquet(path)
-        return spark.read.schema("ids array<int>, label int, place long, share long, batch long").parquet(path), count
+        return spark.read.schema("ids array<int>, label int, place long, share long, batch long").parquet(path), count, path
 
     def _fit(self, df: DataFrame) -> AdapterModel:
         if self.base is None:
@@ -291,7 +292,7 @@ class AdapterClassifier(Estimator, _AdapterParams, HasMaxIter, HasStepSize, HasV
         base, seed, spark = self.base, self.getSeed(), df.sparkSession
         flag = self.getOrDefault("validationIndicatorCol") if self.isDefined("validationIndicatorCol") else None
         held = F.coalesce(F.col(flag).cast("boolean"), F.lit(False)) if flag else F.lit(False)
-        batches, count = self._batches(df.where(~held))
+        batches, count, path = self._batches(df.where(~held))
         tensors, shared = self.tensors(base), spark.sparkContext.broadcast((base.idf, base.matrix, base.max_length))  # of the size of the weights
         epochs, dropout = self.getMaxIter(), self.getOrDefault("dropout")
         adam = Adam(tensors.size, self.getStepSize(), epochs * count)
@@ -320,6 +321,7 @@ class AdapterClassifier(Estimator, _AdapterParams, HasMaxIter, HasStepSize, HasV
             if flag:
                 model.history.append({"epoch": epoch, **model.evaluate(df.where(held))})
         shared.unpersist()
+        sinks.remove(spark, path)
         return model
 
 

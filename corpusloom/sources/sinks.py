@@ -9,12 +9,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: What scratch() has named and remove() hasn't removed.
+_NAMED: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share: ``spark.checkpoint.dir``; only a local master may leave it unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{folder or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}"
+    _NAMED.append(f"{folder or tempfile.mkdtemp()}/{name}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what this library has written to ``path``, if anything, once nobody will read it again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _NAMED:
+        _NAMED.remove(path)
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete all that this process has put under scratch() paths, and say how many; frames that read them are of no use then."""
+    paths = list(_NAMED)
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
 
 
 def align(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import adapter, model
+from corpusloom.sources import sinks
 
 FEATURES, HIDDEN, LENGTH = 256, 6, 12
 
@@ -133,8 +134,9 @@ def test_rows_that_are_odd(spark, rows, base, fitted):
         estimator(base).fit(rows.withColumn("label", F.when(F.col("id") == 1, 5).when(F.col("id") != 2, F.col("label"))))
     with pytest.raises(ValueError, match="needs a base"):
         adapter.AdapterClassifier().fit(rows)
+    before = len(sinks._NAMED)
     plain = estimator(base, validationIndicatorCol=None, maxIter=1).fit(rows)
-    assert plain.history == []
+    assert plain.history == [] and len(sinks._NAMED) == before  # its batches are removed
 
 
 @pytest.mark.parametrize("size", [1, 8, 1000])

@@ -131,3 +131,14 @@ def test_files_without_bytes(spark, tmp_path):
     only = tmp_path / "a b"
     assert [tuple(r) for r in readers.read_documents(spark, str(only)).collect()] == [("empty ñ%20.txt", "empty ñ%20", "")]
     assert flows.filter_by_keyword(spark, str(only), "x").count() == 0
+
+
+def test_scratch_is_removed(spark, tmp_path):
+    from pathlib import Path
+
+    kept = [sinks.scratch(spark, n) for n in ("a", "b")]
+    spark.range(3).write.parquet(kept[0])
+    sinks.remove(spark, kept[0])
+    assert not Path(kept[0]).exists()
+    spark.range(3).write.parquet(kept[1])
+    assert sinks.remove_scratch(spark) >= 1 and not Path(kept[1]).exists() and sinks.remove_scratch(spark) == 0
