@@ -269,6 +269,13 @@ class AdapterClassifier(Estimator, _AdapterParams, HasMaxIter, HasStepSize, HasV
                          dropout=config.ADAPTER["dropout"], maxIter=config.ADAPTER["epochs"], stepSize=config.ADAPTER["learning_rate"], batchSize=config.ADAPTER["batch_size"], seed=config.SEED)
         self._set(**{k: v for k, v in kwargs.items() if v is not None})
 
+    def registry(self, base: str, counts: dict[str, int]) -> dict[str, str | int | float]:
+        """All that a training run depends on, to be kept beside its result; ``base`` is the base's id."""
+        names = {"seed": "seed", "rank": "rank", "alpha": "alpha", "dropout": "dropout", "stepSize": "learning_rate", "maxIter": "epochs", "batchSize": "batch_size"}
+        known = {as_: self.getOrDefault(name) for name, as_ in names.items()}
+        trained = self.tensors(self.base).size
+        return {"base": base, "base_digest": self.base.fingerprint, **known, "max_length": self.base.max_length, "trained_weights": trained, "frozen_weights": self.base.size, **counts}
+
     def _batches(self, df: DataFrame) -> tuple[DataFrame, int, str]:
         """The training rows as a table that is partitioned by batch, the number of batches, and where it is."""
         spark, seed, base = df.sparkSession, self.getSeed(), self.base

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .. import config
 from ..functions import maps
 from ..functions import text as tx
-from ..operators import curate, metrics, model, split, synth
-from ..sources import readers
+from ..operators import adapter, curate, metrics, model, split, synth
+from ..operators.store import Store
+from ..sources import readers, sinks
 
 
 def filter_by_keyword(spark: SparkSession, path: str, source: str) -> DataFrame:
@@ -50,3 +51,35 @@ def train_and_evaluate(corpus: DataFrame, text: str = "texto", label: str = "eti
     base = metrics.metrics(metrics.confusion(metrics.majority_predictions(train, test, "label"), "label", "predicted"))
     own = model.evaluate(model.predict(fitted, test, text), "label")
     return fitted, metrics.delta(metrics.long_form(base, "baseline"), metrics.long_form(own, "model"))
+
+
+def _split_labels(corpus: DataFrame, label: str) -> DataFrame:
+    return metrics.require_labels(corpus.withColumn("label", maps.lookup(F.col(label), config.LABEL_IDS)), "label")
+
+
+def fine_tune(corpus: DataFrame, store: Store, name: str, registry: str, unlabelled: DataFrame | None = None, text: str = "texto", label: str = "etiqueta_urgencia", **parameters) -> DataFrame:
+    """A corpus with splits -> an adapter ``name`` and its base ``name-base`` in the store, and its registry as JSON; ``epoch, rows, loss, ...`` of the validation rows.
+
+    The base is learned from ``unlabelled`` texts, or from the corpus' own; parameters are those of AdapterClassifier.
+    """
+    spark = corpus.sparkSession
+    rows = _split_labels(corpus, label)
+    base = adapter.fit_base(rows if unlabelled is None else unlabelled, text)
+    known = rows.where("split in ('train', 'val')").withColumn("_held", F.col("split") == "val")
+    estimator = adapter.AdapterClassifier(base=base, textCol=text, labelCol="label", validationIndicatorCol="_held", **parameters)
+    fitted = estimator.fit(known)
+    store.put(f"{name}-base", base)
+    store.put(name, fitted, f"{name}-base")
+    counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
+    kept = estimator.registry(f"{name}-base", {f"n_{s}": counts.get(s, 0) for s in ("train", "val", "test")})
+    sinks.write_json(spark.createDataFrame([tuple(kept.values())], ", ".join(f"{k} {'string' if isinstance(v, str) else 'double' if isinstance(v, float) else 'long'}" for k, v in kept.items())).coalesce(1), registry)
+    return fitted.history_frame(spark)
+
+
+def evaluate_adapter(corpus: DataFrame, store: Store, name: str, text: str = "texto", label: str = "etiqueta_urgencia") -> DataFrame:
+    """``metric, baseline, model, delta`` on the test split: the majority of the training split against the adapter, taken from the store anew."""
+    rows = _split_labels(corpus, label)
+    train, test = rows.where("split = 'train'"), metrics.require_rows(rows.where("split = 'test'"), "test rows")
+    base = metrics.metrics(metrics.confusion(metrics.majority_predictions(train, test, "label"), "label", "predicted"))
+    own = model.evaluate(store.get(name).transform(test), "label")
+    return metrics.delta(metrics.long_form(base, "baseline"), metrics.long_form(own, "model"))
