@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import BLOCK_BYTES, cut, shared_folder, ship
+from .pretokens import _input_bytes
 
 ship(__name__)
 
@@ -57,8 +58,10 @@ SEEN = 1 << 7
 HEAVY = SAMPLE * SEEN
 #: No more heavy prefixes of a depth than this; with more suffixes they are called heavy later.
 MOST_HEAVY = 1 << 20
-#: Suffixes that one group gets of even prefixes, and anchors that one part counts.
+#: Suffixes that one group gets of even prefixes.
 GROUP = 1 << 20
+#: One part of the anchors for so many bytes of the table of texts, or one a shuffle partition where these are more.
+PART_BYTES = 128 << 20
 ODD = 0x9E3779B97F4A7C15 | 1
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 PARTS = "chunk bigint, part int, body binary"
@@ -304,12 +307,13 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     texts = _numbered(docs, key, text)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, _input_bytes(texts, "text") // PART_BYTES)
 
     def anchors(table: pa.Table) -> pa.Table:
         number = table.column("chunk")[0].as_py()
         chunk = Chunk(_texts(table)[1], length)
         values, _ = chunk.anchors()
-        out = [(number, p, values[at].astype("<u8").tobytes()) for p, at in _by_part(_anchor_part(values, tasks))]
+        out = [(number, p, values[at].astype("<u8").tobytes()) for p, at in _by_part(_anchor_part(values, parts))]
         places = np.flatnonzero(chunk.valid)
         with np.errstate(over="ignore"):
             drawn = places[mix(places.astype(np.uint64) + mix(np.array([number], dtype=np.uint64))) % np.uint64(SAMPLE) == 0]
@@ -324,7 +328,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         if not table.num_rows:
             return _rows([])
         chunk = Chunk(_texts(table)[1], length)
-        paths, _, _ = _distinct(chunk.paths(_repeated_places(chunk, _of(answers), tasks)))
+        paths, _, _ = _distinct(chunk.paths(_repeated_places(chunk, _of(answers), parts)))
         part = partition(paths, heavy, whole, groups)
         return _rows([(table.column("chunk")[0].as_py(), p, paths[at].astype("<u4").tobytes()) for p, at in _by_part(part) if p >= 0])
 
@@ -335,7 +339,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         keys, raw = _texts(table)
         chunk = Chunk(raw, length)
-        places = _repeated_places(chunk, _of(answers, b"a"), tasks)
+        places = _repeated_places(chunk, _of(answers, b"a"), parts)
         paths, of, counts = _distinct(chunk.paths(places))
         part = partition(paths, heavy, whole, groups)
         repeated = (counts > 1) | (part < 0) | _bits(_of(answers, b"s"), part)

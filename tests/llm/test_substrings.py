@@ -47,7 +47,7 @@ def passages(rng, n, length):
 @pytest.fixture
 def small(monkeypatch):
     """Small chunks, groups and samples, so that every path is taken."""
-    for name, value in {"CHUNK_BYTES": 4000, "SLAB": 256, "SAMPLE": 2, "SEEN": 2, "HEAVY": 4, "GROUP": 64}.items():
+    for name, value in {"CHUNK_BYTES": 4000, "SLAB": 256, "SAMPLE": 2, "SEEN": 2, "HEAVY": 4, "GROUP": 64, "PART_BYTES": 500}.items():
         monkeypatch.setattr(substrings, name, value)
     substrings.MADE.clear()
 
