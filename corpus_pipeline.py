@@ -51,7 +51,7 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     NULL texts stay with their n_chars; every row and every other column stays.
     """
-    out = pii.pseudonymise(docs, pii.key_of(spark), count=fresh(docs, "_n_values"))
+    out = pii.pseudonymise(docs, pii.key_or_drawn(spark), count=fresh(docs, "_n_values"))
     if "n_chars" in docs.columns:
         size = F.char_length("text").cast(docs.schema["n_chars"].dataType)
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(size))

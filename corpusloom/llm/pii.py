@@ -13,6 +13,9 @@ secrets (access keys, prefixed tokens, password= and token = values).  What fail
 
 from __future__ import annotations
 
+import secrets
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -254,6 +257,23 @@ def key_of(spark: SparkSession) -> str:
     return key or TEST_KEY
 
 
+#: Secrets drawn for applications that name none, by application; only the driver's process keeps them.
+_DRAWN: dict[str, str] = {}
+
+
+def key_or_drawn(spark: SparkSession) -> str:
+    """key_of(), or on a cluster whose session names no key a random secret, one for each application.
+
+    With a drawn secret equal values have equal pseudonyms in all jobs of the application,
+    another application gives others, and nobody can invert them once it has ended.
+    """
+    try:
+        return key_of(spark)
+    except ValueError:
+        warnings.warn(f"{KEY_SETTING} isn't set: pseudonyms by a secret drawn for this application", stacklevel=2)
+        return _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count: str = "n_values") -> DataFrame:
     """``docs`` with the values in ``text`` replaced, and ``count`` (long), how many changed.
 

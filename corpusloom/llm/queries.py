@@ -19,7 +19,7 @@ from .sql import ORACLES
 
 
 def op1_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark))
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_or_drawn(spark))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
