@@ -10,12 +10,15 @@ Fine-tuning learns a low-rank update of W and a head:
 A is ``features x rank`` and starts at random, B is ``rank x hidden`` and starts at 0, so that
 training starts at the base.  Only rank * (features + hidden) weights and the head are trained.
 
-Training is synchronous: the rows are written once, in batches drawn by hash, and a step reads
-the files of one batch.  Tasks add up the gradients of their share of the batch, shares being
-drawn by hash and put in order, and Spark adds those of the shares as whole numbers of 2 ** -32; so
-equal seeds give equal weights bit for bit on one platform, whatever the partitions.  The driver
-holds the weights, whose number doesn't grow with the rows, and takes the step (Adam, with a linear
-decay of the rate).  After each epoch the validation rows are scored with the weights of then.
+Training is synchronous: the rows are written once, in batches drawn by hash, and every step needs
+the weights of the one before (Adam, with a linear decay of the rate).  Batches that fit a share of
+SHARE_ROWS are taken in runs: a job reads the files of as many batches as a share has rows for, and its
+one task takes their steps in order and returns the weights, so that a job's costs are paid once for a
+run and no task sees more than a run.  In larger batches each step is a job, whose tasks add up the gradients of
+their share of the batch, shares being drawn by hash and put in order, and Spark adds those of the shares.
+Both ways gradients are whole numbers of 2 ** -32; so equal seeds give equal weights bit for bit on one
+platform, whatever the partitions.  The driver holds the weights between jobs, whose number doesn't grow
+with the rows.  After each epoch the validation rows are scored with the weights of then.
 
 A NULL text counts as empty, which has no ids and is scored by the head alone.
 """
@@ -131,9 +134,13 @@ def _dense(sums: dict[int, int], size: int) -> np.ndarray:
     return out
 
 
+def _whole(flat: np.ndarray) -> np.ndarray:
+    return np.rint(flat * FIXED).astype(np.int64)
+
+
 def _entries(flat: np.ndarray) -> pa.Table:
     """The entries of an array that aren't 0, as ``at, value`` in whole numbers."""
-    whole = np.rint(flat * FIXED).astype(np.int64)
+    whole = _whole(flat)
     at = np.flatnonzero(whole)
     return pa.table([pa.array(at, pa.int64()), pa.array(whole[at])], names=["at", "value"])
 
@@ -276,22 +283,26 @@ class AdapterClassifier(Estimator, _AdapterParams, HasMaxIter, HasStepSize, HasV
         trained = self.tensors(self.base).size
         return {"base": base, "base_digest": self.base.fingerprint, **known, "max_length": self.base.max_length, "trained_weights": trained, "frozen_weights": self.base.size, **counts}
 
-    def _batches(self, df: DataFrame) -> tuple[DataFrame, int, str]:
-        """The training rows as a table that is partitioned by batch, the number of batches, and where it is."""
-        spark, seed, base = df.sparkSession, self.getSeed(), self.base
+    def _rows(self, df: DataFrame, held: Column) -> tuple[DataFrame, int, str]:
+        """All rows as ids, written once: with their label, their place and whether they are held out; how many are trained on; and where they are."""
+        spark, base = df.sparkSession, self.base
         text, label = F.col(self.getOrDefault("textCol")), F.col(self.getLabelCol())
-        bad = df.where(label.isNull() | ~label.isin(0, 1)).count()
-        if bad:
-            raise ValueError(f"{bad} rows without a known label")
-        rows = df.select(token_ids(text, base.matrix.shape[0], base.max_length).alias("ids"), label.cast("int").alias("label"), _place(seed, text).alias("place"))
-        n = rows.count()
-        metrics.require_rows(rows, "rows to train on")
-        size = self.getOrDefault("batchSize")
-        count = max(-(-n // size), 1)
-        path = sinks.scratch(spark, "adapter-batches")
-        dealt = rows.withColumn("batch", F.pmod("place", F.lit(count))).withColumn("share", F.pmod(F.xxhash64("place"), F.lit(_shares(size))))
+        path = sinks.scratch(spark, "adapter-rows")
+        ids, unknown = token_ids(text, base.matrix.shape[0], base.max_length), label.isNull() | ~label.isin(0, 1)
+        df.select(ids.alias("ids"), label.cast("int").alias("label"), _place(self.getSeed(), text).alias("place"), held.alias("held"), unknown.alias("unknown")).write.parquet(path)
+        rows = spark.read.parquet(path)
+        n, bad = rows.where(~F.col("held")).agg(F.count("*"), F.count_if("unknown")).first()
+        if bad or not n:
+            sinks.remove(spark, path)
+            raise ValueError(f"{bad} rows without a known label" if bad else "no rows to train on")
+        return rows, n, path
+
+    def _batches(self, rows: DataFrame, count: int) -> tuple[DataFrame, str]:
+        """The training rows as a table that is partitioned by batch, and where it is."""
+        path = sinks.scratch(rows.sparkSession, "adapter-batches")
+        dealt = rows.withColumn("batch", F.pmod("place", F.lit(count))).withColumn("share", F.pmod(F.xxhash64("place"), F.lit(_shares(self.getOrDefault("batchSize")))))
         dealt.repartition("batch", "share").write.partitionBy("batch").parquet(path)
-        return spark.read.schema("ids array<int>, label int, place long, share long, batch long").parquet(path), count, path
+        return rows.sparkSession.read.schema("ids array<int>, label int, place long, share long, batch long").parquet(path), path
 
     def _fit(self, df: DataFrame) -> AdapterModel:
         if self.base is None:
@@ -299,36 +310,66 @@ class AdapterClassifier(Estimator, _AdapterParams, HasMaxIter, HasStepSize, HasV
         base, seed, spark = self.base, self.getSeed(), df.sparkSession
         flag = self.getOrDefault("validationIndicatorCol") if self.isDefined("validationIndicatorCol") else None
         held = F.coalesce(F.col(flag).cast("boolean"), F.lit(False)) if flag else F.lit(False)
-        batches, count, path = self._batches(df.where(~held))
+        rows, n, rows_path = self._rows(df, held)
+        size = self.getOrDefault("batchSize")
+        count = max(-(-n // size), 1)
+        batches, path = self._batches(rows.where(~F.col("held")).select("ids", "label", "place"), count)
         tensors, shared = self.tensors(base), spark.sparkContext.broadcast((base.idf, base.matrix, base.max_length))  # of the size of the weights
         epochs, dropout = self.getMaxIter(), self.getOrDefault("dropout")
         adam = Adam(tensors.size, self.getStepSize(), epochs * count)
         model = AdapterModel(tensors.start(seed), base.fingerprint, [])._with(self, base)
-        if flag:
-            model.history.append({"epoch": 0, **model.evaluate(df.where(held))})
 
-        def gradients(flat: np.ndarray, *at: int):
+        def measured(epoch: int) -> None:
+            if flag:
+                model.history.append({"epoch": epoch, **model._measures(rows.where("held"))})
+
+        def gradient(flat: np.ndarray, table: pa.Table, *at: int) -> np.ndarray:
+            """That of one share of a batch, in an order of its own."""
+            table = table.sort_by([("place", "ascending"), ("label", "ascending")])
+            rng = np.random.default_rng([*at, table.column("share")[0].as_py()])
+            frozen = Base(*shared.value)
+            return tensors.gradient(frozen, flat, _matrix(table.column("ids").combine_chunks(), frozen.max_length), table.column("label").to_numpy(), dropout, rng)
+
+        def steps(flat: np.ndarray, adam: Adam, epoch: int, run: list[int]):
+            """The steps of a run of batches in order: the weights and moments after them; a batch drawn by hash can be empty."""
+            def take(table: pa.Table) -> pa.Table:
+                own, now, numbers = Adam(0, adam.rate, adam.steps), flat, table.column("batch").to_numpy()
+                own.m, own.v, own.t = adam.m, adam.v, adam.t
+                order = np.argsort(numbers, kind="stable")
+                for batch in run:
+                    a, b = np.searchsorted(numbers, [batch, batch + 1], sorter=order)
+                    if a < b:
+                        now = own.step(now, _whole(gradient(now, table.take(pa.array(order[a:b])), seed, epoch, batch)) / FIXED / (b - a))
+                return pa.table([pa.array([own.t]), *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in (now, own.m, own.v))], names=["t", "flat", "m", "v"])
+
+            return take
+
+        def shares(flat: np.ndarray, epoch: int, batch: int):
             def share(table: pa.Table) -> pa.Table:
-                table = table.sort_by([("place", "ascending"), ("label", "ascending")])
-                rng = np.random.default_rng([*at, table.column("share")[0].as_py()])
-                frozen = Base(*shared.value)
-                ids = _matrix(table.column("ids").combine_chunks(), frozen.max_length)
-                out = tensors.gradient(frozen, flat, ids, table.column("label").to_numpy(), dropout, rng)
-                return pa.concat_tables([_entries(out), pa.table([pa.array([-1]), pa.array([len(ids)])], names=["at", "value"])])
+                return pa.concat_tables([_entries(gradient(flat, table, seed, epoch, batch)), pa.table([pa.array([-1]), pa.array([table.num_rows])], names=["at", "value"])])
 
             return share
 
+        together = SHARE_ROWS // size  # batches of a run; none if a batch is more than a share
+        measured(0)
         for epoch in range(1, epochs + 1):
-            for batch in np.random.default_rng([seed, epoch]).permutation(count).tolist():
-                rows = batches.where(F.col("batch") == batch)
-                sums = _sums(rows.groupBy("share").applyInArrow(gradients(model.flat, seed, epoch, batch), "at long, value long"))
-                n = sums.pop(-1, 0)
-                if n:  # a batch drawn by hash can be empty
-                    model.flat = adam.step(model.flat, _dense(sums, tensors.size) / n)
-            if flag:
-                model.history.append({"epoch": epoch, **model.evaluate(df.where(held))})
+            order = np.random.default_rng([seed, epoch]).permutation(count).tolist()
+            for at in range(0, count, max(together, 1)):
+                run = order[at : at + max(together, 1)]
+                now = batches.where(F.col("batch").isin(run))
+                if together:
+                    done = now.groupBy().applyInArrow(steps(model.flat, adam, epoch, run), "t long, flat array<double>, m array<double>, v array<double>").first()
+                    if done:
+                        adam.t, model.flat, adam.m, adam.v = done.t, *(np.array(x) for x in (done.flat, done.m, done.v))
+                else:
+                    sums = _sums(now.groupBy("share").applyInArrow(shares(model.flat, epoch, run[0]), "at long, value long"))
+                    n = sums.pop(-1, 0)
+                    if n:
+                        model.flat = adam.step(model.flat, _dense(sums, tensors.size) / n)
+            measured(epoch)
         shared.unpersist()
         sinks.remove(spark, path)
+        sinks.remove(spark, rows_path)
         return model
 
 
@@ -359,30 +400,37 @@ class AdapterModel(Model, _AdapterParams, MLWritable, MLReadable):
     def trained_size(self) -> int:
         return self.flat.size
 
-    def _probability(self) -> Column:
-        if self.base is None:
-            raise ValueError("an adapter needs its base: attach() it")
+    def _probability(self, ids: Column) -> Column:
         base, flat, tensors = self.base, self.flat, self.tensors(self.base)
 
         def load():
-            return lambda ids: softmax(tensors.logits(base, flat, ids.astype(np.int64)))
+            return lambda x: softmax(tensors.logits(base, flat, x.astype(np.int64)))
 
         score = predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=config.ADAPTER["score_rows"], input_tensor_shapes=[[base.max_length]])
-        return score(token_ids(F.col(self.getOrDefault("textCol")), base.matrix.shape[0], base.max_length))
+        return F.get(score(ids), F.lit(1))
+
+    def _ids(self) -> Column:
+        if self.base is None:
+            raise ValueError("an adapter needs its base: attach() it")
+        return token_ids(F.col(self.getOrDefault("textCol")), self.base.matrix.shape[0], self.base.max_length)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         """``df`` with the probability of label 1 and the prediction, which is 1 from 0.5 on."""
         p = self.getProbabilityCol()
-        out = df.withColumn(p, F.get(self._probability(), F.lit(1)))
+        out = df.withColumn(p, self._probability(self._ids()))
         return out.withColumn(self.getPredictionCol(), (F.col(p) >= 0.5).cast("int"))
 
     def evaluate(self, df: DataFrame) -> dict[str, float]:
         """loss, accuracy, f1_macro and recall of labelled rows; one job."""
-        rows = self.transform(df.select(self.getOrDefault("textCol"), self.getLabelCol()))
-        label, p = F.col(self.getLabelCol()).cast("int"), F.col(self.getProbabilityCol())
+        return self._measures(df.select(self._ids().alias("ids"), F.col(self.getLabelCol()).cast("int").alias("label")))
+
+    def _measures(self, rows: DataFrame) -> dict[str, float]:
+        """evaluate() of rows ``ids, label``."""
+        p, label = F.col("probability"), F.col("label")
+        scored = rows.select("label", self._probability(F.col("ids")).alias("probability")).withColumn("predicted", (p >= 0.5).cast("int"))
         own = F.greatest(F.when(label == 1, p).otherwise(1 - p), F.lit(1e-300))
         loss = F.sum((-F.log(own) * FIXED).cast("decimal(38,0)")) / F.count("*") / F.lit(FIXED)
-        counted = metrics.confusion(rows.withColumn("_t", label), "_t", self.getPredictionCol(), F.count("*").alias("rows"), F.coalesce(loss.cast("double"), F.lit(0.0)).alias("loss"))
+        counted = metrics.confusion(scored, "label", "predicted", F.count("*").alias("rows"), F.coalesce(loss.cast("double"), F.lit(0.0)).alias("loss"))
         row = metrics.metrics(counted).first()
         return {k: row[k] for k in ("rows", "loss", "accuracy", "f1_macro", "recall")}
 

@@ -644,10 +644,12 @@ HELD = f"SELECT * FROM labels l JOIN ({SPLIT_SQL}) s USING (doc_id) WHERE split
 
 
 def _adapted(spark: SparkSession, sf: str):
-    """(base, estimator, labelled rows): the base of all documents' texts, and the labelled rows with their split."""
+    """(base, estimator, labelled rows): the base of all documents' texts, and the labelled rows with their split, written once as they are read many times."""
     docs = _t(spark, sf, "documents").select("doc_id", "text")
     base = adapter.fit_base(docs, "text")
-    rows = _labelled_split(spark, sf).join(docs, "doc_id").withColumn("held", F.col("split") == "val")
+    path = sinks.scratch(spark, "labelled-texts")
+    _labelled_split(spark, sf).join(docs, "doc_id").withColumn("held", F.col("split") == "val").write.parquet(path)
+    rows = spark.read.parquet(path)
     return base, adapter.AdapterClassifier(base=base, labelCol="toxic", validationIndicatorCol="held", maxIter=EPOCHS, batchSize=BATCH, stepSize=RATE), rows
 
 

@@ -107,6 +107,23 @@ def test_shares_add_up(rows, base, fitted, monkeypatch):
     assert np.allclose(many.flat, one.flat, atol=1e-4)
 
 
+def test_runs_of_batches(rows, base, fitted, monkeypatch):
+    """Batches that fit a share are trained in runs of one job each, with the weights of a job for each batch."""
+    jobs = rows.sparkSession.sparkContext.statusTracker()
+
+    def fit(group, size):
+        rows.sparkSession.sparkContext.setJobGroup(group, group)
+        out = estimator(base, batchSize=size, dropout=0.0, maxIter=2).fit(rows)
+        rows.sparkSession.sparkContext.setJobGroup("other", "other")
+        return out, len(jobs.getJobIdsForGroup(group))
+
+    together, few = fit("runs", 8)
+    monkeypatch.setattr(adapter, "SHARE_ROWS", 8)  # a run is one batch
+    apart, many = fit("steps", 8)
+    assert (together.flat == apart.flat).all() and together.history == apart.history
+    assert few < 20 and many >= few + 2 * 12  # some 16 batches an epoch
+
+
 def test_stored_apart(spark, rows, base, fitted, tmp_path):
     base.save(spark, str(tmp_path / "base"))
     fitted.write().save(str(tmp_path / "adapter"))
