@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .workers import ship
+from .workers import joined, parts, ship
 
 ship(__name__)
 
@@ -56,7 +56,8 @@ def contains_any(c: Column, terms: list[str]) -> Column:
     def found(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(automaton(own))
-        return pa.array([None if t is None else next(held[0].iter(t), None) is not None for t in texts.to_pylist()], pa.bool_())
+        has = lambda t: None if t is None else next(held[0].iter(t), None) is not None
+        return joined([pa.array([has(t) for t in part.to_pylist()], pa.bool_()) for part in parts(texts)], pa.bool_())
 
     return F.arrow_udf(found, "boolean")(F.lower(c))
 
@@ -69,7 +70,9 @@ def terms_in(c: Column, terms: list[str]) -> Column:
     def found(texts: pa.Array) -> pa.Array:
         if not held:
             held.append(automaton(own) if own else None)
-        return pa.array([sorted({s for _, s in held[0].iter(t)}) if held[0] and t else [] for t in texts.to_pylist()], pa.list_(pa.string()))
+        kind = pa.list_(pa.string())
+        within = lambda t: sorted({s for _, s in held[0].iter(t)}) if held[0] and t else []
+        return joined([pa.array([within(t) for t in part.to_pylist()], kind) for part in parts(texts)], kind)
 
     return F.arrow_udf(found, "array<string>")(F.lower(c))
 

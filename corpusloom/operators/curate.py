@@ -16,11 +16,15 @@ def suggested_label(c: Column, terms: list[str], hit: str = config.URGENT_LABEL,
 
 
 def keyword_candidates(docs: DataFrame, text: str, terms: list[str], urgent: list[str], size: int = config.TEXT_CHARS) -> DataFrame:
-    """Rows whose whole text holds a term, with a cleaned, shortened text and a suggested label."""
+    """Rows whose whole text holds a term, with a cleaned, shortened text and a suggested label.
+
+    Where the urgent terms are the terms, every row kept has one and the texts aren't searched again.
+    """
+    label = F.lit(config.URGENT_LABEL) if {t.lower() for t in terms} == {t.lower() for t in urgent} else suggested_label(F.col(text), urgent)
     return docs.where(matching.contains_any(F.col(text), terms)).select(
         *[c for c in docs.columns if c != text],
         tx.clean_truncate(F.col(text), size).alias(text),
-        suggested_label(F.col(text), urgent).alias("suggested_label"),
+        label.alias("suggested_label"),
     )
 
 
