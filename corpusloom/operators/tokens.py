@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config
 from ..functions import text as tx
+from ..functions.workers import joined, parts, ship
 
+ship(__name__)
+
+#: Bytes of texts that a library encodes at once.
+ENCODED_BYTES = 1 << 17
 #: Tokenizers by name: Column -> array of tokens.
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {"words": tx.words, "pretokens": tx.pretokens}
 
@@ -58,16 +63,23 @@ def tokenizer_of(saved: str) -> Callable[[Column], Column]:
 
 
 def _tokenizer(maker: str, source: str) -> Callable[[Column], Column]:
-    @F.pandas_udf("array<string>")
-    def pieces(texts: pd.Series) -> pd.Series:
+    held: list = []
+    kind = pa.list_(pa.string())
+
+    def pieces(texts: pa.Array) -> pa.Array:
         from tokenizers import Tokenizer
 
-        own = getattr(Tokenizer, maker)(source)
-        own.no_truncation()
-        own.no_padding()
-        return pd.Series([e.tokens for e in own.encode_batch(["" if t is None else t for t in texts], add_special_tokens=False)])
+        if not held:
+            own = getattr(Tokenizer, maker)(source)
+            own.no_truncation()
+            own.no_padding()
+            held.append(own)
+        # An encoding weighs some hundred times its text, so a few texts at once.
+        done = (held[0].encode_batch([t or "" for t in part.to_pylist()], add_special_tokens=False) for part in parts(texts, size=ENCODED_BYTES))
+        return joined([pa.array([e.tokens for e in x], kind) for x in done], kind)
 
-    return pieces
+    # A NULL text comes in as such and counts as empty.
+    return F.arrow_udf(pieces, "array<string>")
 
 
 def pad_batches(df: DataFrame, tokens: str, size: int, filler: str = "[PAD]") -> DataFrame:
@@ -76,8 +88,6 @@ def pad_batches(df: DataFrame, tokens: str, size: int, filler: str = "[PAD]") ->
     Batches are made inside each task, in its order, the last of a task being smaller;
     a NULL list counts as empty.
     """
-    import pyarrow as pa
-
     columns = [c for c in df.columns if c != "real"]
 
     def run(batches):
