@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import config
 from ..functions import vectors as vectors_of
+from ..functions.workers import joined, ship
 from ..sources import sinks
 from . import metrics
 
+ship(__name__)
+
 
 def pipeline(text: str, label: str, features: int = config.HYPERPARAMETERS["features"], max_iter: int = config.HYPERPARAMETERS["max_iter"],
              reg_param: float = config.HYPERPARAMETERS["reg_param"]) -> Pipeline:
@@ -42,7 +45,7 @@ def predict(model: PipelineModel, df: DataFrame, text: str) -> DataFrame:
 def predict_in_batches(model: PipelineModel, df: DataFrame, text: str, rows: int = config.ADAPTER["score_rows"]) -> DataFrame:
     """predict(), with the classifier applied to ``rows`` texts at once: a matrix of features in, the probabilities of all labels out.
 
-    The features stay in the JVM; each Python worker takes up the classifier's weights once.
+    The features stay in the JVM, and only those that aren't 0 are sent; a worker fills the matrix of one batch of ``rows`` at a time.
     """
     features, last = model.stages[:-1], model.stages[-1]
     vectors = df.withColumn(text, F.coalesce(text, F.lit("")))
@@ -50,18 +53,26 @@ def predict_in_batches(model: PipelineModel, df: DataFrame, text: str, rows: int
         vectors = stage.transform(vectors)
     weights, intercepts, name = last.coefficientMatrix.toArray(), last.interceptVector.toArray(), last.getFeaturesCol()
 
-    def load():
-        def score(x):
-            margins = x @ weights.T + intercepts
-            if margins.shape[1] == 1:  # two labels have one row of weights
-                margins = np.concatenate([np.zeros_like(margins), margins], axis=1)
-            e = np.exp(margins - margins.max(axis=1, keepdims=True))
-            return e / e.sum(axis=1, keepdims=True)
+    kind = pa.list_(pa.float64())
+
+    def probabilities(x: np.ndarray) -> np.ndarray:
+        margins = x @ weights.T + intercepts
+        if margins.shape[1] == 1:  # two labels have one row of weights
+            margins = np.concatenate([np.zeros_like(margins), margins], axis=1)
+        e = np.exp(margins - margins.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def batch(part: pa.Array) -> pa.Array:
+        x = np.zeros((len(part), weights.shape[1]))
+        for own, at, values in zip(x, *(part.field(c) for c in ("indices", "values"))):
+            own[at.values.to_numpy() if at.is_valid else slice(None)] = values.values.to_numpy()  # a dense vector has no indices
+        return pa.array(probabilities(x).tolist(), kind)
 
-        return score
+    @F.arrow_udf("array<double>")
+    def score(vectors: pa.Array) -> pa.Array:
+        return joined([batch(vectors.slice(at, rows)) for at in range(0, len(vectors), rows)], kind)
 
-    score = predict_batch_udf(load, return_type=T.ArrayType(T.DoubleType()), batch_size=rows, input_tensor_shapes=[[weights.shape[1]]])
-    out = vectors.withColumn("_scores", score(vector_to_array(name)))
+    out = vectors.withColumn("_scores", score(F.unwrap_udt(name)))
     return out.select(*df.columns, vectors_of.argmax(F.col("_scores")).cast("int").alias("predicted"), F.get("_scores", F.lit(1)).alias("probability"))
 
 
