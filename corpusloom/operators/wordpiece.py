@@ -1,9 +1,9 @@
-"""WordPiece by a vocabulary file: greedy longest matches, once for each distinct word of a batch.
+"""WordPiece by a vocabulary file: greedy longest matches, once for each distinct word of a stretch of a batch.
 
 Texts are cleaned and cut into words by generated code in the JVM, as the public encoder
 models do it: control characters go, ideographs stand alone, white space separates, and every
 punctuation character is a word.  Only words go to Python, in Arrow batches; there each
-distinct word of a batch is cut up once and its pieces are taken back to all its places.
+distinct word of a stretch of texts (of a megabyte, whatever the batch) is cut up once and its pieces are taken back to all its places.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.workers import ship
+from ..functions.workers import joined, parts, ship
 from . import tokens
 
 ship(__name__)
@@ -65,6 +65,9 @@ def tokenizer(vocabulary: list[str], ids: bool = False):
     def pieces(lists: pa.Array) -> pa.Array:
         if not held:
             held.append(({p: i for i, p in enumerate(vocabulary)}, max(map(len, vocabulary), default=0)))
+        return joined([some(part) for part in parts(lists)], pa.list_(pa.int32() if ids else pa.string()))
+
+    def some(lists: pa.Array) -> pa.Array:
         known, longest = held[0]
         coded = lists.flatten().dictionary_encode()
         found = [cut_up(w, known, longest) for w in coded.dictionary.to_pylist()]

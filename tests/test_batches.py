@@ -53,3 +53,22 @@ def test_sparse_features_are_sent(spark):
     assert "unwrap_udt" in out._jdf.queryExecution().analyzed().toString() and "vector_to_array" not in out._jdf.queryExecution().analyzed().toString()
     a, b = ({r.t: (r.predicted, round(r.probability, 10)) for r in x.collect()} for x in (model.predict(fitted, rows, "t"), out))
     assert a == b
+
+
+def test_words_are_cut_up_by_stretches(monkeypatch):
+    """Pieces of a batch are those of its stretches put together, also behind an offset and with NULL lists."""
+    from corpusloom.operators import wordpiece
+
+    caught, seen = [], []
+    monkeypatch.setattr(F, "arrow_udf", lambda f, kind: caught.append(f))
+
+    def few(lists):
+        for x in workers.parts(lists, rows=3):
+            seen.append(len(x))
+            yield x
+
+    monkeypatch.setattr(wordpiece, "parts", few)
+    wordpiece.tokenizer(["[UNK]", "a", "##b", "c"])
+    lists = pa.array([["ab", "c"], [], ["x"], ["c"], ["ab"], ["abb", "x"], [], ["a"]], pa.list_(pa.string()))
+    want = [["a", "##b", "c"], [], ["[UNK]"], ["c"], ["a", "##b"], ["a", "##b", "##b", "[UNK]"], [], ["a"]]
+    assert caught[0](lists).to_pylist() == want and caught[0](lists.slice(2)).to_pylist() == want[2:] and max(seen) == 3
