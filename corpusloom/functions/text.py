@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Punctuation since Unicode 14, which the \p{P} of Java 17 lacks; letters below it cost one comparison.
+NEWER = r"[\u061D-\x{12FF2}&&[\u061D\u1B7D\u1B7E\u2E53-\u2E5D\x{10F86}-\x{10F89}\x{116B9}\x{11B00}-\x{11B09}\x{11F43}-\x{11F4F}\x{12FF1}\x{12FF2}]]"
 #: A run of neither white space nor punctuation, or one punctuation character (Unicode P and some ASCII symbols).
-PRETOKEN = r"(?U)[^\s\p{P}$+<=>^`|~]+|[\p{P}$+<=>^`|~]"
+PRETOKEN = rf"(?U)[^\s\p{{P}}$+<=>^`|~{NEWER}]+|[\p{{P}}$+<=>^`|~{NEWER}]"
 
 
 def strip(c: Column) -> Column:

@@ -40,6 +40,23 @@ def test_text_builders(spark):
     assert one(spark, ["a"], lambda c: tokens.pad(c, 3), "array<string>") == ["a", "[PAD]", "[PAD]"]
 
 
+def test_compare_in_any_order(spark):
+    """The mean is that of the ratios' exact sum, to 2^-52 or its last places, and equal bit for bit whatever the rows' order and partitions."""
+    import math
+    import random
+    from fractions import Fraction
+
+    drawn = random.Random(5)
+    for ratios in ([0.1, 0.2, 0.3], [0.1, 0.2, 0.3, 0.0, 3e6 + 1 / 3, *(drawn.randrange(1, 40000) / drawn.randrange(1, 20000) for _ in range(3000))]):
+        exact, means = float(sum(map(Fraction, ratios)) / len(ratios)), set()
+        for rows, size in ((ratios, 1), (ratios[::-1], 1), (sorted(ratios), 3)):
+            df = spark.createDataFrame([("a", x) for x in [*rows, None]], "tokenizer string, tokens_per_word double").coalesce(size)
+            row = tokens.compare(df).first()
+            assert row.n == len(ratios) + 1
+            means.add(row.mean_ratio)
+        assert len(means) == 1 and abs(means.pop() - exact) <= max(2 * math.ulp(exact), 2.0 ** -52)
+
+
 def test_vectors(spark):
     assert one(spark, [1.0, 3.0, 3.0], vectors.argmax, "array<float>") == 1
     p = one(spark, [1000.0, 1000.0], vectors.softmax, "array<float>")
